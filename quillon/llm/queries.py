@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, byte_bpe, lang_id, media, packing, simhash, token_store, toxicity
+from . import ann, byte_bpe, lang_id, media, packing, simhash, substring_dedup, token_store, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_token_store(token_store.write_token_store(_table(spark, sf_dir, "documents")))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_words(_table(spark, sf_dir, "documents"))
+
+
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = _table(spark, sf_dir, "embeddings")
     return ann.nearest(every, every.where("vec_id % 50 = 0"))
@@ -49,6 +53,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_token_store": op3_token_store,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_nearest": op5_nearest,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_progressive_jpeg": op7_progressive_jpeg,
