@@ -20,8 +20,8 @@ from .util import gather
 TAIL = ",.;:!?|$%&*#"
 #: White space whose handling may differ between libraries, runs of white space and our own marks.
 ODD = r"[\x01-\x03\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]|[ \n][ \n]|^[ \n]|[ \n]$"
-#: Words remembered; beyond that the memory starts anew.
-REMEMBERED = 600_000
+#: Words of a memory; beyond that a new one starts. Two are kept.
+REMEMBERED = 300_000
 #: Characters encoded at once.
 AT_ONCE = 4_000_000
 
@@ -36,7 +36,12 @@ class WordCodec:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # such strings inside a text are ordinary text
         self.spaced = spaced
+        self.lead = "\u0120" if spaced else ""  # a space in the byte alphabet
+        # bytes that print stand for themselves, the others for the characters from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.alphabet = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
         self.forget()
+        self._age()
 
     def forget(self) -> None:
         self.known = {"": 0}
@@ -44,28 +49,58 @@ class WordCodec:
         self.off = np.zeros(1 << 18, dtype=np.int64)
         self.used = 0
 
+    def _age(self) -> None:
+        """Start a new memory and keep the last one, from which words still in use are taken over."""
+        self.old = (self.known, self.flat[: self.used], self.off[: len(self.known) + 1])
+        self.forget()
+
     def _direct(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _single(self, key: str) -> str | None:
+        """The key in the byte alphabet of the model, if it is one pre-token of letters."""
+        if not key.isalpha():
+            return None
+        if key.isascii():
+            return self.lead + key
+        if not self.spaced:
+            key = self.tok.normalizer.normalize_str(key)
+            if not key.isalpha():
+                return None
+        return self.lead + key.encode().decode("latin-1").translate(self.alphabet)
+
     def _learn(self, keys: list[str]) -> None:
-        first = len(self.known)
+        old, flat, off = self.old
+        if kept := [k for k in keys if k in old]:
+            ids, ends = gather(flat, off, np.fromiter(map(old.__getitem__, kept), np.int64, len(kept)))
+            self._add(kept, ids, np.diff(ends))
+            keys = [k for k in keys if k not in old]
+        singles, rest = [], []
+        encode, got = self.tok.model.tokenize, []
+        for k in keys:
+            if (said := self._single(k)) is None:
+                rest.append(k)
+            else:
+                singles.append(k)
+                got.append([t.id for t in encode(said)])
         if self.spaced:
-            said = [k[1:] if k[:1] == "\x02" else "\n" + k[1:] if k[:1] == "\x01" else k[1:] if k[:1] == "\x03" else " " + k for k in keys]
+            said = [k[1:] if k[:1] in ("\x02", "\x03") else "\n" + k[1:] if k[:1] == "\x01" else " " + k for k in rest]
         else:
-            said = keys
-        for at in range(0, len(keys), 20_000):
-            got = [e.ids for e in self.tok.encode_batch_fast(said[at : at + 20_000], add_special_tokens=False)]
-            lens = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-            n, need = first + at, self.used + int(lens.sum())
-            if need > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.empty(max(need, len(self.flat)), np.uint32)))
-            if n + len(got) + 1 > len(self.off):
-                self.off = np.concatenate((self.off, np.zeros(len(self.off) + len(got), np.int64)))
-            self.flat[self.used : need] = np.fromiter(chain.from_iterable(got), dtype=np.uint32, count=need - self.used)
-            self.off[n + 1 : n + 1 + len(got)] = self.used + np.cumsum(lens)
-            self.used = need
-        for i, k in enumerate(keys, first):
-            self.known[k] = i
+            said = rest
+        got += [e.ids for e in self.tok.encode_batch_fast(said, add_special_tokens=False)]
+        lens = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
+        self._add(singles + rest, np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum())), lens)
+
+    def _add(self, keys: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
+        first, need = len(self.known), self.used + len(ids)
+        if need > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.empty(max(need, len(self.flat)), np.uint32)))
+        if first + len(keys) + 1 > len(self.off):
+            self.off = np.concatenate((self.off, np.zeros(len(self.off) + len(keys), np.int64)))
+        self.flat[self.used : need] = ids
+        self.off[first + 1 : first + 1 + len(keys)] = self.used + np.cumsum(lens)
+        self.used = need
+        self.known.update(zip(keys, range(first, first + len(keys))))
 
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids and offsets of each word of an array."""
@@ -80,7 +115,7 @@ class WordCodec:
         base, tail = base.dictionary_encode(), tail.dictionary_encode()
         bases, tails = base.dictionary.to_pylist(), tail.dictionary.to_pylist()
         if len(self.known) > REMEMBERED:
-            self.forget()
+            self._age()
         if new := [k for k in dict.fromkeys(bases + tails) if k not in self.known]:
             self._learn(new)
         pairs = np.empty(2 * len(whole), dtype=np.int64)
