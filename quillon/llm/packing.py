@@ -3,8 +3,8 @@
 Lengths are whole numbers up to the capacity. Documents (pieces) are sorted by length and get a rank
 among their equals; gaps are kept as runs of sequences with equal room. A round takes the longest
 pieces left, sweeps to the successor of their length among the gaps, matches as many as there
-are on both sides (a piece's rank says which gap of the run is its own), and puts the smaller gaps
-back. Where no gap is wide enough, sequences open. That is best-fit decreasing for all pieces at
+are on both sides (a piece's rank says which gap of the run is its own; a gap takes as many as fit), and puts the
+smaller gaps back. Where no gap is wide enough, sequences open. That is best-fit decreasing for all pieces at
 once: a round's state is runs of (room, first sequence, count), never rows, so its size
 depends on the capacity and not on the corpus.
 """
@@ -63,11 +63,13 @@ def best_fit_rounds(counts: dict[int, int], capacity: int = CAPACITY) -> list[tu
             first, count = runs[room].pop()
             if not runs[room]:
                 del runs[room], rooms[at]
-            n = min(left, count)
-            out.append((length, rank, n, first, capacity - room))
-            put(room, first + n, count - n)
-            put(room - length, first, n)
-            rank, left = rank + n, left - n
+            each = room // length  # as long as a gap takes more of this length, it is the tightest
+            whole = min(count, left // each)
+            n, bins = (each, whole) if whole else (left, 1)
+            out += [(length, rank + j * bins, bins, first, capacity - room + j * length) for j in range(n)]
+            put(room, first + bins, count - bins)
+            put(room - n * length, first, bins)
+            rank, left = rank + n * bins, left - n * bins
     return out
 
 
