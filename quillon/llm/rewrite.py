@@ -62,6 +62,7 @@ def rewritten(df: DataFrame, specs: DataFrame, change: Callable[[bytes, bytes],
     """df with the texts that have a spec changed by change(text, spec); columns and their order stay. A column
     n_chars follows the new text."""
     joined = with_spec(pack_texts(df, text_col), specs, id_col)
+    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -69,8 +70,8 @@ def rewritten(df: DataFrame, specs: DataFrame, change: Callable[[bytes, bytes],
             for raw, packed, spec in zip(unpacked(b.column(PACKED)), b.column(PACKED), b.column(SPEC).to_pylist()):
                 new = raw if spec is None else change(raw, spec)
                 texts.append(new.decode("utf-8", "surrogatepass") if packed.is_valid else None)
-            cols = {n: b.column(n) for n in df.columns if n != text_col} | {text_col: pa.array(texts, pa.string())}
-            yield pa.RecordBatch.from_arrays([cols[n] for n in df.columns], df.columns)
+            cols = {n: b.column(n) for n in names if n != text_col} | {text_col: pa.array(texts, pa.string())}
+            yield pa.RecordBatch.from_arrays([cols[n] for n in names], names)
 
     out = joined.mapInArrow(run, ddl(df))
     if "n_chars" in df.columns:
