@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .util import tune, written
+from .util import lean, tune, written
 
 TREES = 8
 LEAF = 80
@@ -142,6 +142,7 @@ def packed(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     hold null or non-finite components, are left out."""
     tune(df.sparkSession)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, out = [], []
@@ -187,6 +188,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     share = aimed_share(forest, x, rng, k, aim) if len(x) > 2000 else np.inf
     shared = spark.sparkContext.broadcast(forest)  # bounded by sample
 
+    @lean
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -203,6 +205,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     budget = share * counts[0].sum()
     parts = [np.maximum(1, -(-c // PART)) for c in counts]
 
+    @lean
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -216,6 +219,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
 
     salts = {(t, lf): int(p) for t in range(trees) for lf, p in enumerate(parts[t]) if p > 1}
 
+    @lean
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = [((i * 2654435761) >> 7) % salts.get((t, lf), 1) for t, lf, i in zip(*(b.column(c).to_pylist() for c in ("tree", "leaf", "id")))]
@@ -239,6 +243,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
 def _ranker(m: int):
     """Streams rows sorted by leaf, queries first: the m best rows of each leaf for each of its queries."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, qids, qs = None, [], []
         ids: list[int] = []

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import texts_of, tokenizer_path, tune
+from .util import lean, texts_of, tokenizer_path, tune
 
 #: Longer texts are split before encoding.
 LONG = 1 << 16
@@ -63,6 +63,7 @@ def bpe_encode(df: DataFrame, ranks: str = "byte_bpe_multi_50k.tiktoken", patter
     path, pattern = tokenizer_path(ranks), pattern or public_tokenizers.PATTERN
     tune(df.sparkSession)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
         for b in batches:
@@ -80,6 +81,7 @@ def bpe_decode(df: DataFrame, ranks: str = "byte_bpe_multi_50k.tiktoken", patter
     path, pattern = tokenizer_path(ranks), pattern or public_tokenizers.PATTERN
     tune(df.sparkSession)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
         for b in batches:
@@ -97,6 +99,7 @@ def bpe_digests(df: DataFrame, ranks: str = "byte_bpe_multi_50k.tiktoken", patte
     path, pattern = tokenizer_path(ranks), pattern or public_tokenizers.PATTERN
     tune(df.sparkSession)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
         for b in batches:

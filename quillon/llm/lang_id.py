@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .util import crc_mod, texts_of, tune
+from .util import crc_mod, lean, texts_of, tune
 
 BUCKETS = 1 << 16
 #: First code points of ranges of letters with their scripts, in order.
@@ -119,6 +119,7 @@ def train(
     chosen = spark.createDataFrame(chosen.distinct().collect(), chosen.schema)  # bounded by languages x docs_per_language
     sample = named.join(F.broadcast(chosen), ["id", "lang"]).select("text", "lang")
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: dict[str, np.ndarray] = {}
         scripts: dict[str, np.ndarray] = {}
@@ -222,6 +223,7 @@ def identify(df: DataFrame, model: Model, penalty: float = 8.0, with_spans: bool
     tune(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # 2 x BUCKETS numbers a language
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rewrite import KEY, PACKED, SPEC, key_of, pack_texts, raw_text, rewritten, unpacked, with_spec
-from .util import tune, written
+from .util import lean, tune, written
 
 #: A chunk ends where the rolling hash is divisible by this: its mean length in lines.
 DIVISOR = 3
@@ -54,6 +54,7 @@ def repeated_chunks(df: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     tune(df.sparkSession)
     own = ["doc_id", KEY, "chunk"]
 
+    @lean
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
@@ -67,6 +68,7 @@ def repeated_chunks(df: DataFrame, divisor: int = DIVISOR) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["h", *own])
 
+    @lean
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
@@ -113,6 +115,7 @@ def repeated_lines(df: DataFrame) -> DataFrame:
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = with_spec(pack_texts(docs), repeated_chunks(docs), "doc_id")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []

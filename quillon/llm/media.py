@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jpeg
-from .util import texts_of, tune
+from .util import lean, texts_of, tune
 
 
 def padded(text: str) -> bytes:
@@ -40,6 +40,7 @@ def decode_images(df: DataFrame, media_col: str = "media", id_col: str = "doc_id
     rest go on. Repeated rows stay; other columns are not read."""
     tune(df.sparkSession)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc, data in zip(b.column("doc_id").to_pylist(), b.column("media").to_pylist()):
@@ -65,6 +66,7 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Null texts count as empty (64 zeros). Null and repeated ids stay rows; other columns are not read."""
     tune(df.sparkSession)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             docs, texts = b.column("doc_id"), texts_of(b, "text")
@@ -83,6 +85,7 @@ def read_stored(df: DataFrame) -> DataFrame:
     tune(df.sparkSession)
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []

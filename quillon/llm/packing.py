@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .util import crc_le32, texts_of, tokenizer_path, tune, written
+from .util import crc_le32, lean, texts_of, tokenizer_path, tune, written
 from .wordcodec import codec
 
 CAPACITY = 1024
@@ -73,41 +73,60 @@ def best_fit_rounds(counts: dict[int, int], capacity: int = CAPACITY) -> list[tu
     return out
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to rows that have a column length (1 to capacity).
+class Placer:
+    """Places of rows among their task's rows of equal length, from 0, batch by batch."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.seen = capacity, np.zeros(capacity + 1, np.int64)
+
+    def place(self, lengths: np.ndarray) -> np.ndarray:
+        if len(lengths) and (lengths.min() < 1 or lengths.max() > self.capacity):
+            raise ValueError(f"lengths must be from 1 to {self.capacity}")
+        order = np.argsort(lengths, kind="stable")
+        ranked = lengths[order]
+        starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(ranked) else np.empty(0, np.int64)
+        sizes = np.diff(np.r_[starts, len(ranked)])
+        place = np.empty(len(lengths), np.int64)
+        place[order] = np.arange(len(ranked)) - np.repeat(starts, sizes) + self.seen[ranked]
+        self.seen[ranked[starts]] += sizes
+        return place
 
-    pieces is written once, with each row's place among its task's rows of that length; the rank
-    of a row is that place plus the rows of earlier tasks (a window over one row per task and
-    length). Only the count of each length reaches the driver: capacity numbers at most.
-    Lengths that are null or out of range raise an error. An empty table stays empty. The columns
-    part, place, sequence_id and offset must not exist before."""
-    spark = pieces.sparkSession
-    tune(spark)
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+def placed_rows(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """pieces with part, the task's number, and place, the row's place among the task's rows of its length."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, placer = TaskContext.get().partitionId(), Placer(capacity)
         for b in batches:
-            col = b.column("length")
-            lengths = col.to_numpy(zero_copy_only=False)
-            if col.null_count or len(lengths) and (lengths.min() < 1 or lengths.max() > capacity):
+            if b.column("length").null_count:
                 raise ValueError(f"lengths must be from 1 to {capacity}")
-            lengths = lengths.astype(np.int64)
-            order = np.argsort(lengths, kind="stable")
-            ranked = lengths[order]
-            starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(ranked) else np.empty(0, np.int64)
-            sizes = np.diff(np.r_[starts, len(ranked)])
-            place = np.empty(len(lengths), np.int64)
-            place[order] = np.arange(len(ranked)) - np.repeat(starts, sizes) + seen[ranked]
-            seen[ranked[starts]] += sizes
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(lengths), part, np.int32)), pa.array(place)], [*b.schema.names, "part", "place"])
-
-    kept = written(pieces.mapInArrow(placed, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", part int, place long"), "pieces")
+            lengths = b.column("length").to_numpy(zero_copy_only=False).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(lengths), part, np.int32)), pa.array(placer.place(lengths))], [*b.schema.names, "part", "place"])
+
+    return pieces.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", part int, place long")
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Add sequence_id and offset to rows that have a column length (1 to capacity).
+
+    pieces is written once, with each row's place among its task's rows of that length (columns part and
+    place, which token_pieces() adds itself where placed); the rank of a row is that place plus the
+    rows of earlier tasks (a window over one row per task and length). Only the count of each
+    length reaches the driver: capacity numbers at most. Lengths that are null or out of range
+    raise an error. An empty table stays empty. The columns sequence_id and offset must not exist before."""
+    tune(pieces.sparkSession)
+    if not {"part", "place"} <= set(pieces.columns):
+        pieces = placed_rows(pieces, capacity)
+    kept = written(pieces, "pieces")
+    names = [c for c in kept.columns if c not in ("part", "place")]
     counts = kept.groupBy("length", "part").agg(F.count("*").alias("n"))
     bases = counts.select("length", "part", (F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).alias("base"))
     totals = {int(r["length"]): r["n"] for r in kept.groupBy("length").agg(F.count("*").alias("n")).collect()}
     rounds = np.array(best_fit_rounds(totals, capacity) or np.empty((0, 5)), dtype=np.int64).reshape(-1, 5)
     by_length = {int(k): rounds[rounds[:, 0] == k] for k in np.unique(rounds[:, 0])}
 
+    @lean
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lengths = b.column("length").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -117,25 +136,26 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 own, r = lengths == k, by_length[int(k)]
                 i = np.searchsorted(r[:, 1], rank[own], side="right") - 1
                 seq[own], offset[own] = r[i, 3] + rank[own] - r[i, 1], r[i, 4]
-            kept_cols = [c for c in b.schema.names if c not in ("part", "place", "base")]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept_cols), pa.array(seq), pa.array(offset)], [*kept_cols, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(seq), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in names) + ", sequence_id long, offset long"
     ranked = kept.join(bases, ["length", "part"]).select(*kept.columns, "base")
     return ranked.mapInArrow(assign, schema)
 
 
-def token_pieces(df: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def token_pieces(df: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, placed: bool = True) -> DataFrame:
     """Every whole text as pieces of at most capacity tokens: doc_id, piece, start, length, ids_crc32, and
-    the ids themselves where with_ids.
+    the ids themselves where with_ids, and part and place for pack() where placed (in the same pass: a second Python
+    step in one stage would need workers of its own).
 
     Null texts count as empty: one piece that holds end_id alone. Null and repeated ids are documents
     of their own; other columns are not read."""
     path = tokenizer_path(tokenizer)
     tune(df.sparkSession)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = codec(path, True)
+        tok, task, placer = codec(path, True), TaskContext.get().partitionId(), Placer(capacity)
         for b in batches:
             ids, off = tok.encode(texts_of(b, "text"))
             rows: list[tuple] = []
@@ -147,9 +167,12 @@ def token_pieces(df: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: in
                     start += n
             cols = list(zip(*rows)) or [()] * 6
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            n = 6 if with_ids else 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:n], types)], names[:n])
+            arrays = [pa.array(c, t) for c, t in zip(cols, types)][: 6 if with_ids else 5]
+            if placed:
+                arrays += [pa.array(np.full(len(rows), task, np.int32)), pa.array(placer.place(np.array(cols[3], np.int64)))]
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
+    fields = ["doc_id long", "piece int", "start long", "length long", "ids_crc32 long", *["ids array<int>"] * with_ids, *["part int", "place long"] * placed]
+    names = [f.split()[0] for f in fields]
     named = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return named.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return named.mapInArrow(run, ", ".join(fields))

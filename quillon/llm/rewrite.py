@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import tune
+from .util import lean, tune
 
 #: Columns that may not exist in input tables.
 KEY, PACKED, SPEC = "__key", "__packed", "__spec"
@@ -33,6 +33,7 @@ def pack_texts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with the text compressed (null stays null) in place of the plain one, and its key."""
     tune(df.sparkSession)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for b in batches:
@@ -64,6 +65,7 @@ def rewritten(df: DataFrame, specs: DataFrame, change: Callable[[bytes, bytes],
     joined = with_spec(pack_texts(df, text_col), specs, id_col)
     names = df.columns
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts: list[str | None] = []

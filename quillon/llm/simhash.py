@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .util import texts_of, tune, written
+from .util import lean, texts_of, tune, written
 
 SEED = 42
 RADIUS = 3
@@ -50,6 +50,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, fp): 64 bits as a signed long. Null texts and texts without words give 0."""
     tune(df.sparkSession)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t, shingle) for t in texts_of(b, "text")], np.uint64)
@@ -112,11 +113,13 @@ def links(fps: np.ndarray, half: int) -> list[tuple[int, int]]:
 def near_links(fps: DataFrame) -> DataFrame:
     """(u, v): links that connect all different fingerprints (column fp) within the radius."""
 
+    @lean
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, owners = _variants(b.column("fp").to_numpy().view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(owners.view(np.int64))], ["key", "fp"])
 
+    @lean
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest_k, rest_f = np.empty(0, np.int64), np.empty(0, np.int64)
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rewrite import KEY, PACKED, SPEC, key_of, pack_texts, raw_text, rewritten, unpacked, with_spec
-from .util import tune, written
+from .util import lean, tune, written
 
 WINDOW = 50
 PHRASE = 8
@@ -102,6 +102,7 @@ def _block_of(key: int, blocks: int) -> int:
 def _phrase_rows(df: DataFrame, blocks: int | None) -> DataFrame:
     """(h, doc_id), or (h, block) where blocks is given: the chosen phrases of each document, once each."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hs, vs = [], []
@@ -177,6 +178,7 @@ def _window_rows(df: DataFrame, recurring: DataFrame, blocks: int) -> DataFrame:
     """(h, doc_id, key, start, decided): windows to be asked about, and decided ones of a document."""
     names = ["h", "doc_id", "key", "start", "decided"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, known, docs = None, [], []
 
@@ -225,6 +227,7 @@ def repeated_windows(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
     recurring = written(counted.where("lo < hi").select("h"), "phrases")
     asked = _window_rows(df, recurring, blocks)
 
+    @lean
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by hash and doc_id: all but those of the first document are repeated."""
         docs, keys, starts = [], [], []
@@ -292,6 +295,7 @@ def repeated_words(df: DataFrame) -> DataFrame:
     specs = repeated_windows(docs)
     joined = with_spec(pack_texts(docs), specs, "doc_id")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, gone, said = [], [], []

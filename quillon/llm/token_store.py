@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .util import crc_le32, texts_of, tokenizer_path, tune, written
+from .util import crc_le32, lean, texts_of, tokenizer_path, tune, written
 from .wordcodec import codec
 
 MAGIC = b"QPS1"
@@ -122,6 +122,7 @@ def write_token_store(
     path = tokenizer_path(tokenizer)
     tune(df.sparkSession)
 
+    @lean
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = codec(path, spaced)
         segment, done = TaskContext.get().partitionId(), 0
@@ -159,6 +160,7 @@ def write_token_store(
 def read_token_store(store: DataFrame) -> DataFrame:
     """One row per document of a store, read from its shards: doc_id, start, n_tokens, ids_crc32."""
 
+    @lean
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for segment, start, data in zip(*(b.column(c).to_pylist() for c in ("segment", "start", "shard"))):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import crc_mod, texts_of, tune
+from .util import crc_mod, lean, texts_of, tune
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -92,6 +92,7 @@ def train(
     chosen = spark.createDataFrame(chosen.collect(), "id long, label int")  # bounded by max_docs
     sample = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(chosen), "id").select("text", "label")
 
+    @lean
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, labels = texts_of(b, "text"), b.column("label").to_pylist()
@@ -115,6 +116,7 @@ def train(
     vocabulary = [r["word"] for r in telling.select("word").collect()]
     known = {w: i for i, w in enumerate(vocabulary)}
 
+    @lean
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found, sizes = [], []
@@ -158,6 +160,7 @@ def score(df: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str
     tune(df.sparkSession)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rated = [score_text(model, t) for t in texts_of(b, text_col if keep_columns else "text")]

@@ -21,9 +21,9 @@ TAIL = ",.;:!?|$%&*#"
 #: White space whose handling may differ between libraries, runs of white space and our own marks.
 ODD = r"[\x01-\x03\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]|[ \n][ \n]|^[ \n]|[ \n]$"
 #: Words of a memory; beyond that a new one starts. Two are kept.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Characters encoded at once.
-AT_ONCE = 4_000_000
+AT_ONCE = 2_000_000
 
 
 class WordCodec:
