@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..functions.vectors import cosine
 from ..operators import documents as D
 from ..operators import retrieval as R
+from ..plans import rag
 from ..sources import web
 from .common import FILE_ID, METHOD, STORED, Registry, table
 
@@ -254,3 +255,16 @@ def import_chunks(spark, d):
 def import_rejects(spark, d):
     _, bad = D.import_chunks(table(spark, d, "documents").selectExpr("doc_id", f"{PAYLOAD} AS payload"))
     return bad.select("doc_id", "reason")
+
+
+@add("enhanced_search")
+def enhanced_search(spark, d):
+    """Search, download, summary, rerank, top k."""
+    return rag.enhanced_search(table(spark, d, "pages"), ["the", "and", "ring"]).select("page_id", "title", "url", F.round("score", 6).alias("score"))
+
+
+@add("rag_context")
+def rag_context(spark, d):
+    """A question's prompt from the documents nearest to it."""
+    hits = rag.retrieve(table(spark, d, "documents").select("doc_id", "text"), "the thing and the other", threshold=None)
+    return rag.augmented(hits, "the thing and the other")

@@ -112,3 +112,10 @@ def validate_input(spark, d):
     schema = {"query": {"required": True, "min_length": 5, "max_length": 8}, "top_k": {"min_value": 5, "max_value": 100}}
     e = rows.select("event_id", errors({"query": F.col("q"), "top_k": F.col("k")}, schema).alias("e"))
     return e.select("event_id", F.col("e")["query"].alias("query"), F.col("e")["top_k"].alias("top_k"))
+
+
+@add("event_windows", "SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark, d):
+    w = F.window(F.col("ts").cast("timestamp"), "1 day")
+    got = table(spark, d, "events").groupBy("event_type", w.alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return got.select("event_type", F.col("w.start").cast("timestamp_ntz").alias("day"), "n", "total")

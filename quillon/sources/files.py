@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Callable
+from pathlib import Path
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -58,11 +60,43 @@ def load(spark: SparkSession, path: str, pdf: Callable[[bytes], str] | None = No
 
 
 def prompts(spark: SparkSession, folder: str) -> dict[str, str]:
-    """Prompt texts by file stem."""
+    """Prompt texts by file stem, from any file system that Spark reads."""
     rows = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt").select(F.input_file_name().alias("path"), "value").collect()
     return {r["path"].rsplit("/", 1)[-1].removesuffix(".txt"): r["value"] for r in rows}
 
 
+class PromptStore:
+    """Prompts by name in a folder of the driver."""
+
+    def __init__(self, folder: str | Path):
+        self.folder = Path(folder)
+
+    def _path(self, name: str) -> Path:
+        if not re.fullmatch(r"[\w-]+", name):
+            raise ValueError(f"bad prompt name: {name}")
+        return self.folder / f"{name}.txt"
+
+    def list(self) -> list[str]:
+        return sorted(p.stem for p in self.folder.glob("*.txt"))
+
+    def get(self, name: str) -> str:
+        return self._path(name).read_text(encoding="utf-8")
+
+    def create(self, name: str, text: str) -> None:
+        with self._path(name).open("x", encoding="utf-8") as f:
+            f.write(text)
+
+    def update(self, name: str, text: str) -> None:
+        if not self._path(name).exists():
+            raise FileNotFoundError(name)
+        self._path(name).write_text(text, encoding="utf-8")
+
+    def delete(self, name: str) -> bool:
+        there = self._path(name).exists()
+        self._path(name).unlink(missing_ok=True)
+        return there
+
+
 def jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
     """A table of another database; partitionColumn, lowerBound, upperBound and numPartitions let it be read in parallel."""
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()

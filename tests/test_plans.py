@@ -1,6 +1,6 @@
 import pytest
 
-from quillon.plans import guard
+from quillon.plans import guard, rag
 from quillon.plans.agent import Agent, TemplateModel, Tool, wider_search
 from quillon.plans.federation import Federation, Unsafe, relaxations, route_tables
 
@@ -89,3 +89,11 @@ def test_agent(spark):
     done = agent.run([{"service_id": "a", "params": {"n": 3}}, {"service_id": "a", "params": {"n": "x"}}, {"service_id": "my-sql"}, {"service": "gone"}])
     assert [r["status"] for r in done] == ["success", "error", "error"] and done[0]["result"].count() == 3
     assert TemplateModel({"sql": "Q: {prompt}"}).complete("sql", "x") == "Q: x"
+
+
+def test_rag_path(spark):
+    docs = spark.createDataFrame([(1, "red apples and pears"), (2, "blue cars"), (3, None)], "doc_id long, text string")
+    assert rag.applicable(spark, "what is red?") and not rag.applicable(spark, "count the rows")
+    assert rag.retrieve(docs, "red apples", threshold=0.1).first()["doc_id"] == 1
+    said = rag.answer(docs, "red apples", TemplateModel(), threshold=0.1)
+    assert said.startswith("Use the following context") and "Context 1:\nred apples and pears" in said and said.endswith("Question: red apples")

@@ -27,6 +27,19 @@ def test_prompts(spark, tmp_path):
     assert files.prompts(spark, str(tmp_path)) == {"greet": "hello\nthere"}
 
 
+def test_prompt_store(tmp_path):
+    store = files.PromptStore(tmp_path)
+    store.create("a", "x")
+    with pytest.raises(FileExistsError):
+        store.create("a", "y")
+    store.update("a", "z")
+    assert store.list() == ["a"] and store.get("a") == "z" and store.delete("a") and not store.delete("a")
+    with pytest.raises(FileNotFoundError):
+        store.update("a", "z")
+    with pytest.raises(ValueError):
+        store.get("../a")
+
+
 def test_collection(spark, tmp_path):
     c = files.Collection(spark, str(tmp_path / "c"), 2)
     rows = spark.createDataFrame([(1, [1.0, 0.0])], "id int, embedding array<double>")
