@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .util import lean, tune, written
+from .util import first_by_hash, lean, tune, written
 
 TREES = 8
 LEAF = 80
@@ -181,7 +181,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     copies = W.partitionBy("v").orderBy("id")
     kept = written(every.where(F.length("v") == width).withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1).drop("n"), "vectors")
     wanted = packed(queries, id_col, vec_col).where(F.length("v") == width)
-    some = kept.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(sample).collect()  # bounded by sample
+    some = first_by_hash(kept, "v", sample).collect()  # bounded by sample
     x = unit(np.frombuffer(b"".join(r["v"] for r in some), np.float64).reshape(len(some), -1))
     rng = np.random.default_rng(seed)
     forest = [grow(x, rng, leaf) for _ in range(trees)]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .util import crc_mod, lean, texts_of, tune
+from .util import crc_mod, hash_below, lean, texts_of, tune
 
 BUCKETS = 1 << 16
 #: First code points of ranges of letters with their scripts, in order.
@@ -35,6 +35,8 @@ SCRIPT = np.array([NAMES.index(n) for _, n in SCRIPTS])
 #: Characters scored at once; longer texts are cut between words for this.
 AT_ONCE = 1 << 20
 BLOCK = 64
+#: Languages learned, those with most documents.
+MOST = 64
 
 _letters: list[np.ndarray] = []
 
@@ -108,15 +110,20 @@ def train(
     """A model of the languages in lang_col.
 
     Learns from rows with text and language (where keep, a condition, holds); of each language at most
-    docs_per_language rows, those whose hashed ids come first. That bound makes what the
+    docs_per_language ids, those whose hashes come first, of MOST languages. That bound makes what the
     driver gathers independent of the corpus: counts in 2 x BUCKETS cells per language."""
     spark = df.sparkSession
     tune(spark)
     named = df.where(keep if keep is not None else F.lit(True)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     named = named.where("text is not null and lang is not null")
+    counts = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST).collect()}
+    if not counts:
+        return Model([], np.zeros((2, BUCKETS, 0), np.float32), np.zeros((len(NAMES), 0), bool))
+    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2.0 * docs_per_language / n))))[F.col("lang")]
     first = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = named.select("id", "lang").withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs_per_language).select("id", "lang")
-    chosen = spark.createDataFrame(chosen.distinct().collect(), chosen.schema)  # bounded by languages x docs_per_language
+    near = named.select("id", "lang").where(hash_below("id", share) | (share >= 1)).distinct()  # about 2 x docs_per_language of each
+    chosen = near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs_per_language).select("id", "lang")
+    chosen = spark.createDataFrame(chosen.collect(), chosen.schema)  # bounded by MOST x docs_per_language
     sample = named.join(F.broadcast(chosen), ["id", "lang"]).select("text", "lang")
 
     @lean

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import crc_mod, lean, texts_of, tune
+from .util import crc_mod, first_by_hash, lean, texts_of, tune
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -84,11 +84,14 @@ def train(
 ) -> Model:
     """A model from labelled texts: at most max_docs of them, those whose hashed ids come first, and at most
     max_words words and stems, those that tell toxic texts most. Null labels and texts are left out. Without any toxic
-    or any harmless text the model knows no word and rates sentences at the base rate."""
+    or any harmless text the model knows no word and rates sentences at the base rate. An id with several labels counts as
+    toxic if any of them says so."""
     spark = docs.sparkSession
     tune(spark)
     chosen = labels.where(keep if keep is not None else F.lit(True)).where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    chosen = chosen.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).distinct().orderBy(F.xxhash64("id"), "id", "label").limit(max_docs)
+    chosen = chosen.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
+    ids = spark.createDataFrame(first_by_hash(chosen, "id", max_docs).collect(), "id long")  # bounded by max_docs
+    chosen = chosen.join(F.broadcast(ids), "id").groupBy("id").agg(F.max("label").alias("label"))
     chosen = spark.createDataFrame(chosen.collect(), "id long, label int")  # bounded by max_docs
     sample = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(chosen), "id").select("text", "label")
 
