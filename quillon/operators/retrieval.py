@@ -37,6 +37,17 @@ def over_threshold(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return df.where(F.col("score") >= threshold)
 
 
+def with_documents(hits: DataFrame, docs: DataFrame, hit_col: str = "vec_id", id_col: str = "doc_id", most: int = 1000) -> DataFrame:
+    """hits (at most `most` rows, checked) with the columns of their documents; hits without one stay. The ids go into the
+    scan of docs as a filter, so that documents are neither shuffled nor read where row groups can be skipped."""
+    few = hits.limit(most + 1).collect()
+    if len(few) > most:
+        raise ValueError(f"more than {most} hits: join them")
+    found = docs.where(F.col(id_col).isin([r[hit_col] for r in few if r[hit_col] is not None]))
+    local = hits.sparkSession.createDataFrame(few, hits.schema)
+    return local.join(found, F.col(hit_col) == F.col(id_col), "left")
+
+
 def top_k_each(corpus: DataFrame, queries: DataFrame, k: int = K, block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score) for many queries: each task keeps the k best of its rows for every query by matrix
     products, then one window per query merges them. queries (query_id, vector) go to all tasks in blocks; a block's size

@@ -35,8 +35,7 @@ def topk_threshold(spark, d):
     """Retrieval end to end: scan, cosine, top 5, threshold, documents, source labels."""
     hits = R.over_threshold(R.top_k(_scored(spark, d).select("vec_id", "score")))
     docs = table(spark, d, "documents").select("doc_id", "source", F.expr(METHOD).alias("m"))
-    both = docs.join(F.broadcast(hits), F.col("doc_id") == F.col("vec_id"), "right")  # k hits at most
-    return both.select("vec_id", F.round("score", 6).alias("score"), F.coalesce("source", F.lit("")).alias("source"), R.source_label(F.col("m"), F.lit("default")).alias("label"))
+    return R.with_documents(hits, docs).select("vec_id", F.round("score", 6).alias("score"), F.coalesce("source", F.lit("")).alias("source"), R.source_label(F.col("m"), F.lit("default")).alias("label"))
 
 
 @add("topk_cosine", f"SELECT vec_id, round(s, 6) AS score, CAST(n AS INT) AS rank FROM ({TOP}) WHERE n <= 5")
