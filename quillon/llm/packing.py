@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .util import crc_le32, lean, texts_of, tokenizer_path, tune, written
+from .util import crc_le32, lean, tokenizer_path, tune, written
 from .wordcodec import codec
 
 CAPACITY = 1024
@@ -157,7 +157,7 @@ def token_pieces(df: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, task, placer = codec(path, True), TaskContext.get().partitionId(), Placer(capacity)
         for b in batches:
-            ids, off = tok.encode(texts_of(b, "text"))
+            ids, off = tok.encode(b.column("text"))
             rows: list[tuple] = []
             for i, doc in enumerate(b.column("doc_id").to_pylist()):
                 own, start = np.append(ids[off[i] : off[i + 1]], np.uint32(end_id)), 0

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .util import crc_le32, lean, texts_of, tokenizer_path, tune, written
+from .util import crc_le32, lean, tokenizer_path, tune, written
 from .wordcodec import codec
 
 MAGIC = b"QPS1"
@@ -140,8 +140,7 @@ def write_token_store(
             return row
 
         for b in batches:
-            texts = texts_of(b, "text")
-            ids, off = tok.encode(texts)
+            ids, off = tok.encode(b.column("text"))
             for i, doc in enumerate(b.column("doc_id").to_pylist()):
                 docs.append(doc)
                 parts += (ids[off[i] : off[i + 1]], np.array([end_id], np.uint32))

@@ -21,8 +21,8 @@ TAIL = ",.;:!?|$%&*#"
 #: White space whose handling may differ between libraries, runs of white space and our own marks.
 ODD = r"[\x01-\x03\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]|[ \n][ \n]|^[ \n]|[ \n]$"
 #: Words of a memory; beyond that a new one starts. Two are kept.
-REMEMBERED = 200_000
-#: Characters encoded at once.
+REMEMBERED = 350_000
+#: Bytes encoded at once.
 AT_ONCE = 2_000_000
 
 
@@ -124,15 +124,17 @@ class WordCodec:
         ids, off = gather(self.flat, self.off, pairs)
         return gather(ids, off[::2], coded.indices.to_numpy(zero_copy_only=False))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and the offsets of the texts."""
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and the offsets of the texts. Null texts count as empty. An Arrow column
+        is read as it is, without Python strings."""
+        col = texts if isinstance(texts, pa.Array) else pa.array(texts, type=pa.large_string())
+        col = pc.fill_null(col.cast(pa.large_string()), "")
+        ends = np.cumsum(pc.binary_length(col).to_numpy(zero_copy_only=False))
         parts, sizes, at = [], [], 0
-        while at < len(texts):
-            end, chars = at, 0
-            while end < len(texts) and (end == at or chars + len(texts[end]) <= AT_ONCE):
-                chars += len(texts[end])
-                end += 1
-            ids, off = self._some(texts[at:end])
+        while at < len(col):
+            before = int(ends[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + AT_ONCE, side="right")))
+            ids, off = self._some(col.slice(at, end - at))
             parts.append(ids)
             sizes.append(np.diff(off))
             at = end
@@ -140,15 +142,14 @@ class WordCodec:
         lens = np.concatenate(sizes) if sizes else np.empty(0, np.int64)
         return flat, np.concatenate(([0], np.cumsum(lens))).astype(np.int64)
 
-    def _some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        col = pa.array(texts, type=pa.large_string())
+    def _some(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         odd = np.flatnonzero(pc.match_substring_regex(col, ODD).to_numpy(zero_copy_only=False)) if self.spaced else []
         if not len(odd):
             return self._regular(col)
-        out: list = [None] * len(texts)
-        for i, ids in zip(odd, self._direct([texts[i] for i in odd])):
+        out: list = [None] * len(col)
+        for i, ids in zip(odd, self._direct(col.take(pa.array(odd)).to_pylist())):
             out[i] = ids
-        rest = [i for i in range(len(texts)) if out[i] is None]
+        rest = [i for i in range(len(col)) if out[i] is None]
         ids, off = self._regular(col.take(pa.array(rest, pa.int64())))
         for k, i in enumerate(rest):
             out[i] = ids[off[k] : off[k + 1]]
