@@ -82,7 +82,8 @@ def repeated_chunks(df: DataFrame, divisor: int = DIVISOR) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["h", "body", *own])
 
     found = df.select("doc_id", "text").mapInArrow(hashes, f"h long, doc_id long, {KEY} long, chunk int")
-    again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # written, so that the join below has a shuffle of its own on either side and a hot hash can be split
+    again = written(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "hashes")
     wanted = found.join(again, "h").groupBy(F.col("doc_id").alias("__id"), KEY).agg(F.collect_list("chunk").alias(SPEC))
     candidates = with_spec(pack_texts(df.select("doc_id", "text")), wanted, "doc_id").where(F.col(SPEC).isNotNull())
     same = written(candidates.mapInArrow(bodies, f"h long, body binary, doc_id long, {KEY} long, chunk int"), "chunks")
