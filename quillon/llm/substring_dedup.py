@@ -6,7 +6,8 @@ smallest hash in the window), so equal windows choose equal phrases, wherever th
 1. Phrases: each document's chosen phrases, as hashes, are counted over all documents; those that occur in
    two or more documents are confirmed as recurring.
 2. Automata: documents are dealt into blocks of a few MB. Each block is a shard: the recurring phrases of
-   its documents are compiled to one Aho-Corasick automaton, which all its documents are streamed through.
+   its documents are compiled to one Aho-Corasick automaton, through which its documents are streamed (but for
+   those that chose no recurring phrase: they have no recurring window).
 3. Windows: those whose chosen phrase was located go on as hashes of their 50 words. Where one block holds
    a window several times, only its smallest document is asked about further: the others are decided.
    The rest are shuffled by hash; the smallest document of each keeps its words.
@@ -131,7 +132,10 @@ def _locate(recurring: np.ndarray, docs: list[tuple[int, int, bytes]]) -> tuple[
         words, sums, h = _phrases_of(raw)
         least, pick = chosen(h)
         at = np.flatnonzero(pick)
-        for i in at[np.isin(h[at], recurring)].tolist():
+        at = at[np.isin(h[at], recurring)]
+        if not len(at):
+            continue  # no window of it recurs
+        for i in at.tolist():
             phrases.setdefault(b" " + b" ".join(words[i : i + PHRASE]) + b" ", None)
         each.append((doc, key, words, sums, h, least))
     if not phrases:
