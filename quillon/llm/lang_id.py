@@ -115,7 +115,7 @@ def train(
     spark = df.sparkSession
     tune(spark)
     named = df.where(keep if keep is not None else F.lit(True)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    named = named.where("text is not null and lang is not null")
+    named = named.where("lang is not null")  # texts are read for the sample alone; null ones add nothing
     counts = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST).collect()}
     if not counts:
         return Model([], np.zeros((2, BUCKETS, 0), np.float32), np.zeros((len(NAMES), 0), bool))
@@ -124,7 +124,7 @@ def train(
     near = named.select("id", "lang").where(hash_below("id", share) | (share >= 1)).distinct()  # about 2 x docs_per_language of each
     chosen = near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs_per_language).select("id", "lang")
     chosen = spark.createDataFrame(chosen.collect(), chosen.schema)  # bounded by MOST x docs_per_language
-    sample = named.join(F.broadcast(chosen), ["id", "lang"]).select("text", "lang")
+    sample = named.join(F.broadcast(chosen), ["id", "lang"]).where("text is not null").select("text", "lang")
 
     @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import crc_mod, first_by_hash, lean, texts_of, tune
+from .util import crc_mod, first_by_hash, lean, texts_of, tune, written
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -94,6 +94,7 @@ def train(
     chosen = chosen.join(F.broadcast(ids), "id").groupBy("id").agg(F.max("label").alias("label"))
     chosen = spark.createDataFrame(chosen.collect(), "id long, label int")  # bounded by max_docs
     sample = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(chosen), "id").select("text", "label")
+    sample = written(sample, "sample")  # read twice
 
     @lean
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
