@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import line_dedup, packing, simhash, substring_dedup, toxicity
+from quillon.llm import line_dedup, near_copies, packing, substring_dedup, toxicity
 from quillon.llm.util import written
 
 
@@ -23,8 +23,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: the document with the smallest id of each group stays."""
-    return simhash.drop_near_duplicates(docs)
+    """The document with the smallest id of each group stays; five-word shingles that agree to 0.8 make a group."""
+    return near_copies.drop_near_copies(docs)
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
