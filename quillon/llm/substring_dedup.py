@@ -3,17 +3,21 @@
 A passage counts from 50 words. Of each window of 50 words one phrase of 8 is chosen by its content (the
 smallest hash in the window), so equal windows choose equal phrases, wherever they stand.
 
-1. Phrases: each document's chosen phrases, as hashes, are counted over all documents; those that occur in
-   two or more documents are confirmed as recurring.
-2. Automata: documents are dealt into blocks of a few MB. Each block is a shard: the recurring phrases of
+Exact copies of a text need no search: all words of all but the copies with the smallest id repeat. So each different text
+goes once, with its smallest id, through what follows.
+
+1. Phrases: each text's chosen phrases, as hashes, are counted over all texts; those that occur in
+   two or more different texts are confirmed as recurring.
+2. Automata: different texts are dealt into blocks of a few MB. Each block is a shard: the recurring phrases of
    its documents are compiled to one Aho-Corasick automaton, through which its documents are streamed (but for
    those that chose no recurring phrase: they have no recurring window).
 3. Windows: those whose chosen phrase was located go on as hashes of their 50 words. Where one block holds
    a window several times, only its smallest document is asked about further: the others are decided.
    The rest are shuffled by hash; the smallest document of each keeps its words.
 
-A block's size is fixed, so an automaton is bounded, and the number of blocks follows the input; a group of
-thousands of copies sends one row for each block and window.
+A block holds different texts of a few MB on average, however many copies they have, so an automaton is bounded, and the number
+of blocks follows the input. A group of copies sends its text once from each task that reads some of them, and a row of two
+numbers for each copy. A group of thousands of near copies sends one row for each block and window.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,7 +106,7 @@ def _block_of(key: int, blocks: int) -> int:
 
 
 def _phrase_rows(df: DataFrame, blocks: int | None) -> DataFrame:
-    """(h, doc_id), or (h, block) where blocks is given: the chosen phrases of each document, once each."""
+    """(h, key), or (h, block) where blocks is given: the chosen phrases of each document, once each."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +118,7 @@ def _phrase_rows(df: DataFrame, blocks: int | None) -> DataFrame:
                     continue
                 h = np.unique(found[2][chosen(found[2])[1]])
                 hs.append(h)
-                vs.append(np.full(len(h), doc if blocks is None else _block_of(key_of(raw), blocks), np.int64))
+                vs.append(np.full(len(h), key_of(raw) if blocks is None else _block_of(key_of(raw), blocks), np.int64))
             if hs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(vs))], ["h", "v"])
 
@@ -178,13 +183,53 @@ def _locate(recurring: np.ndarray, docs: list[tuple[int, int, bytes]]) -> tuple[
     return [hash_[asked], ids[row[asked]], keys[row[asked]], start[asked].astype(np.int32)], decided
 
 
-def _window_rows(df: DataFrame, recurring: DataFrame, blocks: int) -> DataFrame:
-    """(h, doc_id, key, start, decided): windows to be asked about, and decided ones of a document."""
+def _keys(df: DataFrame) -> DataFrame:
+    """(doc_id, __key) of the documents that have a window."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raws = [raw_text(t) for t in b.column("text").to_pylist()]
+            at = [i for i, raw in enumerate(raws) if len(raw.split(None, WINDOW - 1)) == WINDOW]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), pa.array([key_of(raws[i]) for i in at], pa.int64())], ["doc_id", KEY])
+
+    return df.where("doc_id is not null and text is not null").mapInArrow(run, f"doc_id long, {KEY} long")
+
+
+def _once_each(packed: DataFrame) -> DataFrame:
+    """(__key, __packed): of equal texts that a task reads, one."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            at = []
+            for i, key in enumerate(b.column(KEY).to_pylist()):
+                if key not in seen:
+                    seen.add(key)
+                    at.append(i)
+            yield b.select([KEY, PACKED]).take(pa.array(at, pa.int64()))
+
+    return packed.mapInArrow(run, f"{KEY} long, {PACKED} binary")
+
+
+def _block_rows(df: DataFrame, least: DataFrame, blocks: int) -> DataFrame:
+    """(block, h: null, doc_id, __key, __packed): for each row of least (__key, doc_id) one without text, and its text from each task
+    that reads it, without id."""
+    texts = _once_each(pack_texts(df.where("doc_id is not null and text is not null").select("text")))
+    both = texts.select(F.lit(None).cast("long").alias("doc_id"), KEY, PACKED).unionByName(least.select("doc_id", KEY, F.lit(None).cast("binary").alias(PACKED)))
+    block = F.pmod(F.col(KEY).bitwiseXOR(F.shiftright(KEY, 31)), F.lit(blocks))
+    return both.select(block.alias("block"), F.lit(None).cast("long").alias("h"), "doc_id", KEY, PACKED)
+
+
+def _window_rows(df: DataFrame, recurring: DataFrame, least: DataFrame, blocks: int) -> DataFrame:
+    """(h, doc_id, key, start, decided): windows to be asked about, and decided ones of a document. least: (__key, doc_id), the
+    smallest id of each different text that has a window."""
     names = ["h", "doc_id", "key", "start", "decided"]
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, known, docs = None, [], []
+        block, known, docs, owner = None, [], [], (None, None)
 
         def close() -> Iterator[pa.RecordBatch]:
             asked, decided = _locate(np.array(known, np.int64).view(np.uint64), docs) if known and docs else ([], [])
@@ -199,37 +244,43 @@ def _window_rows(df: DataFrame, recurring: DataFrame, blocks: int) -> DataFrame:
             known.clear()
             docs.clear()
 
+        loose = zstandard.ZstdDecompressor()
         for b in batches:
-            for blk, h, doc, key, raw in zip(*(b.column(c).to_pylist() for c in ("block", "h", "doc_id", KEY)), unpacked(b.column(PACKED))):
+            for blk, h, doc, key, packed in zip(*(b.column(c).to_pylist() for c in ("block", "h", "doc_id", KEY, PACKED))):
                 if blk != block:
                     yield from close()
                     block = blk
                 if h is not None:
                     known.append(h)
-                elif len(raw.split(None, WINDOW - 1)) == WINDOW:
-                    docs.append((doc, key, raw))
+                elif doc is not None:
+                    owner = (key, doc)
+                elif key == owner[0]:  # its first text; others are the same
+                    docs.append((owner[1], key, loose.decompress(packed)))
+                    owner = (None, None)
         yield from close()
 
     shards = _phrase_rows(df, blocks).distinct().join(recurring, "h").select(F.col("v").alias("block"), "h")
-    packed = pack_texts(df.where("doc_id is not null and text is not null"))
-    block = F.pmod(F.col(KEY).bitwiseXOR(F.shiftright(KEY, 31)), F.lit(blocks))
-    docs = packed.select(block.alias("block"), F.lit(None).cast("long").alias("h"), "doc_id", KEY, PACKED)
+    docs = _block_rows(df, least, blocks)
     empty = [F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias(KEY), F.lit(None).cast("binary").alias(PACKED)]
     both = docs.unionByName(shards.select("block", "h", *empty))
-    dealt = both.repartition("block").sortWithinPartitions("block", F.col("h").isNull())
+    dealt = both.repartition("block").sortWithinPartitions("block", F.col("h").isNull(), KEY, F.col("doc_id").isNull())  # ids before their texts
     return dealt.mapInArrow(run, "h long, doc_id long, key long, start int, decided binary")
 
 
 def repeated_windows(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(__id, __key, __spec): of each document that holds windows whose words also start in a document with a
-    smaller id, the places of their first words (int32). df has doc_id and text."""
+    smaller id, the places of their first words (int32; empty: all windows). df has doc_id and text."""
     spark = df.sparkSession
     tune(spark)
     size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     counted = _phrase_rows(df, None).groupBy("h").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     recurring = written(counted.where("lo < hi").select("h"), "phrases")
-    asked = _window_rows(df, recurring, blocks)
+    keys = written(_keys(df), "keys")
+    least = keys.groupBy(KEY).agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("most"))
+    asked = _window_rows(df, recurring, least, blocks)
+    copied = least.where("doc_id < most").select(KEY, F.col("doc_id").alias("least"))
+    copies = keys.join(copied, KEY).where("doc_id > least").select(F.col("doc_id").alias("__id"), KEY).distinct()
 
     @lean
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,11 +321,14 @@ def repeated_windows(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
             yield out()
 
     found = asked.repartition("h").sortWithinPartitions("h", "doc_id").mapInArrow(first, f"__id long, {KEY} long, {SPEC} binary")
-    return found.groupBy("__id", KEY).agg(F.expr("concat_ws('', collect_list(hex(__spec)))").alias("x")).select("__id", KEY, F.unhex("x").alias(SPEC))
+    each = found.groupBy("__id", KEY).agg(F.expr("concat_ws('', collect_list(hex(__spec)))").alias("x")).select("__id", KEY, F.unhex("x").alias(SPEC))
+    return each.unionByName(copies.withColumn(SPEC, F.lit(b"")))
 
 
 def covered(n: int, spec: bytes) -> np.ndarray:
     """Which of n words stand in the windows of a spec."""
+    if not spec:
+        return np.ones(n, bool)
     starts = np.frombuffer(spec, "<i4")
     step = np.bincount(starts, minlength=n + 1) - np.bincount(starts + WINDOW, minlength=n + 1)
     return np.cumsum(step[:n]) > 0
