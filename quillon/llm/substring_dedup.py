@@ -1,4 +1,4 @@
-"""Removal of passages that documents with smaller ids hold, by automata of recurring phrases.
+"""Removal of passages that documents with smaller ids hold, by sharded automata of recurring phrases.
 
 A passage counts from 50 words. Of each window of 50 words one phrase of 8 is chosen by its content (the
 smallest hash in the window), so equal windows choose equal phrases, wherever they stand.
@@ -6,18 +6,17 @@ smallest hash in the window), so equal windows choose equal phrases, wherever th
 Exact copies of a text need no search: all words of all but the copies with the smallest id repeat. So each different text
 goes once, with its smallest id, through what follows.
 
-1. Phrases: each text's chosen phrases, as hashes, are counted over all texts; those that occur in
-   two or more different texts are confirmed as recurring.
-2. Automata: different texts are dealt into blocks of a few MB. Each block is a shard: the recurring phrases of
-   its documents are compiled to one Aho-Corasick automaton, through which its documents are streamed (but for
-   those that chose no recurring phrase: they have no recurring window).
-3. Windows: those whose chosen phrase was located go on as hashes of their 50 words. Where one block holds
-   a window several times, only its smallest document is asked about further: the others are decided.
-   The rest are shuffled by hash; the smallest document of each keeps its words.
-
-A block holds different texts of a few MB on average, however many copies they have, so an automaton is bounded, and the number
-of blocks follows the input. A group of copies sends its text once from each task that reads some of them, and a row of two
-numbers for each copy. A group of thousands of near copies sends one row for each block and window.
+1. Phrases: the chosen phrases of all texts are grouped by their words; those that two or more different texts chose
+   are confirmed as recurring.
+2. Automata: confirmed phrases are dealt into shards of a few thousand, each compiled to one Aho-Corasick automaton. Phrases
+   whose first text is the same share a shard, so that a text's phrases lie in few of them. Every text is streamed through each
+   shard that holds a phrase which it chose (no other shard can hold one), and the automaton says where all phrases stand in it.
+3. Windows: those whose least phrase was located belong to that phrase's shard. All texts that hold the window stream
+   through the same shard, so it is decided there: by hash, then by comparing the words of whole stretches.
+
+A shard with many words of text (a large group of near copies) is dealt into parts, and a shard with many phrases (of one very
+long text) into several, each with an automaton of its own. A part decides its own texts; what its first holder of a window has to ask
+of other parts travels as a 128-bit hash, aggregated to the smallest id before it is shuffled.
 """
 
 from __future__ import annotations
@@ -38,8 +37,9 @@ from .util import lean, tune, written
 
 WINDOW = 50
 PHRASE = 8
-#: Bytes of text in a block.
-BLOCK_BYTES = 4 << 20
+#: Phrases of a shard, and words of text that are streamed through it in one part.
+SHARD_PHRASES = 4096
+PART_WORDS = 500_000
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -101,236 +101,260 @@ def _phrases_of(raw: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray] | None
     return words, sums, run_hashes(sums, PHRASE)
 
 
-def _block_of(key: int, blocks: int) -> int:
-    return (key ^ key >> 31) % blocks
+#: Rows of the table of phrases: documents (doc_id, key, n) and phrases of different texts (key, n, h, phrase). n: words of the text.
+PRINTS = "doc_id long, key long, n long, h long, phrase binary"
 
 
-def _phrase_rows(df: DataFrame, blocks: int | None) -> DataFrame:
-    """(h, key), or (h, block) where blocks is given: the chosen phrases of each document, once each."""
+def _prints(df: DataFrame) -> DataFrame:
+    """Documents that have an id and a window, and the chosen phrases of their texts (once for each task that reads a text)."""
+    names = ["doc_id", "key", "n", "h", "phrase"]
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
         for b in batches:
-            hs, vs = [], []
+            docs, keys, sizes, hs, phrases, owners, counts = [], [], [], [], [], [], []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 raw = raw_text(text)
-                if doc is None or (found := _phrases_of(raw)) is None:
+                if (key := key_of(raw)) in seen or (found := _phrases_of(raw)) is None:
+                    if key in seen:
+                        docs.append(doc), keys.append(key), sizes.append(seen[key])
                     continue
-                h = np.unique(found[2][chosen(found[2])[1]])
-                hs.append(h)
-                vs.append(np.full(len(h), key_of(raw) if blocks is None else _block_of(key_of(raw), blocks), np.int64))
-            if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(vs))], ["h", "v"])
-
-    return df.mapInArrow(run, "h long, v long")
-
-
-def _runs(starts: np.ndarray) -> bytes:
-    return np.ascontiguousarray(starts, "<i4").tobytes()
-
-
-def _locate(recurring: np.ndarray, docs: list[tuple[int, int, bytes]]) -> tuple[list, list]:
-    """Of a block's documents (doc_id, key, raw text): the windows that are to be asked about, as arrays (hash,
-    doc_id, key, start), and those decided (doc_id, key, starts)."""
-    each, phrases = [], {}
-    for doc, key, raw in docs:
-        words, sums, h = _phrases_of(raw)
-        least, pick = chosen(h)
-        at = np.flatnonzero(pick)
-        at = at[np.isin(h[at], recurring)]
-        if not len(at):
-            continue  # no window of it recurs
-        for i in at.tolist():
-            phrases.setdefault(b" " + b" ".join(words[i : i + PHRASE]) + b" ", None)
-        each.append((doc, key, words, sums, h, least))
-    if not phrases:
-        return [], []
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for p in phrases:
-        automaton.add_word(p.decode("utf-8", "surrogatepass"))
-    automaton.make_automaton()
-    hashes, rows, starts = [], [], []
-    for row, (doc, key, words, sums, h, least) in enumerate(each):
-        text = " " + b" ".join(words).decode("utf-8", "surrogatepass") + " "
-        ends = np.fromiter((e for e, _ in automaton.iter(text)), np.int64)
+                words, _, h = found
+                seen[key] = len(words)
+                docs.append(doc), keys.append(key), sizes.append(len(words))
+                at = np.flatnonzero(chosen(h)[1])
+                phrases += [b" ".join(words[i : i + PHRASE]) for i in at.tolist()]
+                hs.append(h[at])
+                owners.append(np.full(len(at), key, np.int64))
+                counts.append(np.full(len(at), len(words), np.int64))
+            if docs:
+                k = len(docs)
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names)
+            if phrases:
+                k = len(phrases)
+                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(np.concatenate(owners)), pa.array(np.concatenate(counts)), pa.array(np.concatenate(hs).view(np.int64)), pa.array(phrases, pa.binary())], names)
+
+    return df.where("doc_id is not null and text is not null").mapInArrow(run, PRINTS)
+
+
+class Text:
+    """A text on its way through a shard: its words and hashes, and the windows whose least phrase was located."""
+
+    def __init__(self, doc: int, key: int, raw: bytes):
+        self.doc, self.key = doc, key
+        self.words, self.sums, h = _phrases_of(raw)
+        self.least, _ = chosen(h)
+        self.h = h
+
+    def locate(self, automaton: ahocorasick.Automaton) -> np.ndarray:
+        """The starts of windows whose least phrase the automaton finds."""
+        said = " " + b" ".join(self.words).decode("utf-8", "surrogatepass") + " "
+        ends = np.fromiter((e for e, _ in automaton.iter(said)), np.int64)
         if not len(ends):
-            continue
-        spaces = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
-        located = np.zeros(len(h), bool)
-        located[np.searchsorted(spaces, ends) - PHRASE] = True
-        # windows whose least phrase was located
-        known = sliding(np.where(located, h, np.uint64(0xFFFFFFFFFFFFFFFF)), WINDOW - PHRASE + 1, np.minimum)
-        own = np.flatnonzero(known == least)
-        hashes.append(run_hashes(sums, WINDOW)[own])
-        rows.append(np.full(len(own), row, np.int64))
-        starts.append(own)
-    if not hashes:
-        return [], []
-    hash_, row, start = np.concatenate(hashes), np.concatenate(rows), np.concatenate(starts)
-    ids = np.array([e[0] for e in each], np.int64)
-    keys = np.array([e[1] for e in each], np.int64)
-    order = np.lexsort((ids[row], hash_))
-    hash_, row, start = hash_[order], row[order], start[order]
-    first = np.flatnonzero(np.r_[True, hash_[1:] != hash_[:-1]])
-    least_id = np.repeat(ids[row[first]], np.diff(np.r_[first, len(hash_)]))
-    asked = ids[row] == least_id
-    decided = []
-    if not asked.all():
-        r, s = row[~asked], start[~asked]
-        by = np.argsort(r, kind="stable")
-        cuts = np.flatnonzero(np.diff(r[by])) + 1
-        decided = [(int(ids[x[0]]), int(keys[x[0]]), _runs(y)) for x, y in zip(np.split(r[by], cuts), np.split(s[by], cuts))]
-    return [hash_[asked], ids[row[asked]], keys[row[asked]], start[asked].astype(np.int32)], decided
-
-
-def _keys(df: DataFrame) -> DataFrame:
-    """(doc_id, __key) of the documents that have a window."""
-
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raws = [raw_text(t) for t in b.column("text").to_pylist()]
-            at = [i for i, raw in enumerate(raws) if len(raw.split(None, WINDOW - 1)) == WINDOW]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), pa.array([key_of(raws[i]) for i in at], pa.int64())], ["doc_id", KEY])
-
-    return df.where("doc_id is not null and text is not null").mapInArrow(run, f"doc_id long, {KEY} long")
-
-
-def _once_each(packed: DataFrame) -> DataFrame:
-    """(__key, __packed): of equal texts that a task reads, one."""
+            return ends
+        if said.isascii():
+            spaces = np.flatnonzero(np.frombuffer(said.encode(), np.uint8) == 32)
+        else:
+            spaces = np.flatnonzero(np.frombuffer(said.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
+        found = np.zeros(len(self.h), bool)
+        found[np.searchsorted(spaces, ends) - PHRASE] = True
+        known = sliding(np.where(found, self.h, np.uint64(0xFFFFFFFFFFFFFFFF)), WINDOW - PHRASE + 1, np.minimum)
+        return np.flatnonzero((known == self.least) & sliding(found, WINDOW - PHRASE + 1, np.maximum))
+
+    def said(self, start: int, count: int = 1) -> list[bytes]:
+        """The words of count windows that follow one another."""
+        return self.words[start : start + count + WINDOW - 1]
+
+
+def automaton_of(phrases: list[bytes]) -> ahocorasick.Automaton:
+    """Finds phrases between spaces."""
+    out = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for p in phrases:
+        out.add_word(" " + p.decode("utf-8", "surrogatepass") + " ")
+    out.make_automaton()
+    return out
 
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in batches:
-            at = []
-            for i, key in enumerate(b.column(KEY).to_pylist()):
-                if key not in seen:
-                    seen.add(key)
-                    at.append(i)
-            yield b.select([KEY, PACKED]).take(pa.array(at, pa.int64()))
 
-    return packed.mapInArrow(run, f"{KEY} long, {PACKED} binary")
+def _stretches(*cols: np.ndarray) -> np.ndarray:
+    """First places of stretches in which the first two columns stay and the others go up by one."""
+    new = np.zeros(len(cols[0]), bool)
+    new[:1] = True
+    for k, c in enumerate(cols):
+        new[1:] |= c[1:] - c[:-1] != (k > 1)
+    return np.flatnonzero(new)
+
+
+def decide(texts: list[Text], starts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of located windows: (texts, starts) of those that a text with a smaller id holds too, and of those whose text is the first
+    here. Windows are equal if their words are: hashes choose, then the words of whole stretches are compared."""
+    text = np.repeat(np.arange(len(texts)), [len(s) for s in starts])
+    start = np.concatenate(starts) if starts else np.empty(0, np.int64)
+    if not len(start):
+        return text, start, text, start
+    h = np.concatenate([run_hashes(t.sums, WINDOW)[s] for t, s in zip(texts, starts)])
+    ids = np.array([t.doc for t in texts], np.int64)
+    order = np.lexsort((start, text, ids[text], h))
+    h, text, start = h[order], text[order], start[order]
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    first = np.repeat(first, np.diff(np.r_[first, len(h)]))
+    later = ids[text] != ids[text[first]]
+    by = np.flatnonzero(later)
+    by = by[np.lexsort((start[by], text[first[by]], text[by]))]
+    a, i, b, j = text[by], start[by], text[first[by]], start[first[by]]
+    cuts = _stretches(a, b, i, j)
+    good = np.ones(len(by), bool)
+    for x, n in zip(cuts.tolist(), np.diff(np.r_[cuts, len(by)]).tolist()):
+        if texts[a[x]].said(i[x], n) != texts[b[x]].said(j[x], n):
+            good[x : x + n] = False
+    if not good.all():  # equal hashes of unlike windows: those hashes are settled by their words
+        odd = np.isin(h, h[by[~good]])
+        firsts: dict[tuple, int] = {}
+        for k in np.flatnonzero(odd).tolist():
+            words = tuple(texts[text[k]].said(start[k]))
+            later[k] = firsts.setdefault(words, ids[text[k]]) != ids[text[k]]
+    return text[later], start[later], text[~later], start[~later]
+
+
+def runs_of(starts: np.ndarray) -> bytes:
+    """Sorted places as (first, last) of stretches, int32."""
+    cut = np.flatnonzero(np.diff(starts) != 1)
+    return np.stack((starts[np.r_[0, cut + 1]], starts[np.r_[cut, len(starts) - 1]]), 1).astype("<i4").tobytes()
+
+
+def _specs(texts: list[Text], text: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    order = np.lexsort((start, text))
+    text, start = text[order], start[order]
+    cuts = np.flatnonzero(np.diff(text)) + 1
+    for t, s in zip(text[np.r_[0, cuts]].tolist() if len(text) else [], np.split(start, cuts)):
+        yield texts[t].doc, texts[t].key, runs_of(s)
+
+
+_OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def second_hashes(texts: list[Text], text: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Another 64 bits of windows, from other word hashes."""
+    out = np.empty(len(text), np.uint64)
+    for t in np.unique(text):
+        own = text == t
+        w = np.fromiter((xxhash.xxh64_intdigest(x, 11) for x in texts[t].words), np.uint64, len(texts[t].words))
+        out[own] = run_hashes(prefix_sums(w * _OTHER), WINDOW)[start[own]]
+    return out
 
 
-def _block_rows(df: DataFrame, least: DataFrame, blocks: int) -> DataFrame:
-    """(block, h: null, doc_id, __key, __packed): for each row of least (__key, doc_id) one without text, and its text from each task
-    that reads it, without id."""
-    texts = _once_each(pack_texts(df.where("doc_id is not null and text is not null").select("text")))
-    both = texts.select(F.lit(None).cast("long").alias("doc_id"), KEY, PACKED).unionByName(least.select("doc_id", KEY, F.lit(None).cast("binary").alias(PACKED)))
-    block = F.pmod(F.col(KEY).bitwiseXOR(F.shiftright(KEY, 31)), F.lit(blocks))
-    return both.select(block.alias("block"), F.lit(None).cast("long").alias("h"), "doc_id", KEY, PACKED)
+#: What shards give: decided windows of a document (doc_id, key, spec), or windows to be asked about in other parts.
+FOUND = "doc_id long, key long, spec binary, h long, g long, start int"
 
 
-def _window_rows(df: DataFrame, recurring: DataFrame, least: DataFrame, blocks: int) -> DataFrame:
-    """(h, doc_id, key, start, decided): windows to be asked about, and decided ones of a document. least: (__key, doc_id), the
-    smallest id of each different text that has a window."""
-    names = ["h", "doc_id", "key", "start", "decided"]
+def _streamed(dealt: DataFrame) -> DataFrame:
+    """Rows come by cell, phrases first: (cell columns, alone, phrase, doc_id, key, packed)."""
+    names = [f.split()[0] for f in FOUND.split(", ")]
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, known, docs, owner = None, [], [], (None, None)
+        cell, alone = None, True
+        phrases: list[bytes] = []
+        texts: list[Text] = []
+        starts: list[np.ndarray] = []
+        automaton = None
+        loose = zstandard.ZstdDecompressor()
 
         def close() -> Iterator[pa.RecordBatch]:
-            asked, decided = _locate(np.array(known, np.int64).view(np.uint64), docs) if known and docs else ([], [])
-            if asked:
-                n = len(asked[0])
-                for i in range(0, n, 200_000):
-                    part = [pa.array(a[i : i + 200_000].view(np.int64) if a.dtype == np.uint64 else a[i : i + 200_000]) for a in asked]
-                    yield pa.RecordBatch.from_arrays([*part, pa.nulls(len(part[0]), pa.binary())], names)
-            if decided:
-                d, k, s = zip(*decided)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(d, pa.int64()), pa.array(k, pa.int64()), pa.array([-1] * len(k), pa.int32()), pa.array(s, pa.binary())], names)
-            known.clear()
-            docs.clear()
+            nonlocal automaton
+            text, start, own_text, own_start = decide(texts, starts)
+            if rows := list(_specs(texts, text, start)):
+                d, k, s = zip(*rows)
+                n = len(d)
+                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.int64()), pa.array(s, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], names)
+            if not alone and len(own_text):
+                h = np.concatenate([np.empty(0, np.uint64)] + [run_hashes(texts[t].sums, WINDOW)[own_start[own_text == t]] for t in np.unique(own_text)])
+                order = np.argsort(own_text, kind="stable")
+                own_text, own_start = own_text[order], own_start[order]
+                g = second_hashes(texts, own_text, own_start)
+                docs, keys = np.array([t.doc for t in texts], np.int64)[own_text], np.array([t.key for t in texts], np.int64)[own_text]
+                for i in range(0, len(h), 200_000):
+                    z = slice(i, i + 200_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(docs[z]), pa.array(keys[z]), pa.nulls(len(docs[z]), pa.binary()), pa.array(h[z].view(np.int64)), pa.array(g[z].view(np.int64)), pa.array(own_start[z].astype(np.int32))], names)
+            phrases.clear(), texts.clear(), starts.clear()
+            automaton = None
 
-        loose = zstandard.ZstdDecompressor()
         for b in batches:
-            for blk, h, doc, key, packed in zip(*(b.column(c).to_pylist() for c in ("block", "h", "doc_id", KEY, PACKED))):
-                if blk != block:
+            for *here, one, phrase, doc, key, packed in zip(*(b.column(c).to_pylist() for c in ("shard", "sub", "part", "alone", "phrase", "doc_id", "key", PACKED))):
+                if here != cell:
                     yield from close()
-                    block = blk
-                if h is not None:
-                    known.append(h)
-                elif doc is not None:
-                    owner = (key, doc)
-                elif key == owner[0]:  # its first text; others are the same
-                    docs.append((owner[1], key, loose.decompress(packed)))
-                    owner = (None, None)
+                    cell, alone = here, one
+                if phrase is not None:
+                    phrases.append(phrase)
+                elif phrases and not (texts and (texts[-1].doc, texts[-1].key) == (doc, key)):  # else a row that repeats
+                    automaton = automaton or automaton_of(phrases)
+                    text = Text(doc, key, loose.decompress(packed))
+                    if len(own := text.locate(automaton)):
+                        texts.append(text)
+                        starts.append(own)
         yield from close()
 
-    shards = _phrase_rows(df, blocks).distinct().join(recurring, "h").select(F.col("v").alias("block"), "h")
-    docs = _block_rows(df, least, blocks)
-    empty = [F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias(KEY), F.lit(None).cast("binary").alias(PACKED)]
-    both = docs.unionByName(shards.select("block", "h", *empty))
-    dealt = both.repartition("block").sortWithinPartitions("block", F.col("h").isNull(), KEY, F.col("doc_id").isNull())  # ids before their texts
-    return dealt.mapInArrow(run, "h long, doc_id long, key long, start int, decided binary")
-
-
-def repeated_windows(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    return dealt.mapInArrow(run, FOUND)
+
+
+def _dealt(df: DataFrame, prints: DataFrame, least: DataFrame, shard_phrases: int, part_words: int) -> DataFrame:
+    """Confirmed phrases and the texts that chose them, by cells (shard, sub, part)."""
+    chose = prints.where("phrase is not null")
+    confirmed = chose.groupBy("phrase", "h").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi")
+    confirmed = written(confirmed.select("phrase", "h", "lo"), "phrases")
+    shards = max(1, -(-confirmed.count() // shard_phrases))
+    confirmed = confirmed.withColumn("shard", F.pmod(F.xxhash64("lo"), F.lit(shards)))
+    by_hash = written(confirmed.select("h", "shard"), "shards")  # a shuffle of its own on either side, so that a hot phrase can be split
+    routes = written(chose.select("h", "key", "n").join(by_hash, "h").groupBy("shard", "key").agg(F.max("n").alias("n")), "routes")
+    held = confirmed.groupBy("shard").agg(F.ceil(F.count("*") / shard_phrases).alias("subs"))
+    size = routes.groupBy("shard").agg(F.ceil(F.sum("n") / part_words).alias("parts"))
+    sizes = written(held.join(size, "shard"), "cells")
+    none = F.lit(None)
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    cells = confirmed.join(sizes, "shard").select("shard", F.pmod("h", F.col("subs")).cast("int").alias("sub"), upto("parts").alias("part"), (F.col("parts") == 1).alias("alone"), "phrase")
+    phrases = cells.select("*", none.cast("long").alias("doc_id"), none.cast("long").alias("key"), none.cast("binary").alias(PACKED))
+    wanted = routes.join(sizes, "shard").join(least.select("key", F.col("doc_id").alias("first")), "key")
+    wanted = wanted.select("shard", upto("subs").alias("sub"), F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), (F.col("parts") == 1).alias("alone"), "first", F.col("key").alias("of"))
+    packed = pack_texts(df.where("doc_id is not null and text is not null"))
+    texts = packed.join(wanted, (packed["doc_id"] == wanted["first"]) & (packed[KEY] == wanted["of"]))
+    texts = texts.select("shard", "sub", "part", "alone", none.cast("binary").alias("phrase"), "doc_id", F.col(KEY).alias("key"), PACKED)
+    cell = ["shard", "sub", "part"]
+    return phrases.unionByName(texts).repartition(*cell).sortWithinPartitions(*cell, F.col("phrase").isNull(), "doc_id", "key")
+
+
+def repeated_windows(df: DataFrame, shard_phrases: int = SHARD_PHRASES, part_words: int = PART_WORDS) -> DataFrame:
     """(__id, __key, __spec): of each document that holds windows whose words also start in a document with a
-    smaller id, the places of their first words (int32; empty: all windows). df has doc_id and text."""
-    spark = df.sparkSession
-    tune(spark)
-    size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    counted = _phrase_rows(df, None).groupBy("h").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    recurring = written(counted.where("lo < hi").select("h"), "phrases")
-    keys = written(_keys(df), "keys")
-    least = keys.groupBy(KEY).agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("most"))
-    asked = _window_rows(df, recurring, least, blocks)
-    copied = least.where("doc_id < most").select(KEY, F.col("doc_id").alias("least"))
-    copies = keys.join(copied, KEY).where("doc_id > least").select(F.col("doc_id").alias("__id"), KEY).distinct()
+    smaller id, the places of their first words (int32 pairs: first and last of stretches; empty: all windows). df has
+    doc_id and text."""
+    tune(df.sparkSession)
+    prints = written(_prints(df), "prints")
+    keys = prints.where("phrase is null").select("doc_id", "key")
+    least = keys.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("most"))
+    found = written(_streamed(_dealt(df, prints, least, shard_phrases, part_words)), "windows")
+    decided = found.where("spec is not null").select("doc_id", "key", "spec")
+    asked = found.where("spec is null").select("doc_id", "key", "h", "g", "start")
+    firsts = written(asked.groupBy("h", "g").agg(F.min("doc_id").alias("first")), "firsts")
 
     @lean
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by hash and doc_id: all but those of the first document are repeated."""
-        docs, keys, starts = [], [], []
-        held, last, owner = 0, None, None
-
-        def out() -> pa.RecordBatch:
-            d, k, s = np.concatenate(docs), np.concatenate(keys), np.concatenate(starts)
-            order = np.lexsort((k, d))
-            d, k, s = d[order], k[order], s[order]
-            at = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (k[1:] != k[:-1])])
-            docs.clear(), keys.clear(), starts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(k[at]), pa.array([_runs(x) for x in np.split(s, at[1:])], pa.binary())], ["__id", KEY, SPEC])
-
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            done = b.column("decided").is_valid().to_numpy(zero_copy_only=False)
-            h, doc, key, start = (b.column(c).to_numpy() for c in ("h", "doc_id", "key", "start"))
-            if done.any():
-                i = pa.array(np.flatnonzero(done))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(i), b.column("key").take(i), b.column("decided").take(i)], ["__id", KEY, SPEC])
-                h, doc, key, start = h[~done], doc[~done], key[~done], start[~done]
-            if not len(h):
-                continue
-            new = np.r_[h[0] != last, h[1:] != h[:-1]]
-            at = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
-            own = np.where(at >= 0, doc[np.maximum(at, 0)], owner if owner is not None else 0)
-            last, owner = h[-1], own[-1]
-            if (more := doc > own).any():
-                docs.append(doc[more])
-                keys.append(key[more])
-                starts.append(start[more])
-                held += int(more.sum())
-                if held > 1_000_000:
-                    yield out()
-                    held = 0
-        if docs:
-            yield out()
-
-    found = asked.repartition("h").sortWithinPartitions("h", "doc_id").mapInArrow(first, f"__id long, {KEY} long, {SPEC} binary")
-    each = found.groupBy("__id", KEY).agg(F.expr("concat_ws('', collect_list(hex(__spec)))").alias("x")).select("__id", KEY, F.unhex("x").alias(SPEC))
-    return each.unionByName(copies.withColumn(SPEC, F.lit(b"")))
+            starts = [runs_of(np.sort(np.array(x, np.int64))) for x in b.column("starts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(starts, pa.binary())], ["doc_id", "key", "spec"])
+
+    more = asked.join(firsts, ["h", "g"]).where("doc_id > first").groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts"))
+    every = decided.unionByName(more.mapInArrow(runs, "doc_id long, key long, spec binary"))
+    each = every.groupBy("doc_id", "key").agg(F.expr("concat_ws('', collect_list(hex(spec)))").alias("x")).select("doc_id", "key", F.unhex("x").alias("spec"))
+    copied = least.where("doc_id < most").select("key", F.col("doc_id").alias("least"))
+    copies = keys.join(copied, "key").where("doc_id > least").select("doc_id", "key").distinct().withColumn("spec", F.lit(b""))
+    return each.unionByName(copies).select(F.col("doc_id").alias("__id"), F.col("key").alias(KEY), F.col("spec").alias(SPEC))
 
 
 def covered(n: int, spec: bytes) -> np.ndarray:
     """Which of n words stand in the windows of a spec."""
     if not spec:
         return np.ones(n, bool)
-    starts = np.frombuffer(spec, "<i4")
-    step = np.bincount(starts, minlength=n + 1) - np.bincount(starts + WINDOW, minlength=n + 1)
+    first, last = np.frombuffer(spec, "<i4").reshape(-1, 2).T
+    step = np.bincount(first, minlength=n + 1) - np.bincount(last + WINDOW, minlength=n + 1)
     return np.cumsum(step[:n]) > 0
 
 
@@ -347,8 +371,9 @@ def repeated_words(df: DataFrame) -> DataFrame:
 
     Null texts have no words. Rows with a null id lose nothing and are nobody's source; rows that repeat id
     and text fare alike, and rows of equal id are not each other's source. Windows are judged on the
-    input. Two different windows are taken for equal if 64-bit hashes of both agree (about n^2 / 2^65 for n
-    windows with recurring phrases). Other columns are not read; an empty table stays empty."""
+    input. Windows are equal if their words are; where a shard is dealt into parts, if 128-bit hashes agree (odds of one error: n^2 /
+    2^129 for n such windows). Texts are equal if 64-bit hashes of them agree. Other columns are not read; an
+    empty table stays empty."""
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     specs = repeated_windows(docs)
     joined = with_spec(pack_texts(docs), specs, "doc_id")

@@ -48,12 +48,14 @@ def _give_back() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where spark.checkpoint.dir is unset (as in tests on
-    one machine) a temporary one is made."""
+    """The folder that all executors share. Where spark.checkpoint.dir is unset, a temporary one is made on a local
+    master; on a cluster, whose executors would each see a folder of their own, an error is raised."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
     if (ctx := spark.sparkContext.getCheckpointDir()) is not None:
         return ctx.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="quillon-")
     spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
@@ -81,6 +83,12 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def nameless(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with its columns named by place (no helper column can clash with those), and these names."""
+    names = [f"column {k}" for k in range(len(df.columns))]
+    return df.toDF(*names), names
+
+
 def crc_mod(id_col: str, n: int):
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(id_col).cast("string")) % F.lit(n)

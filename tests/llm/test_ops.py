@@ -200,9 +200,11 @@ def test_substrings_of_generated_texts(spark, monkeypatch):
         data.append((random.choice([i, i, i, 7, None]), random.choice([" ", "\n", " \t "]).join(words)))
     data += [(100, "echo " * 400), (101, "echo " * 60), (102, data[0][1]), (103, data[0][1])]
     check_substrings(spark, data)
-    specs = substring_dedup.repeated_windows(docs(spark, data).select("doc_id", "text"), block_bytes=3000)  # many blocks
+    specs = substring_dedup.repeated_windows(docs(spark, data).select("doc_id", "text"), shard_phrases=5, part_words=300)  # many shards and parts
     whole = substring_dedup.repeated_windows(docs(spark, data).select("doc_id", "text"))
-    marks = lambda df: {(r[0], r[1]): sorted(np.frombuffer(r[2], "<i4").tolist()) for r in df.collect()}
+    def marks(df):
+        return {(r[0], r[1]): [0] if not r[2] else sorted(x for a, z in np.frombuffer(r[2], "<i4").reshape(-1, 2).tolist() for x in range(a, z + 1)) for r in df.collect()}
+
     assert marks(specs) == marks(whole)
 
 
@@ -218,6 +220,33 @@ def test_substrings_keep_other_texts(spark, awkward):
     assert rows(out, "__spare").equals(rows(awkward, "__spare"))  # nothing repeats 50 words across ids
 
 
+def test_locations_come_from_the_automata(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    data = [(1, "a " + passage), (2, "b " + passage + " c")]
+    check_substrings(spark, data)
+    text = substring_dedup.Text(1, 0, " ".join(f"q{i}" for i in range(300)).encode())
+    phrases = [b" ".join(text.words[i : i + 8]) for i in np.flatnonzero(substring_dedup.chosen(text.h)[1])]
+    assert len(text.locate(substring_dedup.automaton_of(phrases))) == 251
+    assert len(text.locate(substring_dedup.automaton_of(phrases[:1]))) <= 43
+    assert not len(text.locate(substring_dedup.automaton_of([b"no phrase of this text at all or anywhere"])))
+
+
+def test_equal_hashes_of_unlike_windows(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "run_hashes", lambda sums, size: np.zeros(max(0, len(sums) - size), np.uint64))
+    words = [[f"{k}_{i}" for i in range(60)] for k in (0, 1)] + [[f"0_{i}" for i in range(55)] + ["x"] * 5]
+    texts = [substring_dedup.Text(k, k, " ".join(w).encode()) for k, w in enumerate(words)]
+    text, start, own_text, own_start = substring_dedup.decide(texts, [np.arange(11) for _ in texts])
+    assert sorted(zip(text.tolist(), start.tolist())) == [(2, i) for i in range(6)] and len(own_text) == 27
+
+
+def test_many_copies_of_one_text(spark):
+    """Copies of one text send it once; a hundred thousand of them are a row of numbers each."""
+    text = " ".join(f"w{i}" for i in range(300))
+    df = spark.range(20_000).selectExpr("id as doc_id", f"'{text}' as text").unionByName(spark.range(50).selectExpr("id + 100000 as doc_id", f"concat('z', id, ' {text}') as text"))
+    got = {r[0]: r[1] for r in substring_dedup.repeated_words(df).groupBy("n_removed").count().collect()}
+    assert got == {0: 1, 300: 19_999 + 50}
+
+
 def test_every_window_chooses_a_phrase():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 2**63, 300).astype(np.uint64)
@@ -470,12 +499,25 @@ def test_simhash_edges(spark, awkward, empty):
     assert kept.columns == awkward.columns
     ids = [r[0] for r in kept.select("doc_id").collect()]
     assert ids.count(1) == 1 and 5 not in ids and None in ids and len(ids) == len(set(ids))
+    one_id = docs(spark, [(1, "some words of a text that stands alone"), (1, "quite another text under the same id here"), (2, "some words of a text that stands alone"), (2, "some words of a text that stands alone")])
+    assert sorted(r["text"][:4] for r in simhash.drop_near_duplicates(one_id).collect()) == ["quit", "some"]
+
 
+def test_every_pair_within_the_radius_meets():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 64, 200, dtype=np.uint64)
+    for d in range(1, 6):
+        flips = np.array([sum(1 << int(b) for b in rng.choice(64, d, replace=False)) for _ in base], np.uint64)
+        for a, b in zip(base, base ^ flips):
+            u, v = simhash.collisions(simhash.variants(np.array([a, b])))
+            assert (len(u) > 0) == (d <= 3) and {*u, *v} <= {a, b}
+    assert len(simhash.variants(base)) == sum(1056 if simhash.is_odd(x) else 65 for x in base)
 
-@pytest.mark.parametrize("small", [4, 512])
-def test_links_connect_what_brute_force_connects(spark, small, monkeypatch):
-    monkeypatch.setattr(simhash, "SMALL", small)
-    rng = np.random.default_rng(small)
+
+@pytest.mark.parametrize(("seed", "block"), [(4, 300), (512, 2_000_000)])
+def test_links_connect_what_brute_force_connects(spark, seed, block, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = np.random.default_rng(seed)
     base = rng.integers(0, 2**63, 12).astype(np.uint64)
     fps = set(base.tolist())
     for b in base.tolist():
