@@ -1,7 +1,7 @@
 """Removal of repeated multi-line chunks.
 
-A text's lines are hashed; a rolling hash over two line hashes cuts chunks where it is divisible by a small
-number. Cuts depend on nearby lines only, so an insertion moves no cut but its neighbours', and a passage
+A text's lines are hashed; a rolling hash over the last three line hashes cuts chunks where it is divisible by a small
+number. Cuts depend on these lines only, so an insertion moves no cut but its neighbours', and a passage
 of several lines falls into the same chunks wherever it stands. Chunks of two or more lines that occur again
 anywhere, in the same text or another, are removed: the first (by document id, then place) stays.
 """
@@ -21,6 +21,8 @@ from .util import lean, tune, written
 
 #: A chunk ends where the rolling hash is divisible by this: its mean length in lines.
 DIVISOR = 3
+#: The rolling hash: line hashes times powers of a base, from the newest back, modulo a prime.
+ROLLED, BASE, PRIME = 3, 1_000_003, 4_294_967_291
 
 
 def line_hash(line: bytes) -> int:
@@ -31,13 +33,15 @@ def line_hash(line: bytes) -> int:
 def chunks(raw: bytes, divisor: int = DIVISOR) -> list[list[bytes]]:
     """The lines of each chunk."""
     out: list[list[bytes]] = [[]]
-    before = 0
-    for line in raw.split(b"\n"):
+    last = [0] * ROLLED
+    rolled, oldest = 0, BASE ** (ROLLED - 1)
+    for i, line in enumerate(raw.split(b"\n")):
         h = line_hash(line)
+        rolled = ((rolled - last[i % ROLLED] * oldest) * BASE + h) % PRIME
+        last[i % ROLLED] = h
         out[-1].append(line)
-        if (h + 3 * before) % (1 << 32) % divisor == 0:
+        if rolled % divisor == 0:
             out.append([])
-        before = h
     return out if out[-1] else out[:-1]
 
 
@@ -147,7 +151,8 @@ WITH l AS (
 ), h AS (
   SELECT doc_id, i, line, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM l
 ), r AS (
-  SELECT *, ((h + 3 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 4294967296) % 3 = 0 AS cut FROM h
+  SELECT *, ((h + coalesce(lag(h, 1) OVER w, 0) * 1000003 + coalesce(lag(h, 2) OVER w, 0)::HUGEINT * 1000006000009) % 4294967291) % 3 = 0 AS cut
+  FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)
 ), c AS (
   SELECT *, coalesce(sum(CAST(cut AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM r
 ), k AS (
