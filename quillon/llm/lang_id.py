@@ -35,8 +35,8 @@ SCRIPT = np.array([NAMES.index(n) for _, n in SCRIPTS])
 #: Characters scored at once; longer texts are cut between words for this.
 AT_ONCE = 1 << 20
 BLOCK = 64
-#: Languages learned, those with most documents.
-MOST = 64
+#: The score of a language that is no candidate for a word.
+NEVER = -1e4
 
 _letters: list[np.ndarray] = []
 
@@ -106,24 +106,27 @@ def train(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
+    max_languages: int = 500,
 ) -> Model:
-    """A model of the languages in lang_col.
+    """A model of all languages in lang_col.
 
     Learns from rows with text and language (where keep, a condition, holds); of each language at most
-    docs_per_language ids, those whose hashes come first, of MOST languages. That bound makes what the
-    driver gathers independent of the corpus: counts in 2 x BUCKETS cells per language."""
+    docs_per_language ids, those whose hashes come first. That bound makes what the driver gathers independent
+    of the corpus: counts in 2 x BUCKETS cells per language. More than max_languages are an error: none is left out."""
     spark = df.sparkSession
     tune(spark)
     named = df.where(keep if keep is not None else F.lit(True)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     named = named.where("lang is not null")  # texts are read for the sample alone; null ones add nothing
-    counts = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST).collect()}
+    counts = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} languages: raise max_languages (0.5 MB of model each)")
     if not counts:
         return Model([], np.zeros((2, BUCKETS, 0), np.float32), np.zeros((len(NAMES), 0), bool))
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2.0 * docs_per_language / n))))[F.col("lang")]
     first = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     near = named.select("id", "lang").where(hash_below("id", share) | (share >= 1)).distinct()  # about 2 x docs_per_language of each
     chosen = near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs_per_language).select("id", "lang")
-    chosen = spark.createDataFrame(chosen.collect(), chosen.schema)  # bounded by MOST x docs_per_language
+    chosen = spark.createDataFrame(chosen.collect(), chosen.schema)  # bounded by max_languages x docs_per_language
     sample = named.join(F.broadcast(chosen), ["id", "lang"]).where("text is not null").select("text", "lang")
 
     @lean
@@ -165,14 +168,30 @@ def word_scores(model: Model, w: Words) -> np.ndarray:
     out -= out.max(axis=1, keepdims=True)
     candidate = model.scripts[w.script]
     known = candidate.any(axis=1, keepdims=True)
-    return np.where(known, np.where(candidate, out, out.min() - 50), 0).astype(np.float32)
+    return np.where(known, np.where(candidate, np.maximum(out, NEVER), NEVER), 0).astype(np.float32)
+
+
+def _forward(s: np.ndarray, entry: np.ndarray, penalty: float, stays: np.ndarray, bests: np.ndarray) -> np.ndarray:
+    """Blocks of scores (blocks x BLOCK x languages) from the states they are entered with. A state is each language's score less
+    the best one's; what lies deeper than the penalty is marked, as it can't be stayed with. stays and bests are filled:
+    whether a language's best path came from itself, and the best language before each word."""
+    low = np.float32(-penalty)
+    d = entry
+    for t in range(BLOCK):
+        bests[:, t] = d.argmax(axis=1)
+        stays[:, t] = d >= low
+        d = np.maximum(d, low) + s[:, t]
+        d -= d.max(axis=1, keepdims=True)
+        d = np.where(d >= low, d, low - np.float32(1))
+    return d
 
 
 def best_paths(scores: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarray:
     """The Viterbi labels of rows of scores; offsets: of texts, each with a path of its own.
 
-    Blocks of words are solved for every language that they may be entered with, all blocks at once; then
-    blocks are chained, all texts at once. The result is that of a pass word by word."""
+    All blocks of words run at once, first as if each began a text. A block whose entry proves to differ from what the block before it
+    gives runs again with that, until none differs (twice for most, as a state forgets what lies a few clear words back);
+    the result is that of a pass word by word. Memory grows with words times languages."""
     n, langs = scores.shape
     sizes = np.diff(offsets)
     counts = -(-sizes // BLOCK)
@@ -185,38 +204,39 @@ def best_paths(scores: np.ndarray, offsets: np.ndarray, penalty: float) -> np.nd
     s = np.zeros((total * BLOCK, langs), np.float32)
     s[slot] = scores
     s = s.reshape(total, BLOCK, langs)
-    v = np.full((total, langs, langs), -1e9, np.float32)  # by entry
-    v[:, np.arange(langs), np.arange(langs)] = 0
-    back = np.empty((BLOCK, total, langs, langs), np.int8)
-    own = np.arange(langs, dtype=np.int8)
-    for t in range(BLOCK):
-        best = v.argmax(axis=2)[:, :, None]
-        other = np.take_along_axis(v, best, 2) - penalty
-        stay = v >= other
-        back[t] = np.where(stay, own, best)
-        v = np.where(stay, v, other) + s[:, t, None, :]
+    entry, leave = np.zeros((total, langs), np.float32), np.empty((total, langs), np.float32)
+    stays, bests = np.empty((total, BLOCK, langs), bool), np.empty((total, BLOCK), np.int32)
+    begins = np.zeros(total, bool)
+    begins[firsts[:-1][counts > 0]] = True
+    todo = np.arange(total)
+    while len(todo):
+        own_stays, own_bests = np.empty((len(todo), BLOCK, langs), bool), np.empty((len(todo), BLOCK), np.int32)
+        leave[todo] = _forward(s[todo], entry[todo], penalty, own_stays, own_bests)
+        stays[todo], bests[todo] = own_stays, own_bests
+        after = todo + 1
+        after = after[after < total]
+        after = after[~begins[after]]
+        todo = after[(entry[after] != leave[after - 1]).any(axis=1)]
+        entry[todo] = leave[todo - 1]
+    # backwards: which language each block is entered with, for every language that it may be left with
+    rows = np.arange(total)
+    back = np.tile(np.arange(langs), (total, 1))
+    for t in range(BLOCK - 1, -1, -1):
+        back = np.where(np.take_along_axis(stays[:, t], back, 1), back, bests[:, t, None])
     order = np.argsort(-counts, kind="stable")
-    u = np.zeros((len(counts), langs), np.float32)
-    entries = np.empty((total, langs), np.int8)
     active = np.searchsorted(-counts[order], -np.arange(counts.max()) - 0.5, side="left")
-    for k, m in enumerate(active):
-        docs = order[:m]
-        at = firsts[docs] + k
-        paths = u[docs][:, :, None] + v[at]
-        entries[at] = paths.argmax(axis=1)
-        u[docs] = paths.max(axis=1)
-    state = u.argmax(axis=1)
-    enter, leave = np.empty(total, np.int64), np.empty(total, np.int64)
+    state, left = np.zeros(len(counts), np.int64), np.empty(total, np.int64)
+    ends = firsts[1:] - 1
+    state[counts > 0] = leave[ends[counts > 0]].argmax(axis=1)
     for k in range(len(active) - 1, -1, -1):
         docs = order[: active[k]]
         at = firsts[docs] + k
-        leave[at] = state[docs]
-        enter[at] = entries[at, state[docs]]
-        state[docs] = enter[at]
-    labels, rows = np.empty((total, BLOCK), np.int64), np.arange(total)
+        left[at] = state[docs]
+        state[docs] = back[at, state[docs]]
+    labels = np.empty((total, BLOCK), np.int64)
     for t in range(BLOCK - 1, -1, -1):
-        labels[:, t] = leave
-        leave = back[t][rows, enter, leave]
+        labels[:, t] = left
+        left = np.where(stays[rows, t, left], left, bests[:, t])
     return labels.reshape(-1)[slot]
 
 
