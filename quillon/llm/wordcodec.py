@@ -3,11 +3,13 @@
 A text is cut where no merge can cross: before a space or newline that follows a visible character.
 Each different word goes to the library once while it is remembered, so that corpora pay for their
 vocabulary, not for their length. Texts with other white space, or with several white space
-characters in a row, go to the library whole when white space is part of the tokens.
+characters in a row, go to the library whole when white space is part of the tokens; so do texts that hold
+one of the tokenizer's added tokens, which the library takes out of a text before it splits the rest.
 """
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
 import numpy as np
@@ -34,8 +36,9 @@ class WordCodec:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # such strings inside a text are ordinary text
         self.spaced = spaced
+        added = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
+        self.odd = "|".join(["(?i:" + "|".join(added) + ")"] * bool(added) + [ODD] * spaced)
         self.lead = "\u0120" if spaced else ""  # a space in the byte alphabet
         # bytes that print stand for themselves, the others for the characters from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -143,7 +146,7 @@ class WordCodec:
         return flat, np.concatenate(([0], np.cumsum(lens))).astype(np.int64)
 
     def _some(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        odd = np.flatnonzero(pc.match_substring_regex(col, ODD).to_numpy(zero_copy_only=False)) if self.spaced else []
+        odd = np.flatnonzero(pc.match_substring_regex(col, self.odd).to_numpy(zero_copy_only=False)) if self.odd else []
         if not len(odd):
             return self._regular(col)
         out: list = [None] * len(col)
