@@ -1,7 +1,8 @@
 """Nearest neighbours by a forest of random-projection trees.
 
 Trees are grown on a bounded sample: a node splits its members at the median of their projections on
-the line through two of them (moved to the means of what lies nearer to each). Every vector then goes
+the line through two of them (moved to the means of what lies nearer to each), down to leaves that should
+hold a stated number of the table's rows: the larger the table, the smaller they are in the sample. Every vector then goes
 to one leaf of each tree. A query searches all trees through one priority queue, ordered by the sum of
 squared margins on the way, until the leaves it has reached hold a share of the table; that share is
 measured on the sample, so that the recall aimed at is reached there. Candidates in those
@@ -23,13 +24,18 @@ from pyspark.sql import functions as F
 from .util import first_by_hash, lean, tune, written
 
 TREES = 8
-LEAF = 80
+#: Rows of the table in a leaf, and members of the sample at least.
+LEAF, LEAST = 80, 8
 SAMPLE = 20_000
+#: Lengths of vectors in one table.
+WIDTHS = 16
 AIM = 0.96
 SHARES = (0.02, 0.05, 0.1, 0.2, 0.4, 0.6, 0.8, 1.0, 1.5, 2.5)
 #: Rows of a leaf that one task ranks; leaves with more are dealt out, and their queries to each part.
 PART = 8192
 BLOCK = 1024
+#: Pairs whose exact cosines are computed at once.
+PAIRS = 100_000
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -169,23 +175,33 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
 
     The forest is fitted on at most `sample` different vectors (those whose hashes come first), every
     vector is indexed. Vectors that are null, zero, or hold null or non-finite components take no part,
-    nor do rows without id, nor vectors of another length than most. Of equal vectors the k + 1
-    smallest ids are kept (more can't be among the k nearest), and equal queries are searched once,
-    so that groups of copies cost one. An empty table gives no rows."""
+    nor do rows without id. Vectors of different lengths have no cosine: each length is searched on its own, and more than
+    WIDTHS of them are an error. Of equal vectors the k + 1 smallest ids are kept (more can't be among the k nearest), and
+    equal queries are searched once, so that groups of copies cost one. An empty table gives no rows."""
     spark = vectors.sparkSession
     every = packed(vectors, id_col, vec_col)
-    sizes = every.groupBy(F.length("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if sizes is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width = sizes["n"]
     copies = W.partitionBy("v").orderBy("id")
-    kept = written(every.where(F.length("v") == width).withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1).drop("n"), "vectors")
-    wanted = packed(queries, id_col, vec_col).where(F.length("v") == width)
+    kept = written(every.withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1).drop("n"), "vectors")
+    sizes = {r["n"]: r["count"] for r in kept.groupBy(F.length("v").alias("n")).count().limit(WIDTHS + 1).collect()}
+    if len(sizes) > WIDTHS:
+        raise ValueError(f"vectors of more than {WIDTHS} lengths")
+    wanted = packed(queries, id_col, vec_col)
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for width, rows in sorted(sizes.items()):
+        own = F.length("v") == width
+        out = out.unionByName(_nearest(kept.where(own), wanted.where(own), rows, k, trees, leaf, sample, aim, seed))
+    return out
+
+
+def _nearest(kept: DataFrame, wanted: DataFrame, n_rows: int, k: int, trees: int, leaf: int, sample: int, aim: float, seed: int) -> DataFrame:
+    """nearest() for packed vectors of one length."""
+    spark = kept.sparkSession
     some = first_by_hash(kept, "v", sample).collect()  # bounded by sample
     x = unit(np.frombuffer(b"".join(r["v"] for r in some), np.float64).reshape(len(some), -1))
     rng = np.random.default_rng(seed)
-    forest = [grow(x, rng, leaf) for _ in range(trees)]
-    share = aimed_share(forest, x, rng, k, aim) if len(x) > 2000 else np.inf
+    members = max(LEAST, min(leaf, leaf * len(x) // n_rows))
+    forest = [grow(x, rng, members) for _ in range(trees)]
+    share = aimed_share(forest, x, rng, k, aim)
     shared = spark.sparkContext.broadcast(forest)  # bounded by sample
 
     @lean
@@ -202,7 +218,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     counts = [np.zeros(t.n_leaves, np.int64) for t in forest]
     for r in indexed.groupBy("tree", "leaf").count().collect():  # leaves of the forest
         counts[r["tree"]][r["leaf"]] = r["count"]
-    budget = share * counts[0].sum()
+    budget = max(share * counts[0].sum(), 2 * trees * leaf)  # two leaves of each tree at least
     parts = [np.maximum(1, -(-c // PART)) for c in counts]
 
     @lean
@@ -241,7 +257,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
 
 
 def _ranker(m: int):
-    """Streams rows sorted by leaf, queries first: the m best rows of each leaf for each of its queries."""
+    """Streams rows sorted by leaf, queries first: the m best rows of each leaf for each of its queries, equal scores by the
+    smaller id. Products of unit vectors choose, with room for rounding; what they choose is ranked by its exact cosine."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,14 +274,19 @@ def _ranker(m: int):
                 for first in range(0, len(qids), BLOCK):
                     q = np.frombuffer(b"".join(qs[first : first + BLOCK]), np.float64).reshape(-1, data.shape[1])
                     s = unit(q) @ near.T
-                    n = min(2 * m, len(own))
-                    top = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                    exact = cosines(q.repeat(n, 0), data[top.ravel()]).reshape(len(q), n)
-                    for j in range(len(q)):
-                        kept = best.setdefault(first + j, [])
-                        kept.extend(zip((-exact[j]).tolist(), own[top[j]].tolist()))
-                        kept.sort()
-                        del kept[m:]
+                    n = min(m, len(own))
+                    cut = np.partition(s, len(own) - n, axis=1)[:, len(own) - n]
+                    at, row = np.nonzero(s >= cut[:, None] - 1e-9)
+                    exact = np.concatenate([cosines(q[at[i : i + PAIRS]], data[row[i : i + PAIRS]]) for i in range(0, len(at), PAIRS)])
+                    order = np.lexsort((own[row], -exact, at))
+                    at, row, exact = at[order], row[order], exact[order]
+                    first_of = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                    good = np.arange(len(at)) - np.repeat(first_of, np.diff(np.r_[first_of, len(at)])) < m
+                    found: dict[int, list] = {}
+                    for j, e, i in zip(at[good].tolist(), (-exact[good]).tolist(), own[row[good]].tolist()):
+                        found.setdefault(j, []).append((e, i))
+                    for j, rows in found.items():
+                        best[first + j] = sorted(best.get(first + j, []) + rows)[:m]
             ids.clear()
             vs.clear()
 
