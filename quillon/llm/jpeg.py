@@ -211,8 +211,8 @@ def _slow(kind: str, frame: Frame, scan: list[Component], dc: list[dict], ac: di
                         run -= 1
 
 
-def decode(data: bytes) -> Frame:
-    """The coefficients of a progressive JPEG."""
+def decode(data: bytes, max_pixels: int | None = None) -> Frame:
+    """The coefficients of a progressive JPEG. Broken files raise errors of several kinds; so does a frame of more than max_pixels."""
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG")
     at, quant, tables, restart, frame = 2, {}, {}, 0, None
@@ -240,8 +240,14 @@ def decode(data: bytes) -> Frame:
             bits, high, wide, n = struct.unpack_from(">BHHB", body)
             if bits != 8:
                 raise ValueError("8-bit samples only")
+            if frame is not None or not (high and wide and n in (1, 3)) or len(body) != 6 + 3 * n:
+                raise ValueError("one frame of one or three components")
+            if max_pixels is not None and high * wide > max_pixels:
+                raise ValueError(f"{wide} x {high} pixels are more than {max_pixels}")
             frame = Frame(wide, high, [Component(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)], quant)
             hm, vm = max(c.h for c in frame.components), max(c.v for c in frame.components)
+            if any(not 1 <= c.h <= 4 or not 1 <= c.v <= 4 or hm % c.h or vm % c.v for c in frame.components):
+                raise ValueError("sampling factors")
             for c in frame.components:
                 c.wide, c.high = -(-(-(-wide * c.h // hm)) // 8), -(-(-(-high * c.v // vm)) // 8)
                 c.full_wide, c.full_high = -(-wide // (8 * hm)) * c.h, -(-high // (8 * vm)) * c.v

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -32,12 +33,12 @@ def features(tensor: np.ndarray) -> str:
     return f"{tensor.shape[0]}x{tensor.shape[1]}:" + ",".join(f"{m:.2f}/{d:.2f}" for m, d in zip(mean, dev))
 
 
-def decode_images(df: DataFrame, media_col: str = "media", id_col: str = "doc_id") -> DataFrame:
+def decode_images(df: DataFrame, media_col: str = "media", id_col: str = "doc_id", max_pixels: int = 1 << 26) -> DataFrame:
     """A column of progressive JPEG files as full-resolution RGB tensors: doc_id, height, width, tensor (bytes,
     row by row, three to a pixel), error.
 
-    Null media give null tensors; files that can't be read give null tensors and a message, and the
-    rest go on. Repeated rows stay; other columns are not read."""
+    Null media give null tensors; files that can't be read, and those whose header states more than max_pixels (nothing is
+    allocated for them), give null tensors and a message, and the rest go on. Repeated rows stay; other columns are not read."""
     tune(df.sparkSession)
 
     @lean
@@ -47,9 +48,9 @@ def decode_images(df: DataFrame, media_col: str = "media", id_col: str = "doc_id
                 h = w = raw = err = None
                 if data is not None:
                     try:
-                        t = jpeg.rgb(jpeg.decode(data))
+                        t = jpeg.rgb(jpeg.decode(data, max_pixels))
                         h, w, raw = t.shape[0], t.shape[1], t.tobytes()
-                    except (ValueError, IndexError, KeyError) as e:
+                    except (ValueError, IndexError, KeyError, OverflowError, TypeError, ZeroDivisionError, struct.error) as e:
                         err = str(e) or type(e).__name__
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([doc], pa.int64()), pa.array([h], pa.int32()), pa.array([w], pa.int32()), pa.array([raw], pa.binary()), pa.array([err], pa.string())],
