@@ -1,19 +1,23 @@
-"""Near copies: documents whose sets of five-word shingles agree to 0.8 or more (Jaccard), by min-hash bands.
-
-1. Signatures: texts with the same shingles are one node from here on. Of each node's shingles the least of 64 hash
-   functions are taken; four at a time make a band, and nodes that share a band meet.
-2. Trees: where few nodes meet, all are paired that signatures let pass; where many meet, each one is paired with a few most
-   similar before it, so a large group's pairs grow with its members, not their square. Orders differ by band.
-3. Verification: both texts of a pair are read and their shingles compared; only pairs of 0.8 or more are links.
-   Links are merged to components.
-
-A pair at 0.8 shares no band with a chance of 0.0002. No link is wrong; links can be missed where the pairs that
-a member of a large group makes fail and another would not.
+"""SimHash near copies at a similarity: documents whose sets of five-word shingles agree to 0.8 or more (Jaccard).
+
+Copies at 0.8 lie about 0.15 of all bits apart, too far for one ball around a 64-bit fingerprint. So a fingerprint is longer here: parts
+of BITS bits, each with a Hamming ball of its own, and a word of 64 more bits for checks.
+
+1. Fingerprints: texts with the same shingles are one node from here on. A bit is 1 if it is set in over half of a node's shingle hashes.
+2. Balls: two nodes meet at a part if it differs in one bit at most. Half of that radius is rounded down for parts with an even
+   number of set bits, which emit themselves, and up for the others, which emit all variants at one bit. Variants are shuffled
+   in blocks. As many parts are made as let a pair at 0.8 meet with a chance of 0.95 (0.99 at 0.85, 0.999 at 0.9).
+3. Pairs: nodes that meet are compared by their check words. Where a node has few partners at a variant, all pairs are taken; where it
+   has many (a large group of copies), a few nearest ones, so a group's pairs grow with its members, not with their square.
+4. Verification: both texts of a pair are read and their shingles compared; only pairs of 0.8 or more are links, which are merged
+   to components. Where partners were left out, those in other components are taken up in further rounds, each with four times
+   as many, until none is left: what is left out is only what a component holds already.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import acos, ceil, log, pi
 
 import numpy as np
 import pyarrow as pa
@@ -23,25 +27,49 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .rewrite import PACKED, pack_texts, raw_text, unpacked
+from .simhash import block_of, is_odd, majority
 from .substring_dedup import prefix_sums, run_hashes, word_hashes
-from .util import lean, tune, written
+from .util import lean, nameless, tune, written
 
 SHINGLE = 5
 SIMILAR = 0.8
-BANDS, ROWS = 16, 4
-#: Share of a signature from which a pair is verified: four standard deviations below SIMILAR.
-MAYBE = 0.6
-#: Members of a meeting up to which all its pairs are taken; of larger ones, pairs for each member.
-SMALL, FEW = 24, 8
-#: Share from which a member is surely a copy and needs not stand for itself in later blocks of a meeting, and the size of those.
-ALIKE = 0.95
-BLOCK = 2048
+#: Bits of a part. About n * (BITS + 1) / 2^(BITS + 1) of n unlike nodes meet at a variant: a few up to some ten million.
+BITS, MEET = 20, 0.95
+
+
+def differing(similar: float) -> float:
+    """The share of bits in which fingerprints of sets with this similarity differ: the angle between them."""
+    return acos(2 * similar / (1 + similar)) / pi
+
+
+def parts_for(bits: int, similar: float = SIMILAR, meet: float = MEET) -> int:
+    """How many parts let a pair meet with the chance aimed at: one bit of a part may differ."""
+    p = differing(similar)
+    one = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
+    return ceil(log(1 - meet) / log(1 - one))
+
+
+PARTS = parts_for(BITS)
+WORDS = -(-PARTS * BITS // 64) + 1
+#: Differing bits of check words up to which a pair is verified (two standard deviations over what 0.8 gives), and up to which
+#: a member surely has a copy before it, and needs not stand for itself in later blocks of a meeting.
+MAYBE, SURE = 16, 3
+#: Members of a meeting up to which pairs are found by shifts of whole blocks of variants.
+SMALL = 16
+#: Partners of a node at a variant in the first round.
+FEW = 8
+#: Nodes of a meeting that are compared with those before them at once.
+AT_ONCE = 1024
+#: Variants in a block, and of a node on average.
+BLOCK = 2_000_000
+PER_NODE = PARTS * (BITS + 1) / 2
+NODES_A_TASK = 10_000
+ROW = np.dtype([("key", "<u4"), ("node", "<i8"), ("check", "<u8")])
 
 _rng = np.random.default_rng(42)
-_MASKS, _FACTORS = (_rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) for _ in range(2))
+_MASKS, _FACTORS, _AGAIN = (_rng.integers(0, 1 << 64, WORDS, dtype=np.uint64) for _ in range(3))
 _FACTORS |= np.uint64(1)
-_ROW_FACTORS = _rng.integers(0, 1 << 64, ROWS, dtype=np.uint64) | np.uint64(1)
-_BAND_TAGS = _rng.integers(0, 1 << 64, BANDS, dtype=np.uint64)
+_AGAIN |= np.uint64(1)
 
 
 def shingles(raw: bytes) -> np.ndarray:
@@ -58,45 +86,41 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def least_hashes(own: np.ndarray) -> np.ndarray:
-    out = np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for at in range(0, len(own), 4096):
-        out = np.minimum(out, ((own[at : at + 4096, None] ^ _MASKS) * _FACTORS).min(axis=0))
-    return out
-
-
-def band_keys(least: np.ndarray) -> np.ndarray:
-    """Rows of least hashes to rows of BANDS keys."""
-    h = (least.reshape(-1, BANDS, ROWS) * _ROW_FACTORS).sum(axis=2, dtype=np.uint64) ^ _BAND_TAGS
+def long_fingerprint(own: np.ndarray) -> tuple[np.ndarray, int]:
+    """The parts (uint32) and the check word of a set of shingles."""
+    h = (own[:, None] ^ _MASKS) * _FACTORS
     h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return h ^ h >> np.uint64(29)
+    h *= _AGAIN
+    h ^= h >> np.uint64(29)
+    bits = majority(h)
+    parts = (bits[: PARTS * BITS].reshape(PARTS, BITS) << np.arange(BITS)).sum(axis=1).astype(np.uint32)
+    return parts, int(np.packbits(bits[-64:], bitorder="little").view("<u8")[0])
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, key, node, sketch, bands): key is of the text, node of the set of shingles (0 for none, whose sketch and bands are
-    null); sketch has a byte per hash function. Rows without id are left out."""
+    """(doc_id, key, node, check, parts): key is of the text, node of the set of shingles (0 for none, whose check and parts are
+    null). Rows without id are left out."""
     tune(df.sparkSession)
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, sketches, bands = [], [], []
+            nodes, checks, parts = [], [], []
             for text in b.column("text").to_pylist():
                 own = shingles(raw_text(text))
                 if not len(own):
                     nodes.append(0)
-                    sketches.append(None)
-                    bands.append(None)
+                    checks.append(None)
+                    parts.append(None)
                     continue
-                least = least_hashes(own)
+                part, check = long_fingerprint(own)
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes(), 5) - (1 << 63))
-                sketches.append((least >> np.uint64(24)).astype(np.uint8).tobytes())
-                bands.append(band_keys(least).tobytes())
-            cols = [b.column("doc_id"), b.column("key"), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(bands, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "node", "sketch", "bands"])
+                checks.append(check - (1 << 63))
+                parts.append(part.tobytes())
+            cols = [b.column("doc_id"), b.column("key"), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(parts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "node", "check", "parts"])
 
-    return _named(df, id_col, text_col).mapInArrow(run, "doc_id long, key long, node long, sketch binary, bands binary")
+    return _named(df, id_col, text_col).mapInArrow(run, "doc_id long, key long, node long, check long, parts binary")
 
 
 def _named(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -104,74 +128,167 @@ def _named(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
-def tree(sketches: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (i, j), j before i. Where up to SMALL meet, all pairs that sketches let pass; in larger meetings for each i the
-    FEW most similar, or one if that is surely a copy."""
-    n, out = sketches.shape[1], []
-    few = len(sketches) if len(sketches) <= SMALL else FEW
+def variants(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of parts: the keys (part number and variant) of all balls, and the row of each."""
+    odd = is_odd(parts)
+    tag = (np.arange(PARTS, dtype=np.uint32) << np.uint32(BITS))[None, :]
+    even_at, odd_at = np.nonzero(~odd), np.nonzero(odd)
+    flips = np.uint32(1) << np.arange(BITS, dtype=np.uint32)
+    around = ((parts | tag)[odd_at][:, None] ^ flips).ravel()
+    return np.concatenate(((parts | tag)[even_at], around)), np.concatenate((even_at[0], np.repeat(odd_at[0], BITS)))
+
+
+def tree(checks: np.ndarray, few: int, groups: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs (i, j), j before i, of members of one meeting whose check words pass, and whether partners were left out. Of each i the `few`
+    nearest are taken, or one if that is surely a copy. groups: only pairs of unlike groups count, and none is surely a copy."""
+    out_i, out_j, cut = [], [], False
     ahead = np.empty(0, np.int64)  # of earlier blocks, those that nothing before them stands for
-    for first in range(0, len(sketches), BLOCK):
-        here = np.arange(first, min(first + BLOCK, len(sketches)))
-        pool, new = np.concatenate((ahead, here)), []
-        rows = sketches[pool]
-        for k in range(len(ahead), len(pool)):
-            same = np.count_nonzero(rows[:k] == rows[k], axis=1)
-            best = int(same.max(initial=0))
-            if best >= ALIKE * n and few == FEW:
-                near = [int(same.argmax())]
-            else:
-                near = np.flatnonzero(same >= MAYBE * n)
-                near = near[np.argsort(-same[near], kind="stable")[:few]].tolist()
-            out += [(int(pool[k]), int(pool[j])) for j in near]
-            if best < ALIKE * n:
-                new.append(pool[k])
-        ahead = np.concatenate((ahead, np.array(new, np.int64)))
-    return out
+    for first in range(0, len(checks), AT_ONCE):
+        here = np.arange(first, min(first + AT_ONCE, len(checks)))
+        pool = np.concatenate((ahead, here))
+        far = np.bitwise_count(checks[here][:, None] ^ checks[pool]).astype(np.int16)
+        far[pool >= here[:, None]] = 99
+        if groups is not None:
+            far[groups[here][:, None] == groups[pool]] = 99
+        sure = (far.min(axis=1) <= SURE) & (groups is None)
+        n = np.where(sure, 1, np.minimum((far <= MAYBE).sum(axis=1), few))
+        cut |= bool(((far <= MAYBE).sum(axis=1) > n).any()) or bool(sure.any())
+        some = np.argsort(far, axis=1, kind="stable")[:, : max(1, int(n.max()))]
+        i, k = np.nonzero(np.arange(some.shape[1]) < n[:, None])
+        out_i.append(here[i])
+        out_j.append(pool[some[i, k]])
+        ahead = np.concatenate((ahead, here[~sure]))
+    return np.concatenate(out_i), np.concatenate(out_j), cut
+
+
+def meetings(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (u, v) of nodes of a block of variants, and the rows of meetings where partners were left out."""
+    mixed = (rows["node"].view(np.uint64) ^ rows["key"]) * np.uint64(0x9E3779B97F4A7C15)  # another order at each variant
+    rows = rows[np.lexsort((mixed, rows["key"]))]
+    keys, nodes, checks = (np.ascontiguousarray(rows[c]) for c in ("key", "node", "check"))
+    edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
+    sizes = np.diff(edges)
+    big = np.repeat(sizes > SMALL, sizes)
+    u, v, rest = [], [], []
+    for d in range(1, SMALL):
+        if not (same := (keys[d:] == keys[:-d]) & ~big[d:]).any():
+            break
+        at = np.flatnonzero(same)
+        at = at[np.bitwise_count(checks[at] ^ checks[at + d]) <= MAYBE]
+        u.append(nodes[at])
+        v.append(nodes[at + d])
+    for i in np.flatnonzero(sizes > SMALL).tolist():
+        own = slice(edges[i], edges[i + 1])
+        a, b, cut = tree(checks[own], FEW)
+        u.append(nodes[own][a])
+        v.append(nodes[own][b])
+        if cut:
+            rest.append(rows[own])
+    none = np.empty(0, np.int64)
+    u, v = np.concatenate([none, *u]), np.concatenate([none, *v])
+    pairs = np.unique(np.stack((np.minimum(u, v), np.maximum(u, v)), 1), axis=0)
+    return pairs[:, 0], pairs[:, 1], np.concatenate(rest) if rest else rows[:0]
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """(u, v): pairs of nodes to be verified. nodes: (node, sketch, bands), each node once."""
+    """(u, v, variant, rows): pairs of nodes to be verified, and the rows of variants where partners were left out. nodes: (node,
+    check, parts), each node once. Variants travel in blocks, chosen by a hash of the variant, whose number follows the nodes'."""
+    n = nodes.count()
+    blocks, tasks = max(1, int(n * PER_NODE / BLOCK)), max(1, -(-n // NODES_A_TASK))
 
     @lean
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                keys = np.frombuffer(b"".join(b.column("bands").to_pylist()), np.int64)
-                at = pa.array(np.repeat(np.arange(b.num_rows), BANDS))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), b.column("node").take(at), b.column("sketch").take(at)], ["band", "node", "sketch"])
+            if not b.num_rows:
+                continue
+            parts = np.frombuffer(b"".join(b.column("parts").to_pylist()), np.uint32).reshape(-1, PARTS)
+            keys, at = variants(parts)
+            rows = np.empty(len(keys), ROW)
+            rows["key"] = keys
+            rows["node"] = b.column("node").to_numpy()[at]
+            rows["check"] = b.column("check").to_numpy().view(np.uint64)[at]
+            block = block_of(keys.astype(np.uint64), blocks)
+            order = np.argsort(block.astype(np.uint16 if blocks <= 1 << 16 else np.uint64), kind="stable")
+            block, rows = block[order], rows[order]
+            cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
+            for i in range(0, len(cuts) - 1, 512):
+                own = cuts[i : i + 513].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(block[own[:-1]].astype(np.int64)), pa.array([rows[x:y].tobytes() for x, y in zip(own, own[1:])], pa.binary())], ["block", "variants"])
 
     @lean
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, nodes = np.empty(0, np.int64), np.empty(0, np.int64)
-        sketches = np.empty((0, BANDS * ROWS), np.uint8)
-
-        def found(n: int) -> pa.RecordBatch:
-            cuts = np.flatnonzero(np.r_[True, bands[1:n] != bands[: n - 1], True])
-            u, v = [], []
-            for i in np.flatnonzero(np.diff(cuts) > 1).tolist():
-                at = np.arange(cuts[i], cuts[i + 1])
-                at = at[np.argsort((nodes[at] ^ bands[at]).view(np.uint64) * _FACTORS[0])]  # another order in each band
-                for a, b in tree(sketches[at]):
-                    u.append(nodes[at[a]])
-                    v.append(nodes[at[b]])
-            u, v = np.array(u, np.int64), np.array(v, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+        block, held = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if held:
+                u, v, rest = meetings(np.frombuffer(b"".join(held), ROW))
+                held.clear()
+                yield from _pairs(u, v)
+                cuts = np.flatnonzero(np.r_[True, rest["key"][1:] != rest["key"][:-1], True]) if len(rest) else []
+                for x, y in zip(cuts[:-1], cuts[1:]):
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([int(rest["key"][x])], pa.int64()), pa.array([rest[x:y].tobytes()], pa.binary())], ["u", "v", "variant", "rows"])
 
         for b in batches:
-            if not b.num_rows:
-                continue
-            bands = np.concatenate((bands, b.column("band").to_numpy()))
-            nodes = np.concatenate((nodes, b.column("node").to_numpy()))
-            sketches = np.concatenate((sketches, np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)))
-            whole = int(np.searchsorted(bands, bands[-1]))  # the last band may go on in the next batch
-            if whole:
-                yield found(whole)
-                bands, nodes, sketches = bands[whole:], nodes[whole:], sketches[whole:]
-        if len(bands):
-            yield found(len(bands))
+            for here, rows in zip(b.column("block").to_pylist(), b.column("variants").to_pylist()):
+                if here != block:
+                    yield from close()
+                    block = here
+                held.append(rows)
+        yield from close()
+
+    dealt = nodes.repartition(tasks, "node").mapInArrow(spread, "block long, variants binary").repartition("block").sortWithinPartitions("block")
+    return dealt.mapInArrow(meet, "u long, v long, variant long, rows binary")
+
+
+def _pairs(u: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(u), 100_000):
+        k = len(u[i : i + 100_000])
+        yield pa.RecordBatch.from_arrays([pa.array(u[i : i + k]), pa.array(v[i : i + k]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], ["u", "v", "variant", "rows"])
+
+
+def left_out(rest: DataFrame, comp: DataFrame, few: int) -> DataFrame:
+    """(u, v, variant, rows) again, of meetings (variant, rows) whose members lie in several components: pairs across these."""
+
+    @lean
+    def loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for variant, raw in zip(b.column("variant").to_pylist(), b.column("rows").to_pylist()):
+                rows = np.frombuffer(raw, ROW)
+                for i in range(0, len(rows), 100_000):
+                    own = rows[i : i + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), variant)), pa.array(np.ascontiguousarray(own["node"])), pa.array(np.ascontiguousarray(own["check"]).view(np.int64))], ["variant", "node", "check"])
+
+    @lean
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        variant, held = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if held:
+                nodes, checks, groups = (np.concatenate(x) for x in zip(*held))
+                held.clear()
+                if len(np.unique(groups)) == 1:
+                    return
+                a, b, cut = tree(checks.view(np.uint64), few, groups)
+                yield from _pairs(np.minimum(nodes[a], nodes[b]), np.maximum(nodes[a], nodes[b]))
+                if cut:
+                    rows = np.empty(len(nodes), ROW)
+                    rows["key"], rows["node"], rows["check"] = variant, nodes, checks.view(np.uint64)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([variant], pa.int64()), pa.array([rows.tobytes()], pa.binary())], ["u", "v", "variant", "rows"])
+
+        for b in batches:
+            keys = b.column("variant").to_numpy()
+            cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True]) if len(keys) else []
+            for x, y in zip(cuts[:-1], cuts[1:]):
+                if keys[x] != variant:
+                    yield from close()
+                    variant = int(keys[x])
+                held.append(tuple(b.column(c).to_numpy()[x:y] for c in ("node", "check", "group")))
+        yield from close()
 
-    dealt = nodes.mapInArrow(spread, "band long, node long, sketch binary").repartition("band").sortWithinPartitions("band", "node")
-    return dealt.mapInArrow(meet, "u long, v long").distinct()
+    single = rest.mapInArrow(loose, "variant long, node long, check long")
+    named = single.join(comp.select("node", F.col("component").alias("group")), "node", "left").select("variant", "node", "check", F.coalesce("group", "node").alias("group"))
+    mixed = named.groupBy("variant").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("variant")
+    return named.join(mixed, "variant").repartition("variant").sortWithinPartitions("variant", "node").mapInArrow(meet, "u long, v long, variant long, rows binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -198,22 +315,45 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of df whose id is the smallest of its group of near copies; all columns stay as they are.
 
     Rows that agree in id and text are one document, of which one row stays; unlike texts under one id are documents of
-    their own. Null texts and texts without words are copies of each other. Rows with a null id stay and are
+    their own (ties by a hash of the text). Null texts and texts without words are copies of each other. Rows with a null id stay and are
     nobody's copy. An empty table stays empty."""
-    prints = written(signatures(df, id_col, text_col), "prints")
+    plain, names = nameless(df)
+    i, t = (names[df.columns.index(c)] for c in (id_col, text_col))
+    prints = written(signatures(plain, i, t), "prints")
     least = prints.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("least"))
-    nodes = prints.where("sketch is not null").select("node", "sketch", "bands").dropDuplicates(["node"])
-    pairs = written(candidates(nodes), "pairs")
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(least, "node")
-    read = ends.select("node", F.col("least.doc_id").alias("__id"), F.col("least.key").alias("__of"))
-    packed = pack_texts(_named(df, id_col, text_col))
-    texts = packed.join(read, (packed["doc_id"] == read["__id"]) & (packed["key"] == read["__of"])).select("node", PACKED).dropDuplicates(["node"])
-    comp = connected_components(verified(pairs, written(texts, "texts")))
+    nodes = written(prints.where("check is not null").select("node", "check", "parts").dropDuplicates(["node"]), "nodes")
+    comp = linked(nodes, least, _named(plain, i, t))
     own = least.join(comp, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("least").alias("least"))
-    kept = own.select(F.col("least.doc_id").alias("__kept"), F.col("least.key").alias("__of"))
-    named = df.withColumn("__key", F.xxhash64(F.col(text_col).cast("string")))
-    out = named.join(kept, (named[id_col] == kept["__kept"]) & (named["__key"] == kept["__of"]), "left_semi")
+    kept = own.select(F.col("least.doc_id").alias("kept"), F.col("least.key").alias("of"))
+    named = plain.withColumn("key", F.xxhash64(F.col(t).cast("string")))
+    out = named.join(kept, (F.col(i) == F.col("kept")) & (F.col("key") == F.col("of")), "left_semi")
     rows, docs = prints.agg(F.count("*"), F.countDistinct("doc_id", "key")).first()
     if rows != docs:
-        out = out.dropDuplicates([id_col, "__key"])
-    return out.drop("__key").unionByName(df.where(F.col(id_col).isNull()))
+        out = out.dropDuplicates([i, "key"])
+    return out.drop("key").unionByName(plain.where(F.col(i).isNull())).toDF(*df.columns)
+
+
+def linked(nodes: DataFrame, least: DataFrame, named: DataFrame) -> DataFrame:
+    """(node, component) of nodes that have links. named: (doc_id, key, text) of all documents, of which least (node, least) names one for
+    each node."""
+    packed = pack_texts(named)
+    few, links, tested = FEW, None, None
+    found = written(candidates(nodes), "met")
+    while True:
+        pairs = found.where("u is not null").select("u", "v").distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["u", "v"], "left_anti")
+        pairs = written(pairs, "pairs")
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(least, "node")
+        read = ends.select("node", F.col("least.doc_id").alias("__id"), F.col("least.key").alias("__of"))
+        texts = packed.join(read, (packed["doc_id"] == read["__id"]) & (packed["key"] == read["__of"])).select("node", PACKED).dropDuplicates(["node"])
+        new = written(verified(pairs, written(texts, "texts")), "links")
+        links, tested = (new, pairs) if links is None else (links.unionByName(new), tested.unionByName(pairs))
+        comp = connected_components(links)
+        rest = found.where("rows is not null").select("variant", "rows")
+        if rest.isEmpty():
+            return comp
+        few *= 4
+        found = written(left_out(rest, comp, few), "met")
+        if found.isEmpty():
+            return comp
