@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+import pytest
 from conftest import SF
 from helpers import AWKWARD, docs
 
@@ -60,11 +62,46 @@ def test_unlike_texts_of_one_id_stay(spark):
 
 
 def test_large_meetings_make_few_pairs(monkeypatch):
-    monkeypatch.setattr(near_copies, "BLOCK", 16)
+    monkeypatch.setattr(near_copies, "AT_ONCE", 16)
     sets = [near_copies.shingles(" ".join(edited(random.Random(i), [f"w{k}" for k in range(300)], 2)).encode()) for i in range(100)]
-    rows = [(near_copies.least_hashes(s) >> 24).astype("u1") for s in sets]
-    pairs = near_copies.tree(near_copies.np.array(rows))
-    assert {i for i, _ in pairs} == set(range(1, 100)) and all(j < i for i, j in pairs) and len(pairs) <= 99 * near_copies.FEW
+    checks = np.array([near_copies.long_fingerprint(s)[1] for s in sets], np.uint64)
+    i, j, cut = near_copies.tree(checks, near_copies.FEW)
+    assert set(i.tolist()) == set(range(1, 100)) and (j < i).all() and len(i) <= 99 * near_copies.FEW and cut
+
+
+def test_parts_meet_within_one_bit():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 1 << near_copies.BITS, near_copies.PARTS).astype(np.uint32)
+    for bits in range(4):
+        flips = [sum(1 << int(k) for k in rng.choice(near_copies.BITS, bits, replace=False)) for _ in a]
+        keys = [set(near_copies.variants(x[None])[0].tolist()) for x in (a, a ^ np.array(flips, np.uint32))]
+        met = {k >> near_copies.BITS for k in keys[0] & keys[1]}
+        assert len(met) == near_copies.PARTS if bits < 2 else bits == 2 or not met
+
+
+def test_pairs_at_0_8_meet():
+    """Sets of 900 shingles that share 800: the share that meets and passes the check words."""
+    rng = np.random.default_rng(4)
+    found = 0
+    for _ in range(200):
+        a, b = (rng.integers(0, 1 << 64, n, dtype=np.uint64) for n in (900, 100))
+        (p, x), (q, y) = (near_copies.long_fingerprint(s) for s in (a, np.concatenate((a[:800], b))))
+        found += bool(np.intersect1d(near_copies.variants(p[None])[0], near_copies.variants(q[None])[0]).size) and (x ^ y).bit_count() <= near_copies.MAYBE
+    assert found >= 0.93 * 200
+
+
+@pytest.mark.parametrize(("few", "edits"), [(1, 9), (2, 12), (8, 5)])
+def test_large_groups_lose_no_link(spark, monkeypatch, few, edits):
+    """Groups that are just similar enough, with few partners at first: later rounds find what is left."""
+    monkeypatch.setattr(near_copies, "FEW", few)
+    monkeypatch.setattr(near_copies, "SMALL", 4)
+    rng = random.Random(few)
+    data = []
+    for k in range(3):
+        base = [f"b{k}_{i}" for i in range(400)]
+        data += [(len(data), " ".join(edited(rng, base, edits))) for _ in range(60)]
+    got = corpus_pipeline.near_dedup(spark, docs(spark, data), SF)
+    assert sorted(r["doc_id"] for r in got.select("doc_id").collect()) == brute_kept(data)
 
 
 def test_edges(spark):

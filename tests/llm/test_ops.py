@@ -1,7 +1,9 @@
 import hashlib
+import os
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -82,6 +84,66 @@ def test_language_edges(spark, awkward, empty):
     assert none.languages == [] and {r["lang_pred"] for r in lang_id.identify(awkward, none).collect()} == {"und"}
 
 
+def test_eighty_languages(spark):
+    rng = random.Random(8)
+    words = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(40)] for k in range(80)}
+    data = [(i, " ".join(rng.choices(words[lang], k=30)), lang) for i, lang in enumerate(list(words) * 6)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    got = lang_id.identify_held_out(df).join(df.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
+    assert (got["lang"] == got["lang_pred"]).mean() > 0.95 and got["lang"].nunique() > 70
+    with pytest.raises(ValueError, match="languages"):
+        lang_id.train(df, max_languages=79)
+
+
+def test_language_query_against_brute_force(spark):
+    """The whole query again, word by word in plain Python, from the counts of all its training texts."""
+    d = table(spark, "documents").select("doc_id", "text", "lang").collect()
+    learn = [r for r in d if r["text"] is not None and r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1]
+    langs = sorted({r["lang"] for r in learn})
+    words_of = lambda t: [m[0] for m in re.finditer(r"[^\W\d_]+", lang_id._lower(t))]
+    counts = {x: [Counter(), Counter()] for x in langs}
+    scripts = {x: Counter() for x in langs}
+    script = lambda w: lang_id.NAMES[lang_id.SCRIPT[np.searchsorted(lang_id.FIRST, ord(w[0]), side="right") - 1]]
+
+    def grams(w):
+        g = lang_id.words_of(w).grams
+        return g[0].tolist(), g[1].tolist()
+
+    for r in learn:
+        for w in words_of(r["text"].lower()):
+            for c, g in zip(counts[r["lang"]], grams(w)):
+                c.update(g)
+            scripts[r["lang"]][script(w)] += len(w)
+    total = {x: [sum(c.values()) + 0.5 * lang_id.BUCKETS for c in counts[x]] for x in langs}
+    logs = {}
+    for r in learn + d:
+        for w in words_of(r["text"] or ""):
+            if w not in logs:
+                said = [sum(np.log((counts[x][k][g] + 0.5) / total[x][k]) for k in (0, 1) for g in grams(w)[k]) for x in langs]
+                able = [scripts[x][script(w)] >= 0.01 * max(1, sum(scripts[x].values())) for x in langs]
+                said = np.array(said) - max(said)
+                logs[w] = np.where(able, said, lang_id.NEVER) if any(able) else np.zeros(len(langs))
+    got = {r["doc_id"]: r for r in lang_id.identify_held_out(table(spark, "documents")).collect()}
+    unlike = 0
+    for r in d:
+        words = words_of(r["text"] or "")
+        v, back = np.zeros(len(langs)), []
+        for w in words:
+            stay = v >= v.max() - 8.0
+            back.append(np.where(stay, np.arange(len(langs)), v.argmax()))
+            v = np.maximum(v, v.max() - 8.0) + logs[w]
+        weight, at = np.zeros(len(langs)), int(v.argmax())
+        for w, b in zip(reversed(words), reversed(back)):
+            weight[at] += len(w)
+            at = b[at]
+        have = got[r["doc_id"]]
+        if not words:
+            assert (have["lang_pred"], have["score"]) == ("und", 0.0)
+        else:
+            unlike += have["lang_pred"] != langs[weight.argmax()] or abs(have["score"] - weight.max() / weight.sum()) > 1e-9
+    assert unlike <= 0.01 * len(d)  # near ties may go either way in single precision
+
+
 def test_mixed_text_has_spans(spark):
     model = lang_id.train(table(spark, "documents"))
     text = "the this that with and of shthat nting " * 4 + "der einer nicht ungeheit schlich achkeit " * 4
@@ -116,7 +178,6 @@ def ids_of(name, text):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.path(name))
-    tok.encode_special_tokens = True
     return tok.encode(text or "", add_special_tokens=False).ids
 
 
@@ -131,6 +192,14 @@ def test_token_store_edges(spark, awkward, empty):
     assert token_store.read_token_store(token_store.write_token_store(empty)).count() == 0
 
 
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "a<|endoftext|>b", "it's", "<|", "word ", "\n", "x<|endoftext|>", "Ünï"]), max_size=8))
+def test_added_tokens_are_the_librarys(each):
+    text = " ".join(each)
+    for name, spaced in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        assert WordCodec(P.path(name), spaced).encode([text])[0].tolist() == ids_of(name, text)
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1), max_size=50), max_size=8), st.integers(1, 40), st.sampled_from([1, 8]))
 def test_shards_round_trip(each, block, bits):
@@ -281,6 +350,30 @@ def test_nearest_edges(spark):
     assert ann.nearest(df.where("false"), df).count() == 0
 
 
+def test_nearest_ties_and_widths(spark):
+    v = [0.3, -1.25, 0.5]
+    data = [(i, [x * 2.0 ** (i % 13 - 6) for x in v]) for i in range(400, 100, -1)] + [(50, v)]
+    data += [(1000 + i, [float(i + 1), 2.0]) for i in range(9)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.where("vec_id in (50, 1000)")).orderBy("query_id", "rank").collect()
+    assert [r["vec_id"] for r in got[:5]] == [101, 102, 103, 104, 105] and {r["score"] for r in got[:5]} == {got[0]["score"]}
+    wide = [(i, w) for i, w in data if len(w) == 2]
+    assert [tuple(r) for r in got[5:]] == brute_nearest(wide, [1000])
+    many = spark.createDataFrame([(i, [1.0] * (i + 1)) for i in range(20)], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="lengths"):
+        ann.nearest(many, many)
+
+
+def test_nearest_recall_on_the_table(spark):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet") if os.path.exists("/root/testdata/sf0.1/embeddings.parquet") else table(spark, "embeddings")
+    data = {r["vec_id"]: r["embedding"] for r in e.collect()}
+    want = brute_nearest(list(data.items()), [i for i in data if i % 50 == 0])
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in ann.nearest(e, e.where("vec_id % 50 = 0")).collect()}
+    hits = [(q, i) for q, _, i, _ in want if (q, i) in got]
+    assert len(got) == len(want) and len(hits) >= 0.9 * len(want)
+    assert all(abs(got[q, i] - s) < 1e-12 for q, _, i, s in want if (q, i) in got)
+
+
 def test_nearest_recall_through_the_forest(spark, monkeypatch):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(40, 16))
