@@ -10,7 +10,7 @@ of BITS bits, each with a Hamming ball of its own, and a word of 64 more bits fo
 3. Pairs: nodes that meet are compared by their check words. Where a node has few partners at a variant, all pairs are taken; where it
    has many (a large group of copies), a few nearest ones, so a group's pairs grow with its members, not with their square.
 4. Verification: both texts of a pair are read and their shingles compared; only pairs of 0.8 or more are links, which are merged
-   to components. Where partners were left out, those in other components are taken up in further rounds, each with four times
+   to components. Where partners were left out, those in other components are taken up in further rounds, each with eight times
    as many, until none is left: what is left out is only what a component holds already.
 """
 
@@ -337,7 +337,7 @@ def linked(nodes: DataFrame, least: DataFrame, named: DataFrame) -> DataFrame:
     """(node, component) of nodes that have links. named: (doc_id, key, text) of all documents, of which least (node, least) names one for
     each node."""
     packed = pack_texts(named)
-    few, links, tested = FEW, None, None
+    few, comp, tested = FEW, None, None
     found = written(candidates(nodes), "met")
     while True:
         pairs = found.where("u is not null").select("u", "v").distinct()
@@ -348,12 +348,15 @@ def linked(nodes: DataFrame, least: DataFrame, named: DataFrame) -> DataFrame:
         read = ends.select("node", F.col("least.doc_id").alias("__id"), F.col("least.key").alias("__of"))
         texts = packed.join(read, (packed["doc_id"] == read["__id"]) & (packed["key"] == read["__of"])).select("node", PACKED).dropDuplicates(["node"])
         new = written(verified(pairs, written(texts, "texts")), "links")
-        links, tested = (new, pairs) if links is None else (links.unionByName(new), tested.unionByName(pairs))
-        comp = connected_components(links)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        if comp is None:
+            comp = connected_components(new)
+        elif not new.isEmpty():  # components so far stand for their links
+            comp = connected_components(comp.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(new))
         rest = found.where("rows is not null").select("variant", "rows")
         if rest.isEmpty():
             return comp
-        few *= 4
+        few *= 8
         found = written(left_out(rest, comp, few), "met")
         if found.isEmpty():
             return comp
