@@ -90,6 +90,24 @@ def safe_json(c: Column) -> Column:
     return F.coalesce(*tried)
 
 
+def table_names(sql: Column) -> Column:
+    """Names behind FROM, JOIN, INTO and UPDATE in a statement, each once, in order of first mention, outside literals and comments.
+    A subquery's opening bracket is no name."""
+    bare = F.regexp_replace(sql, r"(?s)'(?:[^']|'')*'|--[^\n]*|/\*.*?\*/", " ")
+    return F.array_distinct(F.regexp_extract_all(bare, F.lit(r"(?i)\b(?:from|join|into|update)\s+([a-z_][\w.]*)"), F.lit(1)))
+
+
+def iso_format(c: Column) -> Column:
+    """A timestamp in the session's zone as ISO-8601, with microseconds where it has any."""
+    return F.when(F.date_format(c, "SSSSSS") == "000000", F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
+def iso_parse(c: Column) -> Column:
+    """ISO-8601 text (T or a space, seconds and fractions optional, without a zone) as a timestamp; null for anything else."""
+    shaped = c.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$")
+    return F.when(shaped, F.try_to_timestamp(F.replace(c, F.lit("T"), F.lit(" "))))
+
+
 def basename(c: Column) -> Column:
     return F.element_at(F.split(c, "/"), -1)
 

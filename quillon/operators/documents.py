@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +42,7 @@ def directory_metadata(df: DataFrame, path: Column) -> DataFrame:
 
 def split_text(text: str | None, size: int = SIZE, overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
     """Chunks of at most size characters, cut at the coarsest separator that serves, each beginning with the last whole pieces
-    of the one before that fit into overlap. Null and blank texts give none."""
+    of the one before that fit into overlap; where no separator serves, pieces are single characters. Null and blank texts give none."""
 
     def pieces(part: str, seps: tuple[str, ...]) -> list[str]:
         """Parts of at most size characters that make up the text, each with the separator behind it."""
@@ -48,19 +50,19 @@ def split_text(text: str | None, size: int = SIZE, overlap: int = OVERLAP, separ
             return [part]
         sep, rest = next(((s, seps[i + 1 :]) for i, s in enumerate(seps) if s and s in part), ("", ()))
         if not sep:
-            return [part[i : i + size] for i in range(0, len(part), size)]
+            return list(part)
         bits = part.split(sep)
         bits = [b + sep for b in bits[:-1]] + [bits[-1]]
         return [x for b in bits if b for x in pieces(b, rest)]
 
     if text is None or not text.strip():
         return []
-    out, now, length = [], [], 0
+    out, now, length = [], deque(), 0
     for p in pieces(text, separators):
         if length + len(p) > size and now:
             out.append("".join(now))
             while now and (length > overlap or length + len(p) > size):
-                length -= len(now.pop(0))
+                length -= len(now.popleft())
         now.append(p)
         length += len(p)
     return [*out, "".join(now)]
@@ -106,5 +108,5 @@ def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def deduplicated(df: DataFrame) -> DataFrame:
     """One row for each (content, source, title, url), with its smallest ordinal and an id derived from the four."""
     four = ["content", "source", "title", "url"]
-    ident = F.sha2(F.concat_ws("\x1f", *(F.coalesce(c, F.lit("")) for c in four)), 256)
+    ident = F.sha2(F.concat_ws("\x1f", *(F.coalesce(c, F.lit("\x00")) for c in four)), 256)  # a null differs from an empty text
     return df.groupBy(*four).agg(F.min("ordinal").alias("ordinal")).withColumn("id", ident)

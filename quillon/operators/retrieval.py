@@ -50,14 +50,17 @@ def with_documents(hits: DataFrame, docs: DataFrame, hit_col: str = "vec_id", id
 
 def top_k_each(corpus: DataFrame, queries: DataFrame, k: int = K, block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score) for many queries: each task keeps the k best of its rows for every query by matrix
-    products, then one window per query merges them. queries (query_id, vector) go to all tasks in blocks; a block's size
-    is fixed, and more queries mean more passes."""
+    products, then one window per query merges them. Scores that agree to nine decimals are equal, and go to the smaller id.
+    queries (query_id, vector) go to all tasks in blocks dealt by a hash of the id, one block at a time through the driver; a block
+    holds about `block` queries, and more queries mean more passes."""
     spark = corpus.sparkSession
-    ordered = queries.select("query_id", "vector").orderBy("query_id")
-    ids = [r[0] for r in ordered.select("query_id").collect()]
+    asked = queries.select("query_id", "vector").where("query_id is not null and vector is not null").dropDuplicates(["query_id"])
+    blocks = -(-asked.count() // block)
     parts = []
-    for first in range(0, len(ids), block):
-        some = ordered.where((F.col("query_id") >= ids[first]) & (F.col("query_id") <= ids[min(first + block, len(ids)) - 1])).collect()
+    for number in range(blocks):
+        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).collect()
+        if not some:
+            continue
         shared = spark.sparkContext.broadcast((np.array([r[0] for r in some]), np.array([r[1] for r in some], np.float64)))
 
         def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -70,9 +73,11 @@ def top_k_each(corpus: DataFrame, queries: DataFrame, k: int = K, block: int = 4
                     continue
                 x = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
                 s = q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
+                s = np.round(s, 9)
                 n = min(k, len(pdf))
-                at = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                kept.append(pd.DataFrame({"query_id": qid.repeat(n), "vec_id": pdf["vec_id"].to_numpy()[at].ravel(), "score": np.take_along_axis(s, at, 1).ravel()}))
+                row, at = np.nonzero(s >= np.partition(s, len(pdf) - n, axis=1)[:, len(pdf) - n, None])
+                found = pd.DataFrame({"query_id": qid[row], "vec_id": pdf["vec_id"].to_numpy()[at], "score": s[row, at]})
+                kept.append(found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k))
                 if len(kept) > 8:
                     kept = [pd.concat(kept).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)]
             if kept:
@@ -118,6 +123,12 @@ def rerank(df: DataFrame, query: DataFrame, k: int | None = None, id_col: str =
     return again if k is None else again.limit(k)
 
 
+def rerank_size(k: int | None, documents: int, default: int = K) -> int:
+    """How many rows a rerank service returns: a k that isn't given, or equals the number of documents (as clients fill it in), means
+    the default."""
+    return min(documents, default if k is None or k == documents else k)
+
+
 def source_label(method: Column, collection: Column) -> Column:
     kind = F.when(method == "Web upload", "Client upload").when(method == "Local", "Local").when(method == "Processed JSON Import", "Processed JSON Upload").otherwise("Unknown")
     return F.concat(kind, F.lit(" [Collection: "), collection, F.lit("]"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -12,6 +14,10 @@ from ..operators import toolcalls
 from .federation import Federation, relaxations
 
 
+#: Calls worked on at once.
+THREADS = 10
+
+
 class TextModel(Protocol):
     def complete(self, role: str, prompt: str) -> str: ...
 
@@ -56,20 +62,48 @@ class Agent:
                 return self.flags.get(kind, True)
         return True
 
-    def run(self, calls: list[dict]) -> list[dict]:
-        """Results in the order of calls; a failing call gives an error, not an end."""
-        out = []
-        for call in calls:
+    def run(self, calls: list[dict], read: Callable[[DataFrame], object] = lambda df: df) -> list[dict]:
+        """Results in the order of calls; a failing call gives an error, not an end. Up to THREADS calls are worked on at once, with
+        what read does to their DataFrames: jobs of different calls share the cluster."""
+
+        def one(call: dict) -> dict:
             service = call.get("service_id") or call.get("service") or ""
-            if not self.allowed(service):
-                continue
             try:
                 if service not in self.tools:
                     raise LookupError(f"Service {service} not found")
-                out.append({"service_id": service, "status": "success", "result": self.tools[service].call(call.get("params") or call.get("parameters") or {})})
-            except (LookupError, TypeError) as e:
-                out.append({"service_id": service, "status": "error", "error": str(e)})
-        return out
+                found = self.tools[service].call(call.get("params") or call.get("parameters") or {})
+                return {"service_id": service, "status": "success", "result": read(found)}
+            except Exception as e:  # whatever a tool raises is its result
+                return {"service_id": service, "status": "error", "error": str(e).strip().split("\n")[0]}
+
+        wanted = [c for c in calls if self.allowed(c.get("service_id") or c.get("service") or "")]
+        with ThreadPoolExecutor(THREADS) as pool:
+            return list(pool.map(one, wanted))
+
+    def plan(self, question: str, model: TextModel) -> list[dict]:
+        """The calls in a planner's reply, whichever shape it has; no calls where it is no JSON."""
+        try:
+            said = json.loads(model.complete("plan", question))
+        except ValueError:
+            return []
+        said = said.get("tool_calls", said.get("tool_call", said)) if isinstance(said, dict) else said
+        return [c for c in (said if isinstance(said, list) else [said]) if isinstance(c, dict)]
+
+    def answer(self, question: str, model: TextModel, rows: int = 20) -> dict:
+        """Plan, filter, execute, collect and answer: calls, results (at most `rows` rows of each), errors and the model's reply."""
+        calls = self.plan(question, model)
+        ordered = sorted(calls, key=lambda c: self._place(c.get("service_id") or c.get("service") or ""))
+        done = self.run(ordered, lambda df: [r.asDict(True) for r in df.limit(rows).collect()])
+        good = [r for r in done if r["status"] == "success" and r["result"]]
+        errors = [r["error"] for r in done if r["status"] == "error"]
+        found = "\n".join(f"[{r['service_id']}] {json.dumps(r['result'], default=str)}" for r in good)
+        reply = model.complete("response", f"{found}\n\n{question}".strip()) if good or not errors else model.complete("failure", "; ".join(errors))
+        return {"calls": calls, "results": good, "errors": errors, "answered": bool(good), "response": reply}
+
+    @staticmethod
+    def _place(service: str) -> int:
+        low = service.lower()
+        return next((i for i, words in enumerate(toolcalls.ORDER.values()) if any(w in low for w in words)), len(toolcalls.ORDER))
 
 
 def wider_search(federation: Federation, sql: str, attempts: int = 10) -> tuple[str, DataFrame] | None:
@@ -79,3 +113,18 @@ def wider_search(federation: Federation, sql: str, attempts: int = 10) -> tuple[
         if not df.isEmpty():
             return form, df
     return None
+
+
+def wider_everywhere(federation: Federation, sql: str, attempts: int = 10) -> list[dict]:
+    """The same on each database by itself: for each, the form that gave rows and what it gave, or why there is none."""
+
+    def one(db: str) -> dict:
+        alone = Federation(federation.spark, {db: federation.databases[db]}, {k: v for k, v in federation.aliases.items() if k == db}, federation.blocking)
+        try:
+            found = wider_search(alone, sql, attempts)
+        except Exception as e:  # one database's failure ends nothing
+            return {"database": db, "status": "error", "error": str(e).strip().split("\n")[0]}
+        return {"database": db, "status": "success", "statement": found[0], "result": found[1]} if found else {"database": db, "status": "empty"}
+
+    with ThreadPoolExecutor(THREADS) as pool:
+        return list(pool.map(one, federation.databases))

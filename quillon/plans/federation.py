@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import SCHEMAS
+from ..functions.text import SCHEMAS, extract_sql
 from . import guard
 
 NAME = re.compile(r"^[a-zA-Z0-9_-]+$")
@@ -113,7 +113,11 @@ class Federation:
                     return ".".join([views[k][1], *parts[len(k) :]])
             return m[0]
 
-        return self.spark.sql(TOKENS.sub(swap, sql))
+        try:
+            return self.spark.sql(TOKENS.sub(swap, sql))
+        finally:  # the plan is analysed; its views needn't stay
+            for view, _ in views.values():
+                self.spark.catalog.dropTempView(view)
 
     @staticmethod
     def _aliased(m: re.Match) -> bool:
@@ -127,16 +131,16 @@ class Federation:
         last = re.split(r"\b(select|from|where|group|order|having|on)\b", head, flags=re.I)
         return head.rstrip().endswith(",") and len(last) > 1 and last[-2].lower() == "from"
 
-    def query(self, sql: str, limit: int | None = None) -> DataFrame:
+    def query(self, sql: str, limit: int | None = None, anywhere: bool = False) -> DataFrame:
         """Guards, resolves and runs one statement, with joins across databases where it names several. Unknown tables and
-        columns fail before any job runs."""
+        columns fail before any job runs; with anywhere, a table that isn't where the statement says is looked for in all databases."""
         sql = sql.strip().rstrip(";")
         said = guard.check(self.spark, sql)
         if self.blocking and not said.safe:
             raise Unsafe("; ".join(said.issues))
         at = {}
         for parts in said.tables:
-            if (found := self.resolve(parts)) is None:
+            if (found := self.resolve(parts) or (self.resolve(parts[-1:]) if anywhere else None)) is None:
                 raise LookupError(f"no such table: {'.'.join(parts)}")
             at[parts] = found
         df = self._run(sql, said.tables, at)
@@ -168,13 +172,26 @@ class Federation:
             return [str(e).strip().splitlines()[0]]
         return []
 
+    def generate(self, question: str, model) -> str:
+        """The statement in a model's reply to a question with the schema; one that isn't safe is refused."""
+        schema = "\n".join(f"{db}.{t}({', '.join(df.columns)})" for db, tables in self.databases.items() for t, df in tables.items())
+        reply = model.complete("sql", f"{schema}\n\n{question}")
+        sql = self.spark.createDataFrame([(reply,)], "r string").select(extract_sql(F.col("r"))).first()[0]
+        if not sql:
+            raise ValueError("the reply holds no statement")
+        if self.blocking and not (said := guard.check(self.spark, sql)).safe:
+            raise Unsafe("; ".join(said.issues))
+        return sql
+
     def execute(self, action: str, **params) -> dict:
-        """Service-style entry: execute, validate, get_schema or list, in an envelope with success, result and error."""
+        """Service-style entry: generate (by the model given), execute, validate, get_schema or list, in an envelope with success,
+        result and error."""
         actions = {
             "execute": lambda: self.query(params["sql"], params.get("limit")),
             "validate": lambda: self.validate(params["sql"]),
             "get_schema": self.catalog,
             "list": self.list,
+            "generate": lambda: self.generate(params["question"], params["model"]),
         }
         if action not in actions:
             return {"success": False, "result": None, "error": f"unknown action: {action}"}

@@ -53,6 +53,24 @@ READING = frozenset((
 SUBQUERIES = frozenset(("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"))
 
 
+#: Functions that run code of any class of the virtual machine.
+RUNNING = frozenset(("reflect", "try_reflect", "java_method"))
+#: Table functions that make rows of their arguments alone.
+GENERATING = frozenset((
+    "range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple",
+    "variant_explode", "variant_explode_outer", "collations", "sql_keywords",
+))
+_builtin: set[str] = set()
+
+
+def builtin(spark: SparkSession) -> set[str]:
+    """Names of the engine's own functions."""
+    if not _builtin:
+        functions = spark._jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin().listFunction()
+        _builtin.update(functions.mkString(",").replace("`", "").lower().split(","))
+    return _builtin
+
+
 @dataclass
 class Verdict:
     safe: bool
@@ -66,21 +84,34 @@ def _each(seq):
         yield seq.apply(i)
 
 
-def check(spark: SparkSession, sql: str) -> Verdict:
+def check(spark: SparkSession, sql: str, functions: frozenset[str] = frozenset()) -> Verdict:
     """Parses one statement and walks its whole plan: subqueries and common table expressions too. What can't be parsed is
-    unsafe. tables: those read, in order of first mention, without common table expressions."""
+    unsafe; so are functions that aren't built in (but for those named) or that run other code, and table functions that read
+    anything but their arguments. tables: those read, in order of first mention, without common table expressions."""
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as e:  # the parser's own exceptions come through the gateway
         return Verdict(False, [f"cannot be parsed: {str(e).strip().splitlines()[0]}"])
     found, issues, aliases, local = [], [], {}, set()
+    known, named = builtin(spark), {f.lower() for f in functions}
 
     def expression(e) -> None:
         for inner in _each(e.children()):
             expression(inner)
-        if e.getClass().getSimpleName() in SUBQUERIES:
+        kind = e.getClass().getSimpleName()
+        if kind == "UnresolvedFunction":
+            called(list(_each(e.nameParts())))
+        elif kind == "UnresolvedGenerator":
+            called([e.name().funcName()], True)
+        if kind in SUBQUERIES:
             walk(e.plan())
 
+    def called(parts: list[str], makes_rows: bool = False) -> None:
+        name = parts[-1].lower()
+        fine = name in GENERATING if makes_rows else name in known and name not in RUNNING
+        if name not in named and (not fine or len(parts) > 1 and [p.lower() for p in parts[:-1]] not in (["builtin"], ["system", "builtin"])):
+            issues.append(f"function {'.'.join(parts)} is not allowed")
+
     def walk(node) -> None:
         name = node.getClass().getSimpleName()
         if name not in READING:
@@ -91,6 +122,8 @@ def check(spark: SparkSession, sql: str) -> Verdict:
                 local.add(cte._1().lower())
             for inner in _each(node.innerChildren()):
                 walk(inner)
+        if name == "UnresolvedTableValuedFunction":
+            called(list(_each(node.name())), True)
         if name == "UnresolvedRelation":
             parts = tuple(_each(node.multipartIdentifier()))
             if not (len(parts) == 1 and parts[0].lower() in local) and parts not in found:
@@ -107,8 +140,10 @@ def check(spark: SparkSession, sql: str) -> Verdict:
 
 
 def executor_issues(sql: Column) -> Column:
-    """Findings of the guard in front of execution, as an array; empty for safe statements. A statement inside a fence, or
-    after blocks of reasoning, is judged alone."""
+    """Findings of the guard in front of execution, as an array; empty for safe statements. A statement in the field sql_query of a JSON
+    object, inside a fence, or after blocks of reasoning, is judged alone."""
+    inside = F.when(F.ltrim(sql).startswith("{"), F.get_json_object(sql, "$.sql_query"))
+    sql = F.coalesce(F.nullif(inside, F.lit("")), sql)
     fenced = F.when(sql.rlike(r"(?s)```(?:sql)?\n.*?\n```"), F.regexp_extract(sql, r"(?s)```(?:sql)?\n(.*?)\n```", 1)).otherwise(sql)
     low = F.trim(F.lower(strip_reasoning(fenced)))
     found = [F.when(~low.startswith("select"), F.lit(NOT_SELECT))]

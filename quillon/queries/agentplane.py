@@ -34,14 +34,14 @@ def toolcall_filter_rag(spark, d):
     return _calls(spark, d).where(C.enabled(F.col("service_id"), FLAGS | {"rag": False}, with_rag=True)).select("ordinal", "service_id")
 
 
-@add("toolcall_reorder", f"SELECT ordinal, row_number() OVER (ORDER BY CASE WHEN contains({LOW}, 'search') OR contains({LOW}, 'web') THEN 0 WHEN contains({LOW}, 'rag') THEN 1 WHEN contains({LOW}, 'sql') OR contains({LOW}, 'database') THEN 2 WHEN contains({LOW}, 'dns') THEN 3 ELSE 4 END, ordinal) AS place FROM {CALLS} WHERE ordinal < 500")
+@add("toolcall_reorder", f"SELECT plan, ordinal, row_number() OVER (PARTITION BY plan ORDER BY CASE WHEN contains({LOW}, 'search') OR contains({LOW}, 'web') THEN 0 WHEN contains({LOW}, 'rag') THEN 1 WHEN contains({LOW}, 'sql') OR contains({LOW}, 'database') THEN 2 WHEN contains({LOW}, 'dns') THEN 3 ELSE 4 END, ordinal) AS place FROM (SELECT event_id AS ordinal, user_id AS plan, {SERVICE} AS service_id FROM events)")
 def toolcall_reorder(spark, d):
-    """A plan's calls by kind, then as planned; a plan is the calls of one answer."""
+    """A plan's calls by kind, then as planned; a plan is the calls for one user."""
     from pyspark.sql import Window as W
 
-    plan = _calls(spark, d).where("ordinal < 500").withColumn("plan", F.lit(0))
+    plan = table(spark, d, "events").selectExpr("event_id AS ordinal", "user_id AS plan", f"{SERVICE} AS service_id")
     place = F.row_number().over(W.partitionBy("plan").orderBy(C.priority(F.col("service_id")), "ordinal"))
-    return plan.select("ordinal", place.cast("long").alias("place"))
+    return plan.select("plan", "ordinal", place.cast("long").alias("place"))
 
 
 JSON_CALL = "CASE event_id % 4 WHEN 0 THEN concat('{\"service_id\": \"s', CAST(user_id AS VARCHAR(9)), '\", \"method\": \"m\", \"params\": ', props, '}') WHEN 1 THEN '{\"service_id\": \"only\"}' WHEN 2 THEN 'no call' ELSE '[1]' END"
@@ -86,13 +86,18 @@ def toolcall_outcomes(spark, d):
     return C.outcomes(rows)
 
 
-@add("parallel_dispatch", "SELECT * FROM (VALUES (0, 'count-tool', 'success'), (1, 'missing', 'error')) v(ordinal, service_id, status)")
+COUNTED = ("nation", "customer", "orders", "lineitem", "events", "documents", "pages")
+
+
+@add("parallel_dispatch", " UNION ALL ".join(f"SELECT {i} AS ordinal, 'count-{t}' AS service_id, 'success' AS status, count(*) AS n FROM {t}" for i, t in enumerate(COUNTED)) + f" UNION ALL SELECT {len(COUNTED)}, 'missing', 'error', NULL")
 def parallel_dispatch(spark, d):
+    """A call per table, whose jobs run at once from driver threads; a switched-off one is left out, a missing one is an error."""
     from ..plans.agent import Tool
 
-    agent = Agent({"count-tool": Tool({}, lambda: table(spark, d, "nation"))}, {"sql": False})
-    done = agent.run([{"service_id": "count-tool"}, {"service_id": "sql-x"}, {"service_id": "missing"}])
-    return spark.createDataFrame([(i, r["service_id"], r["status"]) for i, r in enumerate(done)], "ordinal int, service_id string, status string")
+    tools = {f"count-{t}": Tool({"name": str}, lambda name: table(spark, d, name)) for t in COUNTED}
+    calls = [{"service_id": f"count-{t}", "params": {"name": t}} for t in COUNTED]
+    done = Agent(tools, {"sql": False}).run([*calls, {"service_id": "sql-x"}, {"service_id": "missing"}], read=lambda df: df.count())
+    return spark.createDataFrame([(i, r["service_id"], r["status"], r.get("result")) for i, r in enumerate(done)], "ordinal int, service_id string, status string, n long")
 
 
 STATE = "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'v' ELSE '' END AS verr, CASE WHEN event_id % 5 = 0 THEN 'e' END AS xerr, CASE WHEN event_id % 7 = 0 THEN 'g' END AS gerr, event_id % 13 AS retries, CASE WHEN event_id % 2 = 0 THEN 'initial' WHEN event_id % 11 = 0 THEN NULL ELSE 'wider_search' END AS qtype, event_id % 4 AS rows, event_id % 2 = 1 AS off, event_id % 3 AS calls, event_id % 5 < 2 AS use_results FROM events"

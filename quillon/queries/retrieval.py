@@ -186,7 +186,30 @@ def dedup_results(spark, d):
     return D.deduplicated(rows)
 
 
-@add("chunk_documents")
+CHUNKS = """WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, text FROM documents WHERE regexp_matches(text, '[^ \\t\\n\\r\\f\\v]')),
+p0 AS (SELECT doc_id, 0 AS a, text AS x FROM d),
+""" + "".join(
+    f"""l{n} AS (SELECT *, CASE WHEN length(x) > {D.SIZE} AND contains(x, {sep}) THEN string_split(x, {sep}) ELSE [x] END AS parts FROM p{n - 1}),
+m{n} AS (SELECT doc_id, a, parts, unnest(range(1, len(parts) + 1)) AS i FROM l{n}),
+p{n} AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a, i) AS a, x FROM (SELECT *, parts[i] || CASE WHEN i < len(parts) THEN {sep} ELSE '' END AS x FROM m{n}) WHERE x <> ''),
+"""
+    for n, sep in enumerate(("chr(10) || chr(10)", "chr(10)", "' '"), 1)
+) + f"""l4 AS (SELECT doc_id, a, CASE WHEN length(x) > {D.SIZE} THEN regexp_extract_all(x, '(?s).') ELSE [x] END AS parts FROM p3),
+m4 AS (SELECT doc_id, a, parts, unnest(range(1, len(parts) + 1)) AS i FROM l4),
+s AS (SELECT doc_id, sum(length(parts[i])) OVER (PARTITION BY doc_id ORDER BY a, i) AS hi, length(parts[i]) AS n FROM m4),
+p AS MATERIALIZED (SELECT doc_id, hi - n AS lo, hi FROM s),
+c AS (
+  SELECT doc_id, 0 AS chunk, 0::HUGEINT AS base, max(hi) AS e FROM p WHERE hi <= {D.SIZE} GROUP BY doc_id
+  UNION ALL
+  SELECT b.doc_id, b.chunk + 1, b.base, max(r.hi) FROM (
+    SELECT c.doc_id, c.chunk, min(q.hi) AS base FROM c JOIN p ON p.doc_id = c.doc_id AND p.lo = c.e JOIN p q ON q.doc_id = c.doc_id AND q.hi <= c.e AND q.hi >= c.e - {D.OVERLAP} AND q.hi >= p.hi - {D.SIZE}
+    GROUP BY c.doc_id, c.chunk
+  ) b JOIN p r ON r.doc_id = b.doc_id AND r.hi <= b.base + {D.SIZE} GROUP BY b.doc_id, b.chunk, b.base
+)
+SELECT c.doc_id, CAST(chunk AS INT) AS chunk, substr(text, CAST(base AS BIGINT) + 1, CAST(e - base AS BIGINT)) AS content FROM c JOIN d USING (doc_id)"""
+
+
+@add("chunk_documents", CHUNKS)
 def chunk_documents(spark, d):
     return D.chunks(table(spark, d, "documents").select("doc_id", "text"))
 

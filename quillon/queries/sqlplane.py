@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import table_names
 from ..operators import profile as P
 from ..plans import guard
 from ..plans.federation import Federation, route_tables
@@ -55,19 +56,35 @@ def guard_graph(spark, d):
     return rows.select("p_partkey", guard.graph_issue(F.col("x")).alias("issue"))
 
 
-@add("extract_tables", "SELECT * FROM (VALUES ('SELECT a FROM sales.customer JOIN orders o ON 1 = 1', 'orders'), ('SELECT a FROM sales.customer JOIN orders o ON 1 = 1', 'sales.customer'), ('WITH t AS (SELECT * FROM part) SELECT * FROM t WHERE x IN (SELECT y FROM nation)', 'nation'), ('WITH t AS (SELECT * FROM part) SELECT * FROM t WHERE x IN (SELECT y FROM nation)', 'part')) v(statement, table_name)")
+#: Statements that name tables in every place.
+NAMING = (
+    "CASE p_partkey % 6 WHEN 0 THEN concat('SELECT a FROM sales.customer JOIN orders o ON x = ', CAST(p_size AS VARCHAR(9))) "
+    "WHEN 1 THEN concat('WITH t AS (SELECT * FROM part) SELECT * FROM t WHERE x IN (SELECT y FROM t', CAST(p_size AS VARCHAR(9)), ')') "
+    "WHEN 2 THEN 'insert into log_table select 1' WHEN 3 THEN concat('UPDATE Part SET a = ', chr(39), 'from nowhere', chr(39)) "
+    "WHEN 4 THEN concat('SELECT * FROM (SELECT 1) z -- from remark', chr(10), 'JOIN nation ON 1 = 1') ELSE 'SELECT 1' END"
+)
+#: The same patterns as in table_names(), in the other engine's spelling.
+BARE = r"regexp_replace(x, '(?s)''(?:[^'']|'''')*''|--[^\n]*|/\*.*?\*/', ' ', 'g')"
+FOUND = rf"regexp_extract_all({BARE}, '(?i)\b(?:from|join|into|update)\s+([a-z_][\w.]*)', 1)"
+
+
+@add("extract_tables", f"SELECT p_partkey, array_to_string(list_sort(list_distinct({FOUND})), ',') AS tables FROM (SELECT p_partkey, {NAMING} AS x FROM part)")
 def extract_tables(spark, d):
-    """Tables of statements by the engine's own parser: inside subqueries and common table expressions too."""
-    said = ["SELECT a FROM sales.customer JOIN orders o ON 1 = 1", "WITH t AS (SELECT * FROM part) SELECT * FROM t WHERE x IN (SELECT y FROM nation)"]
-    rows = [(s, ".".join(parts)) for s in said for parts in guard.check(spark, s).tables]
-    return spark.createDataFrame(rows, "statement string, table_name string")
+    """Tables that statements name, a statement per part; the names are sorted here, as the other engine's array has no order."""
+    rows = table(spark, d, "part").selectExpr("p_partkey", f"{NAMING} AS x")
+    return rows.select("p_partkey", F.array_join(F.array_sort(table_names(F.col("x"))), ",").alias("tables"))
 
 
-@add("validate_columns", "SELECT * FROM (VALUES ('SELECT c_name FROM sales.customer', true), ('SELECT nope FROM sales.customer', false), ('SELECT 1 FROM absent', false), ('DROP TABLE customer', false), ('SELECT s_name FROM supplier WHERE s_name LIKE ''%drop%''', true)) v(statement, valid)")
+@add("validate_columns", "SELECT n_nationkey, n_nationkey % 5 IN (0, 4) AS valid FROM nation")
 def validate_columns(spark, d):
+    """A statement per nation (25 rows, whatever the scale): known and unknown columns and tables, and a write."""
     fed = federation(spark, d)
-    said = ["SELECT c_name FROM sales.customer", "SELECT nope FROM sales.customer", "SELECT 1 FROM absent", "DROP TABLE customer", "SELECT s_name FROM supplier WHERE s_name LIKE '%drop%'"]
-    return spark.createDataFrame([(s, not fed.validate(s)) for s in said], "statement string, valid boolean")
+    forms = (
+        "SELECT c_name FROM sales.customer WHERE c_nationkey = {}", "SELECT nope{} FROM sales.customer", "SELECT {} FROM absent",
+        "DELETE FROM customer WHERE c_nationkey = {}", "SELECT s_name FROM supplier WHERE s_nationkey = {} AND s_name LIKE '%drop%'",
+    )
+    keys = [r[0] for r in table(spark, d, "nation").select("n_nationkey").collect()]
+    return spark.createDataFrame([(k, not fed.validate(forms[k % 5].format(k))) for k in keys], "n_nationkey int, valid boolean")
 
 
 @add("federated_query", "SELECT n_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0 GROUP BY n_name")

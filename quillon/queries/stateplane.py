@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..streaming import keyed as K
 from .common import Registry, table
 
@@ -40,6 +41,30 @@ def discover_services(spark, d):
     return found.where(F.col("alive") & (F.col("status") == "click") & (F.col("metadata")["zone"] == "even")).select("user_id")
 
 
+@add(
+    "heartbeats_known",
+    "SELECT event_id, known FROM (SELECT *, coalesce(last_value(CASE WHEN event_type IN ('signup', 'error') THEN event_type = 'signup' END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), false) AS known FROM events) WHERE event_type NOT IN ('signup', 'error')",
+)
+def heartbeats_known(spark, d):
+    """A signup registers, an error unregisters, all else is a heartbeat; those of unknown keys are answered with false."""
+    return K.heard(table(spark, d, "events"), "user_id", "ts", "event_type", "event_id", "signup", "error").select("event_id", "known")
+
+
+@add(
+    "registered_services",
+    f"SELECT user_id, since, last_beat FROM (SELECT user_id, max_by(event_type, (ts, event_id)) FILTER (WHERE event_type IN ('signup', 'error')) AS edge, max(ts) FILTER (WHERE event_type IN ('signup', 'error')) AS since, max(ts) AS last_beat FROM events WHERE ts <= TIMESTAMP '{AS_OF}' GROUP BY user_id) WHERE edge = 'signup' AND last_beat + INTERVAL {TTL} SECOND >= TIMESTAMP '{AS_OF}'",
+)
+def registered_services(spark, d):
+    return K.registered(table(spark, d, "events"), "user_id", "ts", "event_type", "event_id", "signup", "error", _as_of(), TTL)
+
+
+@add("iso_timestamps", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END AS iso, ts AS parsed, CAST(NULL AS TIMESTAMP) AS broken FROM events")
+def iso_timestamps(spark, d):
+    e = table(spark, d, "events").withColumn("iso", X.iso_format(F.col("ts").cast("timestamp_ntz")))
+    broken = F.concat(F.lit("on "), F.col("iso"))
+    return e.select("event_id", "iso", X.iso_parse(F.col("iso")).cast("timestamp_ntz").alias("parsed"), X.iso_parse(broken).cast("timestamp_ntz").alias("broken"))
+
+
 @add("heartbeat_gaps", "SELECT user_id, ts, before, epoch_us(ts) - epoch_us(before) AS gap_us FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events) WHERE epoch_us(ts) - epoch_us(before) > 86400000000")
 def heartbeat_gaps(spark, d):
     return K.heartbeat_gaps(table(spark, d, "events"), "user_id", "ts", 86400)

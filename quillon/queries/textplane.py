@@ -186,9 +186,9 @@ def search_source_label(spark, d):
     return grouped.select("g", source_of_hits(F.col("h"), F.lit(None).cast("string")).alias("label"))
 
 
-@add("error_summary", "SELECT user_id, string_agg('E' || event_id, '; ' ORDER BY event_id) AS errors FROM events WHERE event_type = 'error' AND event_id % 10 = 0 GROUP BY user_id")
+@add("error_summary", "SELECT user_id, string_agg('E' || event_id, '; ' ORDER BY event_id) AS errors FROM events WHERE event_type = 'error' GROUP BY user_id")
 def error_summary(spark, d):
-    bad = table(spark, d, "events").where("event_type = 'error' AND event_id % 10 = 0")
+    bad = table(spark, d, "events").where("event_type = 'error'")
     said = F.transform(F.sort_array(F.collect_list("event_id")), lambda e: F.concat(F.lit("E"), e.cast("string")))
     return bad.groupBy("user_id").agg(F.array_join(said, "; ").alias("errors"))
 

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import io
 import re
+import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from pathlib import Path
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import basename
@@ -34,10 +36,38 @@ READERS: dict[str, Callable[[bytes], str]] = {
 }
 
 
-def load(spark: SparkSession, path: str, pdf: Callable[[bytes], str] | None = None, recursive: bool = True) -> DataFrame:
+def guarded(convert: Callable[[bytes], str], fallback: Callable[[bytes], str] | None = None, timeout_s: float | None = None) -> Callable[[bytes], str]:
+    """A reader that converts, and where that fails, gives no text or takes longer than timeout_s, falls back to another one."""
+
+    def read(data: bytes) -> str:
+        from concurrent.futures import ThreadPoolExecutor
+
+        pool = ThreadPoolExecutor(1)
+        try:
+            if (text := pool.submit(convert, data).result(timeout_s)).strip() or fallback is None:
+                return text
+        except Exception:
+            if fallback is None:
+                raise
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
+        return fallback(data)
+
+    return read
+
+
+def load(
+    spark: SparkSession,
+    path: str,
+    pdf: Callable[[bytes], str] | None = None,
+    recursive: bool = True,
+    pdf_plain: Callable[[bytes], str] | None = None,
+    pdf_timeout_s: float | None = 300,
+) -> DataFrame:
     """(path, name, extension, text, error) of the files under a path, by extension. A file that can't be read, or has an
-    extension without a reader, has an error and no text, and stops nothing. PDF needs a converter."""
-    readers = READERS | ({"pdf": pdf} if pdf else {})
+    extension without a reader, has an error and no text, and stops nothing. PDF needs a converter; where it fails or takes too long,
+    pdf_plain reads the file's plain text."""
+    readers = READERS | ({"pdf": guarded(pdf, pdf_plain, pdf_timeout_s)} if pdf else {"pdf": pdf_plain} if pdf_plain else {})
 
     def run(batches):
         for pdf_ in batches:
@@ -45,9 +75,10 @@ def load(spark: SparkSession, path: str, pdf: Callable[[bytes], str] | None = No
             for ext, data in zip(pdf_["extension"], pdf_["content"]):
                 text = err = None
                 try:
-                    text = readers[ext](bytes(data))
-                except KeyError:
-                    err = f"unsupported extension: {ext}"
+                    if ext in readers:
+                        text = readers[ext](bytes(data))
+                    else:
+                        err = f"unsupported extension: {ext}"
                 except Exception as e:  # whatever a broken file makes a reader raise
                     err = f"{type(e).__name__}: {e}"
                 texts.append(text)
@@ -97,6 +128,66 @@ class PromptStore:
         return there
 
 
+class UploadStore:
+    """Uploaded files in a folder of any file system that Spark reaches, each under an id of its own: id/name."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _at(self, *parts: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.folder, *parts)))
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def put(self, name: str, data: bytes) -> tuple[str, str]:
+        """(file_id, stored path). Only the last part of a name counts."""
+        name = name.replace("\\", "/").rsplit("/", 1)[-1]
+        if name in ("", ".", ".."):
+            raise ValueError("a file name is needed")
+        ident = str(uuid.uuid4())
+        files, path = self._at(ident, name)
+        out = files.create(path)
+        try:
+            out.write(data)
+        finally:
+            out.close()
+        return ident, path.toString()
+
+    def find(self, ident: str) -> str | None:
+        """The stored path of an id."""
+        if not re.fullmatch(r"[0-9a-f-]{36}", ident):
+            return None
+        files, path = self._at(ident)
+        return files.listStatus(path)[0].getPath().toString() if files.exists(path) else None
+
+    def delete(self, ident: str) -> bool:
+        files, path = self._at(ident)
+        return bool(re.fullmatch(r"[0-9a-f-]{36}", ident)) and files.delete(path, True)
+
+
+def save_history(states: DataFrame, path: str, key: str, ts: str, most: int = 50) -> None:
+    """The last `most` states of each key, as JSON files."""
+    newest = F.row_number().over(W.partitionBy(key).orderBy(F.desc(ts)))
+    states.withColumn("__n", newest).where(F.col("__n") <= most).drop("__n").write.mode("overwrite").json(path)
+
+
+def load_history(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
+def databases_from_env(env: Mapping[str, str]) -> dict[str, str]:
+    """URLs of databases by lower-case name, from settings DB_<NAME>_URL, or from DB_<NAME>_TYPE, _USERNAME, _PASSWORD (none), _HOSTNAME
+    (localhost), _PORT (5432) and _NAME; those of the second kind win. Incomplete ones are left out, and so are all where
+    DISABLE_DATABASES is true."""
+    if env.get("DISABLE_DATABASES", "").lower() in ("true", "1", "yes", "on"):
+        return {}
+    found = {m[1].lower(): v for k, v in env.items() if (m := re.fullmatch(r"DB_(.+)_URL", k))}
+    for name in [m[1] for k in env if (m := re.fullmatch(r"DB_(.+)_TYPE", k))]:
+        said = lambda part, default="": env.get(f"DB_{name}_{part}", default)  # noqa: B023, E731
+        if said("TYPE") and said("USERNAME") and said("NAME"):
+            found[name.lower()] = f"{said('TYPE')}://{said('USERNAME')}:{said('PASSWORD')}@{said('HOSTNAME', 'localhost')}:{said('PORT', '5432')}/{said('NAME')}"
+    return found
+
+
 def jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
     """A table of another database; partitionColumn, lowerBound, upperBound and numPartitions let it be read in parallel."""
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
@@ -127,6 +218,11 @@ class Collection:
         checked = df.withColumn(vec_col, F.when(size == self.dimension, F.col(vec_col)).otherwise(wrong))
         checked.write.mode("overwrite" if recreate else "append").parquet(self.path)
 
+    def drop(self) -> None:
+        """The collection is gone, with its folder."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
     def clear(self) -> None:
         schema = self.read().schema
         self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(self.path)

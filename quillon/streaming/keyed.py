@@ -22,6 +22,23 @@ def registry(beats: DataFrame, key: str, ts: str, kind: str, as_of: Column, ttl_
     return last.select(key, F.col(f"last.{ts}").alias("last_beat"), F.col(f"last.{kind}").alias("status"), expires.alias("expires_at"), (expires >= as_of).alias("alive"))
 
 
+def heard(beats: DataFrame, key: str, ts: str, kind: str, ident: str, register: str, unregister: str) -> DataFrame:
+    """Each beat (every row that neither registers nor unregisters) with `known`: whether its key was registered before it, and not
+    unregistered since. Of rows at one instant the smaller ident comes first."""
+    said = F.when(F.col(kind).isin(register, unregister), F.col(kind) == register)
+    now = F.last(said, ignorenulls=True).over(W.partitionBy(key).orderBy(ts, ident).rowsBetween(W.unboundedPreceding, W.currentRow))
+    return beats.withColumn("known", F.coalesce(now, F.lit(False))).where(said.isNull())
+
+
+def registered(beats: DataFrame, key: str, ts: str, kind: str, ident: str, register: str, unregister: str, as_of: Column, ttl_s: int = TTL_S) -> DataFrame:
+    """Keys that are registered at as_of: their last register or unregister registers, and their last row (a register or a beat) is
+    at most ttl_s old. Two maxima per key, aggregated before they are shuffled."""
+    edge = F.max(F.when(F.col(kind).isin(register, unregister), F.struct(ts, ident, F.col(kind))))
+    last = beats.where(F.col(ts) <= as_of).groupBy(key).agg(edge.alias("edge"), F.max(ts).alias("last_beat"))
+    alive = F.col("last_beat") + F.make_interval(secs=F.lit(ttl_s)) >= as_of
+    return last.where((F.col(f"edge.{kind}") == register) & alive).select(key, F.col(f"edge.{ts}").alias("since"), "last_beat")
+
+
 def heartbeat_gaps(beats: DataFrame, key: str, ts: str, gap_s: int = GAP_S) -> DataFrame:
     """Beats that come later than gap_s after the one before, with the seconds between."""
     before = F.lag(ts).over(W.partitionBy(key).orderBy(ts))

@@ -1,5 +1,5 @@
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -66,18 +66,24 @@ def test_cosine_guards(spark):
 
 @settings(max_examples=80, deadline=None)
 @given(st.text(alphabet="ab \n", max_size=400), st.integers(5, 40), st.integers(0, 4))
+@example("aaaaaa", 5, 1)
 def test_chunks_cover_the_text(value, size, overlap):
+    """By positions: every chunk starts where the one before ended, or up to overlap before that."""
     parts = split_text(value, size, overlap)
     assert all(0 < len(p) <= size for p in parts)
     assert bool(parts) == bool(value.strip())
-    at = 0
+    ends = {0}
     for p in parts:
-        start = value.find(p, max(0, at - overlap))
-        assert 0 <= start <= at and start >= at - overlap
-        at = start + len(p)
-    assert not parts or at == len(value)
+        ends = {s + len(p) for e in ends for s in range(max(0, e - overlap), e + 1) if value.startswith(p, s)}
+        assert ends
+    assert not parts or len(value) in ends
+
+
+def test_overlap_without_separators():
+    assert split_text("abcdefghij", 5, 1) == ["abcde", "efghi", "ij"]
+    assert split_text("ab cdefghij", 5, 2) == ["ab cd", "cdefg", "fghij"]
 
 
 def test_chunker_edges():
     assert split_text(None) == [] and split_text("   ") == []
-    assert split_text("x" * 2500) == ["x" * 1000, "x" * 1000, "x" * 500]
+    assert split_text("x" * 2500) == ["x" * 1000, "x" * 1000, "x" * 700]  # 100 of each are those of the one before

@@ -1,7 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.plans import guard, rag
-from quillon.plans.agent import Agent, TemplateModel, Tool, wider_search
+from quillon.operators.matching import holding
+from quillon.plans.agent import Agent, TemplateModel, Tool, wider_everywhere, wider_search
 from quillon.plans.federation import Federation, Unsafe, relaxations, route_tables
 
 
@@ -97,3 +99,72 @@ def test_rag_path(spark):
     assert rag.retrieve(docs, "red apples", threshold=0.1).first()["doc_id"] == 1
     said = rag.answer(docs, "red apples", TemplateModel(), threshold=0.1)
     assert said.startswith("Use the following context") and "Context 1:\nred apples and pears" in said and said.endswith("Question: red apples")
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT java_method('java.lang.System', 'setProperty', 'a', 'b')", "SELECT 1 + length(try_reflect('java.lang.System', 'exit', 0))",
+        "WITH a AS (SELECT REFLECT('java.lang.Runtime', 'getRuntime') AS x) SELECT * FROM a", "SELECT * FROM t WHERE EXISTS (SELECT java_method('a', 'b'))", "SELECT * FROM read_anything('/etc')",
+        "SELECT my_udf(a) FROM t", "SELECT x.y.count(a) FROM t", "SELECT * FROM t LATERAL VIEW my_rows(a) v AS b", "SELECT sum(a) FROM t GROUP BY reflect('a', 'b', c)",
+    ],
+)
+def test_running_code_is_not_reading(spark, sql):
+    assert not guard.check(spark, sql).safe
+
+
+def test_functions_that_read(spark):
+    for sql in ("SELECT count(*), upper(a), CAST(b AS int), a || b, CASE WHEN a THEN 1 END FROM t", "SELECT * FROM t LATERAL VIEW explode(a) v AS b", "SELECT * FROM range(3)", "SELECT explode(array(1, 2))", "SELECT row_number() OVER (ORDER BY a), date_add(d, 1), d + INTERVAL 1 DAY FROM t"):
+        assert guard.check(spark, sql).issues == [], sql
+    assert guard.check(spark, "SELECT my_udf(a) FROM t", frozenset(["my_udf"])).safe
+
+
+def test_statement_inside_json(spark):
+    df = spark.createDataFrame([('{"sql_query": "SELECT 1"}',), ('{"sql_query": "DROP TABLE t"}',), ('{"other": 1}',)], "s string").select(guard.executor_issues(F.col("s")).alias("i"))
+    got = [r["i"] for r in df.collect()]
+    assert got[0] == [] and guard.NOT_SELECT in got[1] and got[2] == [guard.NOT_SELECT]
+
+
+def test_calls_run_at_once(spark):
+    import threading
+
+    both = threading.Barrier(2, timeout=60)
+    agent = Agent({n: Tool({}, lambda: both.wait() and None or spark.range(2)) for n in "ab"} | {"bad": Tool({}, lambda: 1 / 0)})
+    done = agent.run([{"service_id": "a"}, {"service_id": "bad"}, {"service_id": "b"}], lambda df: df.count())
+    assert [(r["status"], r.get("result")) for r in done] == [("success", 2), ("error", None), ("success", 2)]
+
+
+def test_agent_end_to_end(spark):
+    agent = Agent({"sql-a": Tool({}, lambda: spark.range(2)), "web-search": Tool({}, lambda: spark.range(1)), "off-dns": Tool({}, lambda: 1 / 0)}, {"dns": False})
+    plan = '{{"tool_calls": [{{"service_id": "sql-a"}}, {{"service_id": "off-dns"}}, {{"service_id": "web-search"}}, {{"service_id": "gone"}}]}}'
+    said = agent.answer("how many?", TemplateModel({"plan": plan, "response": "R {prompt}"}))
+    assert [r["service_id"] for r in said["results"]] == ["web-search", "sql-a"] and said["errors"] == ["Service gone not found"] and said["answered"]
+    assert said["response"].startswith("R [web-search]") and said["response"].endswith("how many?")
+    said = agent.answer("x", TemplateModel({"plan": '[{{"service_id": "gone"}}]', "failure": "F {prompt}"}))
+    assert said["response"] == "F Service gone not found" and not said["answered"]
+    assert agent.plan("x", TemplateModel({"plan": "no json"})) == []
+
+
+def test_wider_on_every_database(fed):
+    got = {r["database"]: r for r in wider_everywhere(fed, "SELECT name FROM contacts WHERE name = 'jane'")}
+    assert got["left"]["status"] == "success" and "ILIKE" in got["left"]["statement"]
+    assert got["right"]["status"] == "error" and got["right"]["error"]
+
+
+def test_rerouted_generated_and_clean(fed):
+    with pytest.raises(LookupError):
+        fed.query("SELECT id FROM left.arrest_data")
+    assert fed.query("SELECT id FROM left.arrest_data", anywhere=True).count() == 2
+    assert not [t for t in fed.spark.catalog.listTables() if t.name.startswith("q") and "arrest_data" in t.name]
+    good = fed.execute("generate", question="all?", model=TemplateModel({"sql": "<sql>SELECT id FROM contacts</sql>"}))
+    assert good["success"] and good["result"].startswith("SELECT id FROM contacts")
+    assert not fed.execute("generate", question="all?", model=TemplateModel({"sql": "<sql>DROP TABLE contacts</sql>"}))["success"]
+    assert not fed.execute("nothing")["success"] and fed.execute("list")["result"] == ["left", "right"]
+
+
+def test_names_in_texts(spark):
+    texts = spark.createDataFrame([(1, "Red apple red"), (2, "applet"), (3, None), (4, "")], "id int, t string")
+    names = spark.createDataFrame([("red",), ("Apple",), ("apple",), ("pp",), (None,), ("",), ("zebra",)], "n string")
+    want = sorted((i, n) for i, t in ((1, "red apple red"), (2, "applet"), (4, "")) for n in ("red", "Apple", "apple", "pp", "", "zebra") if n.lower() in t)
+    for short in (500, 2):
+        assert sorted((r["id"], r["n"]) for r in holding(texts, "t", names, "n", short).collect()) == want

@@ -67,3 +67,56 @@ def test_hashing_embeddings(spark):
     df = provider("unknown", dimensions=8).embed(spark.createDataFrame([("a b",), ("A  b",), (" ",), (None,)], "t string"), "t")
     v = [r["embedding"] for r in df.collect()]
     assert v[0] == v[1] and len(v[0]) == 8 and v[2] is None and v[3] is None
+
+
+def test_pdf_falls_back(spark, tmp_path):
+    import time
+
+    (tmp_path / "a.pdf").write_bytes(b"x")
+    load = lambda **how: files.load(spark, str(tmp_path), **how).first()
+    assert load()["error"] == "unsupported extension: pdf"
+    assert load(pdf=lambda b: "rich")["text"] == "rich"
+    assert load(pdf=lambda b: 1 / 0, pdf_plain=lambda b: "plain")["text"] == "plain"
+    assert load(pdf=lambda b: " ", pdf_plain=lambda b: "plain")["text"] == "plain"
+    assert load(pdf=lambda b: time.sleep(3) or "late", pdf_plain=lambda b: "plain", pdf_timeout_s=0.2)["text"] == "plain"
+    assert load(pdf=lambda b: 1 / 0)["error"].startswith("ZeroDivisionError")
+
+
+def test_docx_without_its_main_part(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("other", "")
+    assert files.load(spark, str(tmp_path)).first()["error"].startswith("KeyError")
+
+
+def test_uploads(spark, tmp_path):
+    store = files.UploadStore(spark, f"file://{tmp_path}/up")
+    ident, path = store.put("../x/a b.txt", b"data")
+    assert path.endswith(f"/{ident}/a b.txt") and store.find(ident).endswith("/a b.txt") and (tmp_path / "up" / ident / "a b.txt").read_bytes() == b"data"
+    assert store.find("../etc") is None and store.delete(ident) and store.find(ident) is None
+    with pytest.raises(ValueError):
+        store.put("..", b"")
+
+
+def test_history_is_saved_and_limited(spark, tmp_path):
+    states = spark.createDataFrame([(k, i, f"s{i}") for k in (1, 2) for i in range(5)], "session int, at int, state string")
+    files.save_history(states, f"{tmp_path}/h", "session", "at", 2)
+    assert sorted(map(tuple, files.load_history(spark, f"{tmp_path}/h", states.schema).collect())) == [(k, i, f"s{i}") for k in (1, 2) for i in (3, 4)]
+
+
+def test_databases_from_env():
+    env = {"DB_SALES_URL": "u1", "DB__URL": "", "DB_A_B_TYPE": "postgresql", "DB_A_B_USERNAME": "me", "DB_A_B_NAME": "n", "DB_C_TYPE": "x", "PATH": "/"}
+    assert files.databases_from_env(env) == {"sales": "u1", "a_b": "postgresql://me:@localhost:5432/n"}
+    assert files.databases_from_env(env | {"DISABLE_DATABASES": "true"}) == {}
+
+
+def test_collection_drop(spark, tmp_path):
+    c = files.Collection(spark, f"{tmp_path}/c", 1)
+    c.add(spark.createDataFrame([(1, [1.0])], "id int, embedding array<double>"))
+    c.drop()
+    assert not c.exists() and c.count() == 0
+
+
+def test_rerank_size():
+    from quillon.operators.retrieval import rerank_size
+
+    assert [rerank_size(*x) for x in ((None, 9), (9, 9), (3, 9), (5, 2), (None, 2))] == [5, 5, 3, 2, 2]
