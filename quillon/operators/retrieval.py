@@ -56,7 +56,7 @@ def top_k_each(corpus: DataFrame, queries: DataFrame, k: int = K, block: int = 4
     spark = corpus.sparkSession
     asked = queries.select("query_id", "vector").where("query_id is not null and vector is not null").dropDuplicates(["query_id"])
     blocks = -(-asked.count() // block)
-    parts = []
+    parts, order = [], ["query_id", "near", "vec_id"]
     for number in range(blocks):
         some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).collect()
         if not some:
@@ -73,23 +73,23 @@ def top_k_each(corpus: DataFrame, queries: DataFrame, k: int = K, block: int = 4
                     continue
                 x = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
                 s = q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
-                s = np.round(s, 9)
+                near = np.round(s, 9)
                 n = min(k, len(pdf))
-                row, at = np.nonzero(s >= np.partition(s, len(pdf) - n, axis=1)[:, len(pdf) - n, None])
-                found = pd.DataFrame({"query_id": qid[row], "vec_id": pdf["vec_id"].to_numpy()[at], "score": s[row, at]})
-                kept.append(found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k))
+                row, at = np.nonzero(near >= np.partition(near, len(pdf) - n, axis=1)[:, len(pdf) - n, None])
+                found = pd.DataFrame({"query_id": qid[row], "vec_id": pdf["vec_id"].to_numpy()[at], "score": s[row, at], "near": near[row, at]})
+                kept.append(found.sort_values(order, ascending=[True, False, True]).groupby("query_id").head(k))
                 if len(kept) > 8:
-                    kept = [pd.concat(kept).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)]
+                    kept = [pd.concat(kept).sort_values(order, ascending=[True, False, True]).groupby("query_id").head(k)]
             if kept:
                 yield pd.concat(kept)
 
-        parts.append(corpus.select("vec_id", F.col("embedding").alias("vector")).mapInPandas(best, "query_id long, vec_id long, score double"))
+        parts.append(corpus.select("vec_id", F.col("embedding").alias("vector")).mapInPandas(best, "query_id long, vec_id long, score double, near double"))
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     found = parts[0]
     for p in parts[1:]:
         found = found.unionAll(p)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("near"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
