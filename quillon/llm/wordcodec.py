@@ -111,19 +111,21 @@ class WordCodec:
         whole = coded.dictionary
         base = pc.utf8_rtrim(whole, TAIL)
         cut = pc.and_(pc.less(pc.binary_length(base), pc.binary_length(whole)), pc.match_substring_regex(base, "[A-Za-z]$"))
-        tail = pc.if_else(cut, pc.replace_substring_regex(whole, f"^(?s:.*)[A-Za-z]([{TAIL}]+)$", "\x03\\1" if self.spaced else "\\1"), "")
         base = pc.if_else(cut, base, whole)
         if not self.spaced:
             base = pc.if_else(pc.string_is_ascii(base), pc.ascii_lower(base), base)
-        base, tail = base.dictionary_encode(), tail.dictionary_encode()
-        bases, tails = base.dictionary.to_pylist(), tail.dictionary.to_pylist()
+        base = base.dictionary_encode()
+        tail = pc.filter(whole, cut)  # only these words have one behind a letter
+        tail = pc.replace_substring_regex(tail, f"^(?s:.*)[A-Za-z]([{TAIL}]+)$", "\x03\\1" if self.spaced else "\\1").dictionary_encode()
+        cuts = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
+        bases, tails = (x.dictionary.to_numpy(zero_copy_only=False).tolist() for x in (base, tail))  # faster than to_pylist()
         if len(self.known) > REMEMBERED:
             self._age()
-        if new := [k for k in dict.fromkeys(bases + tails) if k not in self.known]:
+        if new := list(dict.fromkeys([*bases, *tails]).keys() - self.known.keys()):
             self._learn(new)
-        pairs = np.empty(2 * len(whole), dtype=np.int64)
-        for at, x, keys in ((0, base, bases), (1, tail, tails)):
-            pairs[at::2] = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[x.indices.to_numpy(zero_copy_only=False)]
+        pairs = np.zeros(2 * len(whole), dtype=np.int64)  # word 0 is empty
+        for at, x, keys in ((np.s_[::2], base, bases), (2 * cuts + 1, tail, tails)):
+            pairs[at] = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[x.indices.to_numpy(zero_copy_only=False)]
         ids, off = gather(self.flat, self.off, pairs)
         return gather(ids, off[::2], coded.indices.to_numpy(zero_copy_only=False))
 
