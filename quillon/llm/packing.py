@@ -1,18 +1,25 @@
 """Best-fit packing of documents into sequences of fixed capacity, in bulk-synchronous rounds.
 
-Lengths are whole numbers up to the capacity. Documents (pieces) are sorted by length and get a rank
-among their equals; gaps are kept as runs of sequences with equal room. A round takes the longest
-pieces left, sweeps to the successor of their length among the gaps, matches as many as there
-are on both sides (a piece's rank says which gap of the run is its own; a gap takes as many as fit), and puts the
-smaller gaps back. Where no gap is wide enough, sequences open. That is best-fit decreasing for all pieces at
-once: a round's state is runs of (room, first sequence, count), never rows, so its size
-depends on the capacity and not on the corpus.
+Lengths are whole numbers up to the capacity, so equal pieces, and equal gaps, form runs: (size, first, count), where first is
+a rank among equal pieces, or the number of a sequence. A round is one Spark job over the runs of all unplaced pieces and all gaps:
+
+1. Range sort: pieces by length and gaps by room go to tasks by ranges of sizes, sorted, pieces before gaps of equal size.
+2. Sweep: upwards through its range, a task keeps the pieces it has passed; each gap takes the largest of them, so that a piece's gap is
+   the successor of its length among gaps that no larger piece claims. Where several pieces want one run of gaps, or several gaps one
+   run of pieces, ranks decide: who comes first in the run takes the first.
+3. Boundaries: what the ranges couldn't match among themselves is swept once more as a whole.
+4. Update: matched gaps go back with the room they have left; gaps that no piece is small enough for are closed; for pieces that are
+   larger than every gap, sequences open.
+
+Rounds repeat until no piece is left (about a dozen). The runs' number depends on the capacity and not on the corpus; pieces
+themselves move only when their places are looked up. The result needs as many sequences as best-fit decreasing one by one, give
+or take three in a thousand.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,45 +41,81 @@ def cut(n: int, capacity: int = CAPACITY) -> list[int]:
     return [n % capacity] * (n % capacity > 0) + [capacity] * (n // capacity)
 
 
-def best_fit_rounds(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Runs (length, first rank, count, first sequence, offset): piece number r of its length, with
-    first rank <= r < first rank + count, goes to sequence first sequence + r - first rank at offset.
-
-    counts: pieces of each length (1 to capacity); at most one run per length and run of gaps."""
-    rooms: list[int] = []
-    runs: dict[int, list[tuple[int, int]]] = {}
-    out, sequences = [], 0
-
-    def put(room: int, first: int, count: int) -> None:
-        if room and count:
-            if room not in runs:
-                runs[room] = []
-                insort(rooms, room)
-            runs[room].append((first, count))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect_left(rooms, length)
-            if at == len(rooms):
-                new = -(-left // (capacity // length))
-                put(capacity, sequences, new)
-                sequences += new
-                continue
-            room = rooms[at]
-            first, count = runs[room].pop()
-            if not runs[room]:
-                del runs[room], rooms[at]
-            each = room // length  # as long as a gap takes more of this length, it is the tightest
-            whole = min(count, left // each)
-            n, bins = (each, whole) if whole else (left, 1)
-            out += [(length, rank + j * bins, bins, first, capacity - room + j * length) for j in range(n)]
-            put(room, first + bins, count - bins)
-            put(room - n * length, first, bins)
-            rank, left = rank + n * bins, left - n * bins
+#: Kinds of rows of a round, in the order in which a sweep takes equal sizes.
+PIECE, GAP, PLACED, NEXT = range(4)
+#: A run of pieces (size: length, first: rank), of gaps (size: room, first: sequence) or of placed pieces (all columns); NEXT's first
+#: is the number of the next sequence.
+RUN = "kind int, size int, first long, count long, sequence long, offset int"
+#: Ranges of sizes that are swept by themselves, and rounds after which something must be wrong.
+RANGES, ROUNDS = 8, 1000
+
+
+def sweep(runs: Iterable[tuple], capacity: int, whole: bool) -> list[tuple]:
+    """The runs after a sweep; they come by size, then kind. whole: these are all sizes, so gaps can be closed and opened."""
+    waiting: list[list[int]] = []
+    out, widest, new = [], 0, None
+    for kind, size, first, count, sequence, offset in runs:
+        if kind == PIECE:
+            waiting.append([size, first, count])
+        elif kind == NEXT:
+            new = first
+        elif kind == PLACED:
+            out.append((kind, size, first, count, sequence, offset))
+        else:
+            while count and waiting:
+                length, rank, left = waiting[-1]
+                each = size // length  # as long as a gap takes more of this length, it is the tightest
+                gaps = min(count, left // each)
+                n, gaps = (each, gaps) if gaps else (left, 1)
+                out += [(PLACED, length, rank + j * gaps, gaps, first, capacity - size + j * length) for j in range(n)]
+                if room := size - n * length:
+                    out.append((GAP, room, first, gaps, 0, 0))
+                    widest = max(widest, room)
+                first, count = first + gaps, count - gaps
+                waiting[-1][1:] = rank + n * gaps, left - n * gaps
+                if left == n * gaps:
+                    waiting.pop()
+            if count and not whole:
+                out.append((GAP, size, first, count, 0, 0))
+    out += [(PIECE, *w, 0, 0) for w in waiting]
+    if whole:
+        homeless = [(length, count) for length, _, count in waiting if length > widest]
+        n = sum(c for length, c in homeless if 2 * length > capacity) or -(-sum(length * c for length, c in homeless) // capacity)
+        out += [(GAP, capacity, new, n, 0, 0)] * (n > 0) + [(NEXT, 0, new + n, 1, 0, 0)]
+    elif new is not None:
+        out.append((NEXT, 0, new, 1, 0, 0))
     return out
 
 
+def best_fit_rounds(counts: DataFrame, capacity: int = CAPACITY, ranges: int = RANGES) -> DataFrame:
+    """Runs of placed pieces (kind PLACED): piece number r of its length (size), with first <= r < first + count, goes to sequence
+    sequence + r - first at offset. counts: (length, n), each length (1 to capacity) once."""
+    spark = counts.sparkSession
+
+    def swept(whole: bool):
+        @lean
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            runs = sweep((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), capacity, whole)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*runs)) or [()] * 6, TYPES)], NAMES)
+
+        return run
+
+    pieces = counts.select(F.lit(PIECE).alias("kind"), F.col("length").cast("int").alias("size"), F.lit(0).cast("long").alias("first"), F.col("n").cast("long").alias("count"), F.lit(0).cast("long").alias("sequence"), F.lit(0).alias("offset"))
+    now = written(pieces.unionByName(spark.createDataFrame([(NEXT, 0, 0, 1, 0, 0)], RUN)), "runs")
+    placed = []
+    for _ in range(ROUNDS):
+        if now.where(F.col("kind") == PIECE).isEmpty():
+            return reduce(DataFrame.unionByName, placed, now.where(F.col("kind") == PLACED))
+        placed.append(now.where(F.col("kind") == PLACED))
+        local = now.where(F.col("kind") != PLACED).repartitionByRange(ranges, "size").sortWithinPartitions("size", "kind", "first").mapInArrow(swept(False), RUN)
+        now = written(local.repartition(1).sortWithinPartitions("size", "kind", "first").mapInArrow(swept(True), RUN), "runs")
+    raise RuntimeError(f"pieces are left after {ROUNDS} rounds")
+
+
+NAMES = [f.split()[0] for f in RUN.split(", ")]
+TYPES = [{"int": pa.int32(), "long": pa.int64()}[f.split()[1]] for f in RUN.split(", ")]
+
+
 class Placer:
     """Places of rows among their task's rows of equal length, from 0, batch by batch."""
 
@@ -112,9 +155,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     pieces is written once, with each row's place among its task's rows of that length (columns part and
     place, which token_pieces() adds itself where placed); the rank of a row is that place plus the
-    rows of earlier tasks (a window over one row per task and length). Only the count of each
-    length reaches the driver: capacity numbers at most. Lengths that are null or out of range
-    raise an error. An empty table stays empty. The columns sequence_id and offset must not exist before."""
+    rows of earlier tasks (a window over one row per task and length). Only the runs of placed pieces reach the driver, as their
+    lookup goes to all tasks: some thousands, whose number depends on the capacity. Lengths that are null or out of range
+    raise an error, and so do columns named sequence_id or offset. Equal pieces are dealt by rank; repeated rows are pieces of
+    their own. An empty table stays empty."""
+    if clash := {"sequence_id", "offset"} & set(pieces.columns):
+        raise ValueError(f"columns {sorted(clash)} exist already")
     tune(pieces.sparkSession)
     if not {"part", "place"} <= set(pieces.columns):
         pieces = placed_rows(pieces, capacity)
@@ -122,9 +168,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     names = [c for c in kept.columns if c not in ("part", "place")]
     counts = kept.groupBy("length", "part").agg(F.count("*").alias("n"))
     bases = counts.select("length", "part", (F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).alias("base"))
-    totals = {int(r["length"]): r["n"] for r in kept.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    rounds = np.array(best_fit_rounds(totals, capacity) or np.empty((0, 5)), dtype=np.int64).reshape(-1, 5)
-    by_length = {int(k): rounds[rounds[:, 0] == k] for k in np.unique(rounds[:, 0])}
+    totals = written(kept.groupBy("length").agg(F.count("*").alias("n")), "lengths")
+    runs = best_fit_rounds(totals, capacity).select("size", "first", "sequence", "offset").toPandas().to_numpy(np.int64)
+    runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
+    by_length = {int(k): runs[runs[:, 0] == k] for k in np.unique(runs[:, 0])}
 
     @lean
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +182,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             for k in np.unique(lengths):
                 own, r = lengths == k, by_length[int(k)]
                 i = np.searchsorted(r[:, 1], rank[own], side="right") - 1
-                seq[own], offset[own] = r[i, 3] + rank[own] - r[i, 1], r[i, 4]
+                seq[own], offset[own] = r[i, 2] + rank[own] - r[i, 1], r[i, 3]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(seq), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in names) + ", sequence_id long, offset long"

@@ -1,3 +1,4 @@
+import bisect
 import hashlib
 import os
 import random
@@ -473,23 +474,56 @@ def test_media_edges(spark, awkward, empty):
 # 8 ------------------------------------------------------------------------------------------------
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.dictionaries(st.integers(1, 30), st.integers(1, 60), max_size=12))
-def test_rounds_fill_without_overlap(counts):
+def plain_rounds(counts, capacity, ranges):
+    """The rounds without Spark: ranges of sizes are swept by themselves, then all of them."""
+    P = packing
+    now, placed = [(P.PIECE, k, 0, v, 0, 0) for k, v in counts.items()] + [(P.NEXT, 0, 0, 1, 0, 0)], []
+    while any(r[0] == P.PIECE for r in now):
+        for whole in (False, True):
+            now.sort(key=lambda r: (r[1], r[0], r[2]))
+            parts = [[r for r in now if whole or r[1] * ranges // (capacity + 1) == k] for k in range(1 if whole else ranges)]
+            now = [r for p in parts for r in P.sweep(p, capacity, whole)]
+            placed += [r for r in now if r[0] == P.PLACED]
+            now = [r for r in now if r[0] != P.PLACED]
+    return placed
+
+
+def check_places(placed, counts, capacity):
+    """Every piece has one place, without gaps or overlaps; returns how many sequences there are."""
     filled, seen = {}, {k: [] for k in counts}
-    for length, rank, n, first, offset in sorted(packing.best_fit_rounds(counts, 30), key=lambda r: r[4]):
+    for _, length, rank, n, first, offset in sorted(placed, key=lambda r: r[5]):
         seen[length] += range(rank, rank + n)
         for s in range(first, first + n):
             assert filled.get(s, 0) == offset
             filled[s] = offset + length
-    assert all(sorted(v) == list(range(counts[k])) for k, v in seen.items()) and all(v <= 30 for v in filled.values())
-    rooms = []  # of best-fit decreasing, one by one
+    assert all(sorted(v) == list(range(counts[k])) for k, v in seen.items()) and all(v <= capacity for v in filled.values())
+    return len(filled)
+
+
+def best_fit_decreasing(counts, capacity):
+    """The number of sequences of best-fit decreasing, one by one."""
+    rooms = []
     for length in sorted((k for k, v in counts.items() for _ in range(v)), reverse=True):
-        fit = [r for r in rooms if r >= length]
-        if fit:
-            rooms.remove(min(fit))
-        rooms.append((min(fit) if fit else 30) - length)
-    assert len(filled) == len(rooms)
+        at = bisect.bisect_left(rooms, length)
+        room = rooms.pop(at) if at < len(rooms) else capacity
+        bisect.insort(rooms, room - length)
+    return len(rooms)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 60), max_size=12), st.integers(1, 6))
+def test_rounds_fill_without_overlap(counts, ranges):
+    n = check_places(plain_rounds(counts, 30, ranges), counts, 30)
+    assert n <= best_fit_decreasing(counts, 30) + 2
+
+
+@pytest.mark.parametrize("draw", [lambda g: g.lognormal(5.2, 1.2, 6000), lambda g: g.integers(1, 1025, 6000), lambda g: g.integers(2, 40, 6000), lambda g: g.integers(300, 500, 6000)])
+def test_rounds_pack_as_best_fit_decreasing_does(spark, draw):
+    lengths = np.clip(draw(np.random.default_rng(1)), 1, 1024).astype(int)
+    counts = {int(k): int(n) for k, n in zip(*np.unique(lengths, return_counts=True))}
+    df = spark.createDataFrame(list(counts.items()), "length long, n long")
+    n = check_places([tuple(r) for r in packing.best_fit_rounds(df).collect()], counts, 1024)
+    assert n <= best_fit_decreasing(counts, 1024) * 1.003 + 1
 
 
 def test_packing_edges(spark, awkward, empty):
@@ -507,6 +541,8 @@ def test_packing_edges(spark, awkward, empty):
     assert packing.pack(packing.token_pieces(empty)).count() == 0
     with pytest.raises(Exception, match="lengths must be"):
         packing.pack(spark.createDataFrame([(0,)], "length long")).count()
+    with pytest.raises(ValueError, match="offset"):
+        packing.pack(spark.createDataFrame([(1, 2)], "length long, offset long"))
 
 
 # 9 ------------------------------------------------------------------------------------------------
