@@ -1,8 +1,7 @@
 """Nearest neighbours by a forest of random-projection trees.
 
 Trees are grown on a bounded sample: a node splits its members at the median of their projections on
-the line through two of them (moved to the means of what lies nearer to each), down to leaves that should
-hold a stated number of the table's rows: the larger the table, the smaller they are in the sample. Every vector then goes
+the line through two of them (moved to the means of what lies nearer to each). Every vector then goes
 to one leaf of each tree. A query searches all trees through one priority queue, ordered by the sum of
 squared margins on the way, until the leaves it has reached hold a share of the table; that share is
 measured on the sample, so that the recall aimed at is reached there. Candidates in those
@@ -24,8 +23,7 @@ from pyspark.sql import functions as F
 from .util import first_by_hash, lean, tune, written
 
 TREES = 8
-#: Rows of the table in a leaf, and members of the sample at least.
-LEAF, LEAST = 80, 8
+LEAF = 80
 SAMPLE = 20_000
 #: Lengths of vectors in one table.
 WIDTHS = 16
@@ -182,25 +180,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     every = packed(vectors, id_col, vec_col)
     copies = W.partitionBy("v").orderBy("id")
     kept = written(every.withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1).drop("n"), "vectors")
-    sizes = {r["n"]: r["count"] for r in kept.groupBy(F.length("v").alias("n")).count().limit(WIDTHS + 1).collect()}
+    sizes = [r["n"] for r in kept.select(F.length("v").alias("n")).distinct().limit(WIDTHS + 1).collect()]
     if len(sizes) > WIDTHS:
         raise ValueError(f"vectors of more than {WIDTHS} lengths")
     wanted = packed(queries, id_col, vec_col)
     out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    for width, rows in sorted(sizes.items()):
+    for width in sorted(sizes):
         own = F.length("v") == width
-        out = out.unionByName(_nearest(kept.where(own), wanted.where(own), rows, k, trees, leaf, sample, aim, seed))
+        out = out.unionByName(_nearest(kept.where(own), wanted.where(own), k, trees, leaf, sample, aim, seed))
     return out
 
 
-def _nearest(kept: DataFrame, wanted: DataFrame, n_rows: int, k: int, trees: int, leaf: int, sample: int, aim: float, seed: int) -> DataFrame:
+def _nearest(kept: DataFrame, wanted: DataFrame, k: int, trees: int, leaf: int, sample: int, aim: float, seed: int) -> DataFrame:
     """nearest() for packed vectors of one length."""
     spark = kept.sparkSession
     some = first_by_hash(kept, "v", sample).collect()  # bounded by sample
     x = unit(np.frombuffer(b"".join(r["v"] for r in some), np.float64).reshape(len(some), -1))
     rng = np.random.default_rng(seed)
-    members = max(LEAST, min(leaf, leaf * len(x) // n_rows))
-    forest = [grow(x, rng, members) for _ in range(trees)]
+    forest = [grow(x, rng, leaf) for _ in range(trees)]
     share = aimed_share(forest, x, rng, k, aim)
     shared = spark.sparkContext.broadcast(forest)  # bounded by sample
 
