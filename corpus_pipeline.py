@@ -23,7 +23,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays; five-word shingles that agree to 0.8 make a group."""
+    """Operator 10 at a similarity: the document with the smallest id of each group stays; five-word shingles that agree to 0.8 make a
+    group. SimHash parts with Hamming balls of their own choose pairs, which are compared exactly."""
     return near_copies.drop_near_copies(docs)
 
 
