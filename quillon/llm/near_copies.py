@@ -1,13 +1,15 @@
 """SimHash near copies at a similarity: documents whose sets of five-word shingles agree to 0.8 or more (Jaccard).
 
 Copies at 0.8 lie about 0.15 of all bits apart, too far for one ball around a 64-bit fingerprint. So a fingerprint is longer here: parts
-of BITS bits, each with a Hamming ball of its own, and a word of 64 more bits for checks.
+of BITS bits, each with a Hamming ball of its own.
 
 1. Fingerprints: texts with the same shingles are one node from here on. A bit is 1 if it is set in over half of a node's shingle hashes.
+   For checks a node has 256 more bits, one from the least of its shingles under each of 256 hashes: sets at 0.8 differ in 0.1 of these, sets
+   at 0.67 (two edits of one text that are each at 0.8 from it) in 0.165, which SimHash bits tell apart less well.
 2. Balls: two nodes meet at a part if it differs in one bit at most. Half of that radius is rounded down for parts with an even
    number of set bits, which emit themselves, and up for the others, which emit all variants at one bit. Variants are shuffled
    in blocks. As many parts are made as let a pair at 0.8 meet with a chance of 0.95 (0.99 at 0.85, 0.999 at 0.9).
-3. Pairs: nodes that meet are compared by their check words. Where a node has few partners at a variant, all pairs are taken; where it
+3. Pairs: nodes that meet are compared by their check bits. Where a node has few partners at a variant, all pairs are taken; where it
    has many (a large group of copies), a few nearest ones, so a group's pairs grow with its members, not with their square.
 4. Verification: both texts of a pair are read and their shingles compared; only pairs of 0.8 or more are links, which are merged
    to components. Where partners were left out, those in other components are taken up in further rounds, each with eight times
@@ -50,26 +52,28 @@ def parts_for(bits: int, similar: float = SIMILAR, meet: float = MEET) -> int:
 
 
 PARTS = parts_for(BITS)
-WORDS = -(-PARTS * BITS // 64) + 1
-#: Differing bits of check words up to which a pair is verified (two standard deviations over what 0.8 gives), and up to which
-#: a member surely has a copy before it, and needs not stand for itself in later blocks of a meeting.
-MAYBE, SURE = 16, 3
+WORDS = -(-PARTS * BITS // 64)
+#: Bits for checks, differing ones up to which a pair is verified (three standard deviations over what 0.8 gives), and up to which
+#: a member surely has a copy before it (three under it), and needs not stand for itself in later blocks of a meeting.
+CHECK, MAYBE, SURE = 256, 41, 10
 #: Members of a meeting up to which pairs are found by shifts of whole blocks of variants.
 SMALL = 16
-#: Partners of a node at a variant in the first round.
-FEW = 8
+#: Partners of a node at a large meeting in the first round.
+FEW = 2
 #: Nodes of a meeting that are compared with those before them at once.
-AT_ONCE = 1024
+AT_ONCE = 512
 #: Variants in a block, and of a node on average.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 PER_NODE = PARTS * (BITS + 1) / 2
 NODES_A_TASK = 10_000
-ROW = np.dtype([("key", "<u4"), ("node", "<i8"), ("check", "<u8")])
+ROW = np.dtype([("key", "<u4"), ("node", "<i8"), ("check", "<u8", (CHECK // 64,))])
 
 _rng = np.random.default_rng(42)
-_MASKS, _FACTORS, _AGAIN = (_rng.integers(0, 1 << 64, WORDS, dtype=np.uint64) for _ in range(3))
+_MASKS, _FACTORS, _AGAIN = _rng.integers(0, 1 << 64, (3, WORDS + 1), dtype=np.uint64)[:, :WORDS]  # fingerprints as before, without the spare word
 _FACTORS |= np.uint64(1)
 _AGAIN |= np.uint64(1)
+_FLIPS, _TIMES = (_rng.integers(0, 1 << 32, CHECK, dtype=np.uint32) for _ in range(2))
+_TIMES |= np.uint32(1)
 
 
 def shingles(raw: bytes) -> np.ndarray:
@@ -86,15 +90,42 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def long_fingerprint(own: np.ndarray) -> tuple[np.ndarray, int]:
-    """The parts (uint32) and the check word of a set of shingles."""
+def long_fingerprint(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts (uint32) and the check words of a set of shingles."""
     h = (own[:, None] ^ _MASKS) * _FACTORS
     h ^= h >> np.uint64(32)
     h *= _AGAIN
     h ^= h >> np.uint64(29)
     bits = majority(h)
     parts = (bits[: PARTS * BITS].reshape(PARTS, BITS) << np.arange(BITS)).sum(axis=1).astype(np.uint32)
-    return parts, int(np.packbits(bits[-64:], bitorder="little").view("<u8")[0])
+    return parts, check_words(own)
+
+
+def check_words(own: np.ndarray) -> np.ndarray:
+    """The parity of the least hash of a set under each of CHECK hashes, as 64-bit words."""
+    short = (own >> np.uint64(32)).astype(np.uint32)
+    least = np.full(CHECK, 0xFFFFFFFF, np.uint32)
+    for first in range(0, len(short), 256):
+        h = (short[first : first + 256, None] ^ _FLIPS) * _TIMES
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x2C1B3C6D)
+        np.minimum(least, h.min(axis=0), out=least)
+    return np.packbits(np.bitwise_count(least) & 1, bitorder="little").view("<u8")
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of check words (which broadcast)."""
+    return sum(np.bitwise_count(a[..., k] ^ b[..., k]).astype(np.int16) for k in range(CHECK // 64))
+
+
+def check_array(words: np.ndarray) -> pa.Array:
+    """Rows of check words as a binary column."""
+    raw = np.ascontiguousarray(words, "<u8")
+    return pa.Array.from_buffers(pa.binary(CHECK // 8), len(raw), [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
+
+
+def checks_of(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), "<u8").reshape(-1, CHECK // 64)
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -115,12 +146,12 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     continue
                 part, check = long_fingerprint(own)
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes(), 5) - (1 << 63))
-                checks.append(check - (1 << 63))
+                checks.append(check.tobytes())
                 parts.append(part.tobytes())
-            cols = [b.column("doc_id"), b.column("key"), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(parts, pa.binary())]
+            cols = [b.column("doc_id"), b.column("key"), pa.array(nodes, pa.int64()), pa.array(checks, pa.binary()), pa.array(parts, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "node", "check", "parts"])
 
-    return _named(df, id_col, text_col).mapInArrow(run, "doc_id long, key long, node long, check long, parts binary")
+    return _named(df, id_col, text_col).mapInArrow(run, "doc_id long, key long, node long, check binary, parts binary")
 
 
 def _named(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -139,17 +170,17 @@ def variants(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tree(checks: np.ndarray, few: int, groups: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs (i, j), j before i, of members of one meeting whose check words pass, and whether partners were left out. Of each i the `few`
+    """Pairs (i, j), j before i, of members of one meeting whose check bits pass, and whether partners were left out. Of each i the `few`
     nearest are taken, or one if that is surely a copy. groups: only pairs of unlike groups count, and none is surely a copy."""
     out_i, out_j, cut = [], [], False
     ahead = np.empty(0, np.int64)  # of earlier blocks, those that nothing before them stands for
     for first in range(0, len(checks), AT_ONCE):
         here = np.arange(first, min(first + AT_ONCE, len(checks)))
         pool = np.concatenate((ahead, here))
-        far = np.bitwise_count(checks[here][:, None] ^ checks[pool]).astype(np.int16)
-        far[pool >= here[:, None]] = 99
+        far = apart(checks[here][:, None], checks[pool])
+        far[pool >= here[:, None]] = CHECK
         if groups is not None:
-            far[groups[here][:, None] == groups[pool]] = 99
+            far[groups[here][:, None] == groups[pool]] = CHECK
         sure = (far.min(axis=1) <= SURE) & (groups is None)
         n = np.where(sure, 1, np.minimum((far <= MAYBE).sum(axis=1), few))
         cut |= bool(((far <= MAYBE).sum(axis=1) > n).any()) or bool(sure.any())
@@ -161,25 +192,37 @@ def tree(checks: np.ndarray, few: int, groups: np.ndarray | None = None) -> tupl
     return np.concatenate(out_i), np.concatenate(out_j), cut
 
 
-def meetings(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def first_meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of two tables of parts: the least key that the balls of both rows hold, for rows that meet."""
+    x = a ^ b
+    n, odd = np.bitwise_count(x), is_odd(a)
+    top = np.uint32(1) << np.log2(np.maximum(a, 1)).astype(np.uint32)
+    low = x & (~x + np.uint32(1))
+    same = np.where(odd, a ^ top, a)
+    key = np.select([n == 0, n == 1], [same, np.where(odd, b, a)], np.minimum(a ^ low, a ^ x ^ low)).astype(np.int64)
+    key |= np.arange(PARTS) << BITS
+    return np.where((n < 2) | (n == 2) & odd, key, 1 << 40).min(axis=1)
+
+
+def meetings(rows: np.ndarray, few: int, small: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (u, v) of nodes of a block of variants, and the rows of meetings where partners were left out."""
     mixed = (rows["node"].view(np.uint64) ^ rows["key"]) * np.uint64(0x9E3779B97F4A7C15)  # another order at each variant
     rows = rows[np.lexsort((mixed, rows["key"]))]
     keys, nodes, checks = (np.ascontiguousarray(rows[c]) for c in ("key", "node", "check"))
     edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
     sizes = np.diff(edges)
-    big = np.repeat(sizes > SMALL, sizes)
+    big = np.repeat(sizes > small, sizes)
     u, v, rest = [], [], []
-    for d in range(1, SMALL):
+    for d in range(1, small):
         if not (same := (keys[d:] == keys[:-d]) & ~big[d:]).any():
             break
         at = np.flatnonzero(same)
-        at = at[np.bitwise_count(checks[at] ^ checks[at + d]) <= MAYBE]
+        at = at[apart(checks[at], checks[at + d]) <= MAYBE]
         u.append(nodes[at])
         v.append(nodes[at + d])
-    for i in np.flatnonzero(sizes > SMALL).tolist():
+    for i in np.flatnonzero(sizes > small).tolist():
         own = slice(edges[i], edges[i + 1])
-        a, b, cut = tree(checks[own], FEW)
+        a, b, cut = tree(checks[own], few)
         u.append(nodes[own][a])
         v.append(nodes[own][b])
         if cut:
@@ -190,9 +233,10 @@ def meetings(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return pairs[:, 0], pairs[:, 1], np.concatenate(rest) if rest else rows[:0]
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
+def candidates(nodes: DataFrame, few: int, small: int) -> DataFrame:
     """(u, v, variant, rows): pairs of nodes to be verified, and the rows of variants where partners were left out. nodes: (node,
-    check, parts), each node once. Variants travel in blocks, chosen by a hash of the variant, whose number follows the nodes'."""
+    check, parts), each node once. few: partners of a node in meetings of over `small` nodes. Variants travel in blocks, chosen by a hash of the
+    variant, whose number follows the nodes'."""
     n = nodes.count()
     blocks, tasks = max(1, int(n * PER_NODE / BLOCK)), max(1, -(-n // NODES_A_TASK))
 
@@ -206,7 +250,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
             rows = np.empty(len(keys), ROW)
             rows["key"] = keys
             rows["node"] = b.column("node").to_numpy()[at]
-            rows["check"] = b.column("check").to_numpy().view(np.uint64)[at]
+            rows["check"] = checks_of(b.column("check"))[at]
             block = block_of(keys.astype(np.uint64), blocks)
             order = np.argsort(block.astype(np.uint16 if blocks <= 1 << 16 else np.uint64), kind="stable")
             block, rows = block[order], rows[order]
@@ -221,7 +265,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
 
         def close() -> Iterator[pa.RecordBatch]:
             if held:
-                u, v, rest = meetings(np.frombuffer(b"".join(held), ROW))
+                u, v, rest = meetings(np.frombuffer(b"".join(held), ROW), few, small)
                 held.clear()
                 yield from _pairs(u, v)
                 cuts = np.flatnonzero(np.r_[True, rest["key"][1:] != rest["key"][:-1], True]) if len(rest) else []
@@ -246,8 +290,9 @@ def _pairs(u: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u[i : i + k]), pa.array(v[i : i + k]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], ["u", "v", "variant", "rows"])
 
 
-def left_out(rest: DataFrame, comp: DataFrame, few: int) -> DataFrame:
-    """(u, v, variant, rows) again, of meetings (variant, rows) whose members lie in several components: pairs across these."""
+def left_out(rest: DataFrame, comp: DataFrame, nodes: DataFrame, few: int) -> DataFrame:
+    """(u, v, variant, rows) again, of meetings (variant, rows) whose members lie in several components: pairs across these, each from the
+    first meeting that both nodes have. A node has a bounded number of variants, so these are gathered by node to look it up once."""
 
     @lean
     def loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +301,7 @@ def left_out(rest: DataFrame, comp: DataFrame, few: int) -> DataFrame:
                 rows = np.frombuffer(raw, ROW)
                 for i in range(0, len(rows), 100_000):
                     own = rows[i : i + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), variant)), pa.array(np.ascontiguousarray(own["node"])), pa.array(np.ascontiguousarray(own["check"]).view(np.int64))], ["variant", "node", "check"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), variant)), pa.array(np.ascontiguousarray(own["node"]))], ["variant", "node"])
 
     @lean
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,15 +309,16 @@ def left_out(rest: DataFrame, comp: DataFrame, few: int) -> DataFrame:
 
         def close() -> Iterator[pa.RecordBatch]:
             if held:
-                nodes, checks, groups = (np.concatenate(x) for x in zip(*held))
+                own, groups, checks, parts = (np.concatenate(x) for x in zip(*held))
                 held.clear()
-                if len(np.unique(groups)) == 1:
-                    return
-                a, b, cut = tree(checks.view(np.uint64), few, groups)
-                yield from _pairs(np.minimum(nodes[a], nodes[b]), np.maximum(nodes[a], nodes[b]))
+                a, b, cut = tree(checks, few, groups)
+                for k in range(0, len(a), 100_000):
+                    i, j = a[k : k + 100_000], b[k : k + 100_000]
+                    first = first_meeting(parts[i], parts[j]) == variant
+                    yield from _pairs(np.minimum(own[i], own[j])[first], np.maximum(own[i], own[j])[first])
                 if cut:
-                    rows = np.empty(len(nodes), ROW)
-                    rows["key"], rows["node"], rows["check"] = variant, nodes, checks.view(np.uint64)
+                    rows = np.empty(len(own), ROW)
+                    rows["key"], rows["node"], rows["check"] = variant, own, checks
                     yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([variant], pa.int64()), pa.array([rows.tobytes()], pa.binary())], ["u", "v", "variant", "rows"])
 
         for b in batches:
@@ -282,11 +328,13 @@ def left_out(rest: DataFrame, comp: DataFrame, few: int) -> DataFrame:
                 if keys[x] != variant:
                     yield from close()
                     variant = int(keys[x])
-                held.append(tuple(b.column(c).to_numpy()[x:y] for c in ("node", "check", "group")))
+                parts = np.frombuffer(b"".join(b.column("parts").slice(x, y - x).to_pylist()), np.uint32).reshape(-1, PARTS)
+                held.append((b.column("node").to_numpy()[x:y], b.column("group").to_numpy()[x:y], checks_of(b.column("check").slice(x, y - x)), parts))
         yield from close()
 
-    single = rest.mapInArrow(loose, "variant long, node long, check long")
-    named = single.join(comp.select("node", F.col("component").alias("group")), "node", "left").select("variant", "node", "check", F.coalesce("group", "node").alias("group"))
+    by_node = rest.mapInArrow(loose, "variant long, node long").groupBy("node").agg(F.collect_list("variant").alias("variants"))
+    known = by_node.join(comp.select("node", F.col("component").alias("group")), "node", "left").join(nodes, "node")
+    named = known.select(F.explode("variants").alias("variant"), "node", F.coalesce("group", "node").alias("group"), "check", "parts")
     mixed = named.groupBy("variant").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("variant")
     return named.join(mixed, "variant").repartition("variant").sortWithinPartitions("variant", "node").mapInArrow(meet, "u long, v long, variant long, rows binary")
 
@@ -338,7 +386,7 @@ def linked(nodes: DataFrame, least: DataFrame, named: DataFrame) -> DataFrame:
     each node."""
     packed = pack_texts(named)
     few, comp, tested = FEW, None, None
-    found = written(candidates(nodes), "met")
+    found = written(candidates(nodes, FEW, SMALL), "met")
     while True:
         pairs = found.where("u is not null").select("u", "v").distinct()
         if tested is not None:
@@ -357,6 +405,6 @@ def linked(nodes: DataFrame, least: DataFrame, named: DataFrame) -> DataFrame:
         if rest.isEmpty():
             return comp
         few *= 8
-        found = written(left_out(rest, comp, few), "met")
+        found = written(left_out(rest, comp, nodes, few), "met")
         if found.isEmpty():
             return comp

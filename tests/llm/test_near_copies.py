@@ -64,7 +64,7 @@ def test_unlike_texts_of_one_id_stay(spark):
 def test_large_meetings_make_few_pairs(monkeypatch):
     monkeypatch.setattr(near_copies, "AT_ONCE", 16)
     sets = [near_copies.shingles(" ".join(edited(random.Random(i), [f"w{k}" for k in range(300)], 2)).encode()) for i in range(100)]
-    checks = np.array([near_copies.long_fingerprint(s)[1] for s in sets], np.uint64)
+    checks = np.stack([near_copies.long_fingerprint(s)[1] for s in sets])
     i, j, cut = near_copies.tree(checks, near_copies.FEW)
     assert set(i.tolist()) == set(range(1, 100)) and (j < i).all() and len(i) <= 99 * near_copies.FEW and cut
 
@@ -79,14 +79,28 @@ def test_parts_meet_within_one_bit():
         assert len(met) == near_copies.PARTS if bits < 2 else bits == 2 or not met
 
 
+def test_pairs_of_later_rounds_come_from_their_first_meeting():
+    rng = np.random.default_rng(8)
+    a = rng.integers(0, 1 << near_copies.BITS, (300, near_copies.PARTS)).astype(np.uint32)
+    b = a.copy()
+    for _ in range(40):
+        row, part = rng.integers(0, 300, 300), rng.integers(0, near_copies.PARTS, 300)
+        b[row, part] ^= np.uint32(1) << rng.integers(0, near_copies.BITS, 300).astype(np.uint32)
+    first = near_copies.first_meeting(a, b)
+    assert (first == near_copies.first_meeting(b, a)).all()
+    for x, y, key in zip(a, b, first.tolist()):
+        both = np.intersect1d(near_copies.variants(x[None])[0], near_copies.variants(y[None])[0])
+        assert key == (both.min() if len(both) else 1 << 40)
+
+
 def test_pairs_at_0_8_meet():
-    """Sets of 900 shingles that share 800: the share that meets and passes the check words."""
+    """Sets of 900 shingles that share 800: the share that meets and passes the check bits."""
     rng = np.random.default_rng(4)
     found = 0
     for _ in range(200):
         a, b = (rng.integers(0, 1 << 64, n, dtype=np.uint64) for n in (900, 100))
         (p, x), (q, y) = (near_copies.long_fingerprint(s) for s in (a, np.concatenate((a[:800], b))))
-        found += bool(np.intersect1d(near_copies.variants(p[None])[0], near_copies.variants(q[None])[0]).size) and (x ^ y).bit_count() <= near_copies.MAYBE
+        found += bool(np.intersect1d(near_copies.variants(p[None])[0], near_copies.variants(q[None])[0]).size) and near_copies.apart(x, y) <= near_copies.MAYBE
     assert found >= 0.93 * 200
 
 
