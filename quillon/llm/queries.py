@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, byte_bpe, lang_id, line_dedup, media, packing, simhash, substring_dedup, token_store, toxicity
+from . import ann, block_max, byte_bpe, lang_id, line_dedup, media, packing, simhash, substring_dedup, token_store, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op13_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_max.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
+    "op13_block_max": op13_block_max,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op13_block_max": block_max.SQL}
