@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, block_max, byte_bpe, lang_id, line_dedup, media, packing, simhash, substring_dedup, token_store, toxicity, vector_codes
+from . import ann, block_max, byte_bpe, lang_id, line_dedup, media, packing, set_sketch, simhash, substring_dedup, token_store, toxicity, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_set_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_sketch.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
 
@@ -73,8 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
+    "op11_set_sketch": op11_set_sketch,
     "op12_vector_codes": op12_vector_codes,
     "op13_block_max": op13_block_max,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op12_vector_codes": vector_codes.SQL, "op13_block_max": block_max.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op11_set_sketch": set_sketch.SQL, "op12_vector_codes": vector_codes.SQL, "op13_block_max": block_max.SQL}
