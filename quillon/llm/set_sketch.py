@@ -9,7 +9,8 @@ sets' registers are equal the likelier the more the sets agree.
    chance of 0.8 at least, so a link is missed by all bands once in 30,000 times, where no chain of links spans it either.
 3. Pairs: at first each node with the least node of each of its keys. Merged links give components, and only keys whose nodes lie in several of
    them are looked at again: nodes outside of a key's largest component are compared with all others there, in slices of bounded size, by their
-   sketches. Each takes its few likeliest partners in other components; later rounds take eight times as many, until none is left out.
+   sketches. Each takes its few likeliest partners in other components; keys where that leaves some out come up again, with longer sketches of
+   their nodes and more partners, at last with all.
 4. Joint estimation: of the registers of a pair that are larger here, larger there, or equal, and of the sizes of both sets, follows the
    likelihood of each similarity. Pairs go on if 0.8 isn't far less likely than the likeliest one (a deviation of 4.5 at most).
 5. Verification: both texts of a pair are read and their whole sets compared, in integers. Shingles are 64-bit hashes there.
@@ -34,21 +35,24 @@ from .util import lean, nameless, tune, written
 SHINGLE = 4
 #: A link: PARTS * intersection >= SIMILAR * union.
 SIMILAR, PARTS = 80, 100
-#: Registers, their scale, its largest value, and the rate of the exponential distribution.
-REGISTERS, BASE, LIMIT, RATE = 256, 1.1, 255, 20.0
+#: Rows of a band, bands, the registers of these, and those of longer sketches, which begin with them.
 ROWS, BANDS = 6, 32
-#: How much less likely (as a logarithm) a similarity of 0.8 may be than the likeliest one, and equal registers below which it surely is.
+REGISTERS, LONG = ROWS * BANDS, 1024
+#: The registers' scale, its largest value, and the rate of the exponential distribution.
+BASE, LIMIT, RATE = 1.1, 255, 20.0
+#: How much less likely (as a logarithm) a similarity of 0.8 may be than the likeliest one.
 DEVIATION = 4.5**2 / 2
-LEAST_EQUAL = int(REGISTERS * 0.8 - 5.5 * (REGISTERS * 0.8 * 0.2) ** 0.5)
-#: Partners of a node in its first round over a key's other components, and nodes of a slice.
-FEW, SLICE = 2, 4096
+#: Partners that a node takes in a slice, in rounds over the keys left: at first by its bands' registers, then by longer sketches; at last all.
+FEW = (2, 32, None)
+#: Nodes of a slice, and pairs whose likelihood is computed at once.
+SLICE, AT_ONCE = 4096, 100_000
 #: Rows of one key that a join sends to one task, and keys whose list may be broadcast (16 bytes each).
 HOT, LISTED = 256, 1_000_000
 #: Nodes whose texts are picked by a broadcast list (24 bytes each).
 PICKED = 1_000_000
 
 _rng = np.random.default_rng(11)
-_FLIPS, _TIMES = (_rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) for _ in range(2))
+_FLIPS, _TIMES = (_rng.integers(0, 1 << 32, LONG, dtype=np.uint32) for _ in range(2))
 _TIMES |= np.uint32(1)
 
 
@@ -60,14 +64,14 @@ def shingle_set(raw: bytes) -> np.ndarray:
     return np.unique(run_hashes(prefix_sums(word_hashes(words)), min(SHINGLE, len(words))))
 
 
-def sketch(own: np.ndarray) -> np.ndarray:
+def sketch(own: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
     """The registers of a set of hashes; all 0 for an empty one."""
     if not len(own):
-        return np.zeros(REGISTERS, np.uint8)
+        return np.zeros(registers, np.uint8)
     short = (own >> np.uint64(32)).astype(np.uint32)
-    least = np.full(REGISTERS, 0xFFFFFFFF, np.uint32)
+    least = np.full(registers, 0xFFFFFFFF, np.uint32)
     for first in range(0, len(short), 256):
-        h = (short[first : first + 256, None] ^ _FLIPS) * _TIMES
+        h = (short[first : first + 256, None] ^ _FLIPS[:registers]) * _TIMES[:registers]
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
         h ^= h >> np.uint32(12)
@@ -83,7 +87,7 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def cardinality(registers: np.ndarray) -> float:
     """The estimated size of a sketch's set."""
-    return REGISTERS * (1 - 1 / BASE) / (RATE * np.log(BASE) * (BASE ** -registers.astype(float)).sum())
+    return len(registers) * (1 - 1 / BASE) / (RATE * np.log(BASE) * (BASE ** -registers.astype(float)).sum())
 
 
 def _unlike(x: np.ndarray) -> np.ndarray:
@@ -91,15 +95,14 @@ def _unlike(x: np.ndarray) -> np.ndarray:
     return -np.log1p(-x * (BASE - 1) / BASE) / np.log(BASE)
 
 
-def _likelihood(similar: np.ndarray, u: np.ndarray, here: np.ndarray, there: np.ndarray) -> np.ndarray:
-    """Logarithm of the likelihood of a similarity: u is the first set's share of both sizes' sum, here and there how many registers
-    are larger in the first and in the second set."""
+def _likelihood(similar: np.ndarray, u: np.ndarray, here: np.ndarray, there: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Logarithm of the likelihood of a similarity: u is the first set's share of both sizes' sum; here, there and same are how many registers
+    are larger in the first and in the second set, and equal."""
     p, q = (np.maximum(_unlike(np.maximum(x, 0.0)), 1e-300) for x in (u - (1 - u) * similar, 1 - u - u * similar))
-    same = REGISTERS - here - there
     return np.where(here > 0, here * np.log(p), 0) + np.where(there > 0, there * np.log(q), 0) + np.where(same > 0, same * np.log(np.maximum(1 - p - q, 1e-300)), 0)
 
 
-def estimate(n: np.ndarray, m: np.ndarray, here: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def estimate(n: np.ndarray, m: np.ndarray, here: np.ndarray, there: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of pairs of sets with sizes n and m: the likeliest similarity, and by how much that is likelier than a link's least one (as a
     logarithm; 0 where it is a link's itself, infinite where the sizes allow no link)."""
     u = n / (n + m)
@@ -107,21 +110,27 @@ def estimate(n: np.ndarray, m: np.ndarray, here: np.ndarray, there: np.ndarray)
     low, high = np.zeros(len(u)), top.copy()
     for _ in range(32):  # the likelihood has one peak
         a, b = low + (high - low) / 3, high - (high - low) / 3
-        left = _likelihood(a, u, here, there) > _likelihood(b, u, here, there)
+        left = _likelihood(a, u, here, there, same) > _likelihood(b, u, here, there, same)
         low, high = np.where(left, low, a), np.where(left, b, high)
     best, link = (low + high) / 2, SIMILAR / PARTS
-    less = _likelihood(best, u, here, there) - _likelihood(np.full(len(u), link), u, here, there)
+    less = _likelihood(best, u, here, there, same) - _likelihood(np.full(len(u), link), u, here, there, same)
     return best, np.where(top < link - 1e-12, np.inf, np.where(best >= link, 0.0, less))
 
 
 def plausible(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether pairs of sketches (rows of a and b) with sizes n and m may be links."""
     here, there = (a > b).sum(axis=1), (a < b).sum(axis=1)
-    ok = REGISTERS - here - there >= LEAST_EQUAL
-    ok[ok] = estimate(n[ok], m[ok], here[ok], there[ok])[1] <= DEVIATION
+    same = a.shape[1] - here - there
+    ok = same >= least_equal(a.shape[1])
+    ok[ok] = estimate(n[ok], m[ok], here[ok], there[ok], same[ok])[1] <= DEVIATION
     return ok
 
 
+def least_equal(registers: int) -> float:
+    """Equal registers below which a pair surely is no link: 5.5 standard deviations under what 0.8 gives."""
+    return 0.8 * registers - 5.5 * (0.16 * registers) ** 0.5
+
+
 def band_keys(sketches: np.ndarray) -> np.ndarray:
     """The keys (nodes x BANDS) of sketches."""
     h = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (len(sketches), 1))
@@ -131,8 +140,8 @@ def band_keys(sketches: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def sketches_of(col: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, REGISTERS)
+def sketches_of(col: pa.Array, registers: int = REGISTERS) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, registers)
 
 
 def sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -205,14 +214,23 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("u", "v", "n", "m", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def across(met: DataFrame, nodes: DataFrame, comp: DataFrame, few: int) -> tuple[DataFrame, bool]:
-    """(u, v), u < v: pairs that share a key, lie in unlike components and may be links, of which each node outside of its key's largest component
-    takes its `few` likeliest in a slice; and whether more than these were left out."""
+def still_open(met: DataFrame, comp: DataFrame) -> DataFrame:
+    """(key, node, group): the keys of met whose nodes lie in several components."""
     known = met.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("group"))
     mixed = known.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("key")
-    loose = written(known.join(mixed, "key"), "loose")
-    if loose.isEmpty():
-        return loose.select(F.col("node").alias("u"), F.col("node").alias("v")), False
+    return known.join(mixed, "key")
+
+
+def first_shared(a: np.ndarray, b: np.ndarray, key: int) -> np.ndarray:
+    """Whether the key is the first one that rows of keys share."""
+    same = a == b
+    return a[np.arange(len(a)), same.argmax(axis=1)] == key
+
+
+def across(loose: DataFrame, nodes: DataFrame, registers: int, few: int | None) -> DataFrame:
+    """(u, v, key), u < v: pairs that share a key of loose (see still_open), lie in unlike components there and may be links, of which each node outside of
+    its key's largest component takes its `few` likeliest in a slice (None: all, each pair at the first key that both share). Keys
+    where more than these were left out come as (null, null, key). nodes: (node, n, sketch of so many registers)."""
     sizes = loose.groupBy("key", "group").count().groupBy("key").agg(F.max(F.struct("count", "group")).alias("large"), F.sum("count").alias("k"))
     slices = lambda n: F.ceil(n / SLICE)
     sizes = sizes.select("key", F.col("large.group").alias("large"), slices(F.col("k")).alias("a_s"), slices(F.col("k") - F.col("large.count")).alias("b_s"))
@@ -225,22 +243,41 @@ def across(met: DataFrame, nodes: DataFrame, comp: DataFrame, few: int) -> tuple
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held, left_out = None, {0: [], 1: []}, False
+        cell, held = None, {0: [], 1: []}
+
+        def pairs(x: tuple, y: tuple) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            """Places in x and y of pairs that may be links, some nodes of y at a time, and how many registers are equal."""
+            at, waiting = [], 0
+            for j in range(len(y[0])):
+                other = np.flatnonzero((x[1] != y[1][j]) & ((x[1] == x[2]) | (x[0] < y[0][j])))
+                equal = (x[4][other] == y[4][j]).sum(axis=1)
+                some = equal >= least_equal(registers)
+                at.append((other[some], np.full(int(some.sum()), j), equal[some]))
+                waiting += len(at[-1][0])
+                if waiting and (waiting > AT_ONCE or j == len(y[0]) - 1):
+                    i, k, equal = (np.concatenate(c) for c in zip(*at))
+                    good = plausible(x[3][i], y[3][k], x[4][i], y[4][k])
+                    if few is None:
+                        good[good] = first_shared(band_keys(x[4][i[good]]), band_keys(y[4][k[good]]), cell[0])
+                    yield i[good], k[good], equal[good]
+                    at, waiting = [], 0
 
         def close() -> Iterator[pa.RecordBatch]:
-            nonlocal left_out
+            cut = False
             if held[0] and held[1]:
-                (x, gx, big, nx, sx), (y, gy, _, ny, sy) = ([np.concatenate(c) for c in zip(*held[k])] for k in (0, 1))
-                for j in range(len(y)):
-                    other = np.flatnonzero((gx != gy[j]) & ((gx == big) | (x < y[j])))
-                    equal = (sx[other] == sy[j]).sum(axis=1)
-                    other, equal = other[equal >= LEAST_EQUAL], equal[equal >= LEAST_EQUAL]
-                    if len(other):
-                        good = plausible(nx[other], np.full(len(other), ny[j]), sx[other], np.broadcast_to(sy[j], (len(other), REGISTERS)))
-                        other, equal = other[good], equal[good]
-                        left_out |= len(other) > few
-                        at = other[np.argsort(-equal, kind="stable")[:few]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[at], y[j])), pa.array(np.maximum(x[at], y[j]))], ["u", "v"])
+                x, y = (tuple(np.concatenate(c) for c in zip(*held[k])) for k in (0, 1))
+                for i, j, equal in pairs(x, y):
+                    if few is not None:
+                        order = np.lexsort((-equal, j))
+                        i, j = i[order], j[order]
+                        place = np.arange(len(j)) - np.searchsorted(j, j)
+                        cut |= bool((place >= few).any())
+                        i, j = i[place < few], j[place < few]
+                    if len(i):
+                        u, v = x[0][i], y[0][j]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.nulls(len(u), pa.int64())], ["u", "v", "key"])
+            if cut:
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([cell[0]], pa.int64())], ["u", "v", "key"])
             held[0].clear()
             held[1].clear()
 
@@ -248,17 +285,15 @@ def across(met: DataFrame, nodes: DataFrame, comp: DataFrame, few: int) -> tuple
             keys = np.stack([b.column(c).to_numpy() for c in ("key", "a", "b", "small")], 1) if b.num_rows else np.empty((0, 4))
             cuts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1), True]) if len(keys) else []
             for i, j in zip(cuts[:-1], cuts[1:]):
-                if tuple(keys[i][:3]) != cell:
+                if tuple(keys[i][:3].tolist()) != cell:
                     yield from close()
-                    cell = tuple(keys[i][:3])
+                    cell = tuple(keys[i][:3].tolist())
                 part = b.slice(i, j - i)
-                held[int(keys[i][3])].append((*(part.column(c).to_numpy() for c in ("node", "group", "large")), part.column("n").to_numpy().astype(float), sketches_of(part.column("sketch"))))
+                held[int(keys[i][3])].append((*(part.column(c).to_numpy() for c in ("node", "group", "large")), part.column("n").to_numpy().astype(float), sketches_of(part.column("sketch"), registers)))
         yield from close()
-        if left_out:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 2, ["u", "v"])
 
-    found = written(a_side.unionAll(b_side).repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "small").mapInArrow(run, "u long, v long"), "across")
-    return found.where("u is not null").distinct(), not found.where("u is null").isEmpty()
+    dealt = a_side.unionAll(b_side).repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "small")
+    return dealt.mapInArrow(run, "u long, v long, key long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -292,22 +327,36 @@ def linked(nodes: DataFrame, least: DataFrame, named: DataFrame) -> DataFrame:
     rows = named.join(picked, named["doc_id"].eqNullSafe(picked["id"]) & (named["key"] == picked["of"])).select("node", "text")
     texts = written(pack_texts(rows).select("node", PACKED).dropDuplicates(["node"]), "texts")
     pairs = met.where("hub <> node").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
-    pairs, tested, comp, few = written(likely(written(pairs, "pairs"), nodes), "likely"), None, None, FEW
-    while True:
+    tested = written(likely(written(pairs, "pairs"), nodes), "likely")
+    comp = connected_components(written(verified(tested, texts), "links"))
+    loose, sketches, registers = written(still_open(met, comp), "loose"), nodes, REGISTERS
+    for few in FEW:
+        if loose.isEmpty():
+            break
+        if few != FEW[0] and registers == REGISTERS:
+            sketches, registers = written(longer(texts.join(loose.select("node").distinct(), "node", "left_semi")), "longer"), LONG
+        found = written(across(loose, sketches, registers, few), "across")
+        pairs = written(found.where("u is not null").select("u", "v").distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
+        tested = tested.unionByName(pairs)
         links = written(verified(pairs, texts), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if comp is None:
-            comp = connected_components(links)
-        elif not links.isEmpty():  # components so far stand for their links
+        if not links.isEmpty():  # components so far stand for their links
             comp = connected_components(comp.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links))
-        while True:
-            found, more = across(met, nodes, comp, few)
-            pairs = written(found.join(tested, ["u", "v"], "left_anti"), "pairs")
-            few *= 8
-            if not pairs.isEmpty():
-                break
-            if not more:
-                return comp
+        cut = found.where("u is null").select("key").distinct()
+        loose = written(still_open(loose.join(cut, "key", "left_semi"), comp), "loose")
+    return comp
+
+
+def longer(texts: DataFrame) -> DataFrame:
+    """(node, n, sketch of LONG registers) of texts (node, __packed)."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(raw) for raw in unpacked(b.column(PACKED))]
+            cols = [b.column("node"), pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x, LONG).tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["node", "n", "sketch"])
+
+    return texts.mapInArrow(run, "node long, n long, sketch binary")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -92,9 +92,9 @@ def test_likelihood_finds_the_similarity():
     rng = np.random.default_rng(2)
     for similar, ratio in ((0.5, 1.0), (0.8, 1.0), (0.8, 0.9), (0.95, 1.0), (0.1, 0.3)):
         pairs = pairs_at(similar, 200, rng, ratio=ratio)
-        x, y = (np.stack([S.sketch(p[k]) for p in pairs]) for k in (0, 1))
+        x, y = (np.stack([S.sketch(p[k], S.LONG) for p in pairs]) for k in (0, 1))
         n, m = (np.array([float(len(p[k])) for p in pairs]) for k in (0, 1))
-        best, less = S.estimate(n, m, (x > y).sum(axis=1), (x < y).sum(axis=1))
+        best, less = S.estimate(n, m, (x > y).sum(axis=1), (x < y).sum(axis=1), (x == y).sum(axis=1))
         assert abs(best.mean() - similar) < 0.02 and best.std() < 0.05
         if similar >= 0.8:
             assert S.plausible(n, m, x, y).all() and (less <= S.DEVIATION).all()
@@ -107,7 +107,7 @@ def test_links_at_the_threshold_meet_over_five_seeds(monkeypatch):
     pairs = pairs_at(0.8, 500, rng)
     for seed in range(5):
         own = np.random.default_rng(seed)
-        flips, times = (own.integers(0, 1 << 32, S.REGISTERS, dtype=np.uint32) for _ in range(2))
+        flips, times = (own.integers(0, 1 << 32, S.LONG, dtype=np.uint32) for _ in range(2))
         monkeypatch.setattr(S, "_FLIPS", flips)
         monkeypatch.setattr(S, "_TIMES", times | np.uint32(1))
         x, y = (S.band_keys(np.stack([S.sketch(p[k]) for p in pairs])) for k in (0, 1))
@@ -144,6 +144,7 @@ def test_a_large_group_and_strays(spark, monkeypatch):
     """Every text shares keys with hundreds of others, many at less than 0.8; slices and hot keys are split."""
     monkeypatch.setattr(S, "SLICE", 64)
     monkeypatch.setattr(S, "HOT", 32)
+    monkeypatch.setattr(S, "AT_ONCE", 100)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(150)]
     rows = [(i, edited(base, rng.randrange(2, 9), rng)) for i in range(400)] + [(1000 + i, " ".join(base)) for i in range(300)]
