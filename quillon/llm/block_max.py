@@ -1,10 +1,10 @@
 """Ranked lexical search with block-max pruning.
 
-The index has two tables. Blocks are runs of documents in the order in which they are stored: a forward index of at most DOCS documents, each
-with its length and its terms' frequencies over a dictionary of the block. Maxima hold for every block and term the largest
-part of a score that a document of the block gets from the term, and how many documents hold it. Terms stand in both as 64-bit XXH64 values.
+The index is a table of blocks: runs of documents in the order in which they are stored. A block is a forward index of at most DOCS documents, with each one's
+length and its terms' frequencies, over a dictionary of the block that holds for every term the largest part of a score that a document of
+the block gets from it, and how many documents hold it. Terms stand there as 64-bit XXH64 values.
 
-A search sums maxima to a bound for each query and block, and sorts a query's blocks by it. The FIRST best blocks of each query are
+A search sums these maxima to a bound for each query and block, and sorts a query's blocks by it. The FIRST best blocks of each query are
 scored at once; the k-th best score so far is a threshold, and only blocks with a bound not under it are read after that. There each task takes
 the blocks of a query by falling bound and stops at the first that lies under the task's own k-th best score. So blocks are left out only
 where none of their documents can be among the k best, and results are exact.
@@ -26,15 +26,15 @@ from pyspark.sql import functions as F
 from .util import lean, nameless, texts_of, tune, written
 
 #: Documents and words up to which a block is filled, and words that a task knows by number.
-DOCS, WORDS, KNOWN = 32, 1 << 18, 500_000
+DOCS, WORDS, KNOWN = 64, 1 << 18, 500_000
 #: Blocks of a query that are scored first.
 FIRST = 8
 #: Queries that a row of a block carries at most.
 ASKED = 256
 #: Bytes of blocks that a task holds at once.
 HELD = 24 << 20
-#: Block numbers whose filter may be broadcast (8 bytes each).
-FEW = 4_000_000
+#: Block numbers whose filter, pairs of query and block, and terms of all queries that may be broadcast (8, 24 and 16 bytes each).
+FEW, PAIRS, TOLD = 4_000_000, 1_000_000, 2_000_000
 
 #: Bytes of terms: digits, lower-case letters and all beyond ASCII; A-Z are lowered, all others part terms.
 _TERM = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256)).lower()
@@ -62,10 +62,10 @@ class _Vocabulary(dict):
         return n
 
 
-BLOCK = "block long, doc_ids array<long>, words long, terms binary, lengths binary, starts binary, at binary, tf binary"
+BLOCK = "block long, doc_ids array<long>, terms array<long>, most array<int>, docs array<int>, lengths binary, starts binary, at binary, tf binary"
 
 
-def _block(number: int, ids: list, numbers: list[np.ndarray], hashes: list[int]) -> list:
+def _block(number: int, ids: list, numbers: list[np.ndarray], hashes: list[int], docs: int, words: int) -> list:
     lengths = np.array([len(x) for x in numbers], np.int64)
     key = np.repeat(np.arange(len(ids), dtype=np.int64) << 32, lengths) | np.concatenate(numbers)
     key, tf = np.unique(key, return_counts=True)
@@ -74,27 +74,54 @@ def _block(number: int, ids: list, numbers: list[np.ndarray], hashes: list[int])
     order = np.argsort(own)
     place = np.empty(len(own), np.uint32)
     place[order] = np.arange(len(own), dtype=np.uint32)
+    at = place[at]
     starts = np.searchsorted(key >> 32, np.arange(len(ids) + 1)).astype(np.int64)
-    return [number, ids, int(lengths.sum()), own[order].tobytes(), lengths.tobytes(), starts.tobytes(), place[at].tobytes(), tf.astype(np.uint32).tobytes()]
+    by_term = np.argsort(at, kind="stable")
+    cuts = np.searchsorted(at[by_term], np.arange(len(own)))
+    most = np.maximum.reduceat(score_parts(lengths, starts, tf, docs, words)[by_term], cuts)
+    return [number, ids, own[order], most.astype(np.int32), np.diff(np.r_[cuts, len(at)]).astype(np.int32), lengths.tobytes(), starts.tobytes(), at.tobytes(), tf.astype(np.uint32).tobytes()]
 
 
-def blocks_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Forward-index blocks (see BLOCK) of all documents with at least one term."""
+def score_parts(lengths: np.ndarray, starts: np.ndarray, tf: np.ndarray, docs: int, words: int) -> np.ndarray:
+    """What each posting gives for a term of weight 1."""
+    m = np.repeat(length_norms(lengths, docs, words), np.diff(starts))
+    return 1_000_000_000 * tf // (1000 * tf + 8 * m)
+
+
+def counts(df: DataFrame, text_col: str = "text") -> tuple[int, int]:
+    """The number of documents with at least one term, and of all their terms."""
+    tune(df.sparkSession)
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs = words = 0
+        for b in batches:
+            for text in texts_of(b, "text"):
+                n = len(terms(text))
+                docs, words = docs + (n > 0), words + n
+        yield pa.RecordBatch.from_arrays([pa.array([docs], pa.int64()), pa.array([words], pa.int64())], ["docs", "words"])
+
+    each = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "docs long, words long")
+    return tuple(each.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first())
+
+
+def blocks_of(df: DataFrame, docs: int, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Blocks (see BLOCK) of all documents with at least one term. docs and words: see counts."""
     tune(df.sparkSession)
     columns = [f.split()[0] for f in BLOCK.split(", ")]
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        vocabulary, ids, numbers, words = _Vocabulary(), [], [], 0
+        vocabulary, ids, numbers, filled = _Vocabulary(), [], [], 0
 
         def close() -> Iterator[pa.RecordBatch]:
-            nonlocal number, vocabulary, words
+            nonlocal number, vocabulary, filled
             if ids:
-                row = _block(number, list(ids), numbers, vocabulary.hashes)
-                kinds = (pa.int64(), pa.list_(pa.int64()), pa.int64(), *[pa.binary()] * 5)
+                row = _block(number, list(ids), numbers, vocabulary.hashes, docs, words)
+                kinds = (pa.int64(), *(pa.list_(t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())), *[pa.binary()] * 4)
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], columns)
-                number, words = number + 1, 0
+                number, filled = number + 1, 0
                 ids.clear()
                 numbers.clear()
             if len(vocabulary) > KNOWN:
@@ -103,11 +130,11 @@ def blocks_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for b in batches:
             for i, text in zip(b.column("doc_id").to_pylist(), texts_of(b, "text")):
                 if own := terms(text):
-                    if ids and words + len(own) > WORDS:
+                    if ids and filled + len(own) > WORDS:
                         yield from close()
                     ids.append(i)
                     numbers.append(np.fromiter(map(vocabulary.__getitem__, own), np.int64, len(own)))
-                    words += len(own)
+                    filled += len(own)
                     if len(ids) == DOCS:
                         yield from close()
         yield from close()
@@ -129,8 +156,7 @@ class Block:
     def read(cls, row: dict, docs: int, words: int) -> Block:
         lengths, starts = np.frombuffer(row["lengths"], np.int64), np.frombuffer(row["starts"], np.int64)
         tf = np.frombuffer(row["tf"], np.uint32).astype(np.int64)
-        m = np.repeat(length_norms(lengths, docs, words), np.diff(starts))
-        return cls(row["doc_ids"], np.frombuffer(row["terms"], np.int64), starts, np.frombuffer(row["at"], np.uint32), 1_000_000_000 * tf // (1000 * tf + 8 * m))
+        return cls(row["doc_ids"], row["terms"], starts, np.frombuffer(row["at"], np.uint32), score_parts(lengths, starts, tf, docs, words))
 
     def scores(self, asked: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """The score of each document for terms with weights (repeats are in these)."""
@@ -151,10 +177,9 @@ def length_norms(lengths: np.ndarray, docs: int, words: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """blocks (see BLOCK), maxima (term, block, most, docs), the number of documents with terms, and of all their terms."""
+    """blocks (see BLOCK), the number of documents with terms, and of all their terms."""
 
     blocks: DataFrame
-    maxima: DataFrame
     docs: int
     words: int
 
@@ -162,22 +187,8 @@ class Index:
 def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """The index of all documents. Rows are documents: repeated ones count as often as they stand there. Null texts and texts without
     terms are in no block and count nowhere; other columns are not read; an empty table gives an empty index."""
-    blocks = written(blocks_of(df, id_col, text_col), "blocks")
-    docs, words = blocks.agg(F.coalesce(F.sum(F.size("doc_ids")), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-
-    @lean
-    def maxima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                block = Block.read(row, docs, words)
-                order = np.argsort(block.at, kind="stable")
-                cuts = np.searchsorted(block.at[order], np.arange(len(block.terms)))
-                most = np.maximum.reduceat(block.parts[order], cuts)
-                df_ = np.diff(np.r_[cuts, len(order)])
-                cols = [block.terms, np.full(len(cuts), row["block"]), most.astype(np.int32), df_.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["term", "block", "most", "docs"])
-
-    return Index(blocks, written(blocks.mapInArrow(maxima, "term long, block long, most int, docs int"), "maxima"), docs, words)
+    docs, words = counts(df, text_col)
+    return Index(written(blocks_of(df, docs, words, id_col, text_col), "blocks"), docs, words)
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -204,11 +215,20 @@ def term_weight(df: Column, docs: int) -> Column:
 
 def _score(index: Index, pairs: DataFrame, defined: DataFrame, k: int, parts: int) -> DataFrame:
     """(item, doc_id, score): the k best of each task for pairs (item, block, bound, least). defined: (item, terms, weights)."""
-    docs, words = index.docs, index.words
+    docs, words, spark = index.docs, index.words, pairs.sparkSession
     few = pairs.select("block").distinct()
-    blocks = index.blocks.join(F.broadcast(few) if few.count() <= FEW else few, "block", "left_semi")
+    blocks = index.blocks.select("block", "doc_ids", "terms", "lengths", "starts", "at", "tf")
+    blocks = blocks.join(F.broadcast(few) if few.count() <= FEW else few, "block", "left_semi")
+    told = None
+    if defined.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0] <= TOLD:
+        told = spark.sparkContext.broadcast({r["item"]: (r["terms"], r["weights"]) for r in defined.collect()})
+        full = pairs.withColumns({c: F.lit(None).cast("array<long>") for c in ("terms", "weights")})
+    else:  # they travel with the pairs
+        full = pairs.join(defined, "item")
     asked = F.collect_list(F.struct("item", "bound", "least", "terms", "weights")).alias("asked")
-    grouped = pairs.join(defined, "item").groupBy("block", F.pmod(F.xxhash64("item"), F.lit(parts)).alias("part")).agg(asked)
+    grouped = full.groupBy("block", F.pmod(F.xxhash64("item"), F.lit(parts)).alias("part")).agg(asked).drop("part")
+    if told is not None and pairs.count() <= PAIRS:
+        grouped = F.broadcast(grouped)
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +244,7 @@ def _score(index: Index, pairs: DataFrame, defined: DataFrame, k: int, parts: in
             for item, own in wanted.items():
                 own.sort(key=lambda x: -x[0])
                 kept = best.setdefault(item, [])
-                terms_, weights = (np.array(own[0][2][c], np.int64) for c in ("terms", "weights"))
+                terms_, weights = map(np.array, told.value[item] if told is not None else (own[0][2]["terms"], own[0][2]["weights"]))
                 for bound, block, q in own:
                     least = max(q["least"], -kept[-1][0] if len(kept) == k else 0)
                     if bound < least:
@@ -237,8 +257,10 @@ def _score(index: Index, pairs: DataFrame, defined: DataFrame, k: int, parts: in
             held.clear()
 
         for b in batches:
-            for row in b.to_pylist():
-                block = Block.read(row, docs, words)
+            lists = b.column("terms")
+            flat, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for n, row in enumerate(b.drop_columns(["terms"]).to_pylist()):
+                block = Block.read(row | {"terms": flat[cuts[n] : cuts[n + 1]].copy()}, docs, words)
                 held.append((block, row["asked"]))
                 size += 12 * len(block.at) + 8 * len(block.terms)
                 if size > HELD:
@@ -249,7 +271,7 @@ def _score(index: Index, pairs: DataFrame, defined: DataFrame, k: int, parts: in
         cols = list(zip(*rows)) if rows else [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["item", "doc_id", "score"])
 
-    return blocks.join(grouped, "block").select(*index.blocks.columns, "asked").mapInArrow(run, "item long, doc_id long, score long")
+    return blocks.join(grouped, "block").mapInArrow(run, "item long, doc_id long, score long")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -263,7 +285,8 @@ def search(index: Index, queries: DataFrame, k: int = 10, id_col: str = "item_id
     empty index or no queries give no rows."""
     told = written(query_terms(queries, id_col, text_col), "terms")
     single = told.select("term").distinct()
-    hits = written(index.maxima.join(single, "term"), "hits")
+    entries = index.blocks.select("block", F.explode(F.arrays_zip("terms", "most", "docs")).alias("x")).select("block", F.col("x.terms").alias("term"), "x.most", "x.docs")
+    hits = written(entries.join(single, "term"), "hits")
     weights = hits.groupBy("term").agg(F.sum("docs").alias("docs")).select("term", term_weight(F.col("docs"), index.docs).alias("weight"))
     weighted = written(told.join(weights, "term").select("item_id", "item", "term", (F.col("times") * F.col("weight")).alias("weight")), "weighted")
     bounds = hits.join(weighted, "term").groupBy("item", "block").agg(F.sum(F.col("most") * F.col("weight")).alias("bound")).where("bound > 0")

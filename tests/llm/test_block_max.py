@@ -83,6 +83,13 @@ def test_long_texts_make_blocks_of_their_own(spark):
     assert found(block_max.search(index, asked(spark, [(1, "w1 w2 w4999")]))) == brute(rows, [(1, "w1 w2 w4999")])
 
 
+def test_large_query_sets_travel_with_their_pairs(spark, monkeypatch):
+    for name in ("FEW", "PAIRS", "TOLD"):
+        monkeypatch.setattr(block_max, name, 0)
+    monkeypatch.setattr(block_max, "ASKED", 2)
+    assert found(block_max.rank_documents(docs(spark, AWKWARD), asked(spark, ITEMS))) == brute(AWKWARD, ITEMS)
+
+
 def test_products_beyond_64_bits():
     import numpy as np
 
