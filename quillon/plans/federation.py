@@ -14,8 +14,17 @@ from ..functions.text import SCHEMAS, extract_sql
 from . import guard
 
 NAME = re.compile(r"^[a-zA-Z0-9_-]+$")
-#: Literals, comments, and dotted identifiers, quoted or not.
-TOKENS = re.compile(r"""('(?:[^']|'')*'|--[^\n]*|/\*.*?\*/)|((?:"[^"]+"|`[^`]+`|[A-Za-z_][\w-]*)(?:\s*\.\s*(?:"[^"]+"|`[^`]+`|[A-Za-z_]\w*))*)""", re.S)
+#: Literals, comments and quoted identifiers.
+QUOTED = re.compile(r"""'(?:[^'\\]|\\.|'')*'|--[^\n]*|/\*.*?\*/|`(?:[^`]|``)*`|"(?:[^"]|"")*\"""", re.S)
+
+
+def identifiers(sql: str) -> str:
+    """The statement with identifiers in double quotes, as PostgreSQL writes them, in backquotes."""
+
+    def swap(m: re.Match) -> str:
+        return m[0] if m[0][0] != '"' else "`" + m[0][1:-1].replace('""', '"').replace("`", "``") + "`"
+
+    return QUOTED.sub(swap, sql)
 
 
 class Unsafe(ValueError):
@@ -87,54 +96,42 @@ class Federation:
     def holders(self, table: str) -> list[str]:
         return [db for db, tables in self.databases.items() if table.lower() in (t.lower() for t in tables)]
 
-    def _run(self, sql: str, tables: list[tuple[str, ...]], at: dict[tuple[str, ...], tuple[str, str]]) -> DataFrame:
-        """The statement with each table replaced by a view of a name of its own."""
+    def _run(self, sql: str, said: guard.Verdict, at: dict[tuple[str, ...], tuple[str, str]]) -> DataFrame:
+        """The statement with each table replaced by a view of a name of its own, where the parser says that it stands. Columns
+        behind a table's full or last name are qualified by the view instead, so that tables of one name in several databases keep apart."""
         mark, views = uuid.uuid4().hex[:8], {}
-        for parts in tables:
-            db, t = at[parts]
-            view = f"q{mark}_{db}_{t}".replace("-", "_")
+        for n, found in enumerate(dict.fromkeys(at[parts] for parts in said.tables)):
+            views[found] = f"q{mark}_{n}"
+        aliases = {a.lower() for a in said.aliases} | said.local
+        edits = [(first, last, views[at[parts]]) for parts, first, last in said.relations]
+        for parts, first, last in said.columns:
+            low = tuple(p.lower() for p in parts)
+            if low[0] in aliases:
+                continue
+            for n in range(len(parts) - 1, 0, -1):
+                named = {found for p, found in at.items() if tuple(x.lower() for x in p[-n:]) == low[:n]}
+                if n > 1 and not named and (found := self.resolve(parts[:n])) in views:
+                    named = {found}
+                if len(named) > 1:
+                    raise LookupError(f"{'.'.join(parts[:n])} may be a table of {' or '.join(sorted(db for db, _ in named))}")
+                if named:
+                    rest = [p if p == "*" else "`" + p.replace("`", "``") + "`" for p in parts[n:]]
+                    edits.append((first, last, ".".join([views[named.pop()], *rest])))
+                    break
+        for first, last, text in sorted(set(edits), reverse=True):
+            sql = sql[:first] + text + sql[last:]
+        for (db, t), view in views.items():
             self.databases[db][t].createOrReplaceTempView(view)
-            views[tuple(p.lower() for p in parts)] = (view, t)
-        keyed = sorted(views, key=len, reverse=True)
-        before = ""
-
-        def swap(m: re.Match) -> str:
-            nonlocal before
-            if m[1]:
-                return m[0]
-            parts = [p.strip().strip('"`') for p in re.findall(r'"[^"]+"|`[^`]+`|[^.\s]+', m[2])]
-            low, word = tuple(p.lower() for p in parts), before
-            before = low[-1]
-            for k in keyed:
-                whole = low == k
-                if whole and (word in ("from", "join") or self._after_comma(m)):
-                    return f"{views[k][0]} AS {views[k][1]}" if not self._aliased(m) else views[k][0]
-                if len(low) > len(k) and low[: len(k)] == k:  # a column behind its table's full name
-                    return ".".join([views[k][1], *parts[len(k) :]])
-            return m[0]
-
         try:
-            return self.spark.sql(TOKENS.sub(swap, sql))
+            return self.spark.sql(sql)
         finally:  # the plan is analysed; its views needn't stay
-            for view, _ in views.values():
+            for view in views.values():
                 self.spark.catalog.dropTempView(view)
 
-    @staticmethod
-    def _aliased(m: re.Match) -> bool:
-        rest = re.match(r"\s+(?:as\s+)?([A-Za-z_]\w*)", m.string[m.end() :], re.I)
-        keywords = "where on using join inner left right full cross natural group order having limit union except intersect offset window lateral".split()
-        return bool(rest) and rest[1].lower() not in keywords
-
-    @staticmethod
-    def _after_comma(m: re.Match) -> bool:
-        head = re.sub(r"\([^()]*\)", "", m.string[: m.start()])
-        last = re.split(r"\b(select|from|where|group|order|having|on)\b", head, flags=re.I)
-        return head.rstrip().endswith(",") and len(last) > 1 and last[-2].lower() == "from"
-
     def query(self, sql: str, limit: int | None = None, anywhere: bool = False) -> DataFrame:
         """Guards, resolves and runs one statement, with joins across databases where it names several. Unknown tables and
         columns fail before any job runs; with anywhere, a table that isn't where the statement says is looked for in all databases."""
-        sql = sql.strip().rstrip(";")
+        sql = identifiers(sql.strip().rstrip(";"))
         said = guard.check(self.spark, sql)
         if self.blocking and not said.safe:
             raise Unsafe("; ".join(said.issues))
@@ -143,12 +140,13 @@ class Federation:
             if (found := self.resolve(parts) or (self.resolve(parts[-1:]) if anywhere else None)) is None:
                 raise LookupError(f"no such table: {'.'.join(parts)}")
             at[parts] = found
-        df = self._run(sql, said.tables, at)
+        df = self._run(sql, said, at)
         return df if limit is None else df.limit(limit)
 
     def everywhere(self, sql: str) -> DataFrame:
         """The statement on each database that has all its tables, united, with the column _source_database; columns that
         some lack are null there."""
+        sql = identifiers(sql.strip().rstrip(";"))
         said = guard.check(self.spark, sql)
         if self.blocking and not said.safe:
             raise Unsafe("; ".join(said.issues))
@@ -157,7 +155,7 @@ class Federation:
         for db in self.databases:
             if all(db in self.holders(n) for n in names):
                 at = {p: (db, next(t for t in self.databases[db] if t.lower() == p[-1].lower())) for p in said.tables}
-                parts.append(self._run(sql, said.tables, at).withColumn("_source_database", F.lit(db)))
+                parts.append(self._run(sql, said, at).withColumn("_source_database", F.lit(db)))
         if not parts:
             raise LookupError("no database has all tables")
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -179,7 +177,7 @@ class Federation:
         sql = self.spark.createDataFrame([(reply,)], "r string").select(extract_sql(F.col("r"))).first()[0]
         if not sql:
             raise ValueError("the reply holds no statement")
-        if self.blocking and not (said := guard.check(self.spark, sql)).safe:
+        if self.blocking and not (said := guard.check(self.spark, identifiers(sql))).safe:
             raise Unsafe("; ".join(said.issues))
         return sql
 

@@ -53,6 +53,22 @@ READING = frozenset((
 SUBQUERIES = frozenset(("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"))
 
 
+#: Expressions that the parser makes of operators, literals, names and calls (which are looked at by name). Any other is refused, so what
+#: hides a name until analysis, such as IDENTIFIER(...), is too, and so are parameters.
+EXPRESSIONS = SUBQUERIES | frozenset((
+    "Add", "Alias", "And", "AnyValue", "AggregateExpression", "AttributeReference", "BitwiseAnd", "BitwiseNot", "BitwiseOr", "BitwiseXor", "CaseWhen", "Cast",
+    "Coalesce", "Collate", "Concat", "CreateNamedStruct", "Cube", "CurrentRow$", "Divide", "EqualNullSafe", "EqualTo", "First", "GreaterThan",
+    "GreaterThanOrEqual", "GroupingSets", "ILike", "In", "InSubquery", "IntegralDivide", "IsNotNull", "IsNull", "LambdaFunction", "Last", "LessThan",
+    "LessThanOrEqual", "Like", "LikeAll", "LikeAny", "Literal", "Lower", "MultiAlias", "Multiply", "NamedArgumentExpression", "Not", "NotLikeAll", "NotLikeAny",
+    "Or", "Overlay", "RLike", "Remainder", "Rollup", "SemiStructuredExtract", "ShiftLeft", "ShiftRight", "ShiftRightUnsigned", "SortOrder",
+    "SpecifiedWindowFrame", "StringLocate", "StringTrim", "StringTrimLeft", "StringTrimRight", "Substring", "Subtract", "TimestampAdd", "TimestampDiff",
+    "UnaryMinus", "UnaryPositive", "UnboundedFollowing$", "UnboundedPreceding$", "UnresolvedAlias", "UnresolvedAttribute", "UnresolvedCollation",
+    "UnresolvedExtractValue", "UnresolvedFunction", "UnresolvedGenerator", "UnresolvedNamedLambdaVariable", "UnresolvedOrdinal", "UnresolvedStar",
+    "UnresolvedStarExceptOrReplace", "UnresolvedWindowExpression", "UnspecifiedFrame$", "WindowExpression", "WindowSpecDefinition",
+))
+#: Formats whose name in front of a path reads files.
+FORMATS = frozenset(("parquet", "orc", "csv", "json", "text", "avro", "xml", "binaryfile", "delta", "jdbc", "kafka"))
+
 #: Functions that run code of any class of the virtual machine.
 RUNNING = frozenset(("reflect", "try_reflect", "java_method"))
 #: Table functions that make rows of their arguments alone.
@@ -77,6 +93,10 @@ class Verdict:
     issues: list[str] = field(default_factory=list)
     tables: list[tuple[str, ...]] = field(default_factory=list)
     aliases: dict[str, str] = field(default_factory=dict)
+    #: Where the text names tables, and columns by more than their own name: (parts, first character, behind the last).
+    relations: list[tuple[tuple[str, ...], int, int]] = field(default_factory=list)
+    columns: list[tuple[tuple[str, ...], int, int]] = field(default_factory=list)
+    local: set[str] = field(default_factory=set)
 
 
 def _each(seq):
@@ -86,20 +106,31 @@ def _each(seq):
 
 def check(spark: SparkSession, sql: str, functions: frozenset[str] = frozenset()) -> Verdict:
     """Parses one statement and walks its whole plan: subqueries and common table expressions too. What can't be parsed is
-    unsafe; so are functions that aren't built in (but for those named) or that run other code, and table functions that read
-    anything but their arguments. tables: those read, in order of first mention, without common table expressions."""
+    unsafe; so are nodes and expressions that aren't known to read only, functions that aren't built in (but for those named) or that run
+    other code, table functions that read anything but their arguments, and paths in place of tables. tables: those read, in order of
+    first mention, without common table expressions."""
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as e:  # the parser's own exceptions come through the gateway
         return Verdict(False, [f"cannot be parsed: {str(e).strip().splitlines()[0]}"])
-    found, issues, aliases, local = [], [], {}, set()
+    found, issues, aliases, local, relations, columns = [], [], {}, set(), [], []
     known, named = builtin(spark), {f.lower() for f in functions}
 
+    def place(e) -> tuple[int, int] | None:
+        first, last = e.origin().startIndex(), e.origin().stopIndex()
+        return (first.get(), last.get() + 1) if first.isDefined() and last.isDefined() else None
+
     def expression(e) -> None:
         for inner in _each(e.children()):
             expression(inner)
-        kind = e.getClass().getSimpleName()
-        if kind == "UnresolvedFunction":
+        kind = e.getClass().getSimpleName() or e.getClass().getName().rsplit(".", 1)[-1]
+        if kind not in EXPRESSIONS:
+            issues.append(f"{kind} is not a reading expression")
+        if kind == "UnresolvedAttribute" and e.nameParts().size() > 1 and place(e):
+            columns.append((tuple(_each(e.nameParts())), *place(e)))
+        elif kind == "UnresolvedStar" and e.target().isDefined() and place(e):
+            columns.append(((*_each(e.target().get()), "*"), *place(e)))
+        elif kind == "UnresolvedFunction":
             called(list(_each(e.nameParts())))
         elif kind == "UnresolvedGenerator":
             called([e.name().funcName()], True)
@@ -126,8 +157,13 @@ def check(spark: SparkSession, sql: str, functions: frozenset[str] = frozenset()
             called(list(_each(node.name())), True)
         if name == "UnresolvedRelation":
             parts = tuple(_each(node.multipartIdentifier()))
-            if not (len(parts) == 1 and parts[0].lower() in local) and parts not in found:
-                found.append(parts)
+            if not (len(parts) == 1 and parts[0].lower() in local):
+                if parts not in found:
+                    found.append(parts)
+                if place(node):
+                    relations.append((parts, *place(node)))
+                if any(c in p for p in parts for c in "/\\:") or len(parts) > 1 and parts[0].lower() in FORMATS:
+                    issues.append(f"{'.'.join(parts)} is a path, not a table")
         if name == "SubqueryAlias" and node.child().getClass().getSimpleName() == "UnresolvedRelation":
             aliases[node.alias()] = ".".join(_each(node.child().multipartIdentifier()))
         for e in _each(node.expressions()):
@@ -136,7 +172,7 @@ def check(spark: SparkSession, sql: str, functions: frozenset[str] = frozenset()
             walk(inner)
 
     walk(plan)
-    return Verdict(not issues, issues, found, aliases)
+    return Verdict(not issues, issues, found, aliases, relations, columns, local)
 
 
 def executor_issues(sql: Column) -> Column:

@@ -109,6 +109,22 @@ def federated_union(spark, d):
     return fed.everywhere("SELECT * FROM party")
 
 
+@add(
+    "federated_namesakes",
+    "SELECT c_nationkey AS k, count(*) AS pairs, round(sum(c_acctbal - s_acctbal), 2) AS gap FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal > s_acctbal WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c_nationkey AND n_regionkey < 4) GROUP BY c_nationkey",
+)
+def federated_namesakes(spark, d):
+    """Tables of one name in two databases, joined and compared by their full names, in quotes and not, also from a subquery."""
+    fed = federation(spark, d)
+    fed.databases["sales"] |= {"party": table(spark, d, "customer").selectExpr("c_nationkey AS k", "c_acctbal AS balance")}
+    fed.databases["supply"] |= {"party": table(spark, d, "supplier").selectExpr("s_nationkey AS k", "s_acctbal AS balance")}
+    return fed.query(
+        'SELECT sales.party.k, count(*) AS pairs, round(sum(sales.party.balance - supply.public.party.balance), 2) AS gap FROM "sales"."party" JOIN supply.public.party '
+        'ON sales.party.k = "supply"."public"."party"."k" AND sales.party.balance > supply.public.party.balance '
+        "WHERE EXISTS (SELECT 1 FROM nation WHERE nation.n_nationkey = sales.party.k AND n_regionkey < 4) GROUP BY sales.party.k"
+    )
+
+
 @add("sql_ilike_concat", "SELECT c_custkey, c_name || ' / ' || c_mktsegment AS label FROM customer WHERE c_name ILIKE '%CUSTOMER#00000012%' AND c_mktsegment IN ('BUILDING', 'MACHINERY')")
 def sql_ilike_concat(spark, d):
     return federation(spark, d).query("SELECT c_custkey, c_name || ' / ' || c_mktsegment AS label FROM customer WHERE c_name ILIKE '%CUSTOMER#00000012%' AND c_mktsegment IN ('BUILDING', 'MACHINERY')")

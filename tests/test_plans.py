@@ -168,3 +168,70 @@ def test_names_in_texts(spark):
     want = sorted((i, n) for i, t in ((1, "red apple red"), (2, "applet"), (4, "")) for n in ("red", "Apple", "apple", "pp", "", "zebra") if n.lower() in t)
     for short in (500, 2):
         assert sorted((r["id"], r["n"]) for r in holding(texts, "t", names, "n", short).collect()) == want
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT IDENTIFIER('reflect')('java.lang.System', 'getProperty', 'user.home')", "SELECT IDENTIFIER('re' || 'flect')('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT a FROM t WHERE b = (SELECT IDENTIFIER('java_method')('java.lang.System', 'nanoTime'))", "WITH x AS (SELECT IDENTIFIER('reflect')('a', 'b') AS y) SELECT y FROM x",
+        "SELECT sum(a) OVER (ORDER BY IDENTIFIER('reflect')('a', 'b')) FROM t", "SELECT * FROM IDENTIFIER('t')", "SELECT IDENTIFIER('a') FROM t", "SELECT a FROM t WHERE b = :p", "SELECT ? FROM t",
+        "SELECT * FROM text.`/etc/hostname`", "SELECT * FROM parquet.`s3a://b/c`", "SELECT * FROM json.data", "SELECT a FROM t WHERE EXISTS (SELECT 1 FROM csv.`x.csv`)",
+    ],
+)
+def test_hidden_names_and_paths_are_refused(fed, spark, sql):
+    assert not guard.check(spark, sql).safe
+    with pytest.raises(Unsafe):
+        fed.query(sql)
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT a + b - c * d / e % f, -a, ~a, a & b | c ^ d, a || b, a DIV b, CAST(a AS int), a::string, TRY_CAST(a AS int), a >> 1, a << 1 FROM t",
+        "SELECT CASE WHEN a = 1 THEN 2 ELSE 3 END, a BETWEEN 1 AND 2, a NOT IN (1, 2), a IN (SELECT b FROM u), a IS NULL, a IS NOT TRUE, a IS DISTINCT FROM b, NOT a AND b OR c FROM t",
+        "SELECT a LIKE 'x', a ILIKE ANY ('x', 'y'), a RLIKE 'x', a NOT LIKE ALL ('a', 'b'), a ILIKE ALL ('x'), a NOT ILIKE ANY ('x') FROM t",
+        "SELECT lag(a) IGNORE NULLS OVER (ORDER BY c DESC NULLS LAST), sum(a) OVER w FROM t WINDOW w AS (ORDER BY a ROWS BETWEEN 1 PRECEDING AND UNBOUNDED FOLLOWING)",
+        "SELECT extract(year FROM a), position('a' IN b), substring(a FROM 1 FOR 2), trim(BOTH 'x' FROM a), trim(TRAILING FROM a), overlay(a PLACING 'x' FROM 1), current_date, INTERVAL '1' DAY, DATE '2020-01-01', timestampadd(DAY, 1, a) FROM t",
+        "SELECT a, grouping(a), count(DISTINCT b) FILTER (WHERE c > 1) FROM t GROUP BY GROUPING SETS ((a), ()) HAVING count(*) > 1", "SELECT a FROM t GROUP BY CUBE(a, b)", "SELECT a FROM t GROUP BY ALL ORDER BY 1",
+        "SELECT percentile_cont(0.5) WITHIN GROUP (ORDER BY a), first(a), last(a, true), any_value(a), listagg(a, ',') WITHIN GROUP (ORDER BY b) FROM t",
+        "SELECT transform(a, x -> x + 1), a[0], b.c.d, struct(a, b), (a, b), array(1, 2), map(1, 2) FROM t", "SELECT * EXCEPT (a) FROM t", "SELECT a FROM t, LATERAL (SELECT a + 1)", "SELECT a FROM t TABLESAMPLE (10 PERCENT)",
+    ],
+)
+def test_what_reads_stays_allowed(spark, sql):
+    assert guard.check(spark, sql).issues == []
+
+
+@pytest.fixture
+def namesakes(spark):
+    f = Federation(spark)
+    f.add("sales", {"party": spark.createDataFrame([(1, "Ann"), (2, "Bob")], "k int, name string")})
+    f.add("supply", {"party": spark.createDataFrame([(2, "Zed"), (3, "Yan")], "k int, name string"), "other": spark.createDataFrame([(2,)], "k int")})
+    return f
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT sales.party.name AS a, supply.party.name AS b FROM sales.party JOIN supply.party ON sales.party.k = supply.party.k",
+        'SELECT "sales"."party"."name" AS a, supply.party.name AS b FROM "sales"."party", "supply"."party" WHERE sales.party.k = supply.party.k',
+        "SELECT p.name AS a, supply.public.party.name AS b FROM sales.party p JOIN supply.public.party ON p.k = supply.public.party.k",
+        "SELECT SALES.PARTY.name AS a, q.name AS b FROM Sales.Party TABLESAMPLE (100 PERCENT) JOIN supply.party AS q ON sales.party.k = q.k /* sales.party.k */",
+        "WITH s AS (SELECT sales.party.* FROM sales.party) SELECT s.name AS a, b FROM s JOIN (SELECT party.k, party.name AS b FROM supply.party AS party) z ON s.k = z.k WHERE 'sales.party' <> s.name",
+        "SELECT sales.party.name AS a, (SELECT max(supply.party.name) FROM supply.party WHERE supply.party.k = sales.party.k) AS b FROM sales.party WHERE EXISTS (SELECT 1 FROM other WHERE other.k = sales.party.k)",
+        "SELECT '😀' AS e, sales.party.name AS a, supply.party.name AS b FROM sales.party JOIN supply.party USING (k)",
+    ],
+)
+def test_tables_of_one_name_keep_apart(namesakes, sql):
+    assert [(r["a"], r["b"]) for r in namesakes.query(sql).collect()] == [("Bob", "Zed")]
+
+
+def test_a_qualifier_that_fits_two_tables_is_refused(namesakes):
+    with pytest.raises(LookupError, match="sales or supply"):
+        namesakes.query("SELECT party.k FROM sales.party JOIN supply.party ON true")
+    assert namesakes.query("SELECT party.k, party.* FROM supply.party").count() == 2
+
+
+def test_stars_and_struct_fields(namesakes):
+    df = namesakes.query("SELECT supply.party.*, s.x.y FROM supply.party, (SELECT named_struct('y', 5) AS x) s ORDER BY k")
+    assert df.columns == ["k", "name", "y"] and df.first()["y"] == 5
