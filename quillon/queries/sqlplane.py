@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.text import table_names
 from ..operators import profile as P
 from ..plans import guard
 from ..plans.federation import Federation, route_tables
+from ..sources.database import Database
 from .common import STATEMENT, Registry, table
 
 REGISTRY = Registry()
@@ -125,6 +128,22 @@ def federated_namesakes(spark, d):
     )
 
 
+@add(
+    "jdbc_federated_join",
+    "SELECT c_mktsegment, c_nationkey, count(*) AS orders, round(sum(o_totalprice), 2) AS price FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_acctbal > 100 AND c_mktsegment <> 'BUILDING' GROUP BY ALL",
+)
+def jdbc_federated_join(spark, d):
+    """All customers in a database behind JDBC (an embedded one, in the driver's memory), found through its metadata and joined with Parquet."""
+    db = Database(spark, "branch", f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    db.save(table(spark, d, "customer"), "customer", "c_custkey", text_length=256)
+    fed = federation(spark, d)
+    fed.add("branch", db.load())
+    return fed.query(
+        'SELECT c.c_mktsegment, c.c_nationkey, count(*) AS orders, round(sum(o_totalprice), 2) AS price FROM "branch"."customer" c JOIN sales.orders ON c.c_custkey = sales.orders.o_custkey '
+        "WHERE c.c_acctbal > 100 AND c.c_mktsegment <> 'BUILDING' GROUP BY c.c_mktsegment, c.c_nationkey"
+    )
+
+
 @add("sql_ilike_concat", "SELECT c_custkey, c_name || ' / ' || c_mktsegment AS label FROM customer WHERE c_name ILIKE '%CUSTOMER#00000012%' AND c_mktsegment IN ('BUILDING', 'MACHINERY')")
 def sql_ilike_concat(spark, d):
     return federation(spark, d).query("SELECT c_custkey, c_name || ' / ' || c_mktsegment AS label FROM customer WHERE c_name ILIKE '%CUSTOMER#00000012%' AND c_mktsegment IN ('BUILDING', 'MACHINERY')")

@@ -188,11 +188,6 @@ def databases_from_env(env: Mapping[str, str]) -> dict[str, str]:
     return found
 
 
-def jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    """A table of another database; partitionColumn, lowerBound, upperBound and numPartitions let it be read in parallel."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
-
-
 class Collection:
     """A named set of vectors with payload, as a Parquet table of one dimension."""
 
