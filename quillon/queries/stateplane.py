@@ -81,12 +81,22 @@ def rate_fixed_clock(spark, d):
     return K.fixed_clock_counts(table(spark, d, "events"), "user_id", "ts", "6 hours").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@add("rate_limit_sliding")
+def _limit_sql(kept: str) -> str:
+    """Row by row of a user: the instants kept up to a request, and whether it passes. kept: those of r.kept that count at e.us."""
+    first = "SELECT user_id, ts, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events"
+    step = f"SELECT e.user_id, e.n, e.event_id, e.us, {kept} AS k FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1"
+    return (
+        f"WITH RECURSIVE e AS MATERIALIZED ({first}), r AS (SELECT user_id, n, event_id, [us] AS kept, true AS admitted FROM e WHERE n = 1 UNION ALL "
+        f"SELECT user_id, n, event_id, CASE WHEN len(k) < 3 THEN list_append(k, us) ELSE k END, len(k) < 3 FROM ({step})) SELECT event_id, user_id, admitted FROM r"
+    )
+
+
+@add("rate_limit_sliding", _limit_sql("list_filter(r.kept, lambda x: x > e.us - 86400000000)"))
 def rate_limit_sliding(spark, d):
     return K.admit(table(spark, d, "events"), "user_id", "ts", "event_id", 3, 86400)
 
 
-@add("rate_limit_fixed")
+@add("rate_limit_fixed", _limit_sql("CASE WHEN e.us >= r.kept[1] + 86400000000 THEN [] ELSE r.kept END"))
 def rate_limit_fixed(spark, d):
     return K.admit(table(spark, d, "events"), "user_id", "ts", "event_id", 3, 86400, fixed=True)
 
@@ -110,6 +120,19 @@ def upload_complete(spark, d):
     return K.upload_progress(parts, "conv_id", "turn", "total")
 
 
+UPLOAD_TTL = 4 * 3600
+
+
+@add(
+    "upload_sessions",
+    f"SELECT user_id, min(ts) AS started, max(ts) AS last, count(DISTINCT event_id % 5) AS received, 5 AS expected, count(DISTINCT event_id % 5) = 5 AS complete, max(ts) + INTERVAL {UPLOAD_TTL} SECOND AS expires_at FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL {UPLOAD_TTL} SECOND THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s",
+)
+def upload_sessions(spark, d):
+    """Events as parts of five; those that come after the expiry start a new upload."""
+    parts = table(spark, d, "events").withColumns({"part": F.col("event_id") % 5, "total": F.lit(5)})
+    return K.uploads(parts, "user_id", "part", "total", "ts", "event_id", UPLOAD_TTL)
+
+
 @add("history_last_n", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM (SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3)")
 def history_last_n(spark, d):
     return K.last_n(table(spark, d, "conversations").select("conv_id", "turn"), "conv_id", "turn")

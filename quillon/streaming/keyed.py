@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 TTL_S, GAP_S = 45, 45
 SESSION_H = 24
 HISTORY = 3
+UPLOAD_TTL_S = 3600
 
 
 def registry(beats: DataFrame, key: str, ts: str, kind: str, as_of: Column, ttl_s: int = TTL_S) -> DataFrame:
@@ -52,6 +53,21 @@ def sliding_counts(requests: DataFrame, key: str, ts: str, seconds: int) -> Data
     return requests.withColumn("in_window", F.count("*").over(W.partitionBy(key).orderBy(micros).rangeBetween(-seconds * 1_000_000, 0)))
 
 
+def admitted(kept: list[int], us: int, limit: int, span_us: int, fixed: bool) -> bool:
+    """Whether a request passes, by the instants kept of its key, which are brought up to it: admissions of the last span_us, or of the window that the
+    first of them started."""
+    if fixed:
+        if kept and us >= kept[0] + span_us:
+            kept.clear()
+    else:
+        while kept and kept[0] <= us - span_us:
+            kept.pop(0)
+    if len(kept) >= limit:
+        return False
+    kept.append(us)
+    return True
+
+
 def admit(requests: DataFrame, key: str, ts: str, ident: str, limit: int, seconds: int, fixed: bool = False) -> DataFrame:
     """Each request with `admitted`: at most limit admitted ones in a window of so many seconds. A sliding window ends at
     the request; a fixed one starts at the first request after the last window. Rejected requests don't count,
@@ -66,18 +82,7 @@ def admit(requests: DataFrame, key: str, ts: str, ident: str, limit: int, second
             for k, us in zip(pdf[key].tolist(), pdf["us"].tolist()):
                 if k != now:
                     now, kept = k, []
-                if fixed:
-                    if not kept or us >= kept[0] + seconds * 1_000_000:
-                        kept = [us]
-                        verdicts.append(True)
-                        continue
-                else:
-                    while kept and kept[0] <= us - seconds * 1_000_000:
-                        kept.pop(0)
-                good = len(kept) < limit
-                if good:
-                    kept.append(us)
-                verdicts.append(good)
+                verdicts.append(admitted(kept, us, limit, seconds * 1_000_000, fixed))
             yield pd.DataFrame({ident: pdf[ident], key: pdf[key], "admitted": verdicts})
 
     rows = requests.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(ident, key, F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
@@ -101,6 +106,18 @@ def upload_progress(parts: DataFrame, session: str, part: str, total: str) -> Da
     return got.withColumn("complete", F.col("received") == F.col("expected"))
 
 
+def uploads(parts: DataFrame, session: str, part: str, total: str, ts: str, ident: str, ttl_s: int = UPLOAD_TTL_S) -> DataFrame:
+    """(session, started, last, received, expected, complete, expires_at), a row for each upload. Every part renews its session for ttl_s; one that comes later
+    than that finds it expired and starts a new upload, so what was received before counts no more. Parts of one instant follow ident."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    order = W.partitionBy(session).orderBy("__us", ident)
+    rows = parts.where(F.col(session).isNotNull() & F.col(ts).isNotNull()).withColumn("__us", at)
+    new = F.coalesce(F.col("__us") - F.lag("__us").over(order) > ttl_s * 1_000_000, F.lit(True))
+    numbered = rows.withColumn("__new", new.cast("int")).withColumn("__upload", F.sum("__new").over(order))
+    got = numbered.groupBy(session, "__upload").agg(F.min(ts).alias("started"), F.max(ts).alias("last"), F.countDistinct(part).alias("received"), F.max(total).alias("expected"))
+    return got.select(session, "started", "last", "received", "expected", (F.col("received") == F.col("expected")).alias("complete"), (F.col("last") + F.make_interval(secs=F.lit(ttl_s))).alias("expires_at"))
+
+
 def last_n(events: DataFrame, key: str, seq: str, n: int = HISTORY) -> DataFrame:
     """The last n rows of each key, with position 1 for the oldest of them."""
     back = F.row_number().over(W.partitionBy(key).orderBy(F.desc(seq)))

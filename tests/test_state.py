@@ -1,5 +1,9 @@
 import datetime as dt
+import time
+import uuid
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from quillon.streaming import keyed, live
@@ -50,3 +54,61 @@ def test_live_windows_and_registry(spark, tmp_path):
     assert sorted(r["n"] for r in counts.collect()) == [1, 4]
     beats = run(live.live_registry(live.read_events(spark, folder, schema)), "update", "r")
     assert beats.groupBy("user_id").agg(F.max("beats").alias("b")).orderBy("user_id").collect() == [(1, 4), (2, 1)]
+
+
+@pytest.fixture
+def rocks(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.set(name, before)
+
+
+def streamed(spark, rows, tmp_path, parts, df_of):
+    """What df_of gives for rows that arrive in so many files, each shuffled, with a last row that lets the watermark pass all others."""
+    pdf = rows.toPandas().sort_values("ts")
+    cuts = [round(i * len(pdf) / parts) for i in range(parts + 1)]
+    last = pdf.iloc[-1:].assign(user_id=-1, event_id=-1, ts=pdf["ts"].max() + pd.Timedelta(days=40))
+    frames = [pdf.iloc[a:b].sample(frac=1, random_state=a) for a, b in zip(cuts, cuts[1:])] + [last, last.assign(event_id=-2)]
+    for i, part in enumerate(frames):
+        spark.createDataFrame(part, rows.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are read in the order of their whole seconds
+    events = live.read_events(spark, str(tmp_path / "in"), rows.schema, per_trigger=1)
+    name = f"t{uuid.uuid4().hex}"
+    q = df_of(events).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination(600)
+    return sorted(map(tuple, spark.table(name).where("user_id <> -1").collect()))
+
+
+@pytest.mark.parametrize("fixed", [False, True])
+def test_live_limits_as_in_batch(spark, rocks, tmp_path, fixed):
+    rows = table_events(spark)
+    got = streamed(spark, rows, tmp_path, 3, lambda e: live.live_limits(e, 3, 86400, fixed))
+    want = keyed.admit(rows, "user_id", "ts", "event_id", 3, 86400, fixed)
+    assert got == sorted(map(tuple, want.select("user_id", "event_id", "admitted").collect())) and len({r[2] for r in got}) == 2
+
+
+def test_live_uploads_as_in_batch(spark, rocks, tmp_path):
+    rows = table_events(spark)
+    parts = lambda e: e.withColumns({"part": F.col("event_id") % 5, "total": F.lit(5)})
+    got = streamed(spark, rows, tmp_path, 3, lambda e: live.live_uploads(parts(e), "user_id", "part", "total", ttl_s=86400))
+    want = keyed.uploads(parts(rows), "user_id", "part", "total", "ts", "event_id", 86400)
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    assert got == sorted(map(tuple, want.select("user_id", us("started"), us("last"), "received", "expected", "complete").collect()))
+    assert {r[5] for r in got} == {False, True}
+
+
+def table_events(spark):
+    """Events of some users, so that each has many; their rows are all there."""
+    from conftest import SF
+
+    e = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "ts", "user_id")
+    return e.withColumn("user_id", F.col("user_id") % 12)
+
+
+def test_a_part_at_the_very_expiry_still_counts(spark):
+    rows = requests(spark, [0, 3600, 7201, 7201], 1).withColumns({"part": F.col("event_id") % 2, "total": F.lit(2)})
+    got = keyed.uploads(rows, "user_id", "part", "total", "ts", "event_id").orderBy("started").collect()
+    assert [(r["received"], r["complete"]) for r in got] == [(2, True), (2, True)]
+    assert keyed.uploads(rows.where("false"), "user_id", "part", "total", "ts", "event_id").count() == 0
