@@ -11,6 +11,7 @@ from ..operators import documents as D
 from ..operators import retrieval as R
 from ..plans import rag
 from ..sources import web
+from ..sources.store import Store, scratch
 from .common import FILE_ID, METHOD, STORED, Registry, table
 
 REGISTRY = Registry()
@@ -159,6 +160,26 @@ def collection_upsert(spark, d):
     return D.upserted(old, new, "vec_id")
 
 
+STORED_ROWS = "SELECT vec_id, label, embedding[1] AS first FROM embeddings"
+
+
+@add(
+    "stored_upsert",
+    f"SELECT vec_id, label, first FROM ({STORED_ROWS}) WHERE vec_id % 7 <> 0 AND vec_id % 11 <> 3 UNION ALL SELECT vec_id, label + 100 + CASE WHEN vec_id % 21 = 0 THEN 1000 ELSE 0 END, first FROM ({STORED_ROWS}) WHERE vec_id % 7 = 0 AND vec_id % 11 <> 3 "
+    f"UNION ALL SELECT vec_id + 1000000, label, first FROM ({STORED_ROWS}) WHERE vec_id % 50 = 0",
+)
+def stored_upsert(spark, d):
+    """All vectors stored, upserted twice (some ids are new, some come twice), some deleted, and read back from storage."""
+    rows = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding")[0].alias("first"))
+    store = Store(spark, scratch(spark), "vec_id")
+    store.upsert(rows)
+    more = lambda n: F.col("label") + n
+    store.upsert(rows.where("vec_id % 7 = 0").withColumn("label", more(100)).unionByName(rows.where("vec_id % 50 = 0").withColumn("vec_id", F.col("vec_id") + 1000000)))
+    store.upsert(rows.where("vec_id % 21 = 0").withColumn("label", more(1100)))
+    store.delete(rows.where("vec_id % 11 = 3"))
+    return store.read()
+
+
 HITS = "SELECT page_id AS ordinal, url, concat('P', CAST(page_id % 40 AS VARCHAR(9))) AS content, concat('T', CAST(page_id AS VARCHAR(9))) AS title, concat('http://h', CAST(page_id % 60 AS VARCHAR(9))) AS link FROM pages"
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import basename
 from ..functions.web import html_text
+from .store import Store
 
 WORDS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -189,29 +190,35 @@ def databases_from_env(env: Mapping[str, str]) -> dict[str, str]:
 
 
 class Collection:
-    """A named set of vectors with payload, as a Parquet table of one dimension."""
+    """A named set of vectors with payload, of one dimension: a Parquet table, or with a key a Store, where rows of known ids are replaced."""
 
-    def __init__(self, spark: SparkSession, path: str, dimension: int):
+    def __init__(self, spark: SparkSession, path: str, dimension: int, key: str | None = None):
         self.spark, self.path, self.dimension = spark, path, dimension
+        self.store = Store(spark, path, key) if key else None
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return self.store.read() if self.store else self.spark.read.parquet(self.path)
 
     def exists(self) -> bool:
         try:
             return bool(self.read().columns)
-        except AnalysisException:
+        except (AnalysisException, LookupError):
             return False
 
     def count(self) -> int:
         return self.read().count() if self.exists() else 0
 
     def add(self, df: DataFrame, vec_col: str = "embedding", recreate: bool = False) -> None:
-        """Appends; a vector of another dimension fails the write, unless recreate, which replaces the collection."""
+        """Appends, or with a key upserts; a vector of another dimension fails the write. recreate replaces the collection."""
         size = F.size(vec_col)
         wrong = F.raise_error(F.concat(F.lit(f"dimension must be {self.dimension}, not "), size.cast("string")))
         checked = df.withColumn(vec_col, F.when(size == self.dimension, F.col(vec_col)).otherwise(wrong))
-        checked.write.mode("overwrite" if recreate else "append").parquet(self.path)
+        if self.store:
+            if recreate:
+                self.drop()
+            self.store.upsert(checked)
+        else:
+            checked.write.mode("overwrite" if recreate else "append").parquet(self.path)
 
     def drop(self) -> None:
         """The collection is gone, with its folder."""
@@ -219,5 +226,8 @@ class Collection:
         place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
     def clear(self) -> None:
+        if self.store:
+            self.store.delete(self.read())
+            return
         schema = self.read().schema
         self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(self.path)
