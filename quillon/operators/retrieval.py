@@ -48,47 +48,56 @@ def with_documents(hits: DataFrame, docs: DataFrame, hit_col: str = "vec_id", id
     return local.join(found, F.col(hit_col) == F.col(id_col), "left")
 
 
-def top_k_each(corpus: DataFrame, queries: DataFrame, k: int = K, block: int = 4096) -> DataFrame:
-    """(query_id, rank, vec_id, score) for many queries: each task keeps the k best of its rows for every query by matrix
-    products, then one window per query merges them. Scores that agree to nine decimals are equal, and go to the smaller id.
-    queries (query_id, vector) go to all tasks in blocks dealt by a hash of the id, one block at a time through the driver; a block
-    holds about `block` queries, and more queries mean more passes."""
-    spark = corpus.sparkSession
-    asked = queries.select("query_id", "vector").where("query_id is not null and vector is not null").dropDuplicates(["query_id"])
-    blocks = -(-asked.count() // block)
-    parts, order = [], ["query_id", "near", "vec_id"]
-    for number in range(blocks):
-        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).collect()
-        if not some:
-            continue
-        shared = spark.sparkContext.broadcast((np.array([r[0] for r in some]), np.array([r[1] for r in some], np.float64)))
-
-        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            qid, q = shared.value
-            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-            kept: list[pd.DataFrame] = []
-            for pdf in batches:
-                pdf = pdf[pdf["vector"].notna()]
-                if not len(pdf):
+def top_k_each(corpus: DataFrame, queries: DataFrame, k: int = K, rows: int = 1 << 18, asked: int = 1 << 15) -> DataFrame:
+    """(query_id, rank, vec_id, score) for many queries, exactly: a join of blocks. The corpus (vec_id, embedding) is dealt into blocks of about `rows` vectors,
+    the queries (query_id, vector) into blocks of about `asked`, and every pair of them meets in a task, which holds the queries,
+    streams the corpus, and keeps the k best of each query by matrix products. One plan for any number of queries: with up to `asked` of
+    them the corpus is shuffled once. Scores that agree to nine decimals are equal, and go to the smaller id. Null vectors, and
+    vectors of other lengths than a query's, are nobody's neighbours; of queries with one id one counts."""
+    single = queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>").alias("vector")).where("query_id is not null and vector is not null").dropDuplicates(["query_id"])
+    vectors = corpus.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("vector")).where("vector is not null")
+    a_s = max(-(-corpus.count() // rows), corpus.sparkSession.sparkContext.defaultParallelism)
+    b_s = max(1, -(-queries.count() // asked))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    q = single.select(F.col("query_id").alias("id"), "vector", F.lit(0).alias("side"), own("query_id", b_s).alias("b")).withColumn("a", every(a_s))
+    v = vectors.select(F.col("vec_id").alias("id"), "vector", F.lit(1).alias("side"), own("vec_id", a_s).alias("a")).withColumn("b", every(b_s))
+    cells = q.unionByName(v).withColumn("width", F.size("vector")).repartition("width", "a", "b").sortWithinPartitions("width", "a", "b", "side")
+    order = ["query_id", "near", "vec_id"]
+
+    def merged(kept: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(kept).sort_values(order, ascending=[True, False, True]).groupby("query_id").head(k)
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, ids, held, unit, kept = None, [], [], None, []
+        for pdf in batches:
+            for key, part in pdf.groupby(["width", "a", "b", "side"], sort=False):
+                if key[:3] != cell:
+                    if kept:
+                        yield merged(kept)
+                    cell, ids, held, unit, kept = key[:3], [], [], None, []
+                x = np.stack(part["vector"].to_numpy()).reshape(len(part), key[0])
+                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                if key[3] == 0:
+                    ids.append(part["id"].to_numpy())
+                    held.append(x)
                     continue
-                x = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-                s = q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
-                near = np.round(s, 9)
-                n = min(k, len(pdf))
-                row, at = np.nonzero(near >= np.partition(near, len(pdf) - n, axis=1)[:, len(pdf) - n, None])
-                found = pd.DataFrame({"query_id": qid[row], "vec_id": pdf["vec_id"].to_numpy()[at], "score": s[row, at], "near": near[row, at]})
-                kept.append(found.sort_values(order, ascending=[True, False, True]).groupby("query_id").head(k))
-                if len(kept) > 8:
-                    kept = [pd.concat(kept).sort_values(order, ascending=[True, False, True]).groupby("query_id").head(k)]
-            if kept:
-                yield pd.concat(kept)
-
-        parts.append(corpus.select("vec_id", F.col("embedding").alias("vector")).mapInPandas(best, "query_id long, vec_id long, score double, near double"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionAll(p)
+                if not ids:
+                    continue
+                if unit is None:
+                    unit, qid = np.concatenate(held), np.concatenate(ids)
+                for first in range(0, len(unit), 1024):
+                    s = unit[first : first + 1024] @ x.T
+                    near = np.round(s, 9)
+                    n = min(k, len(part))
+                    row, at = np.nonzero(near >= np.partition(near, len(part) - n, axis=1)[:, len(part) - n, None])
+                    kept.append(merged([pd.DataFrame({"query_id": qid[first + row], "vec_id": part["id"].to_numpy()[at], "score": s[row, at], "near": near[row, at]})]))
+                if sum(map(len, kept)) > 4 * k * len(unit) + 100_000:
+                    kept = [merged(kept)]
+        if kept:
+            yield merged(kept)
+
+    found = cells.mapInPandas(best, "query_id long, vec_id long, score double, near double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("near"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

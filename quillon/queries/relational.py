@@ -45,6 +45,18 @@ def fuzzy_name_join(spark, d):
     return holding(part.select("p_partkey", "p_name"), "p_name", names, "c").select("p_partkey", "c")
 
 
+@add(
+    "indexed_name_join",
+    "SELECT item_id, name FROM (SELECT item_id, lower(text) AS t FROM benchmark) b, (SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part UNION SELECT DISTINCT substr(text, 1 + item_id % 40, 2 + item_id % 9) FROM benchmark) n WHERE contains(t, lower(name))",
+)
+def indexed_name_join(spark, d):
+    """By an inverted index of grams, whatever the list's length: pieces of texts, from two to ten characters, and words."""
+    b = table(spark, d, "benchmark")
+    pieces = b.select(F.expr("substr(text, cast(1 + item_id % 40 as int), cast(2 + item_id % 9 as int))").alias("name"))
+    names = table(spark, d, "part").select(F.split("p_name", " ")[0].alias("name")).unionAll(pieces)
+    return holding(b.select("item_id", "text"), "text", names, "name", short=0).select("item_id", "name")
+
+
 @add("concat_key_join", "SELECT a.p_partkey, b.l_orderkey FROM part a JOIN lineitem b ON a.p_brand || '-' || a.p_partkey = 'Brand#' || (b.l_partkey % 25 + 1) || '-' || b.l_partkey")
 def concat_key_join(spark, d):
     a = table(spark, d, "part").select("p_partkey", F.concat("p_brand", F.lit("-"), F.col("p_partkey").cast("string")).alias("k"))

@@ -56,6 +56,19 @@ def topk_each(spark, d):
     return R.top_k_each(e, queries).withColumn("score", F.round("score", 6))
 
 
+_NEAR = "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
+
+
+@add(
+    "topk_all",
+    f"SELECT query_id, CAST(n AS INT) AS rank, vec_id, round(s, 6) AS score FROM (SELECT q.vec_id AS query_id, e.vec_id, {_NEAR} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_NEAR}, 9) DESC, e.vec_id) AS n FROM embeddings e, embeddings q) WHERE n <= 3",
+)
+def topk_all(spark, d):
+    """Every vector as a query."""
+    e = table(spark, d, "embeddings")
+    return R.top_k_each(e, e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), k=3).withColumn("score", F.round("score", 6))
+
+
 @add("cosine_pairs", "SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def cosine_pairs(spark, d):
     a = table(spark, d, "embeddings")

@@ -44,7 +44,7 @@ def test_mmr_prefers_what_is_new(vectors):
 
 def test_many_queries_in_blocks(vectors):
     queries = vectors.where("vec_id in (1, 4)").selectExpr("vec_id AS query_id", "embedding AS vector")
-    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in R.top_k_each(vectors, queries, 2, block=1).collect()}
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in R.top_k_each(vectors, queries, 2, rows=2, asked=1).collect()}
     assert got == {(1, 1): 1, (1, 2): 2, (4, 1): 4, (4, 2): 2}
     assert R.top_k_each(vectors, queries.where("false")).count() == 0
 
@@ -123,3 +123,31 @@ def test_last_failure_counts(spark):
     df = spark.createDataFrame([("ab", 1), ("abcd", 9), (None, None), ("", 6)], "q string, n int")
     got = [r[0] for r in df.select(errors({"q": F.col("q"), "n": F.col("n")}, rules)).collect()]
     assert got == [{}, {"q": "Maximum length is 3", "n": "Maximum value is 5"}, {"q": "Field is required"}, {"q": "Minimum length is 2", "n": "Maximum value is 5"}]
+
+
+def test_block_join_as_all_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = np.round(rng.normal(size=(300, 5)), 1)
+    x[200:] = x[:100]  # ties
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(900, [1.0, 2.0]), (901, None), (902, [3.0, 6.0])], "vec_id long, embedding array<double>")
+    asked = frame.where("vec_id % 3 = 0").selectExpr("vec_id AS query_id", "embedding AS vector")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.round(u @ u.T, 9)
+    want = {(q, r): v for q in range(0, 300, 3) for r, v in enumerate(sorted(range(300), key=lambda v: (-near[q, v], v))[:4], 1)} | {(900, 1): 900, (900, 2): 902}
+    for rows, per in ((1 << 18, 1 << 15), (40, 30)):
+        got = {(r["query_id"], r["rank"]): r["vec_id"] for r in R.top_k_each(frame, asked, 4, rows=rows, asked=per).collect()}
+        assert got == want
+
+
+def test_grams_grow_as_the_text(spark):
+    from quillon.operators.matching import GRAM, grams, holding
+
+    text = "".join(chr(0x4E00 + (i * 7919) % 15000) for i in range(8000))
+    rows = spark.createDataFrame([(n, text[:n]) for n in (1000, 2000, 4000, 8000)], "n int, t string")
+    every = F.aggregate(F.array(*(F.size(grams(F.col("t"), k)) for k in range(1, GRAM + 1))), F.lit(0), lambda a, b: a + b)
+    assert all(r["e"] <= GRAM * r["n"] for r in rows.select("n", every.alias("e")).collect())
+    names = spark.createDataFrame([(text[i : i + 40],) for i in range(0, 7900, 10)] + [("absent",), ("zz",)], "name string")
+    got = {r["n"]: r["c"] for r in holding(rows, "t", names, "name", short=0).groupBy("n").agg(F.count("*").alias("c")).collect()}
+    assert got == {n: sum(text[i : i + 40] in text[:n] for i in range(0, 7900, 10)) for n in (1000, 2000, 4000, 8000)}
