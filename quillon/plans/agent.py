@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 
 from ..operators import toolcalls
 from .federation import Federation, relaxations
+from .relax import widen
 
 
 #: Calls worked on at once.
@@ -106,16 +107,21 @@ class Agent:
         return next((i for i, words in enumerate(toolcalls.ORDER.values()) if any(w in low for w in words)), len(toolcalls.ORDER))
 
 
-def wider_search(federation: Federation, sql: str, attempts: int = 10) -> tuple[str, DataFrame] | None:
-    """The first of the statement and its relaxations that gives rows, with what it gives."""
-    for form in [sql, *relaxations(sql)][: attempts + 1]:
-        df = federation.query(form)
-        if not df.isEmpty():
+def wider_search(federation: Federation, sql: str, attempts: int = 100) -> tuple[str, DataFrame] | None:
+    """The statement, or where it gives no rows the nearest of its wider forms (see relax.widen; attempts of them at most) that gives some; with what it gives.
+    Where all conjuncts together let nothing through, the statement without them is the last form."""
+    df = federation.query(sql)
+    if not df.isEmpty():
+        return sql, df
+    if found := widen(federation, sql, attempts):
+        return found[0].sql, found[1]
+    for form in relaxations(sql)[-1:]:
+        if not (df := federation.query(form)).isEmpty():
             return form, df
     return None
 
 
-def wider_everywhere(federation: Federation, sql: str, attempts: int = 10) -> list[dict]:
+def wider_everywhere(federation: Federation, sql: str, attempts: int = 100) -> list[dict]:
     """The same on each database by itself: for each, the form that gave rows and what it gave, or why there is none."""
 
     def one(db: str) -> dict:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import table_names
 from ..operators import profile as P
 from ..plans import guard
+from ..plans.agent import wider_search
 from ..plans.federation import Federation, route_tables
 from ..sources.database import Database
 from .common import STATEMENT, Registry, table
@@ -144,6 +145,23 @@ def jdbc_federated_join(spark, d):
     )
 
 
+@add(
+    "wider_forms",
+    "SELECT 'part' AS source, p_partkey AS k FROM part WHERE p_name ILIKE '%ring%' AND p_size > 30 UNION ALL SELECT 'orders', o_orderkey FROM orders WHERE o_orderpriority ILIKE '%urgent%' AND o_totalprice > 100000 "
+    "UNION ALL SELECT 'customer', c_custkey FROM customer WHERE c_acctbal BETWEEN -15000 AND -5000 OR (NOT EXISTS (SELECT 1 FROM customer WHERE c_acctbal BETWEEN -15000 AND -5000) AND c_mktsegment ILIKE '%building%')",
+)
+def wider_forms(spark, d):
+    """Statements that give nothing: a conjunct of the first has to go, a text of the second to match in part, a range of the third to go."""
+    fed = federation(spark, d)
+    statements = {
+        "part": "SELECT p_partkey AS k FROM supply.part WHERE p_name = 'ring' AND p_type = 'absent' AND p_size > 30",
+        "orders": "SELECT o_orderkey AS k FROM sales.orders WHERE o_orderpriority = 'urgent' AND o_totalprice > 100000",
+        "customer": "SELECT c_custkey AS k FROM sales.customer WHERE c_mktsegment = 'building' AND c_acctbal = -10000",
+    }
+    found = [wider_search(fed, sql)[1].select(F.lit(source).alias("source"), "k") for source, sql in statements.items()]
+    return found[0].unionAll(found[1]).unionAll(found[2])
+
+
 @add("sql_ilike_concat", "SELECT c_custkey, c_name || ' / ' || c_mktsegment AS label FROM customer WHERE c_name ILIKE '%CUSTOMER#00000012%' AND c_mktsegment IN ('BUILDING', 'MACHINERY')")
 def sql_ilike_concat(spark, d):
     return federation(spark, d).query("SELECT c_custkey, c_name || ' / ' || c_mktsegment AS label FROM customer WHERE c_name ILIKE '%CUSTOMER#00000012%' AND c_mktsegment IN ('BUILDING', 'MACHINERY')")

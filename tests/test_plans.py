@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.plans import guard, rag
+from quillon.plans import guard, rag, relax
 from quillon.operators.matching import holding
 from quillon.plans.agent import Agent, TemplateModel, Tool, wider_everywhere, wider_search
 from quillon.plans.federation import Federation, Unsafe, relaxations, route_tables
@@ -235,3 +235,39 @@ def test_a_qualifier_that_fits_two_tables_is_refused(namesakes):
 def test_stars_and_struct_fields(namesakes):
     df = namesakes.query("SELECT supply.party.*, s.x.y FROM supply.party, (SELECT named_struct('y', 5) AS x) s ORDER BY k")
     assert df.columns == ["k", "name", "y"] and df.first()["y"] == 5
+
+
+@pytest.fixture
+def shop(spark):
+    f = Federation(spark)
+    f.add("sales", {"orders": spark.createDataFrame([(1, 7, "urgent", 100.0), (2, 8, "low (5)", 250.0), (3, 9, "low", 90.0)], "o_orderkey int, o_partkey int, o_priority string, o_price double")})
+    f.add("supply", {"part": spark.createDataFrame([(7, "red ring", 5), (8, "blue bolt", 20), (9, "Hot Gear", 30)], "p_partkey int, p_name string, p_size int")})
+    return f
+
+
+@pytest.mark.parametrize(
+    "sql, kind, keys",
+    [
+        ("SELECT p_partkey FROM supply.part WHERE p_name = 'GEAR' AND p_size = 30", "softened", [9]),
+        ("SELECT p_partkey FROM supply.part WHERE p_size BETWEEN 21 AND 22 LIMIT 5", "widened 0.1", [8]),
+        ("SELECT p_partkey FROM supply.part p WHERE p.p_name = 'bolt' AND p.p_size > 25", "widened 0.5", [8]),
+        ("SELECT p_partkey FROM supply.part WHERE p_name LIKE 'ring' AND p_size > 1000 AND p_partkey IN (7, 8)", "dropped", [7]),
+        ("SELECT o_orderkey FROM sales.orders WHERE o_priority = 'bolt'", "related table", [2]),
+        ("SELECT o_orderkey FROM sales.orders, supply.part p WHERE o_priority = 'gear' AND o_partkey = p_partkey", "any column", [3]),
+        ("SELECT max(p_partkey) FROM supply.part WHERE p_name = 'rin' GROUP BY p_size ORDER BY 1", "softened", [7]),
+        ("WITH x AS (SELECT * FROM supply.part) SELECT p_partkey FROM x", None, None),
+    ],
+)
+def test_wider_forms(shop, sql, kind, keys):
+    found = relax.widen(shop, sql)
+    assert (found and found[0].kind) == kind
+    if kind:
+        assert [r[0] for r in found[1].collect()] == keys and found[0].rows == len(keys)
+
+
+def test_forms_are_counted_in_one_scan(shop, monkeypatch):
+    ran, query = [], Federation.query
+    monkeypatch.setattr(Federation, "query", lambda self, sql, *a, **k: (ran.append(sql), query(self, sql, *a, **k))[1])
+    found = relax.forms(shop, "SELECT p_partkey FROM supply.part WHERE p_name = 'ring' AND p_size > 1000 AND p_partkey < 0")
+    rows = relax.counted(shop, "SELECT p_partkey FROM supply.part WHERE p_name = 'ring' AND p_size > 1000 AND p_partkey < 0", found)
+    assert len(ran) == 1 and len(rows) > 6 and {f.rows for f in rows} >= {0, 1}
