@@ -7,7 +7,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,9 +43,79 @@ class HashingProvider:
         return df.withColumn(out_col, run(F.col(text_col)))
 
 
-PROVIDERS = {"hashing": HashingProvider}
+def terms(text: Column) -> Column:
+    """The words of a text: runs of digits, letters and all beyond ASCII, A-Z in lower case."""
+    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.regexp_extract_all(low, F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"), 1)
+
+
+def bucket(word: Column) -> Column:
+    """One of BUCKETS for a word: the first 16 bits of its MD5."""
+    return F.conv(F.substring(F.md5(word), 1, 4), 16, 10).cast("int")
+
+
+BUCKETS = 1 << 16
+
+
+class FittedProvider:
+    """Weighted counts of hashed words: rare words of the corpus that it was fitted on count more (inverse document frequency). The model is a table of
+    BUCKETS rows at most, (bucket, documents) and (-1, all documents), so models of parts of a corpus are merged by adding. Scaled to
+    unit length; null texts and texts without words have no vector."""
+
+    def __init__(self, model: DataFrame, dimensions: int = 64):
+        self.model, self.dimensions = model, dimensions
+
+    @classmethod
+    def fit(cls, corpus: DataFrame, text_col: str, dimensions: int = 64) -> FittedProvider:
+        """Counts over all texts with a word, aggregated before they are shuffled."""
+        own = corpus.select(F.array_distinct(F.transform(terms(F.col(text_col)), bucket)).alias("b")).where(F.size("b") > 0)
+        each = own.select(F.explode(F.concat("b", F.array(F.lit(-1)))).alias("bucket"))
+        return cls(each.groupBy("bucket").agg(F.count("*").alias("documents")), dimensions)
+
+    def merge(self, other: FittedProvider) -> FittedProvider:
+        both = self.model.unionByName(other.model).groupBy("bucket").agg(F.sum("documents").alias("documents"))
+        return FittedProvider(both, self.dimensions)
+
+    def save(self, path: str) -> None:
+        self.model.write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, dimensions: int = 64) -> FittedProvider:
+        return cls(spark.read.parquet(path), dimensions)
+
+    def weights(self) -> DataFrame:
+        """(bucket, documents, weight): ln((1 + N) / (1 + n)) + 1."""
+        n = self.model.where("bucket = -1").select(F.col("documents").alias("n"))  # one row
+        total = n.first()
+        share = F.lit(1.0 + (total[0] if total else 0)) / (1.0 + F.col("documents"))
+        return self.model.where("bucket >= 0").select("bucket", "documents", (F.ln(share) + 1.0).alias("weight"))
+
+    def embed(self, df: DataFrame, text_col: str, out_col: str = "embedding") -> DataFrame:
+        found = {r["bucket"]: r["weight"] for r in self.weights().collect()}  # at most BUCKETS rows
+        weight = np.full(BUCKETS, max(found.values(), default=1.0))  # words that no text had are as rare as the rarest
+        weight[list(found)] = list(found.values())
+        n = self.dimensions
+
+        @F.pandas_udf("array<float>")
+        def run(buckets: pd.Series) -> pd.Series:
+            def one(own):
+                if own is None or not len(own):
+                    return None
+                b = np.asarray(own, np.int64)
+                v = np.bincount((b >> 1) % n, weight[b] * np.where(b & 1, 1.0, -1.0), n)
+                size = np.linalg.norm(v)
+                return (v / size if size else v).astype(np.float32)
+
+            return buckets.map(one)
+
+        return df.withColumn(out_col, run(F.transform(terms(F.col(text_col)), bucket)))
+
+
+PROVIDERS = {"hashing": HashingProvider, "fitted": FittedProvider}
 
 
 def provider(name: str = "hashing", **options) -> EmbeddingProvider:
-    """The provider of a name; unknown names give the hashing one."""
-    return PROVIDERS.get(name.lower(), HashingProvider)(**options)
+    """The provider of a name; unknown names are errors."""
+    if name.lower() not in PROVIDERS:
+        raise ValueError(f"unknown embedding provider: {name} (there are {', '.join(PROVIDERS)})")
+    return PROVIDERS[name.lower()](**options)

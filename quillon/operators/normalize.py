@@ -6,6 +6,8 @@ original_source_field, service_used, raw_result. Ids are derived from the raw re
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,6 +134,49 @@ def document_list(raw: Column) -> Column:
     )
 
 
+def _sql_fields(raw: Column) -> dict[str, Column]:
+    return {"row_count": F.json_array_length(probe(raw, "$.result.rows", "$.rows"))}
+
+
+def _search_fields(raw: Column) -> dict[str, Column]:
+    """How many hits, from which hosts, and the best text of the first."""
+    h = hits(raw)
+    hosts = F.array_distinct(F.filter(F.transform(h, lambda x: netloc(x["url"])), lambda x: F.coalesce(x != "", F.lit(False))))
+    first = F.get(h, F.lit(0))
+    return {"row_count": F.size(h), "hosts": F.array_join(hosts, ","), "summary": F.coalesce(non_empty(first["summary"]), non_empty(first["content"]), first["description"])}
+
+
+def _rag_fields(raw: Column) -> dict[str, Column]:
+    documents = probe(raw, "$.result.documents", "$.documents", "$.results")
+    return {"row_count": F.json_array_length(documents), "summary": F.get_json_object(documents, "$[0].content")}
+
+
+def _download_fields(raw: Column) -> dict[str, Column]:
+    return {"file_name": basename(get(raw, "result.path", "result.file_path", "path"))}
+
+
+def _dns_fields(raw: Column) -> dict[str, Column]:
+    return {"row_count": F.json_array_length(probe(raw, "$.result.addresses", "$.addresses"))}
+
+
+#: What results of a kind get besides their stamp: columns of the raw JSON. Kinds that aren't here get the stamp alone.
+ENHANCERS: dict[str, Callable[[Column], dict[str, Column]]] = {"sql": _sql_fields, "search": _search_fields, "rag": _rag_fields, "download": _download_fields, "dns": _dns_fields}
+
+
+def enhance(df: DataFrame, as_of: Column, raw: str = "raw", service: str = "service_id", enhancers: dict[str, Callable[[Column], dict[str, Column]]] | None = None) -> DataFrame:
+    """df with `type` (kind and _enhanced), `enhanced_at`, and the columns of all enhancers, which are null for other kinds. What is no JSON object
+    becomes an enhancement_error. enhancers replace and add to those that there are. One pass: each kind's columns are computed where it applies."""
+    table = ENHANCERS | (enhancers or {})
+    kind = F.when(F.json_object_keys(raw).isNotNull(), service_kind(F.col(service), F.lit("")))
+    fields: dict[str, list[Column]] = {}
+    for k, make in table.items():
+        for name, c in make(F.col(raw)).items():
+            fields.setdefault(name, []).append(F.when(kind == k, c))
+    error = F.when(kind.isNull(), F.lit("Cannot enhance: result is not a valid dictionary"))  # fixed value
+    out = df.withColumns({"type": F.coalesce(F.concat(kind, F.lit("_enhanced")), F.lit("enhancement_error")), "enhanced_at": as_of, "error": error})
+    return out.withColumns({name: F.coalesce(*cs) for name, cs in fields.items()})
+
+
 def enhanced(df: DataFrame, as_of: Column, service: str = "service_id", action: str = "action") -> DataFrame:
     """df stamped with the kind of its service and the time given."""
     return df.withColumns({"type": service_kind(F.col(service), F.col(action)), "enhanced_at": as_of})

@@ -154,6 +154,26 @@ def enhance_results(spark, d):
     return N.enhanced(_calls(spark, d).withColumn("action", F.col("method")), F.lit("2024-02-01")).select("ordinal", "type", "enhanced_at")
 
 
+RAW = (
+    "CASE WHEN event_id % 10 = 7 THEN 'no object' ELSE CASE event_id % 9 WHEN 0 THEN '{\"result\": {\"rows\": [{\"a\": 1}, {\"a\": 2}]}}' WHEN 1 THEN '{\"rows\": []}' "
+    "WHEN 2 THEN concat('{\"results\": [{\"url\": \"http://h', CAST(user_id AS VARCHAR(9)), '/a\", \"description\": \"D\"}, {\"url\": \"http://other/b\"}]}') WHEN 3 THEN '{\"result\": {\"results\": []}}' "
+    "WHEN 4 THEN concat('{\"documents\": [{\"content\": \"', event_type, '\"}]}') WHEN 5 THEN '{\"addresses\": [\"1.1.1.1\", \"2.2.2.2\", \"3.3.3.3\"]}' WHEN 6 THEN concat('{\"result\": {\"path\": \"/tmp/d/', CAST(event_id AS VARCHAR(9)), '.pdf\"}}') "
+    "ELSE '{}' END END"
+)
+
+
+@add(
+    "enhanced_fields",
+    "SELECT event_id, CASE WHEN bad THEN 'enhancement_error' ELSE (['sql', 'sql', 'search', 'search', 'rag', 'dns', 'download', 'rag', 'generic'])[n + 1] || '_enhanced' END AS type, CASE WHEN bad THEN 'Cannot enhance: result is not a valid dictionary' END AS error, "
+    "CASE WHEN NOT bad THEN ([2, 0, 2, 0, 1, 3, NULL, NULL, NULL])[n + 1] END AS row_count, CASE WHEN NOT bad THEN CASE n WHEN 2 THEN 'h' || user_id || ',other' WHEN 3 THEN '' END END AS hosts, "
+    "CASE WHEN NOT bad THEN CASE n WHEN 2 THEN 'D' WHEN 4 THEN event_type END END AS summary, CASE WHEN NOT bad AND n = 6 THEN event_id || '.pdf' END AS file_name FROM (SELECT *, event_id % 9 AS n, event_id % 10 = 7 AS bad FROM events)",
+)
+def enhanced_fields(spark, d):
+    """Results of each kind with the fields that kind gives."""
+    rows = table(spark, d, "events").selectExpr("event_id", f"{SERVICE} AS service_id", f"{RAW} AS raw")
+    return N.enhance(rows, F.lit("2024-02-01")).select("event_id", "type", "error", "row_count", "hosts", "summary", "file_name")
+
+
 HITS = "concat('[{\"title\":\"T', CAST(page_id AS VARCHAR(9)), '\",\"url\":\"', url, '\",\"description\":\"D\"},{\"url\":\"http://other.net/x\",\"summary\":\"S\"}]')"
 SEARCH = f"CASE page_id % 4 WHEN 0 THEN concat('{{\"service_id\":\"web\",\"result\":{{\"result\":{{\"results\":', {HITS}, '}}}}}}') WHEN 1 THEN concat('{{\"result\":{{\"results\":', {HITS}, '}}}}') WHEN 2 THEN concat('{{\"results\":', {HITS}, ',\"score\":0.5}}') ELSE '{{\"service_id\":\"empty-web\",\"results\":[]}}' END"
 HOST = "regexp_extract(url, '://([^/?#]*)', 1)"

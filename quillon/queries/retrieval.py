@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..embedding import provider
+from ..embedding import FittedProvider, provider
 from ..functions import text as X
 from ..functions.vectors import cosine
 from ..operators import documents as D
@@ -324,3 +324,35 @@ def rag_context(spark, d):
     """A question's prompt from the documents nearest to it."""
     hits = rag.retrieve(table(spark, d, "documents").select("doc_id", "text"), "the thing and the other", threshold=None)
     return rag.augmented(hits, "the thing and the other")
+
+
+WORDS = r"list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
+
+
+@add(
+    "fitted_weights",
+    f"WITH w AS (SELECT r, CAST('0x' || substr(md5(t), 1, 4) AS INTEGER) AS bucket FROM (SELECT row_number() OVER () AS r, unnest({WORDS}) AS t FROM documents) GROUP BY ALL) "
+    "SELECT bucket, count(*) AS documents, round(ln((1 + (SELECT count(DISTINCT r) FROM w)) / (1 + count(*))) + 1, 9) AS weight FROM w GROUP BY bucket",
+)
+def fitted_weights(spark, d):
+    """An embedding model fitted on two halves of the documents, merged, saved and loaded."""
+    docs = table(spark, d, "documents")
+    halves = [FittedProvider.fit(docs.where(F.col("doc_id") % 2 == n), "text") for n in (0, 1)]
+    path = scratch(spark)
+    halves[0].merge(halves[1]).save(path)
+    return FittedProvider.load(spark, path).weights().withColumn("weight", F.round("weight", 9))
+
+
+@add("rag_context_fitted")
+def rag_context_fitted(spark, d):
+    """As rag_context, with the fitted provider."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    hits = rag.retrieve(docs, "the thing and the other", FittedProvider.fit(docs, "text"), threshold=None)
+    return rag.augmented(hits, "the thing and the other")
+
+
+@add("enhanced_search_many")
+def enhanced_search_many(spark, d):
+    """Several queries over all pages, each page fetched once."""
+    found = rag.enhanced_search_many(table(spark, d, "pages"), {"a": ["the", "and", "ring"], "b": ["price", "home"], "c": ["de", "la"]})
+    return found.select("query", "rank", "page_id", "url", F.round("score", 6).alias("score"), "error")

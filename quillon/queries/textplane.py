@@ -9,7 +9,8 @@ from ..functions import text as X
 from ..functions import web
 from ..operators.normalize import source_of_hits
 from ..plans import guard
-from .common import REPLY, Registry, table
+from ..plans.judge import judged
+from .common import STATEMENT, REPLY, Registry, table
 
 REGISTRY = Registry()
 add = REGISTRY.add
@@ -133,6 +134,35 @@ def verdict_check(spark, d):
     return table(spark, d, "part").selectExpr("p_partkey", f"{VERDICT} AS v").select("p_partkey", guard.verdict(F.col("v")).alias("safe"))
 
 
+class RuleModel:
+    """A stand-in that answers in every way that models do."""
+
+    def complete(self, role: str, prompt: str) -> str:
+        sql = prompt.rsplit("\n\n", 1)[-1]
+        if sql.startswith("WITH"):
+            raise TimeoutError("no answer")
+        for word, reply in (("DROP", "This is NOT SAFE, with high confidence."), ("UPDATE", '{"is_safe": true, "security_issues": []}'), ("UNION", "Looks fine, medium confidence."), ("EXPLAIN", 'Well: {"is_safe": tr')):
+            if word in sql:
+                return reply
+        safe = "false" if "information_schema" in sql else "true"
+        return f'Here: {{"is_safe": {safe}, "security_issues": ["{{x}}"], "confidence_level": "high", "explanation": "read"}} done'
+
+
+_UNREAD = "'Could not parse security analysis from LLM response'"
+
+
+@add(
+    "model_verdicts",
+    "SELECT p_partkey, CASE WHEN starts_with(s, 'WITH') OR contains(s, 'DROP') OR contains(s, 'UPDATE') THEN false WHEN contains(s, 'UNION') THEN true ELSE NOT contains(s, 'EXPLAIN') AND NOT contains(s, 'information_schema') END AS is_safe, "
+    "CASE WHEN starts_with(s, 'WITH') OR contains(s, 'UPDATE') OR contains(s, 'EXPLAIN') THEN 'low' WHEN contains(s, 'UNION') THEN 'medium' ELSE 'high' END AS confidence, "
+    f"CASE WHEN starts_with(s, 'WITH') THEN 'Analysis error occurred' WHEN contains(s, 'DROP') OR contains(s, 'UNION') OR contains(s, 'EXPLAIN') THEN {_UNREAD} WHEN contains(s, 'UPDATE') THEN 'Missing field: confidence_level' ELSE '[\"{{x}}\"]' END AS issues FROM (SELECT p_partkey, {STATEMENT} AS s FROM part)",
+)
+def model_verdicts(spark, d):
+    """A model's word on each statement: JSON, broken JSON, prose, silence."""
+    rows = table(spark, d, "part").selectExpr("p_partkey", f"{STATEMENT} AS s")
+    return judged(rows, "s", RuleModel()).select("p_partkey", "is_safe", "confidence", "issues")
+
+
 SAID = "CASE event_id % 8 WHEN 0 THEN ' TRUE ' WHEN 1 THEN '1' WHEN 2 THEN 'Yes' WHEN 3 THEN 'no' WHEN 4 THEN 'f' WHEN 5 THEN '' WHEN 6 THEN 'N' ELSE 'false' END"
 
 

@@ -151,3 +151,25 @@ def test_grams_grow_as_the_text(spark):
     names = spark.createDataFrame([(text[i : i + 40],) for i in range(0, 7900, 10)] + [("absent",), ("zz",)], "name string")
     got = {r["n"]: r["c"] for r in holding(rows, "t", names, "name", short=0).groupBy("n").agg(F.count("*").alias("c")).collect()}
     assert got == {n: sum(text[i : i + 40] in text[:n] for i in range(0, 7900, 10)) for n in (1000, 2000, 4000, 8000)}
+
+
+def test_enhancers_may_be_added(spark):
+    rows = spark.createDataFrame([("my-sql", '{"rows": [1, 2, 3]}'), ("thing", '{"size": 7}'), ("dns-a", "x"), (None, None)], "service_id string, raw string")
+    got = N.enhance(rows, F.lit("now"), enhancers={"generic": lambda raw: {"size": F.get_json_object(raw, "$.size").cast("int")}}).collect()
+    assert [(r["type"], r["row_count"], r["size"], r["error"] is None) for r in got] == [("sql_enhanced", 3, None, True), ("generic_enhanced", None, 7, True), ("enhancement_error", None, None, False), ("enhancement_error", None, None, False)]
+
+
+def test_verdicts_fail_closed(spark):
+    from quillon.plans.judge import judged, verdict
+
+    whole = '{"is_safe": true, "security_issues": [], "confidence_level": "high", "explanation": "e"}'
+    cases = [
+        (whole, None, True, "high"), (f"x {whole} y", None, True, "high"), (whole.replace("true", '"yes"'), None, False, "high"), (whole.replace("true", "false"), None, False, "high"),
+        (whole[:-20], None, False, "low"), ('{"is_safe": true}', None, False, "low"), ("fine, high confidence", None, True, "high"), ("an issue, medium confidence", None, False, "medium"),
+        ("Unsafe", None, False, "low"), ("", None, True, "low"), (None, None, False, "low"), (whole, "late", False, "low"), ("{x}", None, False, "low"),
+    ]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, reply string, failure string, safe boolean, sure string")
+    got = rows.withColumn("v", verdict(F.col("reply"), F.col("failure"))).orderBy("i").collect()
+    assert [(r["v"]["is_safe"], r["v"]["confidence"]) for r in got] == [c[2:] for c in cases]
+    missing = judged(spark.createDataFrame([(None,)], "s string"), "s", None).first()
+    assert not missing["is_safe"] and missing["explanation"] == "no statement"

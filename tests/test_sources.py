@@ -64,7 +64,7 @@ def test_offline_web(spark):
 
 
 def test_hashing_embeddings(spark):
-    df = provider("unknown", dimensions=8).embed(spark.createDataFrame([("a b",), ("A  b",), (" ",), (None,)], "t string"), "t")
+    df = provider("hashing", dimensions=8).embed(spark.createDataFrame([("a b",), ("A  b",), (" ",), (None,)], "t string"), "t")
     v = [r["embedding"] for r in df.collect()]
     assert v[0] == v[1] and len(v[0]) == 8 and v[2] is None and v[3] is None
 
@@ -120,3 +120,74 @@ def test_rerank_size():
     from quillon.operators.retrieval import rerank_size
 
     assert [rerank_size(*x) for x in ((None, 9), (9, 9), (3, 9), (5, 2), (None, 2))] == [5, 5, 3, 2, 2]
+
+
+def test_unknown_providers_are_errors():
+    with pytest.raises(ValueError, match="hashin"):
+        provider("hashin")
+
+
+def test_fitted_embeddings(spark, tmp_path):
+    import math
+
+    from quillon.embedding import FittedProvider
+
+    texts = spark.createDataFrame([("the red ring",), ("The blue BOLT",), ("the the",), ("",), (None,)], "t string")
+    whole = FittedProvider.fit(texts, "t", dimensions=256)
+    parts = FittedProvider.fit(texts.limit(0), "t").merge(FittedProvider.fit(texts, "t", dimensions=256))
+    parts.dimensions = 256
+    parts.save(str(tmp_path / "m"))
+    again = FittedProvider.load(spark, str(tmp_path / "m"), 256)
+    assert sorted(whole.weights().collect()) == sorted(again.weights().collect())
+    assert sorted(round(r["weight"], 9) for r in whole.weights().collect()) == sorted(round(math.log(4 / (1 + n)) + 1, 9) for n in (3, 1, 1, 1, 1))
+    v = [r["embedding"] for r in again.embed(texts.union(spark.createDataFrame([("RED ring",), ("unseen",)], "t string")), "t").collect()]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    assert v[3] is None and v[4] is None and abs(dot(v[0], v[0]) - 1) < 1e-6 and len(v[6]) == 256
+    assert dot(v[0], v[5]) > dot(v[0], v[2]) > 0  # rare words weigh more than one that is everywhere
+
+
+def test_fan_out_is_bounded_and_tries_again(spark, tmp_path):
+    from quillon.sources.fanout import fan_out
+
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def call(row):
+        import os
+        import time
+        import uuid
+
+        mine = log / f"{row['k']}-{uuid.uuid4().hex}"
+        mine.touch()
+        time.sleep(0.05)
+        tries = len([x for x in os.listdir(log) if x.startswith(f"{row['k']}-")])
+        if row["k"] == 3 or row["k"] == 4 and tries < 2:
+            raise OSError("down")
+        if row["k"] == 5:
+            raise ValueError("never")
+        return f"got {row['k']}"
+
+    rows = spark.range(8).withColumnRenamed("id", "k").coalesce(1)
+    got = {r["k"]: (r["out"], r["error"], r["tries"]) for r in fan_out(rows, call, "out", parallel=2, attempts=3, base_s=0.01, fatal=(ValueError,)).collect()}
+    assert got[0] == ("got 0", None, 1) and got[3] == (None, "OSError: down", 3) and got[4] == ("got 4", None, 2) and got[5] == (None, "ValueError: never", 1)
+    assert fan_out(rows.limit(0), call, "out").count() == 0
+
+
+def test_failing_pages_become_their_descriptions(spark):
+    from quillon.plans import rag
+
+    pages = spark.createDataFrame([(n, f"http://h/{n}", f"<title>T{n}</title><p>red ring {'x ' * n}</p>") for n in range(6)] + [(9, "http://h/9", None)], "page_id long, url string, html string")
+
+    def fetch(row):
+        if row["page_id"] % 2:
+            raise TimeoutError("slow")
+        return "full text with red and ring"
+
+    got = rag.enhanced_search_many(pages, {"q": ["red", "ring"], "none": ["absent"]}, fetch, k=4, attempts=2, base_s=0.0).collect()
+    assert len(got) == 4 and {r["query"] for r in got} == {"q"} and [r["rank"] for r in got] == [1, 2, 3, 4]
+    for r in got:
+        assert (r["error"], r["summary"][:9]) == (("TimeoutError: slow", f"t{r['page_id']}\nred ri"[:9]) if r["page_id"] % 2 else (None, "full text"))
+    from quillon.sources import web
+
+    many = web.search_many(pages, {"q": ["red", "x"]}, 3)
+    assert [tuple(r) for r in many.select("page_id", "score").orderBy("page_id").collect()] == [tuple(r) for r in web.search(pages, ["red", "x"], 3).select("page_id", "score").orderBy("page_id").collect()]
