@@ -10,7 +10,7 @@ of BITS bits, each with a Hamming ball of its own.
    number of set bits, which emit themselves, and up for the others, which emit all variants at one bit. Variants are shuffled
    in blocks. As many parts are made as let a pair at 0.8 meet with a chance of 0.95 (0.99 at 0.85, 0.999 at 0.9).
 3. Pairs: nodes that meet are compared by their check bits. Where a node has few partners at a variant, all pairs are taken; where it
-   has many (a large group of copies), a few nearest ones, so a group's pairs grow with its members, not with their square.
+   has many (a large group of copies), the nearest one, at half of the parts, so a group's pairs grow with its members, not with their square.
 4. Verification: both texts of a pair are read and their shingles compared; only pairs of 0.8 or more are links, which are merged
    to components. Where partners were left out, those in other components are taken up in further rounds, each with eight times
    as many, until none is left: what is left out is only what a component holds already.
@@ -59,9 +59,9 @@ CHECK, MAYBE, SURE = 256, 41, 10
 #: Members of a meeting up to which pairs are found by shifts of whole blocks of variants.
 SMALL = 16
 #: Partners of a node at a large meeting in the first round.
-FEW = 2
-#: Nodes of a meeting that are compared with those before them at once.
-AT_ONCE = 512
+FEW = 1
+#: Nodes of a meeting that are compared with those before them at once, with how many of these at most, and members compared with loose ones at once.
+AT_ONCE, AHEAD, WIDE = 512, 1024, 8192
 #: Variants in a block, and of a node on average.
 BLOCK = 1_000_000
 PER_NODE = PARTS * (BITS + 1) / 2
@@ -169,19 +169,18 @@ def variants(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(((parts | tag)[even_at], around)), np.concatenate((even_at[0], np.repeat(odd_at[0], BITS)))
 
 
-def tree(checks: np.ndarray, few: int, groups: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, bool]:
+def tree(checks: np.ndarray, few: int) -> tuple[np.ndarray, np.ndarray, bool]:
     """Pairs (i, j), j before i, of members of one meeting whose check bits pass, and whether partners were left out. Of each i the `few`
-    nearest are taken, or one if that is surely a copy. groups: only pairs of unlike groups count, and none is surely a copy."""
+    nearest are taken, or one if that is surely a copy. A member is compared with those of its own block and with AHEAD earlier ones at most that nothing
+    before them stands for, so the work grows as the meeting does; what that leaves out is taken up between components."""
     out_i, out_j, cut = [], [], False
-    ahead = np.empty(0, np.int64)  # of earlier blocks, those that nothing before them stands for
+    ahead = np.empty(0, np.int64)
     for first in range(0, len(checks), AT_ONCE):
         here = np.arange(first, min(first + AT_ONCE, len(checks)))
         pool = np.concatenate((ahead, here))
         far = apart(checks[here][:, None], checks[pool])
         far[pool >= here[:, None]] = CHECK
-        if groups is not None:
-            far[groups[here][:, None] == groups[pool]] = CHECK
-        sure = (far.min(axis=1) <= SURE) & (groups is None)
+        sure = far.min(axis=1) <= SURE
         n = np.where(sure, 1, np.minimum((far <= MAYBE).sum(axis=1), few))
         cut |= bool(((far <= MAYBE).sum(axis=1) > n).any()) or bool(sure.any())
         some = np.argsort(far, axis=1, kind="stable")[:, : max(1, int(n.max()))]
@@ -189,9 +188,40 @@ def tree(checks: np.ndarray, few: int, groups: np.ndarray | None = None) -> tupl
         out_i.append(here[i])
         out_j.append(pool[some[i, k]])
         ahead = np.concatenate((ahead, here[~sure]))
+        cut |= len(ahead) > AHEAD and first + AT_ONCE < len(checks)
+        ahead = ahead[:AHEAD]
     return np.concatenate(out_i), np.concatenate(out_j), cut
 
 
+def between(checks: np.ndarray, few: int, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs (i, j) of members of unlike groups whose check bits pass, and whether partners were left out: members outside of the largest group are compared
+    with all others, so the work grows with what is still loose. Of each of them the `few` nearest are taken, of those in loose groups only earlier ones."""
+    own, counts = np.unique(groups, return_counts=True)
+    large = own[counts.argmax()]
+    loose = np.flatnonzero(groups != large)
+    out_i, out_j, cut = [], [], False
+    for first in range(0, len(loose), AT_ONCE):
+        here = loose[first : first + AT_ONCE]
+        at, with_, far_ = [], [], []
+        for start in range(0, len(checks), WIDE):
+            pool = np.arange(start, min(start + WIDE, len(checks)))
+            far = apart(checks[here][:, None], checks[pool])
+            ok = (far <= MAYBE) & (groups[here][:, None] != groups[pool]) & ((groups[pool] == large) | (pool < here[:, None]))
+            i, j = np.nonzero(ok)
+            at.append(i)
+            with_.append(pool[j])
+            far_.append(far[i, j])
+        i, j, far = (np.concatenate(x) for x in (at, with_, far_))
+        order = np.lexsort((far, i))
+        i, j = i[order], j[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        cut |= bool((place >= few).any())
+        out_i.append(here[i[place < few]])
+        out_j.append(j[place < few])
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *out_i]), np.concatenate([none, *out_j]), cut
+
+
 def first_meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Of two tables of parts: the least key that the balls of both rows hold, for rows that meet."""
     x = a ^ b
@@ -222,6 +252,9 @@ def meetings(rows: np.ndarray, few: int, small: int) -> tuple[np.ndarray, np.nda
         v.append(nodes[at + d])
     for i in np.flatnonzero(sizes > small).tolist():
         own = slice(edges[i], edges[i + 1])
+        if (int(keys[edges[i]]) >> BITS) % 2:  # large groups meet at many parts: half of them wait until components are known
+            rest.append(rows[own])
+            continue
         a, b, cut = tree(checks[own], few)
         u.append(nodes[own][a])
         v.append(nodes[own][b])
@@ -311,7 +344,7 @@ def left_out(rest: DataFrame, comp: DataFrame, nodes: DataFrame, few: int) -> Da
             if held:
                 own, groups, checks, parts = (np.concatenate(x) for x in zip(*held))
                 held.clear()
-                a, b, cut = tree(checks, few, groups)
+                a, b, cut = between(checks, few, groups)
                 for k in range(0, len(a), 100_000):
                     i, j = a[k : k + 100_000], b[k : k + 100_000]
                     first = first_meeting(parts[i], parts[j]) == variant
