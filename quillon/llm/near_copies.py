@@ -12,7 +12,7 @@ of BITS bits, each with a Hamming ball of its own.
 3. Pairs: nodes that meet are compared by their check bits. Where a node has few partners at a variant, all pairs are taken; where it
    has many (a large group of copies), the nearest one, at half of the parts, so a group's pairs grow with its members, not with their square.
 4. Verification: both texts of a pair are read and their shingles compared; only pairs of 0.8 or more are links, which are merged
-   to components. Where partners were left out, those in other components are taken up in further rounds, each with eight times
+   to components. Where partners were left out, those in other components are taken up in further rounds, each with 64 times
    as many, until none is left: what is left out is only what a component holds already.
 """
 
@@ -60,6 +60,8 @@ CHECK, MAYBE, SURE = 256, 41, 10
 SMALL = 16
 #: Partners of a node at a large meeting in the first round.
 FEW = 1
+#: How many times as many each later round takes.
+MORE = 64
 #: Nodes of a meeting that are compared with those before them at once, with how many of these at most, and members compared with loose ones at once.
 AT_ONCE, AHEAD, WIDE = 512, 1024, 8192
 #: Variants in a block, and of a node on average.
@@ -344,6 +346,8 @@ def left_out(rest: DataFrame, comp: DataFrame, nodes: DataFrame, few: int) -> Da
             if held:
                 own, groups, checks, parts = (np.concatenate(x) for x in zip(*held))
                 held.clear()
+                if groups.min() == groups.max():
+                    return
                 a, b, cut = between(checks, few, groups)
                 for k in range(0, len(a), 100_000):
                     i, j = a[k : k + 100_000], b[k : k + 100_000]
@@ -368,8 +372,7 @@ def left_out(rest: DataFrame, comp: DataFrame, nodes: DataFrame, few: int) -> Da
     by_node = rest.mapInArrow(loose, "variant long, node long").groupBy("node").agg(F.collect_list("variant").alias("variants"))
     known = by_node.join(comp.select("node", F.col("component").alias("group")), "node", "left").join(nodes, "node")
     named = known.select(F.explode("variants").alias("variant"), "node", F.coalesce("group", "node").alias("group"), "check", "parts")
-    mixed = named.groupBy("variant").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("variant")
-    return named.join(mixed, "variant").repartition("variant").sortWithinPartitions("variant", "node").mapInArrow(meet, "u long, v long, variant long, rows binary")
+    return named.repartition("variant").sortWithinPartitions("variant", "node").mapInArrow(meet, "u long, v long, variant long, rows binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -437,7 +440,7 @@ def linked(nodes: DataFrame, least: DataFrame, named: DataFrame) -> DataFrame:
         rest = found.where("rows is not null").select("variant", "rows")
         if rest.isEmpty():
             return comp
-        few *= 8
+        few *= MORE
         found = written(left_out(rest, comp, nodes, few), "met")
         if found.isEmpty():
             return comp
