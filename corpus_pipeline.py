@@ -35,7 +35,7 @@ def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: pieces of documents with their sequences and offsets."""
-    return packing.pack(packing.token_pieces(docs))
+    return packing.pack_texts(docs)
 
 
 STAGES = [

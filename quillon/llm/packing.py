@@ -27,8 +27,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .util import crc_le32, lean, tokenizer_path, tune, written
+from .util import crc_le32, lean, nameless, tokenizer_path, tune, written
 from .wordcodec import codec
 
 CAPACITY = 1024
@@ -135,40 +136,46 @@ class Placer:
         return place
 
 
-def placed_rows(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def placed_rows(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY) -> DataFrame:
     """pieces with part, the task's number, and place, the row's place among the task's rows of its length."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, placer = TaskContext.get().partitionId(), Placer(capacity)
         for b in batches:
-            if b.column("length").null_count:
+            if b.column(length).null_count:
                 raise ValueError(f"lengths must be from 1 to {capacity}")
-            lengths = b.column("length").to_numpy(zero_copy_only=False).astype(np.int64)
+            lengths = b.column(length).to_numpy(zero_copy_only=False).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(lengths), part, np.int32)), pa.array(placer.place(lengths))], [*b.schema.names, "part", "place"])
 
-    return pieces.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", part int, place long")
+    return pieces.mapInArrow(run, StructType([*pieces.schema.fields, StructField("part", IntegerType()), StructField("place", LongType())]))
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to rows that have a column length (1 to capacity).
 
-    pieces is written once, with each row's place among its task's rows of that length (columns part and
-    place, which token_pieces() adds itself where placed); the rank of a row is that place plus the
+    pieces is written once, with each row's place among its task's rows of that length; the rank of a row is that place plus the
     rows of earlier tasks (a window over one row per task and length). Only the runs of placed pieces reach the driver, as their
     lookup goes to all tasks: some thousands, whose number depends on the capacity. Lengths that are null or out of range
-    raise an error, and so do columns named sequence_id or offset. Equal pieces are dealt by rank; repeated rows are pieces of
-    their own. An empty table stays empty."""
-    if clash := {"sequence_id", "offset"} & set(pieces.columns):
+    raise an error, and so do a missing length and columns named sequence_id or offset (in any case); all other columns are carried along, whatever
+    their names. Equal pieces are dealt by rank; repeated rows are pieces of their own. An empty table stays empty."""
+    if clash := {c for c in pieces.columns if c.lower() in ("sequence_id", "offset")}:
         raise ValueError(f"columns {sorted(clash)} exist already")
+    if "length" not in pieces.columns:
+        raise ValueError("pieces have no column length")
     tune(pieces.sparkSession)
-    if not {"part", "place"} <= set(pieces.columns):
-        pieces = placed_rows(pieces, capacity)
+    plain, names = nameless(pieces)
+    length = names[pieces.columns.index("length")]
+    return _assigned(placed_rows(plain, length, capacity), length, capacity).toDF(*pieces.columns, "sequence_id", "offset")
+
+
+def _assigned(pieces: DataFrame, length: str, capacity: int) -> DataFrame:
+    """Rows of placed_rows() with sequence_id and offset in place of part and place."""
     kept = written(pieces, "pieces")
     names = [c for c in kept.columns if c not in ("part", "place")]
-    counts = kept.groupBy("length", "part").agg(F.count("*").alias("n"))
-    bases = counts.select("length", "part", (F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).alias("base"))
-    totals = written(kept.groupBy("length").agg(F.count("*").alias("n")), "lengths")
+    counts = kept.groupBy(length, "part").agg(F.count("*").alias("n"))
+    bases = counts.select(length, "part", (F.sum("n").over(W.partitionBy(length).orderBy("part")) - F.col("n")).alias("base"))
+    totals = written(kept.groupBy(F.col(length).alias("length")).agg(F.count("*").alias("n")), "lengths")
     runs = best_fit_rounds(totals, capacity).select("size", "first", "sequence", "offset").toPandas().to_numpy(np.int64)
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
     by_length = {int(k): runs[runs[:, 0] == k] for k in np.unique(runs[:, 0])}
@@ -176,7 +183,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     @lean
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lengths = b.column("length").to_numpy(zero_copy_only=False).astype(np.int64)
+            lengths = b.column(length).to_numpy(zero_copy_only=False).astype(np.int64)
             rank = b.column("place").to_numpy() + b.column("base").to_numpy()
             seq, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
             for k in np.unique(lengths):
@@ -185,15 +192,20 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 seq[own], offset[own] = r[i, 2] + rank[own] - r[i, 1], r[i, 3]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(seq), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in names) + ", sequence_id long, offset long"
-    ranked = kept.join(bases, ["length", "part"]).select(*kept.columns, "base")
+    schema = StructType([*(f for f in kept.schema if f.name in names), StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    ranked = kept.join(bases, [length, "part"]).select(*kept.columns, "base")
     return ranked.mapInArrow(assign, schema)
 
 
-def token_pieces(df: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, placed: bool = True) -> DataFrame:
+def pack_texts(df: DataFrame, capacity: int = CAPACITY, **options) -> DataFrame:
+    """pack() of token_pieces(), whose rows get their places in the pass that encodes them. options: of token_pieces()."""
+    return _assigned(token_pieces(df, capacity=capacity, placed=True, **options), "length", capacity)
+
+
+def token_pieces(df: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, placed: bool = False) -> DataFrame:
     """Every whole text as pieces of at most capacity tokens: doc_id, piece, start, length, ids_crc32, and
-    the ids themselves where with_ids, and part and place for pack() where placed (in the same pass: a second Python
-    step in one stage would need workers of its own).
+    the ids themselves where with_ids, and part and place as of placed_rows() where placed (in the same pass: a second Python
+    step in one stage would need workers of its own; they hold only while no row is taken out or added).
 
     Null texts count as empty: one piece that holds end_id alone. Null and repeated ids are documents
     of their own; other columns are not read."""

@@ -43,7 +43,7 @@ def op7_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.token_pieces(_table(spark, sf_dir, "documents")))
+    return packing.pack_texts(_table(spark, sf_dir, "documents"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

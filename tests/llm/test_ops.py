@@ -527,7 +527,7 @@ def test_rounds_pack_as_best_fit_decreasing_does(spark, draw):
 
 
 def test_packing_edges(spark, awkward, empty):
-    got = packing.pack(packing.token_pieces(awkward, with_ids=True)).toPandas()
+    got = packing.pack_texts(awkward, with_ids=True).toPandas()
     texts = sorted((tuple([*ids_of("byte_bpe_50k.json", t), 2]) for _, t in AWKWARD))
     parts = {}
     for (doc, digest), own in got.groupby([got["doc_id"].fillna(-1), got.index]):
@@ -538,11 +538,32 @@ def test_packing_edges(spark, awkward, empty):
         assert tuple(np.concatenate(own["ids"].tolist()).tolist()) in texts and own["piece"].tolist() == list(range(len(own)))
         parts[doc] = len(own)
     assert parts[7] > 100 and got["sequence_id"].nunique() == -(-got["length"].sum() // 1024)
-    assert packing.pack(packing.token_pieces(empty)).count() == 0
+    assert packing.pack_texts(empty).count() == 0 and packing.pack(packing.token_pieces(empty)).count() == 0
     with pytest.raises(Exception, match="lengths must be"):
         packing.pack(spark.createDataFrame([(0,)], "length long")).count()
     with pytest.raises(ValueError, match="offset"):
         packing.pack(spark.createDataFrame([(1, 2)], "length long, offset long"))
+    with pytest.raises(ValueError, match="no column length"):
+        packing.pack(spark.createDataFrame([(1,)], "size long"))
+
+
+def test_packing_carries_columns_of_any_name(spark):
+    """Columns of the caller that are named as helper columns are, and pieces of which some were taken out."""
+    lengths = [random.Random(3).randint(1, 40) for _ in range(300)]
+    rows = [(n, 7, None, k, {"a b": k % 2}, 1, "x") for k, n in enumerate(lengths)]
+    pieces = spark.createDataFrame(rows, "length int, part int, place long, base long, n map<string, int>, count int, `column 0` string").repartition(3)
+    got = packing.pack(pieces, 40)
+    assert got.columns == [*pieces.columns, "sequence_id", "offset"]
+    packed = [r.asDict() for r in got.collect()]
+    assert sorted((r["base"], r["length"], r["part"], r["place"], r["count"]) for r in packed) == [(k, n, 7, None, 1) for k, n in enumerate(lengths)]
+    ends = {}
+    for r in sorted(packed, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0) and r["offset"] + r["length"] <= 40
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert len(ends) <= best_fit_decreasing({n: lengths.count(n) for n in lengths}, 40) + 2
+    some = packing.token_pieces(docs(spark, [(k, "a b c " * (k % 7)) for k in range(60)]), placed=True).where("piece = 0 and doc_id % 3 > 0")
+    left = packing.pack(some, 1024).toPandas()
+    assert len(left) == 40 and left.groupby("sequence_id")["length"].sum().sum() == left["length"].sum() and not left.duplicated(["sequence_id", "offset"]).any()
 
 
 # 9 ------------------------------------------------------------------------------------------------
