@@ -13,7 +13,8 @@ of BITS bits, each with a Hamming ball of its own.
    has many (a large group of copies), the nearest one, at half of the parts, so a group's pairs grow with its members, not with their square.
 4. Verification: both texts of a pair are read and their shingles compared; only pairs of 0.8 or more are links, which are merged
    to components. Where partners were left out, those in other components are taken up in further rounds, each with 64 times
-   as many, until none is left: what is left out is only what a component holds already.
+   as many, until none is left: what is left out is only what a component holds already. By then most pairs that 256 bits can't tell
+   apart are unlike, so nodes of open meetings get 1,024 bits of their own, which decide in these rounds.
 """
 
 from __future__ import annotations
@@ -56,6 +57,8 @@ WORDS = -(-PARTS * BITS // 64)
 #: Bits for checks, differing ones up to which a pair is verified (three standard deviations over what 0.8 gives), and up to which
 #: a member surely has a copy before it (three under it), and needs not stand for itself in later blocks of a meeting.
 CHECK, MAYBE, SURE = 256, 41, 10
+#: The same for later rounds: bits, and differing ones up to which a pair is verified (as many deviations over what 0.8 gives).
+LONG, LONG_MAYBE = 1024, 133
 #: Members of a meeting up to which pairs are found by shifts of whole blocks of variants.
 SMALL = 16
 #: Partners of a node at a large meeting in the first round.
@@ -68,7 +71,11 @@ AT_ONCE, AHEAD, WIDE = 512, 1024, 8192
 BLOCK = 1_000_000
 PER_NODE = PARTS * (BITS + 1) / 2
 NODES_A_TASK = 10_000
+#: Nodes whose components are looked up at once in later rounds, and their memberships of meetings in a block.
+LOOKED_UP, OPEN = 1024, 8192
 ROW = np.dtype([("key", "<u4"), ("node", "<i8"), ("check", "<u8", (CHECK // 64,))])
+MEMBER = np.dtype([("key", "<u4"), ("node", "<i8")])
+LOOSE = np.dtype([("key", "<u4"), ("node", "<i8"), ("group", "<i8"), ("long", "<u8", (LONG // 64,)), ("parts", "<u4", (PARTS,))])
 
 _rng = np.random.default_rng(42)
 _MASKS, _FACTORS, _AGAIN = _rng.integers(0, 1 << 64, (3, WORDS + 1), dtype=np.uint64)[:, :WORDS]  # fingerprints as before, without the spare word
@@ -76,6 +83,8 @@ _FACTORS |= np.uint64(1)
 _AGAIN |= np.uint64(1)
 _FLIPS, _TIMES = (_rng.integers(0, 1 << 32, CHECK, dtype=np.uint32) for _ in range(2))
 _TIMES |= np.uint32(1)
+_LONG_FLIPS, _LONG_TIMES = (_rng.integers(0, 1 << 32, LONG, dtype=np.uint32) for _ in range(2))
+_LONG_TIMES |= np.uint32(1)
 
 
 def shingles(raw: bytes) -> np.ndarray:
@@ -103,12 +112,12 @@ def long_fingerprint(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return parts, check_words(own)
 
 
-def check_words(own: np.ndarray) -> np.ndarray:
-    """The parity of the least hash of a set under each of CHECK hashes, as 64-bit words."""
+def check_words(own: np.ndarray, flips: np.ndarray = _FLIPS, times: np.ndarray = _TIMES) -> np.ndarray:
+    """The parity of the least hash of a set under each of some hashes (CHECK), as 64-bit words."""
     short = (own >> np.uint64(32)).astype(np.uint32)
-    least = np.full(CHECK, 0xFFFFFFFF, np.uint32)
+    least = np.full(len(flips), 0xFFFFFFFF, np.uint32)
     for first in range(0, len(short), 256):
-        h = (short[first : first + 256, None] ^ _FLIPS) * _TIMES
+        h = (short[first : first + 256, None] ^ flips) * times
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
         np.minimum(least, h.min(axis=0), out=least)
@@ -117,7 +126,7 @@ def check_words(own: np.ndarray) -> np.ndarray:
 
 def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Differing bits of rows of check words (which broadcast)."""
-    return sum(np.bitwise_count(a[..., k] ^ b[..., k]).astype(np.int16) for k in range(CHECK // 64))
+    return sum(np.bitwise_count(a[..., k] ^ b[..., k]).astype(np.int16) for k in range(a.shape[-1]))
 
 
 def check_array(words: np.ndarray) -> pa.Array:
@@ -196,7 +205,7 @@ def tree(checks: np.ndarray, few: int) -> tuple[np.ndarray, np.ndarray, bool]:
 
 
 def between(checks: np.ndarray, few: int, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs (i, j) of members of unlike groups whose check bits pass, and whether partners were left out: members outside of the largest group are compared
+    """Pairs (i, j) of members of unlike groups whose LONG check bits pass, and whether partners were left out: members outside of the largest group are compared
     with all others, so the work grows with what is still loose. Of each of them the `few` nearest are taken, of those in loose groups only earlier ones."""
     own, counts = np.unique(groups, return_counts=True)
     large = own[counts.argmax()]
@@ -208,7 +217,7 @@ def between(checks: np.ndarray, few: int, groups: np.ndarray) -> tuple[np.ndarra
         for start in range(0, len(checks), WIDE):
             pool = np.arange(start, min(start + WIDE, len(checks)))
             far = apart(checks[here][:, None], checks[pool])
-            ok = (far <= MAYBE) & (groups[here][:, None] != groups[pool]) & ((groups[pool] == large) | (pool < here[:, None]))
+            ok = (far <= LONG_MAYBE) & (groups[here][:, None] != groups[pool]) & ((groups[pool] == large) | (pool < here[:, None]))
             i, j = np.nonzero(ok)
             at.append(i)
             with_.append(pool[j])
@@ -269,7 +278,7 @@ def meetings(rows: np.ndarray, few: int, small: int) -> tuple[np.ndarray, np.nda
 
 
 def candidates(nodes: DataFrame, few: int, small: int) -> DataFrame:
-    """(u, v, variant, rows): pairs of nodes to be verified, and the rows of variants where partners were left out. nodes: (node,
+    """(u, v, rows): pairs of nodes to be verified, and the members of meetings where partners were left out. nodes: (node,
     check, parts), each node once. few: partners of a node in meetings of over `small` nodes. Variants travel in blocks, chosen by a hash of the
     variant, whose number follows the nodes'."""
     n = nodes.count()
@@ -303,9 +312,7 @@ def candidates(nodes: DataFrame, few: int, small: int) -> DataFrame:
                 u, v, rest = meetings(np.frombuffer(b"".join(held), ROW), few, small)
                 held.clear()
                 yield from _pairs(u, v)
-                cuts = np.flatnonzero(np.r_[True, rest["key"][1:] != rest["key"][:-1], True]) if len(rest) else []
-                for x, y in zip(cuts[:-1], cuts[1:]):
-                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([int(rest["key"][x])], pa.int64()), pa.array([rest[x:y].tobytes()], pa.binary())], ["u", "v", "variant", "rows"])
+                yield from _open(rest["key"], rest["node"])
 
         for b in batches:
             for here, rows in zip(b.column("block").to_pylist(), b.column("variants").to_pylist()):
@@ -316,63 +323,119 @@ def candidates(nodes: DataFrame, few: int, small: int) -> DataFrame:
         yield from close()
 
     dealt = nodes.repartition(tasks, "node").mapInArrow(spread, "block long, variants binary").repartition("block").sortWithinPartitions("block")
-    return dealt.mapInArrow(meet, "u long, v long, variant long, rows binary")
+    return dealt.mapInArrow(meet, "u long, v long, rows binary")
 
 
 def _pairs(u: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(u), 100_000):
         k = len(u[i : i + 100_000])
-        yield pa.RecordBatch.from_arrays([pa.array(u[i : i + k]), pa.array(v[i : i + k]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], ["u", "v", "variant", "rows"])
+        yield pa.RecordBatch.from_arrays([pa.array(u[i : i + k]), pa.array(v[i : i + k]), pa.nulls(k, pa.binary())], ["u", "v", "rows"])
 
 
-def left_out(rest: DataFrame, comp: DataFrame, nodes: DataFrame, few: int) -> DataFrame:
-    """(u, v, variant, rows) again, of meetings (variant, rows) whose members lie in several components: pairs across these, each from the
-    first meeting that both nodes have. A node has a bounded number of variants, so these are gathered by node to look it up once."""
+def _open(keys: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Members of meetings where partners were left out, packed; a meeting's come one after the other."""
+    for i in range(0, len(keys), 100_000):
+        own = np.empty(len(keys[i : i + 100_000]), MEMBER)
+        own["key"], own["node"] = keys[i : i + 100_000], nodes[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([own.tobytes()], pa.binary())], ["u", "v", "rows"])
+
+
+def blobs(number: np.ndarray, rows: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Rows by their number, packed."""
+    order = np.argsort(number, kind="stable")
+    number, rows = number[order], rows[order]
+    cuts = np.flatnonzero(np.r_[True, number[1:] != number[:-1], True]).tolist() if len(rows) else [0]
+    return number[cuts[:-1]].astype(np.int64).tolist(), [rows[x:y].tobytes() for x, y in zip(cuts, cuts[1:])]
+
+
+def open_nodes(rest: DataFrame) -> DataFrame:
+    """(node) of open meetings."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes = np.unique(np.frombuffer(b"".join(b.column("rows").to_pylist()), MEMBER)["node"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes)], ["node"])
+
+    return rest.mapInArrow(run, "node long").distinct()
+
+
+def long_checks(texts: DataFrame) -> DataFrame:
+    """(node, long) of texts (node, __packed)."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [check_words(shingles(x), _LONG_FLIPS, _LONG_TIMES).tobytes() for x in unpacked(b.column(PACKED))]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(words, pa.binary())], ["node", "long"])
+
+    return texts.mapInArrow(run, "node long, long binary")
+
+
+def left_out(rest: DataFrame, known: DataFrame, few: int) -> DataFrame:
+    """(u, v, rows) again, of open meetings (rows) whose members lie in several components: pairs across these, each from the
+    first meeting that both nodes have. known: (node, group, long, parts) of all their members.
+
+    Memberships travel packed: by node, to be looked up, then by meeting. A node has a bounded number of them."""
+    n = known.count()
+    members = rest.agg(F.sum(F.length("rows"))).first()[0] // MEMBER.itemsize
+    buckets, blocks = max(1, -(-n // LOOKED_UP)), max(1, -(-members // OPEN))
 
     @lean
-    def loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for variant, raw in zip(b.column("variant").to_pylist(), b.column("rows").to_pylist()):
-                rows = np.frombuffer(raw, ROW)
-                for i in range(0, len(rows), 100_000):
-                    own = rows[i : i + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), variant)), pa.array(np.ascontiguousarray(own["node"]))], ["variant", "node"])
+            rows = np.frombuffer(b"".join(b.column("rows").to_pylist()), MEMBER)
+            number, packed = blobs(rows["node"] % buckets, rows)
+            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(packed, pa.binary())], ["bucket", "members"])
+
+    def look_up(members: pa.Table, own: pa.Table) -> pa.Table:
+        rows = np.frombuffer(b"".join(members.column("members").to_pylist()), MEMBER)
+        nodes = own.column("node").to_numpy()
+        order = np.argsort(nodes)
+        at = order[np.searchsorted(nodes[order], rows["node"])]
+        out = np.empty(len(rows), LOOSE)
+        out["key"], out["node"], out["group"] = rows["key"], rows["node"], own.column("group").to_numpy()[at]
+        out["long"] = np.frombuffer(b"".join(own.column("long").to_pylist()), "<u8").reshape(-1, LONG // 64)[at]
+        out["parts"] = np.frombuffer(b"".join(own.column("parts").to_pylist()), "<u4").reshape(-1, PARTS)[at]
+        number, packed = blobs(block_of(rows["key"].astype(np.uint64), blocks), out)
+        return pa.table({"block": pa.array(number, pa.int64()), "members": pa.array(packed, pa.binary())})
 
     @lean
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        variant, held = None, []
+        block, held = None, []
 
         def close() -> Iterator[pa.RecordBatch]:
-            if held:
-                own, groups, checks, parts = (np.concatenate(x) for x in zip(*held))
-                held.clear()
-                if groups.min() == groups.max():
-                    return
-                a, b, cut = between(checks, few, groups)
+            if not held:
+                return
+            rows = np.frombuffer(b"".join(held), LOOSE)
+            held.clear()
+            order = np.lexsort((rows["node"], rows["key"]))
+            keys = rows["key"][order]
+            edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True]).tolist()
+            for x, y in zip(edges, edges[1:]):
+                own = rows[order[x:y]]
+                if (own["group"] == own["group"][0]).all():
+                    continue
+                nodes, parts = own["node"], own["parts"]
+                a, b, cut = between(np.ascontiguousarray(own["long"]), few, own["group"])
                 for k in range(0, len(a), 100_000):
                     i, j = a[k : k + 100_000], b[k : k + 100_000]
-                    first = first_meeting(parts[i], parts[j]) == variant
-                    yield from _pairs(np.minimum(own[i], own[j])[first], np.maximum(own[i], own[j])[first])
+                    first = first_meeting(parts[i], parts[j]) == int(keys[x])
+                    yield from _pairs(np.minimum(nodes[i], nodes[j])[first], np.maximum(nodes[i], nodes[j])[first])
                 if cut:
-                    rows = np.empty(len(own), ROW)
-                    rows["key"], rows["node"], rows["check"] = variant, own, checks
-                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([variant], pa.int64()), pa.array([rows.tobytes()], pa.binary())], ["u", "v", "variant", "rows"])
+                    yield from _open(own["key"], nodes)
 
         for b in batches:
-            keys = b.column("variant").to_numpy()
-            cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True]) if len(keys) else []
-            for x, y in zip(cuts[:-1], cuts[1:]):
-                if keys[x] != variant:
+            for here, rows in zip(b.column("block").to_pylist(), b.column("members").to_pylist()):
+                if here != block:
                     yield from close()
-                    variant = int(keys[x])
-                parts = np.frombuffer(b"".join(b.column("parts").slice(x, y - x).to_pylist()), np.uint32).reshape(-1, PARTS)
-                held.append((b.column("node").to_numpy()[x:y], b.column("group").to_numpy()[x:y], checks_of(b.column("check").slice(x, y - x)), parts))
+                    block = here
+                held.append(rows)
         yield from close()
 
-    by_node = rest.mapInArrow(loose, "variant long, node long").groupBy("node").agg(F.collect_list("variant").alias("variants"))
-    known = by_node.join(comp.select("node", F.col("component").alias("group")), "node", "left").join(nodes, "node")
-    named = known.select(F.explode("variants").alias("variant"), "node", F.coalesce("group", "node").alias("group"), "check", "parts")
-    return named.repartition("variant").sortWithinPartitions("variant", "node").mapInArrow(meet, "u long, v long, variant long, rows binary")
+    dealt = rest.mapInArrow(deal, "bucket long, members binary").groupBy("bucket")
+    named = dealt.cogroup(known.withColumn("bucket", F.expr(f"pmod(node, {buckets}L)")).groupBy("bucket")).applyInArrow(look_up, "block long, members binary")
+    return named.repartition("block").sortWithinPartitions("block").mapInArrow(meet, "u long, v long, rows binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -421,26 +484,32 @@ def linked(nodes: DataFrame, least: DataFrame, named: DataFrame) -> DataFrame:
     """(node, component) of nodes that have links. named: (doc_id, key, text) of all documents, of which least (node, least) names one for
     each node."""
     packed = pack_texts(named)
-    few, comp, tested = FEW, None, None
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        read = ids.join(least, "node").select("node", F.col("least.doc_id").alias("__id"), F.col("least.key").alias("__of"))
+        return packed.join(read, (packed["doc_id"] == read["__id"]) & (packed["key"] == read["__of"])).select("node", PACKED).dropDuplicates(["node"])
+
+    few, comp, tested, longs = FEW, None, None, None
     found = written(candidates(nodes, FEW, SMALL), "met")
     while True:
         pairs = found.where("u is not null").select("u", "v").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = written(pairs, "pairs")
-        ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(least, "node")
-        read = ends.select("node", F.col("least.doc_id").alias("__id"), F.col("least.key").alias("__of"))
-        texts = packed.join(read, (packed["doc_id"] == read["__id"]) & (packed["key"] == read["__of"])).select("node", PACKED).dropDuplicates(["node"])
-        new = written(verified(pairs, written(texts, "texts")), "links")
+        ends = pairs.select(F.col("u").alias("node")).distinct().union(pairs.select("v").distinct()).distinct()
+        new = written(verified(pairs, written(texts_of(ends), "texts")), "links")
         tested = pairs if tested is None else tested.unionByName(pairs)
         if comp is None:
             comp = connected_components(new)
         elif not new.isEmpty():  # components so far stand for their links
             comp = connected_components(comp.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(new))
-        rest = found.where("rows is not null").select("variant", "rows")
+        rest = found.where("rows is not null").select("rows")
         if rest.isEmpty():
             return comp
+        if longs is None:  # meetings of later rounds are among these
+            longs = written(long_checks(texts_of(open_nodes(rest))).join(nodes.select("node", "parts"), "node"), "longs")
         few *= MORE
-        found = written(left_out(rest, comp, nodes, few), "met")
+        known = longs.join(comp.select("node", F.col("component").alias("group")), "node", "left").withColumn("group", F.coalesce("group", "node"))
+        found = written(left_out(rest, known, few), "met")
         if found.isEmpty():
             return comp

@@ -104,6 +104,31 @@ def test_pairs_at_0_8_meet():
     assert found >= 0.93 * 200
 
 
+def test_long_checks_tell_alike_from_unlike():
+    """Sets of 900 shingles that share 800 (0.8) and 741 (0.7): which pairs later rounds verify."""
+    rng = np.random.default_rng(6)
+    passed = dict.fromkeys((800, 741), 0)
+    for shared in passed:
+        for _ in range(150):
+            a, b = (rng.integers(0, 1 << 64, n, dtype=np.uint64) for n in (900, 900 - shared))
+            x, y = (near_copies.check_words(s, near_copies._LONG_FLIPS, near_copies._LONG_TIMES) for s in (a, np.concatenate((a[:shared], b))))
+            passed[shared] += int(near_copies.apart(x, y) <= near_copies.LONG_MAYBE)
+    assert passed[800] >= 148 and passed[741] <= 15
+
+
+def test_members_of_open_meetings_come_back_by_meeting(spark):
+    """Two components and a loose node at one meeting, all alike by their bits: pairs across components only, each once."""
+    rng = np.random.default_rng(2)
+    parts, long = rng.integers(0, 1 << near_copies.BITS, near_copies.PARTS).astype(np.uint32), rng.integers(0, 1 << 62, near_copies.LONG // 64).astype("<u8")
+    nodes = [5, -3, 7, 11, -20]
+    known = spark.createDataFrame([(n, g, bytearray(long.tobytes()), bytearray(parts.tobytes())) for n, g in zip(nodes, (5, 5, 5, 11, -20))], "node long, group long, long binary, parts binary")
+    keys = near_copies.variants(parts[None])[0]
+    blobs = [b["rows"].to_pylist()[0] for b in near_copies._open(np.repeat(keys, 5), np.array(nodes * len(keys)))]
+    rest = spark.createDataFrame([(bytearray(b),) for b in blobs], "rows binary")
+    got = near_copies.left_out(rest, known, 10).where("u is not null").collect()
+    assert sorted((r["u"], r["v"]) for r in got) == sorted((min(a, b), max(a, b)) for a, b in [(11, 5), (11, -3), (11, 7), (11, -20), (-20, 5), (-20, -3), (-20, 7)])
+
+
 @pytest.mark.parametrize(("few", "edits"), [(1, 9), (2, 12), (8, 5)])
 def test_large_groups_lose_no_link(spark, monkeypatch, few, edits):
     """Groups that are just similar enough, with few partners at first: later rounds find what is left."""
