@@ -191,3 +191,26 @@ def test_failing_pages_become_their_descriptions(spark):
 
     many = web.search_many(pages, {"q": ["red", "x"]}, 3)
     assert [tuple(r) for r in many.select("page_id", "score").orderBy("page_id").collect()] == [tuple(r) for r in web.search(pages, ["red", "x"], 3).select("page_id", "score").orderBy("page_id").collect()]
+
+
+def test_a_fitted_model_reads_its_corpus_once(spark):
+    from quillon.embedding import Buckets, FittedProvider
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    texts = ["Red ring", "red-hot RING 7", "été_Été", "--", "", None]
+    corpus = spark.createDataFrame([(t,) for t in texts], "t string").mapInPandas(seen, "t string")
+    model = FittedProvider.fit(corpus, "t")
+    for text in ("red ring", "blue"):
+        model.embed(spark.createDataFrame([(text,)], "q string"), "q").collect()
+    assert read.value == len(texts)
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr(
+        r"transform(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '([^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+)', 1), w -> cast(conv(substring(md5(w), 1, 4), 16, 10) as int)) AS b"
+    )
+    expected = [r["b"] or [] for r in rows.collect()]
+    assert [Buckets().of(t) for t in texts] == [Buckets(most=1).of(t) for t in texts] == expected and len(expected[1]) == 4
