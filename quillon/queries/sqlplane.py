@@ -11,7 +11,7 @@ from ..operators import profile as P
 from ..plans import guard
 from ..plans.agent import wider_search
 from ..plans.federation import Federation, route_tables
-from ..sources.database import Database
+from ..sources.database import embedded
 from .common import STATEMENT, Registry, table
 
 REGISTRY = Registry()
@@ -134,9 +134,8 @@ def federated_namesakes(spark, d):
     "SELECT c_mktsegment, c_nationkey, count(*) AS orders, round(sum(o_totalprice), 2) AS price FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_acctbal > 100 AND c_mktsegment <> 'BUILDING' GROUP BY ALL",
 )
 def jdbc_federated_join(spark, d):
-    """All customers in a database behind JDBC (an embedded one, in the driver's memory), found through its metadata and joined with Parquet."""
-    db = Database(spark, "branch", f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
-    db.save(table(spark, d, "customer"), "customer", "c_custkey", text_length=256)
+    """All customers in a database behind JDBC (an embedded one, in a file that all executors read), found through its metadata and joined with Parquet."""
+    db = embedded(spark, f"branch_{uuid.uuid4().hex}", {"customer": (table(spark, d, "customer"), "c_custkey")})
     fed = federation(spark, d)
     fed.add("branch", db.load())
     return fed.query(

@@ -7,15 +7,22 @@ which the database itself computes.
 
 from __future__ import annotations
 
+import os
 import re
+import shutil
+import tempfile
+import uuid
+import zipfile
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from urllib.parse import unquote, urlsplit
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import databases_from_env
+from .store import scratch
 
 #: Rows that one task reads of a table.
 ROWS_A_PART = 1_000_000
@@ -23,6 +30,7 @@ ROWS_A_PART = 1_000_000
 PARTS = 64
 CATALOG = "org.apache.spark.sql.execution.datasources.v2.jdbc.JDBCTableCatalog"
 INTEGERS = ("smallint", "int", "bigint", "tinyint")
+DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
 
 
 @dataclass
@@ -49,6 +57,8 @@ class Database:
     def __init__(self, spark: SparkSession, name: str, url: str, **options: str):
         if not re.fullmatch(r"[A-Za-z]\w*", name):
             raise ValueError(f"bad catalog name: {name}")
+        if spark.conf.get(f"spark.sql.catalog.{name}.url", url) != url:  # the session keeps a catalog that was used, and would go on reading it
+            raise ValueError(f"the session has a catalog {name} of another database")
         self.spark, self.name, self.url, self.options = spark, name, url, options
         conf = {"": CATALOG, ".url": url, ".pushDownAggregate": "true", ".pushDownLimit": "true", ".pushDownOffset": "true"}
         for k, v in (conf | {f".{k}": v for k, v in options.items()}).items():
@@ -118,12 +128,49 @@ class Database:
             writer = writer.option("createTableColumnTypes", ", ".join(f"`{c}` VARCHAR({text_length})" for c in texts))
         writer.jdbc(self.url, table, properties=self.options)
         if key:
-            con = self._connection()
-            try:
-                con.createStatement().execute(f'ALTER TABLE {table} ALTER COLUMN "{key}" NOT NULL')
-                con.createStatement().execute(f'ALTER TABLE {table} ADD PRIMARY KEY ("{key}")')
-            finally:
-                con.close()
+            self._execute(f'ALTER TABLE {table} ALTER COLUMN "{key}" NOT NULL', f'ALTER TABLE {table} ADD PRIMARY KEY ("{key}")')
+
+    def _execute(self, *statements: str) -> None:
+        con = self._connection()
+        try:
+            for sql in statements:
+                con.createStatement().execute(sql)
+        finally:
+            con.close()
+
+
+def embedded(spark: SparkSession, name: str, tables: dict[str, tuple[DataFrame, str | None]], text_length: int = 256) -> Database:
+    """An embedded (Derby) database of tables, each with its primary key (or None), that the driver and all executors can read.
+
+    An embedded database lives in one process, and executors are others. So tasks write the tables as files, the driver's database imports
+    these one by one (it holds some pages of them, never a table), and is closed and stored in one file of the shared folder, where any number
+    of processes may open it at once, for reading only. Texts have text_length characters at most; a longer one is an error."""
+    shared = scratch(spark)
+    place = re.sub("^file:/*", "/", shared)
+    if re.match(r"[a-z0-9]+:", place):
+        raise ValueError(f"an embedded database is read from a file system, not from {shared}")
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    with tempfile.TemporaryDirectory(prefix="quillon-db-") as own:
+        made = Database(spark, f"made_{uuid.uuid4().hex}", f"jdbc:derby:{own}/db;create=true", driver=DERBY)
+        for table, (df, key) in tables.items():
+            made.save(spark.createDataFrame([], df.schema), table, text_length=text_length)  # no rows, so no task
+            df.write.csv(f"{shared}/{table}", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue='""')
+            for part in sorted(x for x in os.listdir(f"{place}/{table}") if x.startswith("part-")):
+                made._execute(f"CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, {quoted(table.upper())}, {quoted(f'{place}/{table}/{part}')}, NULL, NULL, 'UTF-8', 0)")
+            shutil.rmtree(f"{place}/{table}")
+            if key:
+                made._execute(f'ALTER TABLE {table} ALTER COLUMN "{key}" NOT NULL', f'ALTER TABLE {table} ADD PRIMARY KEY ("{key}")')
+        try:
+            spark._jvm.java.sql.DriverManager.getConnection(f"jdbc:derby:{own}/db;shutdown=true")
+        except Py4JJavaError as e:
+            if e.java_exception.getSQLState() != "08006":  # what it throws when it has closed the database
+                raise
+        with zipfile.ZipFile(f"{place}/db.jar", "w", zipfile.ZIP_STORED) as jar:  # stored, so that a page is found without reading those before
+            for folder, _, files in os.walk(f"{own}/db"):
+                for f in files:
+                    if not f.endswith(".lck"):
+                        jar.write(full := os.path.join(folder, f), os.path.relpath(full, own))
+    return Database(spark, name, f"jdbc:derby:jar:({place}/db.jar)db", driver=DERBY)
 
 
 def jdbc_url(url: str) -> tuple[str, dict[str, str]]:

@@ -1,10 +1,13 @@
+import os
+import subprocess
+import sys
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillon.plans.federation import Federation
-from quillon.sources.database import Database, from_env, jdbc_url
+from quillon.sources.database import Database, embedded, from_env, jdbc_url
 
 
 @pytest.fixture(scope="module")
@@ -74,3 +77,33 @@ def test_databases_of_settings(spark):
     assert found["sales"].options == {"user": "u", "password": "p"}
     with pytest.raises(ValueError):
         Database(spark, "a b", "jdbc:x:y")
+
+
+CLUSTER = """
+import sys
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.executor.memory", "1g").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://" + sys.argv[1])
+    .config("spark.sql.shuffle.partitions", "4").getOrCreate())
+import __spark_entry__
+for sf in sys.argv[2:]:
+    rows = __spark_entry__.queries()["jdbc_federated_join"](spark, sf).collect()
+    print("FOUND", sum(r["orders"] for r in rows))
+"""
+
+
+def test_a_cluster_reads_the_embedded_database(tmp_path, duck):
+    """Executors are other processes than the driver; and a second run in one session reads its own customers."""
+    sfs = ["/root/testdata/sf0.001", "/root/testdata/sf0.01"]
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", CLUSTER, str(tmp_path), *sfs], capture_output=True, text=True, timeout=300, cwd=tmp_path, env=os.environ | {"PYTHONPATH": root})
+    expected = [duck.execute(f"SELECT count(*) FROM '{sf}/customer.parquet' JOIN '{sf}/orders.parquet' ON c_custkey = o_custkey WHERE c_acctbal > 100 AND c_mktsegment <> 'BUILDING'").fetchone()[0] for sf in sfs]
+    assert [int(x.split()[1]) for x in done.stdout.splitlines() if x.startswith("FOUND")] == expected, done.stderr[-2000:]
+
+
+def test_an_embedded_database_keeps_values(spark):
+    rows = [(1, " a,b ", 0.1), (2, 'say "x"', None), (3, "", -1e300), (4, None, 5.0), (5, "line\nnext é", 1 / 3)]
+    db = embedded(spark, f"kept_{uuid.uuid4().hex}", {"loose": (spark.createDataFrame(rows, "k long, t string, x double").repartition(3), "k")}, text_length=20)
+    assert sorted(map(tuple, db.load()["loose"].collect())) == rows
+    assert [t.key for t in db.tables()] == [["k"]]
+    with pytest.raises(ValueError, match="another database"):
+        Database(spark, db.name, "jdbc:x:y")
