@@ -118,14 +118,18 @@ def federated_union(spark, d):
     "SELECT c_nationkey AS k, count(*) AS pairs, round(sum(c_acctbal - s_acctbal), 2) AS gap FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal > s_acctbal WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c_nationkey AND n_regionkey < 4) GROUP BY c_nationkey",
 )
 def federated_namesakes(spark, d):
-    """Tables of one name in two databases, joined and compared by their full names, in quotes and not, also from a subquery."""
+    """Tables of one name in two databases, compared by their full names, in quotes and not, also from a subquery. Pairs aren't made, since there are as many as
+    the product of both tables: along the balances of a nation, a customer has as many pairs as suppliers stand before it (equal balances: customers first)."""
     fed = federation(spark, d)
     fed.databases["sales"] |= {"party": table(spark, d, "customer").selectExpr("c_nationkey AS k", "c_acctbal AS balance")}
     fed.databases["supply"] |= {"party": table(spark, d, "supplier").selectExpr("s_nationkey AS k", "s_acctbal AS balance")}
     return fed.query(
-        'SELECT sales.party.k, count(*) AS pairs, round(sum(sales.party.balance - supply.public.party.balance), 2) AS gap FROM "sales"."party" JOIN supply.public.party '
-        'ON sales.party.k = "supply"."public"."party"."k" AND sales.party.balance > supply.public.party.balance '
-        "WHERE EXISTS (SELECT 1 FROM nation WHERE nation.n_nationkey = sales.party.k AND n_regionkey < 4) GROUP BY sales.party.k"
+        "SELECT k, sum(below) AS pairs, round(sum(balance * below - owed), 2) AS gap FROM (SELECT k, balance, side, "
+        "sum(side) OVER (PARTITION BY k ORDER BY balance, side ROWS UNBOUNDED PRECEDING) AS below, "
+        "sum(CASE WHEN side = 1 THEN balance END) OVER (PARTITION BY k ORDER BY balance, side ROWS UNBOUNDED PRECEDING) AS owed FROM ("
+        'SELECT sales.party.k, sales.party.balance, 0L AS side FROM "sales"."party" WHERE sales.party.balance IS NOT NULL '
+        'UNION ALL SELECT supply.public.party.k, "supply"."public"."party"."balance", 1L FROM supply.public.party WHERE supply.public.party.balance IS NOT NULL) both_sides '
+        "WHERE EXISTS (SELECT 1 FROM nation WHERE nation.n_nationkey = k AND n_regionkey < 4)) ranked WHERE side = 0 AND below > 0 GROUP BY k"
     )
 
 

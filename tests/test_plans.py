@@ -271,3 +271,31 @@ def test_forms_are_counted_in_one_scan(shop, monkeypatch):
     found = relax.forms(shop, "SELECT p_partkey FROM supply.part WHERE p_name = 'ring' AND p_size > 1000 AND p_partkey < 0")
     rows = relax.counted(shop, "SELECT p_partkey FROM supply.part WHERE p_name = 'ring' AND p_size > 1000 AND p_partkey < 0", found)
     assert len(ran) == 1 and len(rows) > 6 and {f.rows for f in rows} >= {0, 1}
+
+
+def test_namesakes_compare_without_making_pairs(spark, duck, tmp_path):
+    """Ties and nulls of balances, nations without partners; and no join but the one with the nations."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from conftest import SF, rows_of
+    from quillon.queries import ORACLE_SQL, QUERIES
+
+    sold = [5.0, 5.0, 7.25, None, -3.0, 0.0, 1e9, 1.0]
+    owed = [5.0, 4.0, None, -3.0, -0.0, 7.25]
+    frames = {
+        "customer": {"c_custkey": range(40), "c_nationkey": [k % 5 if k else None for k in range(40)], "c_acctbal": [sold[k % 8] if k % 5 else abs(sold[k % 8] or 0) % 9 for k in range(40)]},
+        "supplier": {"s_suppkey": range(24), "s_nationkey": [k % 4 for k in range(24)], "s_acctbal": [owed[k % 6] for k in range(24)]},
+    }
+    for name, columns in frames.items():
+        pq.write_table(pa.table({c: list(v) for c, v in columns.items()}), tmp_path / f"{name}.parquet")
+    for name in ("nation", "region", "orders", "lineitem", "part"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{SF}/{name}.parquet")
+    df = QUERIES["federated_namesakes"](spark, str(tmp_path))
+    con = duckdb.connect()
+    for name in ("customer", "supplier", "nation"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    cur = con.execute(ORACLE_SQL["federated_namesakes"])
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of([c[0] for c in cur.description], cur.fetchall())
+    assert "Inner" not in df._jdf.queryExecution().optimizedPlan().toString()
