@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .batches import bounded
 from .text import basename
 
 
@@ -82,5 +83,6 @@ def _html_series(html: pd.Series) -> pd.Series:
 
 
 def html_to_text(c: Column) -> Column:
-    """Visible text by the standard library's parser, in Arrow batches of Python."""
+    """Visible text by the standard library's parser, in Arrow batches of Python with bounded rows and bytes."""
+    bounded()
     return F.pandas_udf(_html_series, "string")(c)
