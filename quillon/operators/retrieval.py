@@ -11,11 +11,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.batches import bounded
 from ..functions.text import basename
 from ..functions.vectors import cosine
 
 K = 5
 THRESHOLD = 0.3
+#: Cosines that a task of top_k_each holds at once.
+TILE = 1 << 19
 
 
 def scored(corpus: DataFrame, query: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -51,9 +54,10 @@ def with_documents(hits: DataFrame, docs: DataFrame, hit_col: str = "vec_id", id
 def top_k_each(corpus: DataFrame, queries: DataFrame, k: int = K, rows: int = 1 << 18, asked: int = 1 << 15) -> DataFrame:
     """(query_id, rank, vec_id, score) for many queries, exactly: a join of blocks. The corpus (vec_id, embedding) is dealt into blocks of about `rows` vectors,
     the queries (query_id, vector) into blocks of about `asked`, and every pair of them meets in a task, which holds the queries,
-    streams the corpus, and keeps the k best of each query by matrix products. One plan for any number of queries: with up to `asked` of
+    streams the corpus in bounded batches, and keeps the k best of each query by matrix products of TILE cosines at most. One plan for any number of queries: with up to `asked` of
     them the corpus is shuffled once. Scores that agree to nine decimals are equal, and go to the smaller id. Null vectors, and
     vectors of other lengths than a query's, are nobody's neighbours; of queries with one id one counts."""
+    bounded(corpus.sparkSession)
     single = queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>").alias("vector")).where("query_id is not null and vector is not null").dropDuplicates(["query_id"])
     vectors = corpus.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("vector")).where("vector is not null")
     a_s = max(-(-corpus.count() // rows), corpus.sparkSession.sparkContext.defaultParallelism)
@@ -69,13 +73,13 @@ def top_k_each(corpus: DataFrame, queries: DataFrame, k: int = K, rows: int = 1
         return pd.concat(kept).sort_values(order, ascending=[True, False, True]).groupby("query_id").head(k)
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cell, ids, held, unit, kept = None, [], [], None, []
+        cell, ids, held, unit, kept, held_rows = None, [], [], None, [], 0
         for pdf in batches:
             for key, part in pdf.groupby(["width", "a", "b", "side"], sort=False):
                 if key[:3] != cell:
                     if kept:
                         yield merged(kept)
-                    cell, ids, held, unit, kept = key[:3], [], [], None, []
+                    cell, ids, held, unit, kept, held_rows = key[:3], [], [], None, [], 0
                 x = np.stack(part["vector"].to_numpy()).reshape(len(part), key[0])
                 x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
                 if key[3] == 0:
@@ -85,15 +89,18 @@ def top_k_each(corpus: DataFrame, queries: DataFrame, k: int = K, rows: int = 1
                 if not ids:
                     continue
                 if unit is None:
-                    unit, qid = np.concatenate(held), np.concatenate(ids)
-                for first in range(0, len(unit), 1024):
-                    s = unit[first : first + 1024] @ x.T
+                    unit, qid, held = np.concatenate(held), np.concatenate(ids), []
+                step = max(1, TILE // len(part))
+                for first in range(0, len(unit), step):
+                    s = unit[first : first + step] @ x.T
                     near = np.round(s, 9)
                     n = min(k, len(part))
                     row, at = np.nonzero(near >= np.partition(near, len(part) - n, axis=1)[:, len(part) - n, None])
                     kept.append(merged([pd.DataFrame({"query_id": qid[first + row], "vec_id": part["id"].to_numpy()[at], "score": s[row, at], "near": near[row, at]})]))
-                if sum(map(len, kept)) > 4 * k * len(unit) + 100_000:
+                    held_rows += len(kept[-1])
+                if held_rows > 2 * k * len(unit) + 100_000:
                     kept = [merged(kept)]
+                    held_rows = len(kept[0])
         if kept:
             yield merged(kept)
 
