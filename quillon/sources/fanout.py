@@ -10,6 +10,8 @@ from concurrent.futures import ThreadPoolExecutor
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..functions.batches import bounded
+
 #: Calls at once in a task, tries of a call, and seconds before the second try.
 PARALLEL, ATTEMPTS, BASE_S = 4, 3, 0.5
 
@@ -18,7 +20,7 @@ def fan_out(
     df: DataFrame, call: Callable[[dict], str | None], out_col: str, parallel: int = PARALLEL, attempts: int = ATTEMPTS, base_s: float = BASE_S, jitter_s: float = 0.1, fatal: tuple[type[Exception], ...] = ()
 ) -> DataFrame:
     """df with out_col, what call(row) gives, `error` (of the last try; null where one worked) and `tries`. A task runs `parallel` calls at once and
-    holds a batch of rows. A failed call is tried again after base_s * 2^n seconds and some jitter, but not after errors that are fatal. Tasks that are run again call
+    holds a batch of rows (see bounded). A failed call is tried again after base_s * 2^n seconds and some jitter, but not after errors that are fatal. Tasks that are run again call
     again, so calls must bear that."""
 
     def one(row: dict) -> tuple[str | None, str | None, int]:
@@ -38,5 +40,6 @@ def fan_out(
                 done = list(pool.map(one, pdf.to_dict("records")))
                 yield pdf.assign(**{out_col: [x[0] for x in done], "error": [x[1] for x in done], "tries": [x[2] for x in done]})
 
+    bounded(df.sparkSession)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.mapInPandas(run, f"{kinds}, `{out_col}` string, error string, tries int")
