@@ -6,7 +6,7 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .batches import bounded
@@ -82,7 +82,8 @@ def _html_series(html: pd.Series) -> pd.Series:
     return html.map(html_text)
 
 
-def html_to_text(c: Column) -> Column:
-    """Visible text by the standard library's parser, in Arrow batches of Python with bounded rows and bytes."""
-    bounded()
+def html_to_text(c: Column, spark: SparkSession | None = None) -> Column:
+    """Visible text by the standard library's parser, in Arrow batches of Python with bounded rows and bytes. spark: the session of the column's table, where it may not be
+    the active one."""
+    bounded(spark)
     return F.pandas_udf(_html_series, "string")(c)

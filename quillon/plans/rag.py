@@ -50,9 +50,9 @@ def enhanced_search(pages: DataFrame, words: list[str], model: EmbeddingProvider
     """Web hits with their pages' text as summary (the description where there is none), ranked again by cosine to the
     query, the k best: page_id, title, url, summary, score."""
     found = web.search(pages, words, hits)
-    text = pages.select("page_id", html_to_text(F.col("html")).alias("full"))
-    best = text.join(F.broadcast(found), "page_id")  # hits rows at most
-    best = best.withColumn("summary", F.substring(F.coalesce(F.nullif("full", F.lit("")), F.col("description")), 1, SUMMARY)).drop("full", "score")
+    best = pages.select("page_id", "html").join(F.broadcast(found), "page_id")  # hits rows at most; only their texts are read again
+    full = html_to_text(F.col("html"), pages.sparkSession)
+    best = best.withColumn("summary", F.substring(F.coalesce(F.nullif(full, F.lit("")), F.col("description")), 1, SUMMARY)).drop("html", "score")
     return retrieve(best, " ".join(words), model, k, None, "summary", "page_id").select("page_id", "title", "url", "summary", "score")
 
 

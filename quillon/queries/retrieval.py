@@ -252,7 +252,7 @@ def chunk_documents(spark, d):
 def html_to_text(spark, d):
     from ..functions.web import html_to_text as text
 
-    return table(spark, d, "pages").select("page_id", text(F.col("html")).alias("text"))
+    return table(spark, d, "pages").select("page_id", text(F.col("html"), spark).alias("text"))
 
 
 @add("hash_embed")

@@ -21,3 +21,10 @@ def test_smaller_bounds_stay(spark):
     bounded(spark)
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "7"
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("name", ["html_to_text", "web_search_offline", "enhanced_search", "enhanced_search_many"])
+def test_bounds_go_to_the_session_of_the_tables(spark, name):
+    other = spark.newSession()
+    queries.QUERIES[name](other, "/root/testdata/sf0.001")
+    assert all(int(other.conf.get(k).removesuffix("b")) == most for k, most in KEYS.items())

@@ -63,6 +63,28 @@ def test_offline_web(spark):
     assert {r["name"]: r["addresses"] for r in web.resolve(names, records).collect()} == {"a": ["2.2.2.2", "1.1.1.1"], "b": None}
 
 
+def test_searches_read_each_text_once(spark):
+    from quillon.plans import rag
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    reads = lambda df: df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [_html_series")
+    assert reads(web.search(pages, ["the", "ring"])) == reads(web.search_many(pages, {"a": ["the"], "b": ["ring"]})) == 1
+    assert reads(rag.enhanced_search(pages, ["the", "ring"])) == 2  # that of the search, and the hits' own
+
+
+def test_search_gives_the_best_pages(spark):
+    from quillon.functions.web import html_text
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").unionByName(spark.createDataFrame([(-1, "http://n/", None), (-2, "http://e/", "")], "page_id long, url string, html string"))
+    texts = {r["page_id"]: (html_text(r["html"]) or "").lower() for r in pages.collect()}
+    for words, k in ((["the", "and", "ring"], 10), (["The", "de"], 10_000), (["the"], 3), (["absent-everywhere"], 5), ([], 5)):
+        scores = sorted((-sum(w.lower() in t for w in words), n) for n, t in texts.items())
+        expected = [(n, texts[n][:200], -s) for s, n in scores if s][:k]
+        assert [(r["page_id"], r["description"], r["score"]) for r in web.search(pages, words, k).collect()] == expected
+        many = {(r["page_id"], r["description"], r["score"]) for r in web.search_many(pages, {"q": words}, k).collect()}
+        assert many == set(expected)
+
+
 def test_hashing_embeddings(spark):
     df = provider("hashing", dimensions=8).embed(spark.createDataFrame([("a b",), ("A  b",), (" ",), (None,)], "t string"), "t")
     v = [r["embedding"] for r in df.collect()]
